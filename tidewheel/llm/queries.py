@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, quality_rules
+from . import bpe, chat, classifier, quality_rules, warc
+from .io import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,22 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_warc(warc.with_originals(table(spark, sf_dir, "pages")), path)
+    read = warc.read_warc(spark, path).where("warc_type <> 'warcinfo'")
+    header = F.col("headers")
+    stored = F.regexp_replace(header["WARC-Payload-Digest"], "^sha1:", "")
+    response = F.col("warc_type") == "response"
+    return read.select(
+        F.expr("try_cast(headers['X-Page-ID'] AS BIGINT)").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(header["X-Payload-Length"].cast("long")).alias("payload_bytes"),
+        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(stored).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        header["X-Refers-To-Page"].cast("long").alias("refers_to"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
 
@@ -60,9 +77,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rendered = chat.render(chat.rows_as_events(turns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, held, n, turn_hash, loss_chars, loss_hash, chars = None, False, 0, None, 0, None, 0
+        rows: list[tuple] = []
+        for batch in batches:
+            for c, part, formatted, start, a, b in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "formatted", "start", "loss_start", "loss_end")), strict=True):
+                if part == 0:
+                    if held:
+                        rows.append((conv, n, turn_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars))
+                    conv, held, n, turn_hash, loss_chars, loss_hash, chars = c, True, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+                for role, text in chat.read_turns(formatted):
+                    n += 1
+                    turn_hash.update(f"{role}\n{text}\n".encode())
+                if a is not None:
+                    text = chat.unescape(formatted[a - start : b - start])
+                    loss_chars += len(text)
+                    loss_hash.update(text.encode())
+                chars += len(formatted)
+            if len(rows) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+                rows = []
+        if held:
+            rows.append((conv, n, turn_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars))
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = [x.split()[0] for x in fields.split(", ")]
+    return rendered.mapInArrow(run, fields)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
