@@ -10,6 +10,7 @@ probability n * n / 2**65.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +75,39 @@ def dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
     return batch_of(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], DEALT_NAMES)
 
 
+def _sorted(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
+    """By key; ordered: and by doc and spot."""
+    order = np.lexsort((spots, docs, keys)) if ordered else np.argsort(keys, kind="stable")
+    return keys[order], docs[order], spots[order]
+
+
+@dataclass(frozen=True)
+class Wish:
+    """Which places of equal keys are wanted: those of keys with at least least places (by_doc: documents); earliest: all
+    of them but the first by doc and spot."""
+
+    least: int = 2
+    by_doc: bool = False
+    earliest: bool = False
+
+    def measure(self, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted places: the group of each, and each group's number of places or documents."""
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        group = np.cumsum(first) - 1
+        counted = first | np.concatenate([[True], docs[1:] != docs[:-1]]) if self.by_doc else np.ones(len(keys), bool)
+        return group, np.bincount(group, counted).astype(np.int64)
+
+    @property
+    def ordered(self) -> bool:
+        return self.by_doc or self.earliest
+
+
 class Dealer:
-    """Gathers a task's places and deals them out. earliest: which places of an equal key are wanted: all but the first
-    by doc and spot; else all, if there are two or more."""
+    """Gathers a task's places and deals them out. Of a key that one flush alone shows to be wanted, the first place is
+    marked (by its spot's complement) and goes to the key's bucket; the others are known to be wanted."""
 
-    def __init__(self, buckets: int, earliest: bool):
-        self.buckets, self.earliest = buckets, earliest
+    def __init__(self, buckets: int, wish: Wish):
+        self.buckets, self.wish = buckets, wish
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -93,26 +121,24 @@ class Dealer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, docs, spots = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        keys, docs, spots = _sorted(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.wish.ordered)
         self.held, self.size = [], 0
-        order = np.lexsort((spots, docs, keys)) if self.earliest else np.argsort(keys, kind="stable")
-        keys, docs, spots = keys[order], docs[order], spots[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        again = ~first
-        twice = np.concatenate([again[1:], [False]])[first]
-        # a key that this flush has more than once is marked at its first place: the spot's complement
-        lead = np.where(twice & (not self.earliest), ~spots[first], spots[first])
-        rows = list(_rows(COMPARE, key_bucket(keys[first], self.buckets), keys[first], docs[first], lead))
-        rows += _rows(KNOWN, doc_bucket(docs[again], self.buckets), keys[again], docs[again], spots[again])
+        group, n = self.wish.measure(keys, docs)
+        enough = (n >= self.wish.least)[group]
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        known = enough & ~first
+        spots = np.where(enough & first, ~spots, spots)
+        rows = list(_rows(COMPARE, key_bucket(keys[~known], self.buckets), keys[~known], docs[~known], spots[~known]))
+        rows += _rows(KNOWN, doc_bucket(docs[known], self.buckets), keys[known], docs[known], spots[known])
         for at in range(0, len(rows), 512):
             yield dealt_batch(rows[at : at + 512])
 
 
-def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: int, earliest: bool) -> DataFrame:
+def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: int, wish: Wish) -> DataFrame:
     """Rows of DEALT for the keys, docs and spots that places finds in df's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(buckets, earliest)
+        dealer = Dealer(buckets, wish)
         for batch in batches:
             for keys, docs, spots in places(batch):
                 yield from dealer.add(keys, docs, spots)
@@ -143,9 +169,8 @@ def arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def wanted(dealt: DataFrame, buckets: int, earliest: bool, with_keys: bool = False, least: int = 2) -> DataFrame:
-    """Rows of MARKS: the places of keys that occur twice or more (all but the first, if earliest), dealt by doc."""
-    assert least == 2 or not earliest
+def wanted(dealt: DataFrame, buckets: int, wish: Wish, with_keys: bool = False) -> DataFrame:
+    """Rows of MARKS: the wanted places, dealt by doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
@@ -154,14 +179,11 @@ def wanted(dealt: DataFrame, buckets: int, earliest: bool, with_keys: bool = Fal
             if compare:
                 keys, docs, spots = arrays(compare)
                 marked = spots < 0
-                spots = np.where(marked, ~spots, spots)
-                order = np.lexsort((spots, docs, keys)) if earliest else np.argsort(keys, kind="stable")
-                keys, docs, spots, marked = keys[order], docs[order], spots[order], marked[order]
-                same = keys[1:] == keys[:-1]
-                take = np.concatenate([[False], same])
-                if not earliest:
-                    take[:-1] |= same
-                    take |= marked
+                keys, docs, spots, marked = _with(keys, docs, np.where(marked, ~spots, spots), marked, wish.ordered)
+                group, n = wish.measure(keys, docs)
+                take = ((n >= wish.least) | (np.bincount(group, marked) > 0))[group]
+                if wish.earliest:
+                    take &= np.concatenate([[False], group[1:] == group[:-1]])
                 found.append((keys[take], docs[take], spots[take]))
             keys, docs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
             out = [
@@ -171,3 +193,24 @@ def wanted(dealt: DataFrame, buckets: int, earliest: bool, with_keys: bool = Fal
             yield batch_of(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["docbucket", "keys", "docs", "spots"])
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
+
+
+def _with(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, more: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((spots, docs, keys)) if ordered else np.argsort(keys, kind="stable")
+    return keys[order], docs[order], spots[order], more[order]
+
+
+def mark_arrays(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Docs and spots of marks, sorted by doc."""
+    docs = np.frombuffer(b"".join(marks.column("docs").to_pylist()), np.int64)
+    spots = np.frombuffer(b"".join(marks.column("spots").to_pylist()), np.int64)
+    order = np.argsort(docs, kind="stable")
+    return docs[order], spots[order]
+
+
+def own(docs: np.ndarray, spots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of marks sorted by doc, those of ids from the first to the last of rows, which are sorted."""
+    if not len(rows):
+        return docs[:0], spots[:0]
+    a, b = np.searchsorted(docs, rows[0], "left"), np.searchsorted(docs, rows[-1], "right")
+    return docs[a:b], spots[a:b]

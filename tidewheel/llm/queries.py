@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, quality_rules, substrings, warc
+from . import bpe, chat, classifier, decontaminate, line_templates, quality_rules, substrings, warc
 from .io import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_codes(table(spark, sf_dir, "documents"), fields, digests, path, pattern, keep=["doc_id"])
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_templates.drop_recurring_lines(docs, counts=True)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -122,6 +132,8 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_line_templates": op7_line_templates,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,

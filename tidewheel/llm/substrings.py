@@ -29,6 +29,8 @@ from . import packed
 from .words import SLICE_BYTES, U64, Words, doubled, slices, windows, words_of
 
 NULL_DOC = -(1 << 63)
+#: What is asked of the levels: on the last, all occurrences but the first.
+ANY, LATER = packed.Wish(), packed.Wish(earliest=True)
 #: A spot is a word's number, and above that which of the rows with one id it is in.
 COPY = 1 << 40
 
@@ -111,21 +113,6 @@ def placed_slices(table: pa.Table, window: int) -> Iterator[tuple[pa.RecordBatch
         at += part.num_rows
 
 
-def _mark_arrays(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    docs = np.frombuffer(b"".join(marks.column("docs").to_pylist()), np.int64)
-    spots = np.frombuffer(b"".join(marks.column("spots").to_pylist()), np.int64)
-    order = np.argsort(docs, kind="stable")
-    return docs[order], spots[order]
-
-
-def _own(docs: np.ndarray, spots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of marks sorted by doc, those of ids from the first to the last of rows, which are sorted."""
-    if not len(rows):
-        return docs[:0], spots[:0]
-    a, b = np.searchsorted(docs, rows[0], "left"), np.searchsorted(docs, rows[-1], "right")
-    return docs[a:b], spots[a:b]
-
-
 def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Of each row: key, n_words, n_removed, kept_sha256; with_text adds kept, the words that stay, joined by spaces."""
     levels = [base << i for i in range(64) if base << i <= window]
@@ -145,14 +132,14 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
 
     dealt_texts = texts.withColumn("docbucket", tag)
     # on the only level left spots must tell rows of one id apart, so it starts from the dealt texts as the others do
-    marks = packed.wanted(packed.deal(texts, first_level, buckets, False), buckets, False) if len(levels) > 1 else None
+    marks = packed.wanted(packed.deal(texts, first_level, buckets, ANY), buckets, ANY) if len(levels) > 1 else None
 
     def next_level(before: int, size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            dealer, out = packed.Dealer(buckets, size == window), []
-            docs, spots = _mark_arrays(right)
+            dealer, out = packed.Dealer(buckets, LATER if size == window else ANY), []
+            docs, spots = packed.mark_arrays(right)
             for _, placed in placed_slices(left, window):
-                at = placed.where(*_own(docs, spots, placed.docs), exact=False)
+                at = placed.where(*packed.own(docs, spots, placed.docs), exact=False)
                 if not len(at):
                     continue
                 names = names_of(placed.words, before, base)
@@ -172,29 +159,29 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
 
     for before, size in zip(levels, levels[1:], strict=False):
         dealt = dealt_texts.groupBy("docbucket").cogroup(marks.groupBy("docbucket")).applyInArrow(next_level(before, size), packed.DEALT)
-        marks = packed.wanted(dealt, buckets, size == window)
+        marks = packed.wanted(dealt, buckets, LATER if size == window else ANY)
 
     if marks is None:
 
         def only_level(left: pa.Table) -> pa.Table:
-            dealer, out = packed.Dealer(buckets, True), []
+            dealer, out = packed.Dealer(buckets, LATER), []
             for _, placed in placed_slices(left, window):
                 names = names_of(placed.words, window, base)
                 at = np.flatnonzero(placed.start[: len(names)])
                 out += dealer.add(names[at], *placed.places(at))
             return pa.Table.from_batches([*out, *dealer.flush()], packed.dealt_batch([]).schema)
 
-        marks = packed.wanted(dealt_texts.groupBy("docbucket").applyInArrow(only_level, packed.DEALT), buckets, True)
+        marks = packed.wanted(dealt_texts.groupBy("docbucket").applyInArrow(only_level, packed.DEALT), buckets, LATER)
 
     fields = f"{key} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in fields.split(", ")])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs, spots = _mark_arrays(right)
+        docs, spots = packed.mark_arrays(right)
         out = []
         for part, placed in placed_slices(left, window):
             w = placed.words
-            at = placed.where(*_own(docs, spots, placed.docs), exact=True)
+            at = placed.where(*packed.own(docs, spots, placed.docs), exact=True)
             step = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
