@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, decontaminate, line_templates, quality_rules, substrings, warc
+from . import bpe, chat, classifier, decontaminate, line_templates, ngram_join, quality_rules, substrings, warc
 from .io import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = line_templates.drop_recurring_lines(docs, counts=True)
@@ -133,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_templates": op7_line_templates,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
