@@ -29,13 +29,34 @@ MARKS = "docbucket int, keys binary, docs binary, spots binary"
 COMPARE, KNOWN = 0, 1
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Four buckets for each shuffle partition: what a cluster sets for its data also sets the size of a bucket."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@dataclass(frozen=True)
+class Buckets:
+    """Numbers of buckets of keys and of documents. A task writes a row for each bucket that it has something for."""
+
+    keys: int
+    docs: int
+
+
+def bucket_count(df: DataFrame) -> Buckets:
+    """Made from the number of shuffle partitions: what a cluster sets for its data also sets the size of a bucket."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Buckets(n, 2 * n)
+
+
+def pack(values: np.ndarray, size: int = 8) -> bytes:
+    """The low size bytes of 64-bit values, all first bytes, then all second ones: bytes that are often 0 lie together,
+    and the shuffle's compression takes them away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def unpack(raw: bytes, size: int = 8) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    return out.reshape(-1).view(U64)
 
 
 def key_bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> U64(32)) % U64(n)).astype(np.int64)
+    return ((keys >> U64(40)) % U64(n)).astype(np.int64)
 
 
 PRIME, FACTOR = 2147483647, 48271
@@ -61,9 +82,9 @@ def split_by(groups: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, li
         yield int(sorted_[a]), [c[a:b] for c in columns]
 
 
-def _rows(kind: int, groups: np.ndarray, keys: np.ndarray, docs: np.ndarray, spots: np.ndarray) -> Iterator[tuple]:
+def _rows(kind: int, groups: np.ndarray, keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, key_bytes: int) -> Iterator[tuple]:
     for bucket, (k, d, s) in split_by(groups, keys, docs, spots):
-        yield bucket, kind, k.tobytes(), d.tobytes(), s.tobytes()
+        yield bucket, kind, pack(k, key_bytes), pack(d), pack(s)
 
 
 def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -102,12 +123,19 @@ class Wish:
         return self.by_doc or self.earliest
 
 
+def short_keys(keys: np.ndarray, buckets: int, key_bytes: int, bucket: int | None = None) -> np.ndarray:
+    """What tells short keys apart: their bucket above their bytes."""
+    above = key_bucket(keys, buckets).astype(U64) if bucket is None else U64(bucket)
+    return (keys & U64((1 << 8 * key_bytes) - 1)) | (above << U64(8 * key_bytes))
+
+
 class Dealer:
     """Gathers a task's places and deals them out. Of a key that one flush alone shows to be wanted, the first place is
-    marked (by its spot's complement) and goes to the key's bucket; the others are known to be wanted."""
+    marked (by its spot's complement) and goes to the key's bucket; the others are known to be wanted. Where a chance match
+    does no harm, key_bytes keeps fewer bytes of the keys; what tells keys apart is then these and their bucket."""
 
-    def __init__(self, buckets: int, wish: Wish):
-        self.buckets, self.wish = buckets, wish
+    def __init__(self, buckets: Buckets, wish: Wish, key_bytes: int = 8):
+        self.buckets, self.wish, self.key_bytes = buckets, wish, key_bytes
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -128,13 +156,16 @@ class Dealer:
         first = np.concatenate([[True], group[1:] != group[:-1]])
         known = enough & ~first
         spots = np.where(enough & first, ~spots, spots)
-        rows = list(_rows(COMPARE, key_bucket(keys[~known], self.buckets), keys[~known], docs[~known], spots[~known]))
-        rows += _rows(KNOWN, doc_bucket(docs[known], self.buckets), keys[known], docs[known], spots[known])
+        n = self.buckets.keys
+        rows = list(_rows(COMPARE, key_bucket(keys[~known], n), keys[~known], docs[~known], spots[~known], self.key_bytes))
+        if self.key_bytes < 8:
+            keys = short_keys(keys, n, self.key_bytes)
+        rows += _rows(KNOWN, doc_bucket(docs[known], n), keys[known], docs[known], spots[known], 8)
         for at in range(0, len(rows), 512):
             yield dealt_batch(rows[at : at + 512])
 
 
-def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: int, wish: Wish) -> DataFrame:
+def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: Buckets, wish: Wish) -> DataFrame:
     """Rows of DEALT for the keys, docs and spots that places finds in df's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,23 +192,24 @@ def by_bucket(batches: Iterator[pa.RecordBatch], name: str = "bucket") -> Iterat
         yield now, rows
 
 
-def arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (
-        np.frombuffer(b"".join(r["keys"] for r in rows), U64),
-        np.frombuffer(b"".join(r["docs"] for r in rows), np.int64),
-        np.frombuffer(b"".join(r["spots"] for r in rows), np.int64),
-    )
+def arrays(rows: list[dict], key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [(unpack(r["keys"], key_bytes), unpack(r["docs"]).view(np.int64), unpack(r["spots"]).view(np.int64)) for r in rows]
+    if not parts:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def wanted(dealt: DataFrame, buckets: int, wish: Wish, with_keys: bool = False) -> DataFrame:
+def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, with_keys: bool = False, key_bytes: int = 8) -> DataFrame:
     """Rows of MARKS: the wanted places, dealt by doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_bucket(batches):
+        for bucket, rows in by_bucket(batches):
             compare = [r for r in rows if r["kind"] == COMPARE]
             found = [arrays([r for r in rows if r["kind"] == KNOWN])]
             if compare:
-                keys, docs, spots = arrays(compare)
+                keys, docs, spots = arrays(compare, key_bytes)
+                if key_bytes < 8:
+                    keys = short_keys(keys, buckets.keys, key_bytes, bucket)
                 marked = spots < 0
                 keys, docs, spots, marked = _with(keys, docs, np.where(marked, ~spots, spots), marked, wish.ordered)
                 group, n = wish.measure(keys, docs)
@@ -187,8 +219,8 @@ def wanted(dealt: DataFrame, buckets: int, wish: Wish, with_keys: bool = False)
                 found.append((keys[take], docs[take], spots[take]))
             keys, docs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
             out = [
-                (b, k.tobytes() if with_keys else None, d.tobytes(), s.tobytes())
-                for b, (k, d, s) in split_by(doc_bucket(docs, buckets), keys, docs, spots)
+                (b, pack(k) if with_keys else None, pack(d), pack(s))
+                for b, (k, d, s) in split_by(doc_bucket(docs, buckets.docs), keys, docs, spots)
             ]
             yield batch_of(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["docbucket", "keys", "docs", "spots"])
 
@@ -202,8 +234,8 @@ def _with(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, more: np.ndarra
 
 def mark_arrays(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Docs and spots of marks, sorted by doc."""
-    docs = np.frombuffer(b"".join(marks.column("docs").to_pylist()), np.int64)
-    spots = np.frombuffer(b"".join(marks.column("spots").to_pylist()), np.int64)
+    parts = [[unpack(x).view(np.int64) for x in marks.column(c).to_pylist()] for c in ("docs", "spots")]
+    docs, spots = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
     order = np.argsort(docs, kind="stable")
     return docs[order], spots[order]
 

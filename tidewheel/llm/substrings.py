@@ -120,7 +120,7 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
         raise ValueError("window must be base times a power of two")
     buckets = packed.bucket_count(df)
     texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    tag = packed.doc_bucket_column(F.col("_key"), buckets)
+    tag = packed.doc_bucket_column(F.col("_key"), buckets.docs)
 
     def first_level(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in slices(iter([batch]), "_text"):
