@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, decontaminate, line_templates, ngram_join, quality_rules, substrings, warc
+from . import bpe, chat, classifier, decontaminate, line_templates, ngram_join, pii, quality_rules, substrings, warc
 from .io import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
 
@@ -135,6 +142,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_jaccard": op6_ngram_jaccard,
