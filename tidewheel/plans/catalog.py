@@ -1,32 +1,8 @@
-"""Named queries over the star schema and the event table, each with its oracle SQL."""
+"""All named queries over the star schema and the event table, with their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import event_queries, function_queries, relational_queries, source_queries, stream_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
-def window_all_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types by their count in each day; ties go by name."""
-    daily = events(spark, sf_dir).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("cnt"))
-    rank = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("cnt"), "event_type"))
-    return daily.select(F.col("window.start").alias("win_start"), "event_type", "cnt", rank.alias("rnk")).where("rnk <= 3")
-
-
-QUERIES: dict[str, Query] = {"window_all_topn": window_all_topn}
-ORACLES: dict[str, str] = {
-    "window_all_topn": """
-        SELECT win_start, event_type, cnt, rnk FROM (
-          SELECT win_start, event_type, cnt, row_number() OVER (PARTITION BY win_start ORDER BY cnt DESC, event_type)::INTEGER AS rnk
-          FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS win_start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2))
-        WHERE rnk <= 3""",
-}
+__all__ = ["ORACLES", "QUERIES"]
