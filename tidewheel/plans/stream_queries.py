@@ -79,7 +79,10 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.select((block + ((F.col("o") % 20) * 3) % 20).alias("event_id"), F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
 
-@query("stream_interval_send")
+_SENDS = ORACLES["interval_send_eager"].replace("epoch_us(ts)", "epoch_us(ts) // 1000").replace("86400000000", "86400000")
+
+
+@query("stream_interval_send", f"SELECT user_id, sent_us AS sent_ms, value AS v FROM ({_SENDS}) WHERE sent_us <= (SELECT epoch_us(max(ts)) // 1000 FROM events)")
 def stream_interval_send(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time timers: sends that are due after the last watermark stay open."""
     rows = events_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select("user_id", "ts", F.unix_millis("ts").alias("ms"), "value")

@@ -90,6 +90,12 @@ class IntervalSend(StatefulProcessor):
         out = []
         part = _ordered(rows, self.time_ms)
         for at, v in zip(part[self.time_ms], part[self.value], strict=True):
+            if self.timer.exists() and int(at) >= (due := self.timer.get()[0]):  # due before the watermark gets there
+                if self.buffer.exists():
+                    out.append((key[0], due, self.buffer.get()[0]))
+                self.buffer.clear()
+                self.timer.clear()
+                self.handle.deleteTimer(due)
             if self.timer.exists():
                 self.buffer.update((float(v),))
                 continue
