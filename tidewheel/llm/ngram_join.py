@@ -9,12 +9,13 @@ finds them. A band's keys serve pairs whose smaller set is in the band; a set ta
 or two below that its partners may be in.
 
 A band has a few segments more than pigeons: a pair shares g of them at least. A segment that is empty in both sets makes
-no key; only a set with g empty segments or more writes keys for these too. And a set with fewer common keys (on more
-than `common` sets) than its share of g leaves them out, as it must meet each partner in a rarer one.
+no key; only a set with g empty segments or more writes keys for these too. Of the others a pair shares as many as the
+larger of the two sets' credits, g less the empty ones; so each set leaves out its most frequent keys, one fewer than its
+credit: the rarest key that the two share is still there for both.
 
-What meets in a rare key is compared pair by pair. In a common key all sets are compared to one pivot first, and then
+What meets in a key of `common` sets or fewer is compared pair by pair. In a more common key all sets are compared to one pivot first, and then
 components decide: sets of one component need no further look. Where a key still holds several, more pivots follow, in
-rounds that double their number, until there is one component or all have been pivots. So a group of near copies of any
+rounds that make them four times as many, until there is one component or all have been pivots. So a group of near copies of any
 size costs about a comparison for each member, and no link between different components is lost.
 
 Equal sets are one node from the start: a node is the 64-bit sum of its set's hashes (a chance match among n different
@@ -36,11 +37,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from . import packed
 from .io import shared_dir
 from .words import U64, Words, mix, slices, windows, words_of
 
+SLICE = 2 << 20
+#: Pairs of sets that go to Python at once; a set takes eight bytes for each shingle.
+VERIFY_ROWS = 100
+#: Sets of a common key that are compared with as many at once.
+BLOCK_SETS = 256
+
 SIZE = 5
 NODE_BITS = 40
 MASK = (1 << NODE_BITS) - 1
@@ -50,8 +59,8 @@ TABLE_BITS = 1 << 25
 
 @dataclass(frozen=True)
 class Plan:
-    ratio: float = 1.5
-    spare: float = 0.1
+    ratio: float = 1.4
+    spare: float = 0.25
     thin_cost: float = 4.0
     common: int = 16
 
@@ -76,7 +85,7 @@ def bands(plan: Plan, most: int) -> list[Band]:
         differ = (top + top * 5 // 4) // 9
         best = None
         for deleting in range(differ + 1):
-            spare = 2 + int(plan.spare * differ) + (deleting > 0)
+            spare = 3 + int(plan.spare * differ) + (deleting > 0)
             segments = differ + spare - deleting
             if segments < max(1, deleting):
                 break
@@ -104,8 +113,12 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
             values.append(windows(hashes, k)[words.bounds[short]] + U64(k))
             rows.append(short)
     value, rows_ = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((value, rows_))
-    value, rows_ = value[order], rows_[order]
+    if len(values) > 1:
+        order = np.argsort(rows_, kind="stable")
+        value, rows_ = value[order], rows_[order]
+    bounds = np.searchsorted(rows_, np.arange(len(n) + 1)).tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        value[a:b].sort()
     if len(value):
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (rows_[1:] != rows_[:-1])])
         value, rows_ = value[new], rows_[new]
@@ -118,8 +131,7 @@ def set_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, rows of the sets they are of, and notes: twice the sets' credit (common keys that may be left out, and one),
-    and which of a set's bands the key is of."""
+    """Keys, rows of the sets they are of, and notes: four times the set's credit, and which of its bands the key is of."""
     n = np.diff(bounds)
     if not len(n) or not n.max():
         return
@@ -155,7 +167,7 @@ def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan) -> Iterator[tupl
         spares = spare[np.maximum(band, 0)]
         share = spares - weak
         credit = np.where(share > 0, -(-share // np.where(deleting[np.maximum(band, 0)] > 0, 2, 1)), 0)
-        note = np.minimum(credit, 100) * 4 + below
+        note = credit * 4 + below
         emit = (count > 0) | (weak >= spares)[owner]
         yield mix(sums[emit] + salt[emit]), owner[emit], note[owner[emit]]
         less = open_[place] & ((count[place] > 1) | (weak >= spares)[r])
@@ -163,20 +175,97 @@ def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan) -> Iterator[tupl
             yield mix(sums[place[less]] - t[less] + salt[place[less]]), r[less], note[r[less]]
 
 
+def _nodes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, bounds = shingle_sets(words_of(column, lower=True))
+    return values, bounds, set_sums(values, bounds).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for part in slices(batches, "_text"):
-        values, bounds = shingle_sets(words_of(part.column("_text"), lower=True))
-        yield part, values, bounds, set_sums(values, bounds).view(np.int64)
+    for part in slices(batches, "_text", SLICE):
+        yield part, *_nodes(part.column("_text"))
+
+
+def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set, whether an even or an odd number of its hashes fall on each of a power of two of bits, no fewer than
+    twice its hashes and 256. Two sets differ in no fewer hashes than their sketches in bits, also when the longer one is folded."""
+    n = np.diff(bounds)
+    bits = np.maximum(256, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    offset = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(offset[:-1], n) + (mix(values ^ U64(0x3C6EF372)).astype(np.int64) & (np.repeat(bits, n) - 1))
+    packed_ = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(bool)).tobytes()
+    return [packed_[a // 8 : b // 8] for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles of each row."""
+    """doc_id, node, n_shingles, sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, bounds, node in _sets(batches):
-            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(node), pa.array(np.diff(bounds))], names=["doc_id", "node", "n_shingles"])
+        for part, values, bounds, node in _sets(batches):
+            columns = [part.column("_key"), pa.array(node), pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "sketch"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
 
-    return texts.mapInArrow(run, "doc_id long, node long, n_shingles long")
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer bits: bits that fall together are added without carry."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out, each once, smaller node first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("sa"), batch.column("sb")
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(left[i].as_buffer(), np.uint8), np.frombuffer(right[i].as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                ok[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80
+    once = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return once.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def across(now: DataFrame, level: int, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member of a key and one of the key's pivots of a level that have different labels and are not
+    ruled out. Members and pivots meet as packed blocks of about BLOCK_SETS sets, so a row is a pair of blocks; only what
+    is left of the pairs becomes rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (_block(batch.column(c), i) for c in ("members", "pivots"))
+                size = min(min(map(len, x[3])), min(map(len, y[3])))
+                left = np.stack([folded(s, size) for s in x[3]]).view(U64)
+                a, b = [], []
+                for node, n, label, sketch in zip(*y, strict=True):
+                    apart = np.bitwise_count(left ^ folded(sketch, size).view(U64)).sum(1, dtype=np.int64)
+                    ok = (apart <= (x[1] + n) // 9) & (x[2] != label) & (100 * np.minimum(x[1], n) >= 80 * np.maximum(x[1], n))
+                    a.append(x[0][ok])
+                    b.append(np.full(len(a[-1]), node))
+                a_, b_ = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_))], names=["a", "b"])
+
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_left") / BLOCK_SETS)).alias("block")
+    rows = now.join(nodes, "node").select("key", block, "level", F.struct("node", "n_shingles", "label", "sketch").alias("x"))
+    members = rows.groupBy("key", "block").agg(F.collect_list("x").alias("members")).drop("block")
+    pivots = rows.where(F.col("level") == level).groupBy("key", "block").agg(F.collect_list("x").alias("pivots")).drop("block")
+    return members.join(pivots, "key").select("members", "pivots").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, sizes, labels and sketches of a row's list."""
+    values = column[i].values
+    node, n, label = (values.field(k).to_numpy() for k in range(3))
+    return node, n, label, [np.frombuffer(s.as_buffer(), np.uint8) for s in values.field(3)]
 
 
 def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
@@ -280,10 +369,17 @@ class Workspace:
     def __init__(self, spark, name: str):  # noqa: ANN001
         self.spark, self.top, self.n = spark, shared_dir(spark, name), 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, batch_rows: int = 2000) -> DataFrame:
+        """batch_rows: rows that go to Python at once while the table is written."""
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(batch_rows))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -303,55 +399,52 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return labels
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow a link."""
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, node of each row; node stands for its set of shingles."""
+    """doc_id, n_shingles, component_id, node, label of each row; node stands for its set of shingles, label for its component."""
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
-    buckets = packed.bucket_count(docs)
+    n = 2 * packed.bucket_count(docs).keys
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = work.keep(profiles(texts))
-    nodes = rows.where("n_shingles > 0").select("node", "n_shingles").distinct()
-    found = shared_keys(texts, plan, buckets).join(nodes.withColumn("short", F.col("node").bitwiseAND(F.lit(MASK))), "short")
+    nodes = work.keep(rows.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"]))
+    named = nodes.select("node", "n_shingles", F.col("node").bitwiseAND(F.lit(MASK)).alias("short"))
+    found = shared_keys(texts, plan, packed.Buckets(n, 1)).join(named, "short")
     keyed = work.keep(found.select("key", "node", F.col("n_shingles").alias("n"), F.shiftright("note", 2).alias("credit"), F.col("note").bitwiseAND(F.lit(3)).alias("below")).distinct())
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_sets"), F.min("node").alias("pivot")).where("n_sets > 1")
-    rare = keyed.join(sizes.where(F.col("n_sets") <= plan.common).select("key"), "key", "left_semi")
-    common = keyed.join(sizes.where(F.col("n_sets") > plan.common), "key")
-    held = common.groupBy("node", "below").agg(F.count("*").alias("n_common"), F.first("credit").alias("credit")).where("n_common >= credit").select("node", "below")
-    common = work.keep(common.join(held, ["node", "below"], "left_semi").select("key", "node", "n", "pivot", "n_sets"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
+    # of the keys of a set in one band, the most frequent may go, as many as its credit less one
+    frequent = F.row_number().over(Window.partitionBy("node", "below").orderBy(F.desc("n_sets"), "key"))
+    left = keyed.join(sizes, "key").withColumn("rank", frequent).where(F.col("rank") >= F.col("credit")).select("key", "node", "n", "n_sets")
+    left = work.keep(left)
+    rare = left.where(F.col("n_sets") <= plan.common)
+    common = left.where(F.col("n_sets") > plan.common)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("key", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
 
     pairs = side(rare, "a").join(side(rare, "b"), "key").where("a < b")
-    # the least node of a key may have left; the least of those that stay is its first pivot
-    left = common.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("p"), F.count("*").alias("n_left"))
-    stars = common.join(left, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
-    pairs = work.keep(_sized(pairs.select("a", "na", "b", "nb").unionByName(stars)))
+    pivots = common.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("p"))
+    stars = common.join(pivots, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
+    pairs = work.keep(plausible(pairs.select("a", "na", "b", "nb").unionByName(stars), nodes))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(common.select("node")).distinct()
     sets = work.keep(sets_of(texts, wanted))
-    edges = work.keep(verified(pairs, sets))
+    edges = work.keep(verified(pairs, sets), VERIFY_ROWS)
     labels = components(edges, work)
 
-    level, unsettled = 0, True
-    while unsettled:
-        named = common.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n_left")).where("x <> y").select("key", "n_left")
-        # a member's level: 0 for few, each next one for twice as many; the last for all that are left
-        depth = F.ceil(F.log2(F.col("n_left").cast("double"))).cast("int")
-        draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        rank = F.greatest(F.lit(0), depth + F.ceil(F.log2(draw + F.lit(2.0**-31))).cast("int"))
-        active = work.keep(named.join(open_keys, "key").withColumn("level", rank).withColumn("depth", depth))
-        if active.where(F.col("depth") >= level).isEmpty():
+    # a member's level: 0 for few, each next one for four times as many, up to the depth of its key for the last
+    members = common.join(common.groupBy("key").agg(F.count("*").alias("n_left")), "key")
+    depth = F.ceil(F.log2(F.col("n_left").cast("double")) / 2).cast("int")
+    draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    level_of = F.greatest(F.lit(0), F.col("depth") + F.ceil(F.log2(draw + F.lit(2.0**-31)) / 2).cast("int"))
+    members = members.withColumn("depth", depth).withColumn("level", level_of)
+    level = 0
+    while True:
+        now = members.where(F.col("depth") >= level).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        unsettled = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        now = work.keep(now.join(unsettled, "key", "left_semi"))
+        if now.isEmpty():
             break
-        pivots = active.where(F.col("level") == level).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-        more = active.select("key", F.col("node").alias("a"), F.col("n").alias("na"), "label").join(pivots, "key").where("label <> other")
-        new = work.keep(verified(_sized(more.select("a", "na", "b", "nb")), sets))
+        members = now.drop("label")
+        new = work.keep(verified(work.keep(across(now, level, nodes), VERIFY_ROWS), sets), VERIFY_ROWS)
         level += 1
         if not new.isEmpty():
             edges = work.keep(edges.unionByName(new))
@@ -360,4 +453,34 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     label = F.when(F.col("n_shingles") > 0, F.coalesce("label", "node"))
     grouped = work.keep(rows.join(labels, "node", "left").select("doc_id", "n_shingles", "node", label.alias("label")))
     least = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "label")
+
+
+def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: the one of the smallest id (then of the least shingle set, then any of rows
+    that are equal in both). Rows without shingles all stay. Texts that no other links to are not shuffled."""
+    work = Workspace(docs.sparkSession, "near-copies")
+    rows = near_duplicates(docs, plan, key, text).where("n_shingles > 0")
+    # equal sets are put together first; of each component one set and one id of it stay
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    sets = work.keep(rows.groupBy("label", "node").agg(least.alias("first"), F.count("*").alias("n")))
+    kept = sets.groupBy("label").agg(F.min(F.struct("first", "node")).alias("x"), F.sum("n").alias("total")).where("total > 1")
+    grouped = work.keep(sets.join(kept, "label").select(F.col("node").alias("__of"), F.when(F.col("node") == F.col("x.node"), F.struct(F.lit(True).alias("stays"), F.col("first.doc_id").alias("id"))).alias("__kept")))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(grouped, "__of"))
+    names = docs.columns
+
+    def tagged(some: bool) -> DataFrame:
+        """Rows whose node may be in a group (or is in none), with the node."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, text, SLICE):
+                _, bounds, node = _nodes(part.column(text))
+                take = pa.array((in_table(bits.value, node) & (np.diff(bounds) > 0)) == some)
+                yield pa.RecordBatch.from_arrays([*part.columns, *([pa.array(node)] if some else [])], names=[*names, *["__node"] * some]).filter(take)
+
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, *([StructField("__node", LongType())] if some else [])]))
+
+    maybe = tagged(True).join(grouped, F.col("__node") == F.col("__of"), "left")
+    alone = maybe.where(F.col("__of").isNull())
+    first = maybe.where(F.col("__kept.stays") & F.col(key).cast("long").eqNullSafe(F.col("__kept.id"))).dropDuplicates(["__node"])
+    return tagged(False).unionByName(alone.select(names)).unionByName(first.select(names))
