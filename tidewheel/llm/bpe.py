@@ -6,12 +6,13 @@ its leftmost pair of least rank, the pairs' ranks come from a hash table held in
 left go out. Pieces wider than the widest matrix are merged one by one, all places of the least rank in a round.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each for itself; the
-table's other columns pass through unchanged. A name of a new column that the table has already is an error.
+table's other columns pass through unchanged; one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
@@ -19,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .words import U64, slices
 
@@ -220,11 +223,10 @@ def with_codes(df: DataFrame, fields: str, made: Callable, path: str, pattern: s
     The rank file goes to the workers as a broadcast value; it has the size of a vocabulary, whatever the data."""
     with open(path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    names = [c for c in df.columns if keep is None or c in keep]
-    kinds = df.select(*[f"`{c}`" for c in names]).schema
-    added = [x.split()[0] for x in fields.split(",")]
-    if clash := set(added) & set(names):
-        raise ValueError(f"the table already has {sorted(clash)}")
+    new = StructType.fromDDL(fields).fields
+    added = [f.name for f in new]
+    names = [c for c in df.columns if (keep is None or c in keep) and c not in added]
+    schema = StructType([*(df.schema[c] for c in names), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks.value, pattern)
@@ -233,20 +235,36 @@ def with_codes(df: DataFrame, fields: str, made: Callable, path: str, pattern: s
             columns = made(t, t.encode(texts), texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, *added])
 
-    source = df if keep is None else df.select(*[f"`{c}`" for c in dict.fromkeys([*names, text])])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields), fields])
-    return source.mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])]).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with the ids of its texts as an array of integers."""
+DIGEST_FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(t: BytePairs, codes: list[bytes], texts: list[str]) -> list[pa.Array]:
+    """The number of ids, and digests of the ids and of the bytes that they decode to."""
+    back = [t.decode(np.frombuffer(c, "<u4")) for c in codes]
+    return [
+        pa.array([len(c) // 4 for c in codes], pa.int64()),
+        pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+    ]
+
 
-    def made(t: BytePairs, codes: list[bytes], texts: list[str]) -> list[pa.Array]:
-        ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
-        flat = np.frombuffer(b"".join(codes), "<i4")
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+def id_lists(t: BytePairs, codes: list[bytes], texts: list[str]) -> list[pa.Array]:
+    """The ids as an array for each text."""
+    ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
+    flat = np.frombuffer(b"".join(codes), "<i4")
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
 
-    return with_codes(df, f"{ids} array<int>", made, path, pattern, text)
+
+def digests_and_ids(t: BytePairs, codes: list[bytes], texts: list[str]) -> list[pa.Array]:
+    return digests(t, codes, texts) + id_lists(t, codes, texts)
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """df with the ids of its texts as an array of integers."""
+    return with_codes(df, f"{ids} array<int>", id_lists, path, pattern, text)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -258,6 +276,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
         t = tokenizer(ranks.value, pattern)
         for batch in batches:
             got = [t.decode(np.array(x or [], np.int64)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.binary())], names=[*names, out])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} binary"]))
+    names = [c for c in df.columns if c != out]
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in names), StructField(out, BinaryType())]))

@@ -99,7 +99,7 @@ def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
     gain = sums - np.minimum.accumulate(sums)
     end = int(gain.argmax())
-    start = int(sums[: end + 1].argmin())
+    start = end - int(sums[end::-1].argmin())  # of equal stretches the shortest
     return start, end, int(same[start:end].sum())
 
 

@@ -89,7 +89,7 @@ def drop_recurring_lines(df: DataFrame, tree: Tree = Tree(), key: str = "doc_id"
 
     marks = packed.wanted(packed.deal(df.select(F.col(key).cast("long").alias(key), text), places, buckets, tree.wish), buckets, tree.wish)
     names = df.columns
-    dealt = df.withColumn("_docbucket", packed.doc_bucket_column(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)), buckets.docs))
+    dealt = df.withColumn("__docbucket", packed.doc_bucket_column(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)), buckets.docs))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         marked, spots = packed.mark_arrays(right)
@@ -123,4 +123,4 @@ def drop_recurring_lines(df: DataFrame, tree: Tree = Tree(), key: str = "doc_id"
     if counts:
         schema = schema.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")})
     empty = schema.limit(0).toArrow()
-    return dealt.groupBy("_docbucket").cogroup(marks.groupBy("docbucket")).applyInArrow(cut, schema.schema)
+    return dealt.groupBy("__docbucket").cogroup(marks.groupBy("docbucket")).applyInArrow(cut, schema.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .words import U64
 
 #: Places that a task gathers before it deals them out.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 DEALT = "bucket int, kind int, keys binary, docs binary, spots binary"
 DEALT_NAMES = ["bucket", "kind", "keys", "docs", "spots"]
 MARKS = "docbucket int, keys binary, docs binary, spots binary"
@@ -118,6 +118,11 @@ class Wish:
         counted = first | np.concatenate([[True], docs[1:] != docs[:-1]]) if self.by_doc else np.ones(len(keys), bool)
         return group, np.bincount(group, counted).astype(np.int64)
 
+    def at_first(self, group: np.ndarray, docs: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """Of sorted places, whether each is the first of its group, or the same place again."""
+        lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[group]
+        return (docs == docs[lead]) & (spots == spots[lead]) if self.earliest else np.arange(len(group)) == lead
+
     @property
     def ordered(self) -> bool:
         return self.by_doc or self.earliest
@@ -154,6 +159,10 @@ class Dealer:
         group, n = self.wish.measure(keys, docs)
         enough = (n >= self.wish.least)[group]
         first = np.concatenate([[True], group[1:] != group[:-1]])
+        same = self.wish.at_first(group, docs, spots)
+        if (same & ~first).any():
+            once = first | ~same
+            keys, docs, spots, enough, first = keys[once], docs[once], spots[once], enough[once], first[once]
         known = enough & ~first
         spots = np.where(enough & first, ~spots, spots)
         n = self.buckets.keys
@@ -215,7 +224,7 @@ def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, with_keys: bool = Fal
                 group, n = wish.measure(keys, docs)
                 take = ((n >= wish.least) | (np.bincount(group, marked) > 0))[group]
                 if wish.earliest:
-                    take &= np.concatenate([[False], group[1:] == group[:-1]])
+                    take &= ~wish.at_first(group, docs, spots)
                 found.append((keys[take], docs[take], spots[take]))
             keys, docs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
             out = [

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,23 +49,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
-
-    def digests(t: bpe.BytePairs, codes: list[bytes], texts: list[str]) -> list[pa.Array]:
-        back = [t.decode(np.frombuffer(c, "<u4")) for c in codes]
-        return [
-            pa.array([len(c) // 4 for c in codes], pa.int64()),
-            pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
-            pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-        ]
-
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return bpe.with_codes(table(spark, sf_dir, "documents"), fields, digests, path, pattern, keep=["doc_id"])
+    return bpe.with_codes(table(spark, sf_dir, "documents"), bpe.DIGEST_FIELDS, bpe.digests, path, pattern, keep=["doc_id"])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +64,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "label")
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
