@@ -50,11 +50,11 @@ def join_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(counts, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", "r_name", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
-@query("join_broadcast", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
+@query("join_broadcast", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a side is sent to all tasks is left to its size at run time."""
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return load(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
+    return load(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
 
 
 @query("join_asof", "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
