@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .io import give_back, small_batches
 from .words import U64, slices
 
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 NONE = np.int32(2**31 - 1)
-CACHE = 300_000
+CACHE = 100_000
 TEXT_BYTES = 1 << 20
 #: What \s stands for in the rank files' library: Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -221,6 +222,7 @@ def with_codes(df: DataFrame, fields: str, made: Callable, path: str, pattern: s
     """df's columns (or those in keep) and the fields that made(tokenizer, list of packed ids, texts) returns as arrays.
 
     The rank file goes to the workers as a broadcast value; it has the size of a vocabulary, whatever the data."""
+    small_batches(df.sparkSession)
     with open(path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
     new = StructType.fromDDL(fields).fields
@@ -234,6 +236,7 @@ def with_codes(df: DataFrame, fields: str, made: Callable, path: str, pattern: s
             texts = batch.column(text).fill_null("").to_pylist()
             columns = made(t, t.encode(texts), texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, *added])
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])]).mapInArrow(run, schema)
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .io import small_batches
+
 TURN, END = "<|turn|>", "<|end|>"
 KINDS = ("start", "regenerate", "edit", "delta", "delete")
 RENDERED = "conv_id long, part long, role string, formatted string, start long, loss_start long, loss_end long"
@@ -62,6 +64,7 @@ def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row for each final message: its formatted turn, where it starts in the conversation's formatted text, and
     which part of that text (in code points, end exclusive) the loss covers; nulls where it covers none. The rows of a
     conversation are together and in order."""
+    small_batches(events.sparkSession)
     order = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0))
     dealt = (
         events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"), order.cast("int").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

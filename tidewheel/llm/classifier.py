@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .io import give_back, small_batches
 from .words import U64, column_bytes, slices
 
+#: Text of so many bytes is turned into features at once.
+SLICE = 1 << 19
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -163,12 +167,13 @@ def calibrate(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Fits the model on labelled rows; the caller leaves out what is not to be learnt from."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key", "_label").limit(settings.max_train)
     joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             place, bounds = features(batch.column("_text"), settings)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.int64()), batch.column("_label"), lists], names=["_key", "_label", "_features"])
@@ -184,11 +189,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, predicted of each row. The weights go out as a broadcast value of 2**bits numbers, whatever the data."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, SLICE):
             got = m.score(margins(batch.column(text), m))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).cast(pa.int64()), pa.array(got), pa.array((got >= m.settings.threshold).astype(np.int32))], names=[key, "score", "predicted"]
@@ -199,11 +205,13 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 def filter_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df's rows that the model does not reject, with df's columns."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, SLICE):
             yield batch.filter(pa.array(m.score(margins(batch.column(text), m)) >= m.settings.threshold))
+        give_back()
 
     return df.mapInArrow(run, df.schema)

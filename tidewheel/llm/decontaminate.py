@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .io import small_batches
 from .words import U64, mix, slices, words_of
 
 FIELDS = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_matched long"
@@ -145,6 +146,7 @@ def blocks(benchmark: DataFrame, seeds: Seeds) -> list[pa.Table]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each text and item that it holds: where, over how many words, and how many of them agree."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def one(items: pa.Table) -> DataFrame:
@@ -167,6 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(),
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), text: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item; each row is judged in place, so nothing is shuffled."""
+    small_batches(docs.sparkSession)
     kept = docs
     for items in blocks(benchmark, seeds):
         shared = docs.sparkSession.sparkContext.broadcast(block_of(items, seeds))

@@ -1,10 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's limit of bytes that go to a Python worker at once to most, if it is larger: texts differ so
+    much in size that a limit by rows bounds no memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b") or 0) > most:
+        spark.conf.set(name, f"{most}b")
+
+
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the machine, as its worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
+from .io import small_batches
 from .words import _BASE, _UNBASE, U64, Words, _powers, lines_of, mix, per_text, slices, words_of
 
 NULL_DOC = -(1 << 63)
@@ -77,6 +78,7 @@ def _docs(column: pa.Array) -> np.ndarray:
 
 def drop_recurring_lines(df: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """df with its texts cut; counts adds n_lines (lines with a word) and n_dropped. A column n_chars is brought up to date."""
+    small_batches(df.sparkSession)
     buckets = packed.bucket_count(df)
 
     def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

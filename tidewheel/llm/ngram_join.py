@@ -41,14 +41,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import packed
-from .io import shared_dir
+from .io import give_back, shared_dir, small_batches
 from .words import U64, Words, mix, slices, windows, words_of
 
 SLICE = 2 << 20
 #: Pairs of sets that go to Python at once; a set takes eight bytes for each shingle.
 VERIFY_ROWS = 100
-#: Sets of a common key that are compared with as many at once.
-BLOCK_SETS = 256
+#: Sets of a common key that are compared with as many at once, and such rows that go to Python at once.
+BLOCK_SETS, BLOCK_ROWS = 256, 10
 
 SIZE = 5
 NODE_BITS = 40
@@ -287,6 +287,7 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
                 take = new[row]
                 yield from dealer.add(keys[take], node[row[take]] & MASK, note[take])
         yield from dealer.flush()
+        give_back()
 
     dealt = texts.mapInArrow(run, packed.DEALT)
     marks = packed.wanted(dealt, buckets, wish, with_keys=True, key_bytes=NODE_BITS // 8)
@@ -402,6 +403,7 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, node, label of each row; node stands for its set of shingles, label for its component."""
     spark = docs.sparkSession
+    small_batches(spark)
     work = Workspace(spark, "ngram-join")
     n = 2 * packed.bucket_count(docs).keys
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -444,7 +446,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
         if now.isEmpty():
             break
         members = now.drop("label")
-        new = work.keep(verified(work.keep(across(now, level, nodes), VERIFY_ROWS), sets), VERIFY_ROWS)
+        new = work.keep(verified(work.keep(across(now, level, nodes), BLOCK_ROWS), sets), VERIFY_ROWS)
         level += 1
         if not new.isEmpty():
             edges = work.keep(edges.unionByName(new))

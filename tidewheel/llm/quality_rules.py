@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .io import small_batches
 from .words import U64, Words, lines_of, mix, per_text, slices, span_hashes, windows, words_of
 
 # Phrases that mark a line as boilerplate, in lower case.
@@ -195,6 +196,7 @@ def quality_rules(df: DataFrame, rules: Rules = Rules(), key: str = "doc_id", te
                 columns.append(pa.array(cleaned, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(df.sparkSession)
     fields = FIELDS + ", cleaned string" * with_text
     names = [x.split()[0] for x in fields.split(", ")]
     return df.select(key, text).mapInArrow(run, fields)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, classifier, decontaminate, line_templates, ngram_join, pii, quality_rules, substrings, warc
 from .io import shared_dir
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +144,3 @@ QUERIES: dict[str, Query] = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-#: Oracle SQL where SQL can express the query.
-ORACLES: dict[str, str] = {}

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
+from .io import small_batches
 from .words import SLICE_BYTES, U64, Words, doubled, slices, windows, words_of
 
 NULL_DOC = -(1 << 63)
@@ -118,6 +119,7 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
     levels = [base << i for i in range(64) if base << i <= window]
     if not levels or levels[-1] != window:
         raise ValueError("window must be base times a power of two")
+    small_batches(df.sparkSession)
     buckets = packed.bucket_count(df)
     texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     tag = packed.doc_bucket_column(F.col("_key"), buckets.docs)

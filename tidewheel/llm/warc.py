@@ -25,6 +25,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import small_batches
+
 MAGIC = b"\x1f\x8b\x08"
 LONG = 1 << 24
 BLOCK = 1 << 20
@@ -91,6 +93,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z")
                     rows, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
+    small_batches(pages.sparkSession)
     pages.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.mode("error").option("lineSep", "\0").text(path)
 
 
