@@ -94,6 +94,22 @@ def test_bucket_holds_its_time(spark, name):
     assert all(r.a <= r.ts < r.b and r.ok for r in rows)
 
 
+@pytest.mark.parametrize("period", ["P1M2D", "P2MT12H", "P1Y1D"])
+def test_compound_periods_go_step_by_step(spark, period):
+    g = Granularity.of(period)
+    start, starts, n = datetime(1970, 1, 1), [], 0
+    while start < datetime(2030, 1, 1):
+        starts.append(start)
+        n += 1
+        month = n * g.months
+        start = datetime(1970 + month // 12, 1 + month % 12, 1) + timedelta(seconds=n * g.seconds)
+    times = [datetime(1970, 1, 1), datetime(1999, 12, 31, 23), datetime(2024, 2, 29, 12), datetime(2024, 3, 1), datetime(2028, 7, 4)] + starts[5:400:40]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    for r in df.select("ts", g.floor(F.col("ts")).alias("a"), g.next(g.floor(F.col("ts"))).alias("b")).collect():
+        k = max(i for i, x in enumerate(starts) if x <= r.ts)
+        assert (r.a, r.b) == (starts[k], starts[k + 1])
+
+
 def test_granularity_rules():
     hour, day = Granularity.of("HOUR"), Granularity.of("DAY")
     assert hour.is_finer_than(day) and not day.is_finer_than(hour)
@@ -233,3 +249,34 @@ def test_reloading_table():
     assert held.get() == 1 and held.get() == 1
     clock[0] = 11
     assert held.get() == 2
+
+
+def test_connector_options():
+    from tidewheel.sinks import connectors
+
+    c = connectors.ClickHouse.of({"table": "t", "host": "a, b", "batch.byte.size": "10kb", "batch.interval": "5s", "connection.user": "u"})
+    assert (c.hosts, c.batch_bytes, c.interval_seconds, c.connection, c.batching().drop_failed) == (["a", "b"], 10 << 10, 5, {"user": "u"}, True)
+    for bad in ({"table": "t"}, {"table": "t", "host": "a", "x": "1"}, {"table": "t", "host": "a", "batch.byte.size": "1000mb"}, {"table": "t", "host": "a", "batch.interval": "soon"}):
+        with pytest.raises(ValueError):
+            connectors.ClickHouse.of(bad)
+    load = connectors.StreamLoad("t", "p", ["a"], derived={"b": "from_unixtime(a)"})
+    assert load.headers(3)["columns"] == "a,b=from_unixtime(a)" and load.headers(3)["label"] == "p-3"
+    with pytest.raises(ValueError):
+        connectors.StreamLoad("t", "p", ["a"], "arrow", {"b": "a"}).headers(1)
+    side = connectors.Period(lambda now: [f"at {now}"], 10)
+    assert [side.due(t) for t in (0, 5, 10)] == [["at 0"], [], ["at 10"]]
+
+
+def test_python_functions(spark):
+    from tidewheel.functions import udfs
+
+    df = spark.createDataFrame([("x", 1.0), ("y", None), ("x", 2.0)], "k string, v double")
+    a, b = udfs.with_constant("-a"), udfs.with_constant("-b")
+    assert df.select(a(F.col("k")), b(F.col("k"))).first() == ("x-a", "x-b")
+    with pytest.raises(TypeError):
+        udfs.with_constant(3)
+    assert {r.k: r.m for r in df.groupBy("k").agg(udfs.mean(F.col("v")).alias("m")).collect()} == {"x": 1.5, "y": None}
+    udfs.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT w.place, w.word FROM VALUES ('one two') AS t(s), LATERAL words_at(s) AS w ORDER BY 1").collect()] == [(0, "one"), (1, "two")]
+    df.createOrReplaceTempView("udf_rows")
+    assert spark.sql("SELECT mean_of(v) AS m FROM udf_rows").first().m == 1.5

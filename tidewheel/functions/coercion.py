@@ -59,10 +59,14 @@ def json_row(text: Column, schema: str | StructType) -> Column:
     row = F.from_json(text, loose, {"mode": "PERMISSIVE", "allowSingleQuotes": "true", "allowUnquotedControlChars": "true", "primitivesAsString": "true"})
     is_object = F.trim(text).startswith("{")
     parsed = F.when(is_object & row.isNotNull(), row)
-    fits, fields = F.lit(True), []
-    for f in kinds.fields:
-        value = parsed[f.name]
-        typed = value if f.dataType.simpleString() == "string" else value.try_cast(f.dataType)
-        fits = fits & (value.isNull() | typed.isNotNull())
-        fields.append((f.name, typed))
-    return F.struct(*[F.when(fits, typed).alias(name) for name, typed in fields])
+
+    def typed(r: Column) -> Column:
+        fits, fields = F.lit(True), []
+        for f in kinds.fields:
+            value = r[f.name] if f.dataType.simpleString() == "string" else r[f.name].try_cast(f.dataType)
+            fits = fits & (r[f.name].isNull() | value.isNotNull())
+            fields.append((f.name, value))
+        return F.struct(*[F.when(fits, value).alias(name) for name, value in fields])
+
+    # as an element of an array the parsed row has a name, and is not parsed again for each field
+    return F.get(F.transform(F.array(parsed), typed), 0)

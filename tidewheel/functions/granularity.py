@@ -79,7 +79,7 @@ class Granularity:
             return F.date_trunc(units[self.period], ts).cast("timestamp_ntz")
         base = micros(F.lit("1970-01-05 00:00:00").cast("timestamp_ntz")) if self.origin is None and self.period.endswith("W") else F.lit(self.origin or 0).cast("long")
         if self.months and self.seconds:
-            raise ValueError("a period of months and shorter units has no fixed length; split intervals instead")
+            return self._compound(ts, base)
         if self.months:
             start = from_micros(base)
             apart = F.floor(F.months_between(ts.cast("timestamp"), start.cast("timestamp")) / self.months).cast("int") * self.months
@@ -87,8 +87,20 @@ class Granularity:
         us = micros(ts)
         return from_micros(us - F.pmod(us - base, F.lit(self.seconds * US).cast("long")))
 
+    def _compound(self, ts: Column, base: Column) -> Column:
+        """For periods of months and shorter units: the number of periods since the origin is estimated from their mean
+        length, and the last start at or before ts is taken of those near it. Months differ from their mean by less than
+        two days in all, so the estimate is off by less than the periods looked at."""
+        mean = self.months * 2_629_746 + self.seconds
+        about = F.floor((micros(ts) - base) / (mean * US))
+        near = [from_micros(micros(from_micros(base) + F.make_ym_interval(F.lit(0), ((about + i) * self.months).cast("int"))) + (about + i) * (self.seconds * US)) for i in range(-2, 3)]
+        return F.greatest(*[F.when(start <= ts, start) for start in near])
+
     def next(self, start: Column) -> Column:
-        """The end of a bucket."""
+        """The end of a bucket. For a compound period it is the start of the bucket that a time just behind it falls in."""
+        if self.months and self.seconds:
+            near = [self.floor(from_micros(micros(start) + (self.months * 2_629_746 + self.seconds + day * 86_400) * US)) for day in (-4, 0, 4)]
+            return F.least(*[F.when(x > start, x) for x in near])
         if self.kind in ("all", "none"):
             return F.lit("9999-12-31 00:00:00").cast("timestamp_ntz") if self.kind == "all" else start + F.expr("INTERVAL '0.001' SECOND")
         return start + F.make_ym_interval(F.lit(0), F.lit(self.months)) if self.months else from_micros(micros(start) + self.seconds * US)

@@ -10,12 +10,8 @@ from pyspark.sql.window import Window
 def time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[str] | None = None, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Aggregates by window [win_start, win_end) and keys. Sums and counts are combined before the shuffle."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
-    keys = keys or []
-    return df.groupBy(window.alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *keys, *[F.col(c) for c in _names(df, window, keys, aggregates)])
-
-
-def _names(df: DataFrame, window: Column, keys: list[str], aggregates: list[Column]) -> list[str]:
-    return df.groupBy(window.alias("w"), *keys).agg(*aggregates).columns[1 + len(keys) :]
+    got = df.groupBy(window.alias("w"), *(keys or [])).agg(*aggregates)
+    return got.select(F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *[c for c in got.columns if c != "w"])
 
 
 def top_n(df: DataFrame, n: int, within: list[str], order: list[Column], rank: str = "rnk") -> DataFrame:

@@ -261,7 +261,7 @@ def bitmap_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATE = """l AS (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY 1),
-  r AS (SELECT user_id, arg_max(CASE WHEN event_id % 3 <> 0 THEN value END, event_id) FILTER (WHERE true) AS v0, max(event_id) AS top FROM events WHERE event_id % 2 = 1 GROUP BY 1),
+  r AS (SELECT user_id, max(event_id) AS top FROM events WHERE event_id % 2 = 1 GROUP BY 1),
   n AS (SELECT e.user_id, e.value, e.event_type FROM events e JOIN r ON e.user_id = r.user_id AND e.event_id = r.top)"""
 
 

@@ -47,6 +47,7 @@ query("gran_duration", "SELECT make_timestamp(epoch_us(ts) - ((epoch_us(ts) - 17
     _bucketed(Granularity.of(f'{{"type": "duration", "duration": 5400000, "origin": {_ORIGIN}}}'))
 )
 query("gran_months", "SELECT time_bucket(INTERVAL 2 MONTH, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS bucket, count(*) AS cnt FROM events GROUP BY 1")(_bucketed(Granularity.of("P2M")))
+query("gran_compound")(_bucketed(Granularity.of("P1M2D")))
 query("gran_timezone", "SELECT timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', ts)))))::TIMESTAMP AS bucket, count(*) AS cnt FROM events GROUP BY 1")(
     _bucketed(Granularity.of("P1D", zone="America/New_York"))
 )
