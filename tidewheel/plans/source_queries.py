@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import latest_by_key
+from ..session import shared_dir
 from ..sinks.batched import log_lines
 from ..sources import faker, fieldgen, files
-from ..streaming.drain import shared_dir
 from ..tables import events, load
 from .registry import query
 

@@ -1,8 +1,10 @@
-"""The session settings that the library expects."""
+"""The session settings that the library expects, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +26,14 @@ def get_session(cores: int | None = None, app: str = "tidewheel") -> SparkSessio
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, or in a temporary folder of a local session without one."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
