@@ -356,3 +356,16 @@ def test_classifier_odd_rows(spark):
     none = classifier.train(frame(spark, docs), labels.where("false"))
     assert {r.score for r in classifier.score(frame(spark, docs), none).collect()} == {0.5}
     assert classifier.score(frame(spark, []), model).count() == 0
+
+
+# oracle SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, duck, name):
+    df = queries.QUERIES[name](spark, SMALL)
+    columns = sorted(df.columns)
+    relation = duck.sql(queries.ORACLES[name])
+    places = [relation.columns.index(c) for c in columns]
+    assert len(columns) == len(relation.columns)
+    assert rows_of(df, *columns) == sorted([tuple(r[i] for i in places) for r in relation.fetchall()], key=str)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import Seeds
+from .quality_rules import BOILERPLATE, CLOSING_WIDE
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+CLOSING = [".", "!", "?", ":", ";", '"', "''", ")", "]", *CLOSING_WIDE]
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -53,4 +58,45 @@ ORACLES: dict[str, str] = {
                   sum(length('<|turn|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + 1
                     + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|end|>') + 1)::BIGINT AS formatted_chars FROM c GROUP BY 1)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a""",
+    "op8_quality_rules": f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+          r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM (
+            SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t))),
+          q AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM r WHERE c > 1) GROUP BY 1),
+          l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM t)),
+          f AS (SELECT doc_id, i, line, regexp_extract_all(line, '{WORD}') AS w, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
+                  row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again, {LOWER.format('line')} AS low FROM l),
+          g AS (SELECT doc_id, len(w) AS n, again,
+                  NOT (right(w[len(w)], 1) IN ({", ".join(f"'{c}'" for c in CLOSING)}) OR (len(w) >= 8 AND len(list_filter(w, lambda x: right(x, 1) IN ('.', '!', '?'))) > 0))
+                  OR len(list_filter(w, lambda x: regexp_full_match(x, '[#*$%&|<>]+'))) >= 0.2::DOUBLE * len(w) OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) >= 0.3::DOUBLE * len(w)
+                  OR (letters >= 5 AND capitals >= 0.7::DOUBLE * letters) OR {" OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)} OR again AS fails FROM f WHERE len(w) > 0),
+          d AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost_words FROM g GROUP BY 1),
+          b AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0)::BIGINT AS lost_words
+                FROM t LEFT JOIN d USING (doc_id) LEFT JOIN q USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_words <= 50 * n_words AS kept FROM b""",
+    "op5_decontaminate": f"""
+        WITH b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_id, w) AS rid, len(w) AS n FROM (
+              SELECT DISTINCT item_id, regexp_extract_all({LOWER.format('text')}, '{WORD}') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= 8),
+          d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '{WORD}') AS w FROM documents),
+          masks AS MATERIALIZED (SELECT m, length(m) AS size, list_filter(range(0, length(m)), lambda o: substr(m, (o + 1)::INTEGER, 1) = '1') AS open FROM (
+              SELECT unnest([{", ".join(f"'{m}'" for m in Seeds().masks)}]) AS m UNION SELECT repeat('1', n::INTEGER) FROM b WHERE n < 10)),
+          bs AS (SELECT rid, m, i, array_to_string(list_transform(open, lambda o: w[i + o + 1]), ' ') AS s FROM (
+              SELECT rid, w, m, open, unnest(range(0, n - size + 1)) AS i FROM b JOIN masks ON size = least(n, 10))),
+          ds AS (SELECT doc_id, m, i, array_to_string(list_transform(open, lambda o: w[i + o + 1]), ' ') AS s FROM (
+              SELECT doc_id, w, m, open, unnest(range(0, len(w) - size + 1)) AS i FROM d JOIN masks ON size <= len(w))),
+          hits AS MATERIALIZED (SELECT DISTINCT doc_id, rid, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.s = bs.s),
+          v AS (SELECT doc_id, rid, shift, n, item_id, greatest(0, -shift) AS low, k, dw[k + shift + 1] = bw[k + 1] AS same FROM (
+              SELECT h.*, b.n, b.item_id, d.w AS dw, b.w AS bw, unnest(range(greatest(0, -shift), least(b.n, len(d.w) - shift))) AS k FROM hits h JOIN b USING (rid) JOIN d USING (doc_id))),
+          c AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -4 END) OVER (PARTITION BY doc_id, rid, shift ORDER BY k) AS t FROM v),
+          g AS (SELECT *, t - least(0, min(t) OVER (PARTITION BY doc_id, rid, shift ORDER BY k)) AS gain FROM c),
+          e AS (SELECT doc_id, rid, shift, arg_min(k + 1, struct_pack(a := -gain, b := k)) AS last FROM g GROUP BY ALL),
+          f AS (SELECT g.doc_id, g.rid, g.shift, any_value(n) AS n, any_value(item_id) AS item_id, last,
+                  greatest(arg_max(k + 1, struct_pack(a := -t, b := k)) FILTER (WHERE k + 1 <= last AND t <= 0), CASE WHEN min(t) FILTER (WHERE k + 1 <= last) > 0 THEN min(low) END, CASE WHEN min(t) FILTER (WHERE k + 1 <= last) IS NULL THEN min(low) END) AS first
+                FROM g JOIN e USING (doc_id, rid, shift) GROUP BY ALL),
+          o AS (SELECT f.doc_id, f.item_id, f.rid, f.shift, f.n, first + f.shift AS doc_word, first AS item_word, last - first AS n_words, count(*) FILTER (WHERE same) AS n_matched
+                FROM f JOIN v ON v.doc_id = f.doc_id AND v.rid = f.rid AND v.shift = f.shift AND v.k >= first AND v.k < last GROUP BY ALL),
+          p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rid ORDER BY n_matched DESC, shift) AS r FROM o WHERE n_matched >= least(13, ceil(0.8 * n)))
+        SELECT doc_id, item_id, doc_word, item_word, n_words, n_matched FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, doc_word, item_word, n_words DESC) AS q FROM p WHERE r = 1) WHERE q = 1""",
 }
