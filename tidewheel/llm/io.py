@@ -3,30 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+import re
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder named in spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder
-    is set for this session first; a cluster has to name a folder that all its machines share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["give_back", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lowers the session's limit of bytes that go to a Python worker at once to most, if it is larger: texts differ so
     much in size that a limit by rows bounds no memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("b") or 0) > most:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    limit = int(number) << 10 * " kmgtp".index(unit or " ")
+    if limit <= 0 or limit > most:
         spark.conf.set(name, f"{most}b")
 
 

@@ -290,15 +290,8 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
         give_back()
 
     dealt = texts.mapInArrow(run, packed.DEALT)
-    marks = packed.wanted(dealt, buckets, wish, with_keys=True, key_bytes=NODE_BITS // 8)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, d, s in zip(*(batch.column(c).to_pylist() for c in ("keys", "docs", "spots")), strict=True):
-                keys, docs, spots = packed.unpack(k).view(np.int64), packed.unpack(d).view(np.int64), packed.unpack(s).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs), pa.array(spots.astype(np.int32))], names=["key", "short", "note"])
-
-    return marks.mapInArrow(rows, "key long, short long, note int")
+    places = packed.wanted(dealt, buckets, wish, each=True, key_bytes=NODE_BITS // 8)
+    return places.select("key", F.col("doc").alias("short"), F.col("spot").cast("int").alias("note"))
 
 
 def bit_table(values: DataFrame, column: str) -> np.ndarray:

@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .io import give_back
 from .words import U64
 
 #: Places that a task gathers before it deals them out.
 FLUSH = 1 << 18
 DEALT = "bucket int, kind int, keys binary, docs binary, spots binary"
 DEALT_NAMES = ["bucket", "kind", "keys", "docs", "spots"]
-MARKS = "docbucket int, keys binary, docs binary, spots binary"
+MARKS = "docbucket int, docs binary, spots binary"
 
 #: Kinds of rows: places to be compared, and places that are known to be wanted.
 COMPARE, KNOWN = 0, 1
@@ -208,8 +209,11 @@ def arrays(rows: list[dict], key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, with_keys: bool = False, key_bytes: int = 8) -> DataFrame:
-    """Rows of MARKS: the wanted places, dealt by doc."""
+PLACES = "key long, doc long, spot long"
+
+
+def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, each: bool = False, key_bytes: int = 8) -> DataFrame:
+    """Rows of MARKS: the wanted places, dealt by doc. each: rows of PLACES instead, one for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
@@ -227,13 +231,16 @@ def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, with_keys: bool = Fal
                     take &= ~wish.at_first(group, docs, spots)
                 found.append((keys[take], docs[take], spots[take]))
             keys, docs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
-            out = [
-                (b, pack(k) if with_keys else None, pack(d), pack(s))
-                for b, (k, d, s) in split_by(doc_bucket(docs, buckets.docs), keys, docs, spots)
-            ]
-            yield batch_of(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["docbucket", "keys", "docs", "spots"])
-
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
+            if each:
+                for at in range(0, len(keys), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(docs[part]), pa.array(spots[part])], names=["key", "doc", "spot"])
+                continue
+            out = [(b, pack(d), pack(s)) for b, (d, s) in split_by(doc_bucket(docs, buckets.docs), docs, spots)]
+            yield batch_of(out, [pa.int32(), pa.binary(), pa.binary()], ["docbucket", "docs", "spots"])
+        give_back()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES if each else MARKS)
 
 
 def _with(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, more: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:

@@ -142,12 +142,12 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
             docs, spots = packed.mark_arrays(right)
             for _, placed in placed_slices(left, window):
                 at = placed.where(*packed.own(docs, spots, placed.docs), exact=False)
-                if not len(at):
-                    continue
                 names = names_of(placed.words, before, base)
                 repeated = np.unique(names[at[at < len(names)]])
+                if not len(repeated):
+                    continue
                 least = sliding(names, window - before + 1, np.minimum)
-                near = np.minimum(np.searchsorted(repeated, least), max(len(repeated) - 1, 0))
+                near = np.minimum(np.searchsorted(repeated, least), len(repeated) - 1)
                 start = placed.start.copy()
                 start[len(least) :] = False
                 start[: len(least)] &= repeated[near] == least
