@@ -15,7 +15,7 @@ credit: the rarest key that the two share is still there for both.
 
 What meets in a key of `common` sets or fewer is compared pair by pair. In a more common key all sets are compared to one pivot first, and then
 components decide: sets of one component need no further look. Where a key still holds several, more pivots follow, in
-rounds that make them four times as many, until there is one component or all have been pivots. So a group of near copies of any
+rounds that make them sixteen times as many, until there is one component or all have been pivots. So a group of near copies of any
 size costs about a comparison for each member, and no link between different components is lost.
 
 Equal sets are one node from the start: a node is the 64-bit sum of its set's hashes (a chance match among n different
@@ -425,11 +425,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     edges = work.keep(verified(pairs, sets), VERIFY_ROWS)
     labels = components(edges, work)
 
-    # a member's level: 0 for few, each next one for four times as many, up to the depth of its key for the last
+    # a member's level: 0 for few, each next one for sixteen times as many, up to the depth of its key for the last
     members = common.join(common.groupBy("key").agg(F.count("*").alias("n_left")), "key")
-    depth = F.ceil(F.log2(F.col("n_left").cast("double")) / 2).cast("int")
+    depth = F.ceil(F.log2(F.col("n_left").cast("double")) / 4).cast("int")
     draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    level_of = F.greatest(F.lit(0), F.col("depth") + F.ceil(F.log2(draw + F.lit(2.0**-31)) / 2).cast("int"))
+    level_of = F.greatest(F.lit(0), F.col("depth") + F.ceil(F.log2(draw + F.lit(2.0**-31)) / 4).cast("int"))
     members = members.withColumn("depth", depth).withColumn("level", level_of)
     level = 0
     while True:
