@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StructType, TimestampNTZType, TimestampType
 
 # Words for generated names.
 HEROES = ("Amber Comet", "Captain Lattice", "Doctor Tundra", "Iron Sparrow", "Lady Meridian", "Night Ledger", "The Archivist")
