@@ -3,8 +3,10 @@
 A seed is a fixed mask over a window of words; words at its open positions do not count, so a window still matches if
 the words there were changed. Hashes of the masked windows of the benchmark are looked up by those of every window of the
 corpus. A hit fixes how a text and an item lie against each other; along that line words are compared one by one, and the
-best stretch is sought in which four words in five or more agree. The text holds the item if the agreeing words of the
-stretch are min_words or more, or four fifths of a shorter item.
+stretch of best score (penalty) is taken. The text holds the item if the agreeing words of the stretch are min_words or
+more, or four fifths of a shorter item. The best score may lie in a part of a stretch that is long enough; with
+any_stretch, as the queries set it, the text also holds the item if any stretch in which four words in five or more agree
+has as many agreeing words, and then the one of most agreeing words is given.
 
 The benchmark goes out in blocks of at most block_words words, so that what a task holds is bounded; a benchmark of more
 words takes more passes over the corpus.
@@ -37,6 +39,7 @@ class Seeds:
     min_words: int = 13
     penalty: int = 4
     block_words: int = 500_000
+    any_stretch: bool = False
 
     @property
     def span(self) -> int:
@@ -104,6 +107,16 @@ def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def widest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and agreeing words of the stretch of most agreeing words among those in which four in five or more agree."""
+    sums, count = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(same, 1, -4), same))
+    # of each end, the first start from which the sum does not fall
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    end = int((count - count[starts]).argmax())
+    inside = np.flatnonzero(same[starts[end] : end]) + int(starts[end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
 def overlaps(column: pa.Array, block: Block, seeds: Seeds) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Row, item, word of the text, word of the item, words and agreeing words of each pair that is found."""
     words = words_of(column, lower=True)
@@ -127,8 +140,11 @@ def overlaps(column: pa.Array, block: Block, seeds: Seeds) -> Iterator[tuple[int
         a, b = max(0, low - shift), min(size, high - shift)
         if b <= a:
             continue
-        start, end, agree = best_stretch(hashes[shift + a : shift + b] == block.hashes[base + a : base + b], seeds.penalty)
-        if agree >= min(seeds.min_words, -(-4 * size // 5)) and agree > best.get((row, item), (0, 0, 0, 0))[3]:
+        same, enough = hashes[shift + a : shift + b] == block.hashes[base + a : base + b], min(seeds.min_words, -(-4 * size // 5))
+        start, end, agree = best_stretch(same, seeds.penalty)
+        if agree < enough and seeds.any_stretch:
+            start, end, agree = widest_stretch(same)
+        if agree >= enough and agree > best.get((row, item), (0, 0, 0, 0))[3]:
             best[row, item] = (shift + a + start - low, a + start, end - start, agree)
     for (row, item), found in best.items():
         yield (row, item, *found)
