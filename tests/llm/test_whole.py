@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidewheel.llm import decontaminate, queries
+from tidewheel.llm import decontaminate, ngram_join, queries
 
 # 5
 
@@ -38,3 +38,15 @@ def test_items_with_one_changed_word_are_found(spark, tmp_path):
     found = {r.doc_id: r for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
     assert set(found) == hit and {1503, 1504, 1510, 1511, 1603, 1612, 1704, 1712} <= hit
     assert all(r.n_matched >= min(13, -(-4 * r.item_id // 5)) and 5 * r.n_matched >= 4 * r.n_words for r in found.values())
+
+
+# 6
+
+
+def test_bit_table_takes_multiples_of_its_size(spark):
+    size = ngram_join.TABLE_BITS
+    values = [size, -size, 3 * size + 1, size - 1, 5 * size + 32768, 32767]
+    bits = ngram_join.bit_table(spark.createDataFrame([(v,) for v in values], "node long"), "node")
+    places = sorted({v % size for v in values})
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
+    assert ngram_join.in_table(bits, np.array([0, 1, 2, size - 1, size - 2, 32767, 32768, 32769])).tolist() == [True, True, False, True, False, True, True, False]

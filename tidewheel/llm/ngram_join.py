@@ -295,8 +295,9 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
 
 
 def bit_table(values: DataFrame, column: str) -> np.ndarray:
-    """A table of TABLE_BITS bits in which those of the column's values are set. Its size does not depend on the data."""
-    at = F.pmod(F.col(column), F.lit(TABLE_BITS).cast("long"))
+    """A table of TABLE_BITS bits in which those of the column's values are set. Its size does not depend on the data.
+    Bucket 1 of Spark's bitmaps starts at the value 1, so places go in one higher."""
+    at = F.pmod(F.col(column), F.lit(TABLE_BITS).cast("long")) + 1
     rows = values.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros(TABLE_BITS // 8, np.uint8)
     for r in rows:
@@ -307,9 +308,8 @@ def bit_table(values: DataFrame, column: str) -> np.ndarray:
 
 
 def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether the values' bits are set; bucket 1 of Spark's bitmaps starts at the value 1, so its values lie one lower."""
+    """Whether the values' bits are set."""
     at = np.mod(values, TABLE_BITS)
-    at = np.where(at == 0, 0, at - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
