@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidewheel.llm import decontaminate, ngram_join, queries
+from tidewheel.llm import decontaminate, line_templates, ngram_join, queries
 
 # 5
 
@@ -50,3 +50,18 @@ def test_bit_table_takes_multiples_of_its_size(spark):
     places = sorted({v % size for v in values})
     assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
     assert ngram_join.in_table(bits, np.array([0, 1, 2, size - 1, size - 2, 32767, 32768, 32769])).tolist() == [True, True, False, True, False, True, True, False]
+
+
+# 7
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    menu = "All rights are reserved by us"
+    docs = [(i, f"{menu}\nown line {'abcdefghijkl'[i]} here") for i in range(12)]
+    shared = [(None, f"clean {w} alone\n{menu}\nlast {w} word") for w in ("red", "green", "blue")] + [(None, f"{menu}\nclean again"), (None, "one\ntwo words\nthree words here"), (5, "another clean text\nof two lines")]
+    cut = line_templates.drop_recurring_lines(spark.createDataFrame(docs + shared, "doc_id long, text string"), counts=True).collect()
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in cut)
+    kept = [t for *_, t in got]
+    assert sum(t.count(menu) for t in kept) == 1 and any(menu in t for none, _, t in got if not none)
+    assert sorted("\n".join(x for x in t.split("\n") if x != menu) for t in kept) == sorted("\n".join(x for x in t.split("\n") if x != menu) for _, t in docs + shared)
+    assert sum(r.n_dropped for r in cut) == 15

@@ -7,12 +7,17 @@ recurs if its lines are in min_docs documents or more. Lines of recurring templa
 template, by document and place, stays if keep_first is set.
 
 Defined results: words are compared in lower case (A to Z). Lines with fewer than min_words words stay. Null and empty
-texts stay as they are. Rows with one id count as one document, with all their lines; a null id is an id before all
-others. A text from which every line goes is empty. Lines keep their order; equal lines are judged alike.
+texts stay as they are. Rows with one id count as one document; a null id is an id before all others. Lines of rows that
+differ in text are told apart, whatever their ids; rows equal in id and text are cut alike. If several rows of an id could
+keep the first line of a template, one of them does. A text from which every line goes is empty. Lines keep their order.
+
+A line's place is a 62-bit hash of its row's text and id and its number: among n lines a chance match has the probability
+n * n / 2**63.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +28,11 @@ from pyspark.sql import functions as F
 
 from . import packed
 from .io import small_batches
-from .words import _BASE, _UNBASE, U64, Words, _powers, lines_of, mix, per_text, slices, words_of
+from .words import _BASE, _UNBASE, U64, Words, _powers, column_bytes, lines_of, mix, per_text, slices, words_of
 
 NULL_DOC = -(1 << 63)
+#: In a spot, above the hash of the place: the row has a line of the same template before it.
+AGAIN = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,16 @@ def _docs(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
 
 
+def line_places(column: pa.Array, docs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash below AGAIN for each line of the texts: of the text, its id and the line's number."""
+    offsets, data = column_bytes(column)
+    texts = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    rows = mix(np.frombuffer(b"".join(texts), U64) + docs.view(U64) * U64(0x9E3779B97F4A7C15))
+    row = np.repeat(np.arange(len(docs)), np.diff(bounds))
+    number = np.arange(len(row)) - bounds[row]
+    return (mix(rows[row] + number.astype(U64) * U64(0xA0761D6478BD642F)) >> U64(2)).view(np.int64)
+
+
 def drop_recurring_lines(df: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """df with its texts cut; counts adds n_lines (lines with a word) and n_dropped. A column n_chars is brought up to date."""
     small_batches(df.sparkSession)
@@ -86,31 +103,28 @@ def drop_recurring_lines(df: DataFrame, tree: Tree = Tree(), key: str = "doc_id"
             words = words_of(part.column(text), lower=True)
             keys, line = line_keys(words, tree)
             bounds = lines_of(words)[2]
-            row = np.searchsorted(bounds, line, "right") - 1
-            yield keys, _docs(part.column(key))[row], line - bounds[row]
+            row, docs = np.searchsorted(bounds, line, "right") - 1, _docs(part.column(key))
+            # a row's lines of one template lie in their order, the first of them before the others
+            again = np.ones(len(keys), bool)
+            again[np.unique(mix(keys + row.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]] = False
+            yield keys, docs[row], line_places(part.column(text), docs, bounds)[line] + again * AGAIN
 
     marks = packed.wanted(packed.deal(df.select(F.col(key).cast("long").alias(key), text), places, buckets, tree.wish), buckets, tree.wish)
     names = df.columns
     dealt = df.withColumn("__docbucket", packed.doc_bucket_column(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)), buckets.docs))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        marked, spots = packed.mark_arrays(right)
-        order = np.lexsort((spots, marked))
-        marked, spots = marked[order], spots[order]
+        marked = np.unique(packed.mark_arrays(right)[1] & (AGAIN - 1))
         out = []
         for part in slices(iter(left.to_batches()), text):
             words = words_of(part.column(text))
             starts, ends, bounds = lines_of(words)
             filled = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
-            docs = _docs(part.column(key))
-            a, b = np.searchsorted(marked, docs, "left"), np.searchsorted(marked, docs, "right")
-            texts, dropped = part.column(text).to_pylist(), np.zeros(len(docs), np.int64)
-            for i in np.flatnonzero(b > a):
-                if texts[i]:
-                    lines = texts[i].split("\n")
-                    gone = set(spots[a[i] : b[i]].tolist())
-                    dropped[i] = sum(k in gone for k in range(len(lines)))
-                    texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+            gone = np.isin(line_places(part.column(text), _docs(part.column(key)), bounds), marked)
+            texts, dropped = part.column(text).to_pylist(), per_text(gone, bounds)
+            for i in np.flatnonzero(dropped):
+                stays = ~gone[bounds[i] : bounds[i + 1]]
+                texts[i] = "\n".join(x for x, y in zip(texts[i].split("\n"), stays, strict=True) if y)
             columns = {n: part.column(n) for n in names}
             columns[text] = pa.array(texts, pa.string())
             if "n_chars" in columns:
