@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates; the first line of each stays, and so do all documents."""
-    return line_templates.drop_recurring_lines(docs)
+    """Drops the lines of recurring templates, lines of one word too; the first line of each stays, and so do all documents."""
+    return line_templates.drop_recurring_lines(docs, line_templates.Tree(short_lines=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from tidewheel.llm import decontaminate, line_templates, ngram_join, queries
 
 # 5
@@ -65,3 +66,10 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert sum(t.count(menu) for t in kept) == 1 and any(menu in t for none, _, t in got if not none)
     assert sorted("\n".join(x for x in t.split("\n") if x != menu) for t in kept) == sorted("\n".join(x for x in t.split("\n") if x != menu) for _, t in docs + shared)
     assert sum(r.n_dropped for r in cut) == 15
+
+
+def test_pipeline_drops_recurring_lines_of_one_word(spark):
+    letters = "abcdefghijkl"
+    docs = [(i, f"Menu\nown line {c} here\n2024\n{100 + i}\n{c * 3}") for i, c in enumerate(letters)] + [(50, "rare\n\n7"), (51, "rare\n\n8")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert got == {i: t if i in (0, 50, 51) else t.replace("Menu\n", "").replace("2024\n", "") for i, t in docs}

@@ -6,8 +6,8 @@ line with one field left open, so that lines of one shape with another name or p
 recurs if its lines are in min_docs documents or more. Lines of recurring templates are dropped, but the first line of a
 template, by document and place, stays if keep_first is set.
 
-Defined results: words are compared in lower case (A to Z). Lines with fewer than min_words words stay. Null and empty
-texts stay as they are. Rows with one id count as one document; a null id is an id before all others. Lines of rows that
+Defined results: words are compared in lower case (A to Z). Lines with fewer than min_words words stay, but with
+short_lines they are templates as they stand, digits and all. Null and empty texts stay as they are. Rows with one id count as one document; a null id is an id before all others. Lines of rows that
 differ in text are told apart, whatever their ids; rows equal in id and text are cut alike. If several rows of an id could
 keep the first line of a template, one of them does. A text from which every line goes is empty. Lines keep their order.
 
@@ -46,20 +46,29 @@ class Tree:
     min_words: int = 2
     min_docs: int = 10
     keep_first: bool = True
+    short_lines: bool = False
 
     @property
     def wish(self) -> packed.Wish:
         return packed.Wish(self.min_docs, by_doc=True, earliest=self.keep_first)
 
 
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def line_keys(words: Words, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Keys of templates, and which line of the slice each belongs to."""
     starts, ends, _ = lines_of(words)
     first, last = np.searchsorted(words.start, starts), np.searchsorted(words.start, ends)
-    line = np.flatnonzero(last - first >= max(1, tree.min_words))
+    line = np.flatnonzero(last - first >= (1 if tree.short_lines else max(1, tree.min_words)))
     first, n = first[line], (last - first)[line]
     digit = np.concatenate([[0], np.cumsum((words.data >= 48) & (words.data <= 57))])
-    token = np.where(digit[words.end] > digit[words.start], U64(0x5D1F), words.hashes())
+    variable = digit[words.end] > digit[words.start]
+    short = n < tree.min_words
+    variable[np.repeat(first[short], n[short]) + _counted(n[short])] = False
+    token = np.where(variable, U64(0x5D1F), words.hashes())
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(token * _powers(_BASE, len(token)), dtype=U64)])
     unbase = _powers(_UNBASE, len(token) + 1)
 
