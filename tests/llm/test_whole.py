@@ -73,3 +73,56 @@ def test_pipeline_drops_recurring_lines_of_one_word(spark):
     docs = [(i, f"Menu\nown line {c} here\n2024\n{100 + i}\n{c * 3}") for i, c in enumerate(letters)] + [(50, "rare\n\n7"), (51, "rare\n\n8")]
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
     assert got == {i: t if i in (0, 50, 51) else t.replace("Menu\n", "").replace("2024\n", "") for i, t in docs}
+
+
+def held_items(texts, items, seeds=decontaminate.Seeds(any_stretch=True)):
+    """Rows, items and what overlaps says of them, without Spark."""
+    block = decontaminate.block_of(pa.table({"item_id": pa.array(range(len(items)), pa.int64()), "text": pa.array(items, pa.string())}), seeds)
+    return list(decontaminate.overlaps(pa.array(texts, pa.string()), block, seeds))
+
+
+def test_repeated_words_cost_no_more_room():
+    import resource
+    import time
+
+    start, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert held_items(["same " * 1_000_000], ["same " * 100]) == [(0, 0, 0, 0, 100, 100)]
+    assert held_items(["same " * 300_000], ["same " * 60 + "other " + "same " * 39]) == [(0, 0, 0, 0, 100, 99)]
+    got = held_items(["one two " * 100_000 + "three"], ["two one " * 30])
+    assert got == [(0, 0, 1, 0, 60, 60)]
+    assert time.time() - start < 60 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 500_000  # in kB
+
+
+def test_lines_against_all_places():
+    rng = random.Random(23)
+    for _ in range(150):
+        items = [" ".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(3)]
+        texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(4)]
+        seeds = decontaminate.Seeds(any_stretch=True)
+        got = {(r, i): n for r, i, *_, n in held_items(texts, items, seeds)}
+        want = {}
+        for r, t in enumerate(texts):
+            for i, x in enumerate(items):
+                w, b = t.split(), x.split()
+                masks = list(seeds.masks) if len(b) >= 10 else ["1" * len(b)] if len(b) >= 8 else []
+                for shift in range(-len(b), len(w)):
+                    same = [0 <= k + shift < len(w) and b[k] == w[k + shift] for k in range(len(b))]
+                    if not any(all(same[s + o] for o, c in enumerate(m) if c == "1") and all(0 <= s + o + shift < len(w) for o in range(len(m))) for m in masks for s in range(len(b) - len(m) + 1)):
+                        continue
+                    best = plain_best(same)
+                    enough = min(13, -(-4 * len(b) // 5))
+                    n = best if best >= enough else most_agreeing(same)
+                    if n >= enough:
+                        want[r, i] = max(want.get((r, i), 0), n)
+        assert got == want
+
+
+def plain_best(same):
+    """Agreeing words of the best-scoring stretch; of equal ones the first end, then the shortest."""
+    best, out = 0, 0
+    for j in range(len(same) + 1):
+        for i in range(j, -1, -1):
+            score = sum(1 if x else -4 for x in same[i:j])
+            if score > best:
+                best, out = score, sum(same[i:j])
+    return out
