@@ -10,7 +10,8 @@ end in. It holds one record and one block of the file at a time.
 
 Defined results: a null payload is empty; a null page id is written as an empty header and read as null, and a null URL
 as one made from the page id; rows with equal id and payload are all of the same type; an empty table gives files
-without a response; bytes that are no member are skipped, as are members that break off or hold no WARC record.
+without a response; bytes that are no member are skipped, as are members that break off or hold no WARC record. Headers
+and payloads of any length are read. Columns besides id, URL and html play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,8 +138,6 @@ def decode_member(blocks: Blocks, at: int) -> tuple[dict[str, str] | None, bytes
                     headers = parse_headers(bytes(out[:body]))
                     if headers is None or "WARC-Type" not in headers or not headers.get("Content-Length", "").isdigit():
                         return None, b"", at + 1
-                elif len(out) > BLOCK:
-                    return None, b"", at + 1
     except zlib.error:
         return None, b"", at + 1
     if headers is None:
