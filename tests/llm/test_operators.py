@@ -86,9 +86,10 @@ def test_warc_odd_pages_and_splits(spark, split):
 
 
 def test_warc_skips_what_is_no_record(spark, tmp_path):
+    wide = warc.member(warc.record_bytes("response", {"WARC-Target-URI": "".join(map(str, range(400_000)))}, b"wide"))
     good = warc.member(warc.record_bytes("response", {"WARC-Record-ID": "<a>"}, b"body"))
-    (tmp_path / "a.warc.gz").write_bytes(b"\x1f\x8b\x08junk" + good + zlib.compress(b"x") + warc.member(b"no record") + good + good[:-9])
-    assert [bytes(r.payload) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()] == [b"body", b"body"]
+    (tmp_path / "a.warc.gz").write_bytes(b"\x1f\x8b\x08junk" + good + zlib.compress(b"x") + warc.member(b"no record") + good + wide + good[:-9])
+    assert [bytes(r.payload) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()] == [b"body", b"body", b"wide"]
     (tmp_path / "a.warc.gz").write_bytes(b"")
     assert warc.read_warc(spark, f"file://{tmp_path}").count() == 0
 
@@ -209,7 +210,7 @@ def test_decontamination_query(spark):
 # 6
 
 
-@pytest.mark.parametrize("plan", [ngram_join.Plan(), ngram_join.Plan(common=2), ngram_join.Plan(thin_cost=200, common=3, spare=0.1, ratio=1.7)])
+@pytest.mark.parametrize("plan", [ngram_join.Plan(), ngram_join.Plan(thin_cost=200, spare=0.1, ratio=1.7), ngram_join.Plan(node_bits=5)])
 def test_jaccard(spark, plan):
     docs = made_docs(8)
     assert rows_of(ngram_join.near_duplicates(frame(spark, docs).withColumn("node", F.lit(1)), plan), "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
@@ -219,7 +220,7 @@ def test_jaccard_dense_group(spark):
     rng = random.Random(9)
     base = " ".join(f"{rng.choice('abcdef')}{i}" for i in range(100))
     docs = [(i, changed(rng, base, 0.03)) for i in range(300)]
-    assert rows_of(ngram_join.near_duplicates(frame(spark, docs), ngram_join.Plan(common=4)), "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
+    assert rows_of(ngram_join.near_duplicates(frame(spark, docs), ngram_join.Plan()), "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
 
 
 def test_jaccard_query_and_filter(spark):
@@ -254,11 +255,13 @@ def test_line_templates(spark):
         own = [f"own {rng.random()} text of {i} " + " ".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(3)]
         named = f"Posted by user {i} in forum {rng.choice(['a', 'b', 'long name'])} today at noon"
         open_ = f"All pages are kept and all {rng.choice(['things', 'words'])} are reserved by them"
-        docs.append((i, "\n".join(rng.sample([*own, named, open_, *lines[1:3], rng.choice(lines)], 6))))
+        long = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz") + (" of one" if i % 8 == 0 else f" of {own[0][:9]}")
+        docs.append((i, "\n".join(rng.sample([*own, named, open_, long, *lines[1:3], rng.choice(lines)], 7))))
     docs += [(100 + i, t) for i, t in enumerate(ODD)] + [docs[0], docs[0], (None, docs[1][1])]
-    df = frame(spark, docs).withColumn("n_chars", F.length("text")).withColumn("__docbucket", F.lit(0))
+    df = frame(spark, docs).withColumn("n_chars", F.length("text")).withColumn("__docbucket", F.lit(77)).withColumn("is_text", F.lit("x"))
     for k in (2, 10, 30):
-        cut = line_templates.drop_recurring_lines(df.drop("__docbucket"), line_templates.Tree(min_docs=k))
+        cut = line_templates.drop_recurring_lines(df, line_templates.Tree(min_docs=k))
+        assert cut.columns == df.columns and {(r.__getitem__("__docbucket"), r.is_text) for r in cut.select("__docbucket", "is_text").collect()} == {(77, "x")}
         assert rows_of(cut, "doc_id", "text") == sorted(brute.drop_lines(docs, k), key=str)
         assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut.collect())
     assert line_templates.drop_recurring_lines(frame(spark, [])).count() == 0

@@ -8,8 +8,10 @@ Events, by kind: "start" opens a message with its text, also where one with the
 kinds, and nulls, change nothing. A delta, edit or regeneration without a start opens the message.
 
 Defined results: a null text or role is empty; null conversations form one conversation; null message numbers come
-first; events that are equal in conversation, message and sequence go by kind (start first), role and text. An empty
-table gives no rows. A conversation whose messages are all deleted gives no rows.
+first; events that are equal in conversation, message and sequence go by kind (start first), role and text, and repeated
+events count as often as they stand there. An empty table gives no rows. A conversation whose messages are all deleted
+gives no rows. Columns besides those named play no part. Of finished messages with one number the first is that of the
+least role, then text; equal ones are all kept.
 
 A formatted turn is TURN, the role, a newline, the text, END and a newline. Inside roles and texts each "<", any number
 of backslashes and "|" get one backslash more, so that no control string stands there; reading takes it away again. In a
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .io import small_batches
 
@@ -56,20 +59,33 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def rows_as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Events of a table that has a finished message in each row."""
-    return turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), "role", "text")
-
-
-def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row for each final message: its formatted turn, where it starts in the conversation's formatted text, and
+    """The log that would have led to a table with a finished message in each row: a message starts with the first half of
+    its text, a draft is streamed and thrown away by a regeneration, and both halves are streamed again; a message of
+    another role than the assistant's is edited to its text at last. Messages are numbered anew in each conversation, so
+    rows with one number stay apart. The log is dealt by conversation already: give render dealt=True."""
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), role.alias("role"), text.alias("text")).repartition("conv_id")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    said = [("start", first), ("delta", F.lit("(draft)")), ("regenerate", F.lit(None)), ("delta", first), ("delta", rest)]
+    steps = [F.struct(F.lit(n).cast("long").alias("seq"), F.lit(kind).alias("kind"), what.cast("string").alias("text")) for n, (kind, what) in enumerate(said)]
+    edit = F.struct(F.lit(len(said)).cast("long").alias("seq"), F.lit("edit").alias("kind"), F.col("text").alias("text"))
+    every = F.when(F.col("role") == "assistant", F.array(*steps)).otherwise(F.array(*steps[:2], edit))
+    numbered = rows.withColumn("message", number)  # before the events are made from it
+    return numbered.select("conv_id", "message", "role", F.explode(every).alias("x")).select("conv_id", "message", "x.seq", "x.kind", "role", "x.text")
+
+
+def render(events: DataFrame, loss_role: str = "assistant", dealt: bool = False) -> DataFrame:
+    """dealt: the events are partitioned by conversation already. One row for each final message: its formatted turn, where it starts in the conversation's formatted text, and
     which part of that text (in code points, end exclusive) the loss covers; nulls where it covers none. The rows of a
     conversation are together and in order."""
     small_batches(events.sparkSession)
     order = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0))
-    dealt = (
-        events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"), order.cast("int").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = events if dealt else events.repartition("conv_id")
+    sorted_ = (
+        rows.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.col("seq").cast("long"), order.cast("int").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .where("kind > 0")
-        .repartition("conv_id")
         .sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
     )
 
@@ -120,4 +136,4 @@ def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     names = [x.split()[0] for x in RENDERED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    return dealt.mapInArrow(run, RENDERED)
+    return sorted_.mapInArrow(run, RENDERED)

@@ -99,7 +99,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    rendered = chat.render(chat.rows_as_events(turns))
+    rendered = chat.render(chat.rows_as_events(turns), dealt=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, held, n, turn_hash, loss_chars, loss_hash, chars = None, False, 0, None, 0, None, 0
