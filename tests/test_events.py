@@ -102,7 +102,7 @@ def test_compound_periods_go_step_by_step(spark, period):
         starts.append(start)
         n += 1
         month = n * g.months
-        start = datetime(1970 + month // 12, 1 + month % 12, 1) + timedelta(seconds=n * g.seconds)
+        start = datetime(1970 + month // 12, 1 + month % 12, 1) + timedelta(microseconds=n * g.us)
     times = [datetime(1970, 1, 1), datetime(1999, 12, 31, 23), datetime(2024, 2, 29, 12), datetime(2024, 3, 1), datetime(2028, 7, 4)] + starts[5:400:40]
     df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
     for r in df.select("ts", g.floor(F.col("ts")).alias("a"), g.next(g.floor(F.col("ts"))).alias("b")).collect():
@@ -110,6 +110,33 @@ def test_compound_periods_go_step_by_step(spark, period):
         assert (r.a, r.b) == (starts[k], starts[k + 1])
 
 
+@pytest.mark.parametrize(("period", "origin"), [("P1M", datetime(2024, 1, 15, 10)), ("P1M", datetime(2023, 1, 31, 23, 59)), ("P3M", datetime(2024, 2, 29, 1)), ("P1Y", datetime(2024, 2, 29))])
+def test_months_from_an_origin(spark, period, origin):
+    g = Granularity.of(period, int((origin - T0).total_seconds()) * 1_000_000)
+    times = [origin + timedelta(days=d, hours=h) for d in (-800, -31, -1, 0, 1, 27, 28, 29, 30, 31, 32, 59, 366, 700) for h in (-11, 0, 3)] + [datetime(2024, 2, 15, 1), datetime(2024, 2, 15, 10)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+
+    def start(n):
+        month = origin.month - 1 + n * g.months
+        year, month = origin.year + month // 12, month % 12 + 1
+        last = (datetime(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)).day
+        return origin.replace(year=year, month=month, day=min(origin.day, last))
+
+    for r in df.select("ts", g.floor(F.col("ts")).alias("a"), g.next(g.floor(F.col("ts"))).alias("b")).collect():
+        n = max(n for n in range(-60, 60) if start(n) <= r.ts)
+        assert (r.a, r.b) == (start(n), start(n + 1))
+
+
+def test_durations_keep_their_milliseconds(spark):
+    df = spark.createDataFrame([(at(1234),), (at(-1),)], "ts timestamp_ntz")
+    half = Granularity.of('{"type": "duration", "duration": 500, "origin": 100}')
+    assert [r.a for r in df.select(half.floor(F.col("ts")).alias("a")).collect()] == [at(1100), at(-400)]
+    assert Granularity.of('{"type": "period", "period": "P1M", "origin": "2024-01-15T10:00:00Z"}').origin == 1_705_312_800_000_000
+    for bad in ('{"type": "duration", "duration": 0}', "PT0S", "P0M"):
+        with pytest.raises(ValueError):
+            Granularity.of(bad)
+
+
 def test_granularity_rules():
     hour, day = Granularity.of("HOUR"), Granularity.of("DAY")
     assert hour.is_finer_than(day) and not day.is_finer_than(hour)
@@ -173,6 +200,23 @@ def test_protobuf_modes(spark):
         df.select(protobuf.decode(F.col("raw"), schema, fail=True)).collect()
 
 
+def test_protobuf_descriptor_sets(spark):
+    from google.protobuf import descriptor_pb2
+
+    schema = [("id", 1, "uint32", "singular"), ("kind", 2, {"NONE": 0, "SOME": 3}, "singular"), ("inner", 3, [("s", 1, "string", "optional"), ("n", 2, "sint64", "repeated")], "repeated"), ("big", 4, "fixed64", "singular"), ("gone", 5, [("x", 1, "bool", "singular")], "singular")]
+    cls = protobuf.message_class(schema)
+    file = descriptor_pb2.FileDescriptorProto()
+    cls.DESCRIPTOR.file.CopyToProto(file)
+    told = protobuf.schema_of(descriptor_pb2.FileDescriptorSet(file=[file]).SerializeToString(), "tidewheel.Row")
+    assert [(f, n, label) for f, n, _, label in told] == [(f, n, label) for f, n, _, label in schema] and told[2][2] == schema[2][2] and set(told[1][2].values()) == {0, 3}
+    row = {"id": 4_000_000_000, "kind": "SOME", "inner": [{"s": "a", "n": [-5, 7]}, {}], "big": -1, "gone": None}
+    raw = protobuf.write(cls, schema, row)
+    assert protobuf.read(cls, schema, raw, True, False) == {"id": 4_000_000_000 - (1 << 32), "kind": "SOME", "inner": [{"s": "a", "n": [-5, 7]}, {"n": None}], "big": -1}
+    assert protobuf.read(cls, schema, raw, True, True)["inner"][1] == {"n": []}
+    assert protobuf.read(cls, schema, protobuf.write(cls, schema, {"id": "12", "kind": 3, "big": "9"}), True, False) == {"id": 12, "kind": "SOME", "inner": None, "big": 9}
+    assert protobuf.write(cls, schema, None) is None
+
+
 def test_json_rows(spark):
     texts = ['{"a": "7", "b": {"x": 1}, "z": 0}', "{'a': 8, 'b': 'q'}", '{"a": "no number", "b": "q"}', "[1]", "{broken", None, "{}"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -210,6 +254,26 @@ def test_faker(spark):
     assert spark.sql("SELECT sum(a) AS s FROM fk").first().s == 7
 
 
+def test_faker_rejects_what_it_cannot_make(spark):
+    for kind in ("interval day", "variant"):
+        with pytest.raises(Exception):
+            faker.scan(spark, f"a {kind}", {"fields.a.expression": "1", "number-of-rows": "1"}).collect()
+    with pytest.raises(Exception):
+        faker.scan(spark, "a tinyint", {"fields.a.expression": "300", "number-of-rows": "1"}).collect()
+
+
+def test_faker_stream(spark):
+    from tidewheel.streaming.drain import drain
+
+    spark.dataSource.register(faker.Faker)
+    options = {"fields.a.expression": "#{number.numberBetween '3','6'}", "number-of-rows": "1000", "seed": "1"}
+    rows = drain(spark.readStream.format("faker").schema("a int").options(**options).load())
+    assert rows.count() == 1000 and {r.a for r in rows.distinct().collect()} == {3, 4, 5}
+    clock = faker.FakerStream(faker.Fields(rows.schema, {"fields.a.expression": "1", "rows-per-second": "5"}))
+    first = clock.initialOffset()["row"]
+    assert 0 <= clock.latestOffset()["row"] - first <= 50 and [(p.start, p.end) for p in clock.partitions({"row": 10}, {"row": 15})] == [(10, 11), (11, 12), (12, 13), (13, 15)]
+
+
 def test_fieldgen_json_leaves_out_nulls(spark):
     spec = '[{"type": "int_random", "fields": {"name": "n", "start": 1, "end": 2, "null_ratio": 1.0}}, {"type": "long_inc", "fields": {"name": "i", "start": 0}}]'
     assert [r.value for r in fieldgen.generate(spark, spec, 2, as_json=True).collect()] == ['{"i":0}', '{"i":1}']

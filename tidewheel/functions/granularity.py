@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,23 +33,27 @@ US = 1_000_000
 
 @dataclass(frozen=True)
 class Granularity:
-    """months and seconds of a period; kind is period, duration, all or none; origin in epoch microseconds."""
+    """months and microseconds (us) of a period; kind is period, duration, all or none; origin in epoch microseconds."""
 
     kind: str
     period: str = ""
     months: int = 0
-    seconds: int = 0
+    us: int = 0
     origin: int | None = None
     zone: str = "UTC"
 
     @classmethod
     def of(cls, text: str, origin: int | None = None, zone: str = "UTC") -> Granularity:
-        """From a name, an ISO period, or JSON with a type."""
+        """From a name, an ISO period, or JSON with a type. In JSON a duration and an origin are milliseconds; an origin may
+        be an ISO time instead."""
         if text.lstrip().startswith("{"):
             said = json.loads(text)
             if said["type"] == "duration":
-                return cls("duration", seconds=int(said["duration"]) // 1000, origin=said.get("origin", 0))
-            return cls.of(said.get("period") or said["type"].upper(), said.get("origin"), said.get("timeZone", "UTC"))
+                us = int(said["duration"]) * 1000
+                if us <= 0:
+                    raise ValueError(f"a duration must be positive: {text}")
+                return cls("duration", us=us, origin=_json_origin(said.get("origin", 0)))
+            return cls.of(said.get("period") or said["type"].upper(), _json_origin(said.get("origin")), said.get("timeZone", "UTC"))
         name = text.upper()
         if name in ("ALL", "NONE"):
             return cls(name.lower())
@@ -57,10 +62,13 @@ class Granularity:
         if not found or period in ("P", "PT"):
             raise ValueError(f"no granularity: {text}")
         y, mo, w, d, h, mi, s = (int(x or 0) for x in found.groups())
-        return cls("period", period, y * 12 + mo, ((w * 7 + d) * 24 + h) * 3600 + mi * 60 + s, origin, zone)
+        months, us = y * 12 + mo, (((w * 7 + d) * 24 + h) * 3600 + mi * 60 + s) * US
+        if not months and not us:
+            raise ValueError(f"a period must be positive: {text}")
+        return cls("period", period, months, us, origin, zone)
 
     def rank(self) -> tuple[int, float]:
-        return (2, 0) if self.kind == "all" else (0, 0) if self.kind == "none" else (1, self.months * 30.44 * 86400 + self.seconds)
+        return (2, 0) if self.kind == "all" else (0, 0) if self.kind == "none" else (1, self.months * 30.44 * 86400 * US + self.us)
 
     def is_finer_than(self, other: Granularity) -> bool:
         return self.rank() < other.rank()
@@ -73,42 +81,49 @@ class Granularity:
             return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
         if self.zone != "UTC":
             local = F.convert_timezone(F.lit("UTC"), F.lit(self.zone), ts)
-            return F.convert_timezone(F.lit(self.zone), F.lit("UTC"), Granularity(self.kind, self.period, self.months, self.seconds, self.origin).floor(local))
+            return F.convert_timezone(F.lit(self.zone), F.lit("UTC"), Granularity(self.kind, self.period, self.months, self.us, self.origin).floor(local))
         units = {"P1Y": "year", "P3M": "quarter", "P1M": "month", "P1W": "week", "P1D": "day", "PT1H": "hour", "PT1M": "minute", "PT1S": "second"}
         if self.origin is None and self.period in units:
             return F.date_trunc(units[self.period], ts).cast("timestamp_ntz")
         base = micros(F.lit("1970-01-05 00:00:00").cast("timestamp_ntz")) if self.origin is None and self.period.endswith("W") else F.lit(self.origin or 0).cast("long")
-        if self.months and self.seconds:
-            return self._compound(ts, base)
         if self.months:
-            start = from_micros(base)
-            apart = F.floor(F.months_between(ts.cast("timestamp"), start.cast("timestamp")) / self.months).cast("int") * self.months
-            return start + F.make_ym_interval(F.lit(0), apart)
+            return self._of_months(ts, base)
         us = micros(ts)
-        return from_micros(us - F.pmod(us - base, F.lit(self.seconds * US).cast("long")))
-
-    def _compound(self, ts: Column, base: Column) -> Column:
-        """For periods of months and shorter units: the number of periods since the origin is estimated from their mean
-        length, and the last start at or before ts is taken of those near it. Months differ from their mean by less than
-        two days in all, so the estimate is off by less than the periods looked at."""
-        mean = self.months * 2_629_746 + self.seconds
-        about = F.floor((micros(ts) - base) / (mean * US))
-        near = [from_micros(micros(from_micros(base) + F.make_ym_interval(F.lit(0), ((about + i) * self.months).cast("int"))) + (about + i) * (self.seconds * US)) for i in range(-2, 3)]
+        return from_micros(us - F.pmod(us - base, F.lit(self.us).cast("long")))
+
+    @property
+    def _mean(self) -> int:
+        return self.months * 2_629_746 * US + self.us
+
+    def _of_months(self, ts: Column, base: Column) -> Column:
+        """For periods of months, and of months and shorter units: the number of periods since the origin is estimated from
+        their mean length, and the last start at or before ts is taken of those near it. Months differ from their mean by
+        less than four days in all, so the estimate is off by less than the periods looked at."""
+        about = F.floor((micros(ts) - base) / self._mean)
+        near = [from_micros(micros(from_micros(base) + F.make_ym_interval(F.lit(0), ((about + i) * self.months).cast("int"))) + (about + i) * self.us) for i in range(-2, 3)]
         return F.greatest(*[F.when(start <= ts, start) for start in near])
 
     def next(self, start: Column) -> Column:
-        """The end of a bucket. For a compound period it is the start of the bucket that a time just behind it falls in."""
-        if self.months and self.seconds:
-            near = [self.floor(from_micros(micros(start) + (self.months * 2_629_746 + self.seconds + day * 86_400) * US)) for day in (-4, 0, 4)]
+        """The end of a bucket. For a compound period, or months from an origin, it is the start of the bucket that a time
+        just behind it falls in."""
+        if self.months and (self.us or self.origin is not None):
+            near = [self.floor(from_micros(micros(start) + (self._mean + day * 86_400 * US))) for day in (-4, 0, 4)]
             return F.least(*[F.when(x > start, x) for x in near])
         if self.kind in ("all", "none"):
             return F.lit("9999-12-31 00:00:00").cast("timestamp_ntz") if self.kind == "all" else start + F.expr("INTERVAL '0.001' SECOND")
-        return start + F.make_ym_interval(F.lit(0), F.lit(self.months)) if self.months else from_micros(micros(start) + self.seconds * US)
+        return start + F.make_ym_interval(F.lit(0), F.lit(self.months)) if self.months else from_micros(micros(start) + self.us)
 
     def is_aligned(self, ts: Column) -> Column:
         return self.floor(ts) == ts
 
 
+def _json_origin(said: int | str | None) -> int | None:
+    if isinstance(said, str):
+        at = datetime.fromisoformat(said)
+        return round((at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * US)
+    return None if said is None else int(said) * 1000
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

@@ -1,44 +1,138 @@
-"""Protobuf records by a schema given in code; decoding and encoding of binary columns in Arrow batches."""
+"""Protobuf records by a schema given in code or by a descriptor set; decoding and encoding of binary columns in Arrow batches.
+
+A schema is a list of fields (name, number, type, label). A type is a name in TYPES, a schema for a message, or a dict of
+names and numbers for an enumeration, which is read as its names. Labels are singular, optional and repeated. schema_of
+gives the schema of a message of a compiled descriptor set.
+
+Defined results: a broken record is all nulls, unless fail is set; a null record gives nulls. Without defaults, absent
+fields and fields of the type's default value are null; with defaults they have it, but for optional fields and messages.
+Unknown fields are skipped. 64-bit unsigned numbers wrap into bigint, 32-bit ones into int, as they are stored.
+"""
 
 from __future__ import annotations
 
+from itertools import count
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Field types of the wire format by the names used in schemas, and the Spark types they are read as.
-TYPES = {"int32": (5, "int"), "int64": (3, "bigint"), "uint32": (13, "bigint"), "uint64": (4, "bigint"), "double": (1, "double"), "float": (2, "float"), "bool": (8, "boolean"), "string": (9, "string"), "bytes": (12, "binary")}
-Schema = list[tuple[str, int, str, str]]
-
-
-def message_class(schema: Schema, name: str = "Row") -> Any:
-    """schema: (field, number, type, label) with label singular, optional or repeated."""
-    file = descriptor_pb2.FileDescriptorProto(name=f"{name.lower()}.proto", package="tidewheel", syntax="proto3")
+TYPES = {
+    "double": (1, "double"),
+    "float": (2, "float"),
+    "int64": (3, "bigint"),
+    "uint64": (4, "bigint"),
+    "int32": (5, "int"),
+    "fixed64": (6, "bigint"),
+    "fixed32": (7, "int"),
+    "bool": (8, "boolean"),
+    "string": (9, "string"),
+    "bytes": (12, "binary"),
+    "uint32": (13, "int"),
+    "sfixed32": (15, "int"),
+    "sfixed64": (16, "bigint"),
+    "sint32": (17, "int"),
+    "sint64": (18, "bigint"),
+}
+MESSAGE, ENUM = 11, 14
+_ARROW = {"double": pa.float64(), "float": pa.float32(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+_UNSIGNED = {"uint32": 32, "fixed32": 32, "uint64": 64, "fixed64": 64}
+Kind = str | dict | list
+Schema = list[tuple[str, int, Kind, str]]
+
+
+def _add_message(file: Any, schema: Schema, name: str, numbers: Any) -> None:
     message = file.message_type.add(name=name)
     for field, number, kind, label in schema:
-        added = message.field.add(name=field, number=number, type=TYPES[kind][0], label=3 if label == "repeated" else 1)
+        added = message.field.add(name=field, number=number, label=3 if label == "repeated" else 1)
+        if isinstance(kind, str):
+            added.type = TYPES[kind][0]
+        else:
+            inner = f"{name}_{next(numbers)}"
+            added.type, added.type_name = (ENUM, f".tidewheel.{inner}") if isinstance(kind, dict) else (MESSAGE, f".tidewheel.{inner}")
+            if isinstance(kind, dict):
+                values = file.enum_type.add(name=inner)
+                for value, at in sorted(kind.items(), key=lambda x: x[1] != 0):  # the first one has to be zero
+                    values.value.add(name=f"{inner}_{value}", number=at)
+            else:
+                _add_message(file, kind, inner, numbers)
         if label == "optional":
             added.proto3_optional = True
             added.oneof_index = len(message.oneof_decl)
             message.oneof_decl.add(name=f"_{field}")
+
+
+def message_class(schema: Schema, name: str = "Row") -> Any:
+    file = descriptor_pb2.FileDescriptorProto(name=f"{name.lower()}.proto", package="tidewheel", syntax="proto3")
+    _add_message(file, schema, name, count(1))
     pool = descriptor_pool.DescriptorPool()
     pool.Add(file)
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"tidewheel.{name}"))
 
 
+def schema_of(descriptor_set: bytes, message: str) -> Schema:
+    """The schema of a message (by its full name) of a serialized descriptor set. Messages that hold themselves have none."""
+    pool = descriptor_pool.DescriptorPool()
+    for file in descriptor_pb2.FileDescriptorSet.FromString(descriptor_set).file:
+        pool.Add(file)
+    names = {number: name for name, (number, _) in TYPES.items()}
+
+    def fields(found: Any, above: tuple[str, ...]) -> Schema:
+        if found.full_name in above:
+            raise ValueError(f"{found.full_name} holds itself")
+        inside, out = (*above, found.full_name), []
+        for f in found.fields:
+            kind = fields(f.message_type, inside) if f.type == MESSAGE else {v.name: v.number for v in f.enum_type.values} if f.type == ENUM else names[f.type]
+            out.append((f.name, f.number, kind, "repeated" if f.is_repeated else "optional" if f.has_presence and f.type != MESSAGE else "singular"))
+        return out
+
+    return fields(pool.FindMessageTypeByName(message), ())
+
+
+def _ddl(kind: Kind) -> str:
+    if isinstance(kind, list):
+        return "struct<" + ", ".join(f"`{f}`: {_labelled(k, label)}" for f, _, k, label in kind) + ">"
+    return TYPES[kind][1] if isinstance(kind, str) else "string"
+
+
+def _labelled(kind: Kind, label: str) -> str:
+    return f"array<{_ddl(kind)}>" if label == "repeated" else _ddl(kind)
+
+
 def ddl(schema: Schema) -> str:
-    return ", ".join(f"`{f}` " + (f"array<{TYPES[k][1]}>" if label == "repeated" else TYPES[k][1]) for f, _, k, label in schema)
+    return ", ".join(f"`{f}` {_labelled(k, label)}" for f, _, k, label in schema)
+
+
+def _arrow(kind: Kind) -> pa.DataType:
+    if isinstance(kind, list):
+        return pa.struct([(f, pa.list_(_arrow(k)) if label == "repeated" else _arrow(k)) for f, _, k, label in kind])
+    return _ARROW[_ddl(kind)]
 
 
-def _wrapped(value: Any, kind: str) -> Any:
-    return value - (1 << 64) if kind == "uint64" and value >= 1 << 63 else value
+def _read_value(value: Any, kind: Kind, defaults: bool) -> Any:
+    if isinstance(kind, list):
+        return _fields(value, kind, defaults)
+    if isinstance(kind, dict):
+        return next((n for n, at in kind.items() if at == value), str(value))
+    bits = _UNSIGNED.get(kind, 0)
+    return value - (1 << bits) if bits and value >= 1 << (bits - 1) else value
+
+
+def _fields(m: Any, schema: Schema, defaults: bool) -> dict[str, Any]:
+    held, out = {f.name for f, _ in m.ListFields()}, {}
+    for field, _, kind, label in schema:
+        if label == "repeated":
+            out[field] = [_read_value(v, kind, defaults) for v in getattr(m, field)] if field in held or defaults else None
+        elif field in held or (defaults and label != "optional" and not isinstance(kind, list)):
+            out[field] = _read_value(getattr(m, field), kind, defaults)
+    return out
 
 
 def read(cls: Any, schema: Schema, raw: bytes | None, fail: bool, defaults: bool) -> dict[str, Any]:
-    """Fields of a record; nulls for absent ones, or proto3 defaults. A broken record is all nulls, unless fail is set."""
+    """Fields of a record; a broken record has none, unless fail is set."""
     if raw is None:
         return {}
     try:
@@ -47,42 +141,59 @@ def read(cls: Any, schema: Schema, raw: bytes | None, fail: bool, defaults: bool
         if fail:
             raise
         return {}
-    set_ = {f.name for f, _ in m.ListFields()}
-    out = {}
-    for field, _, kind, label in schema:
-        if label == "repeated":
-            out[field] = [_wrapped(v, kind) for v in getattr(m, field)] if field in set_ or defaults else None
-        elif field in set_ or (defaults and label != "optional"):
-            out[field] = _wrapped(getattr(m, field), kind)
-    return out
-
-
-def write(cls: Any, schema: Schema, row: dict[str, Any]) -> bytes:
-    """A record; strings are turned into numbers, nulls and unknown names left out."""
-    m = cls()
+    return _fields(m, schema, defaults)
+
+
+def _written(value: Any, kind: Kind) -> Any:
+    """The value as the type takes it: text becomes a number and a number text, and whole numbers are cut to their bits."""
+    if isinstance(kind, dict):
+        return kind[value] if value in kind else int(value)
+    if kind in ("double", "float"):
+        return float(value)
+    if kind == "bool":
+        return value.lower() in ("true", "1") if isinstance(value, str) else bool(value)
+    if kind in ("string", "bytes"):
+        return value if isinstance(value, (str if kind == "string" else bytes)) else str(value) if kind == "string" else str(value).encode()
+    if kind in _UNSIGNED:
+        return int(value) % (1 << _UNSIGNED[kind])
+    bits = 32 if kind.endswith("32") else 64
+    return (int(value) + (1 << (bits - 1))) % (1 << bits) - (1 << (bits - 1))
+
+
+def _fill(m: Any, schema: Schema, row: dict[str, Any]) -> None:
     for field, _, kind, label in schema:
         value = row.get(field)
-        if value is None or (not isinstance(value, (list, bytes, str)) and hasattr(value, "__len__") is False and pd.isna(value)):
+        if value is None:
             continue
-        cast = {"string": str, "bytes": bytes, "bool": bool, "double": float, "float": float}.get(kind, int)
-        if kind == "uint64":
-            cast = lambda v: int(v) % (1 << 64)
-        if label == "repeated":
-            getattr(m, field).extend(cast(v) for v in value)
+        if isinstance(kind, list):
+            if label == "repeated":
+                for x in value:
+                    _fill(getattr(m, field).add(), kind, x or {})
+            else:
+                getattr(m, field).SetInParent()
+                _fill(getattr(m, field), kind, value)
+        elif label == "repeated":
+            getattr(m, field).extend(_written(v, kind) for v in value if v is not None)
         else:
-            setattr(m, field, cast(value))
+            setattr(m, field, _written(value, kind))
+
+
+def write(cls: Any, schema: Schema, row: dict[str, Any] | None) -> bytes | None:
+    """A record; nulls and unknown names are left out. A null row is null."""
+    if row is None:
+        return None
+    m = cls()
+    _fill(m, schema, row)
     return m.SerializeToString(deterministic=True)
 
 
 def decode(raw: Column, schema: Schema, fail: bool = False, defaults: bool = False) -> Column:
     """A struct of the schema's fields. Only these are decoded; unknown fields are skipped."""
 
-    @F.pandas_udf(ddl(schema))
-    def run(column: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_ddl(schema))
+    def run(column: pa.Array) -> pa.Array:
         cls = message_class(schema)
-        rows = [read(cls, schema, None if x is None else bytes(x), fail, defaults) for x in column]
-        whole = {"int32": "Int32", "int64": "Int64", "uint32": "Int64", "uint64": "Int64", "bool": "boolean"}
-        return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype=whole.get(k, "object") if label != "repeated" else "object") for f, _, k, label in schema})
+        return pa.array([read(cls, schema, x, fail, defaults) for x in column.to_pylist()], _arrow(schema))
 
     return run(raw)
 
@@ -90,9 +201,9 @@ def decode(raw: Column, schema: Schema, fail: bool = False, defaults: bool = Fal
 def encode(row: Column, schema: Schema) -> Column:
     """Bytes of a struct column."""
 
-    @F.pandas_udf("binary")
-    def run(column: pd.DataFrame) -> pd.Series:
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
         cls = message_class(schema)
-        return pd.Series([write(cls, schema, r) for r in column.astype(object).to_dict("records")])
+        return pa.array([write(cls, schema, r) for r in column.to_pylist()], pa.binary())
 
     return run(row)

@@ -44,10 +44,13 @@ query("gran_none", "SELECT date_trunc('millisecond', ts)::TIMESTAMP AS bucket, c
 _ORIGIN = 1_705_276_800_000_000  # 2024-01-15
 query("gran_origin", "SELECT time_bucket(INTERVAL 3 DAY, ts, TIMESTAMP '2024-01-15')::TIMESTAMP AS bucket, count(*) AS cnt FROM events GROUP BY 1")(_bucketed(Granularity.of("P3D", _ORIGIN)))
 query("gran_duration", "SELECT make_timestamp(epoch_us(ts) - ((epoch_us(ts) - 1705276800000000) % 5400000000 + 5400000000) % 5400000000) AS bucket, count(*) AS cnt FROM events GROUP BY 1")(
-    _bucketed(Granularity.of(f'{{"type": "duration", "duration": 5400000, "origin": {_ORIGIN}}}'))
+    _bucketed(Granularity.of(f'{{"type": "duration", "duration": 5400000, "origin": {_ORIGIN // 1000}}}'))
 )
 query("gran_months", "SELECT time_bucket(INTERVAL 2 MONTH, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS bucket, count(*) AS cnt FROM events GROUP BY 1")(_bucketed(Granularity.of("P2M")))
-query("gran_compound")(_bucketed(Granularity.of("P1M2D")))
+_FROM_STARTS = "SELECT start::TIMESTAMP AS bucket, count(*) AS cnt FROM events ASOF JOIN (SELECT {start} AS start FROM range(-1200, 1200) r(n)) s ON ts >= start GROUP BY 1"
+query("gran_compound", _FROM_STARTS.format(start="TIMESTAMP '1970-01-01' + to_months(n::INTEGER) + to_days((2 * n)::INTEGER)"))(_bucketed(Granularity.of("P1M2D")))
+query("gran_month_origin", _FROM_STARTS.format(start="TIMESTAMP '2024-01-15 10:00:00' + to_months(n::INTEGER)"))(_bucketed(Granularity.of("P1M", _ORIGIN + 36_000_000_000)))
+query("gran_millis", "SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 1500000) AS bucket, count(*) AS cnt FROM events GROUP BY 1")(_bucketed(Granularity.of('{"type": "duration", "duration": 1500}')))
 query("gran_timezone", "SELECT timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', ts)))))::TIMESTAMP AS bucket, count(*) AS cnt FROM events GROUP BY 1")(
     _bucketed(Granularity.of("P1D", zone="America/New_York"))
 )
@@ -158,6 +161,28 @@ def protobuf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("marks", F.array_join(F.col("marks").cast("array<string>"), ","))
 
 
+_NESTED: protobuf.Schema = [
+    ("event_id", 1, "int64", "singular"), ("kind", 2, {"UNKNOWN": 0, "VIEW": 1, "CLICK": 2, "OTHER": 7}, "singular"), ("delta", 3, "sint64", "singular"), ("code", 4, "fixed32", "singular"),
+    ("user", 5, [("id", 1, "uint32", "singular"), ("tags", 2, "string", "repeated")], "singular"), ("parts", 6, [("n", 1, "sint32", "singular"), ("at", 2, "sfixed64", "optional")], "repeated"),
+]
+
+
+@query(
+    "protobuf_nested",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 'VIEW' WHEN 'click' THEN 'CLICK' ELSE 'OTHER' END AS kind, -event_id * 3 AS delta, (event_id % 1000)::INTEGER AS code,
+         (user_id % 1000)::INTEGER AS user_id, event_type AS tag, (-event_id % 50)::INTEGER AS n, event_id * 7 AS at, 2::INTEGER AS n_parts FROM events""",
+)
+def protobuf_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in messages, repeated ones, enumerations by name, and the signed and fixed integer types."""
+    kind = F.when(F.col("event_type") == "view", "VIEW").when(F.col("event_type") == "click", "CLICK").otherwise("OTHER").alias("kind")
+    user = F.struct((F.col("user_id") % 1000).alias("id"), F.array("event_type").alias("tags")).alias("user")
+    part = lambda at: F.struct((-F.col("event_id") % 50).cast("int").alias("n"), at.cast("long").alias("at"))
+    rows = events(spark, sf_dir).select(F.struct("event_id", kind, (-F.col("event_id") * 3).alias("delta"), (F.col("event_id") % 1000).alias("code"), user, F.array(part(F.col("event_id") * 7), part(F.lit(None))).alias("parts")).alias("row"))
+    back = rows.select(protobuf.decode(protobuf.encode(F.col("row"), _NESTED), _NESTED, defaults=True).alias("r"))
+    first = F.element_at("r.parts", 1)
+    return back.select("r.event_id", "r.kind", "r.delta", "r.code", F.col("r.user.id").alias("user_id"), F.element_at("r.user.tags", 1).alias("tag"), first["n"].alias("n"), first["at"].alias("at"), F.size("r.parts").alias("n_parts"))
+
+
 @query("msgpack_roundtrip", "SELECT event_id AS id, event_type AS name FROM events")
 def msgpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(codecs.unpack_pair(codecs.pack_pair("event_id", "event_type")).alias("x")).select("x.*")

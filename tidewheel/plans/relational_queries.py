@@ -38,9 +38,10 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    large = load(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return load(spark, sf_dir, "customer").select("c_custkey").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("join_outer", "SELECT n_name, r_name, coalesce(cnt, 0) AS cnt FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS cnt FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
@@ -87,9 +88,9 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").select("o_custkey"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_custkey"))
 
 
 @query("distinct_union", "SELECT event_type AS k FROM events UNION SELECT o_orderstatus FROM orders")
@@ -143,7 +144,19 @@ def _key_groups(values: pd.Series) -> pd.Series:
     return pd.Series((np.abs(np.where(h == -(1 << 31), 0, h)) % 128).astype(np.int32))
 
 
-@query("keygroup_assign")
+_M = "4294967296"
+_KEY_GROUPS = f"""WITH u AS (SELECT DISTINCT user_id, user_id::UBIGINT AS k FROM events),
+     a AS (SELECT user_id, (k * 3432918353) % {_M} AS k FROM u),
+     b AS (SELECT user_id, ((((k << 15) % {_M}) | (k >> 17)) * 461845907) % {_M} AS k FROM a),
+     c AS (SELECT user_id, xor(((((k << 13) % {_M}) | (k >> 19)) * 5 + 3864292196) % {_M}, 4::UBIGINT) AS h FROM b),
+     d AS (SELECT user_id, (xor(h, h >> 16) * 2246822507) % {_M} AS h FROM c),
+     e AS (SELECT user_id, (xor(h, h >> 13) * 3266489909) % {_M} AS h FROM d),
+     f AS (SELECT user_id, xor(h, h >> 16)::BIGINT AS h FROM e),
+     g AS (SELECT user_id, (abs(CASE WHEN h = 2147483648 THEN 0 WHEN h > 2147483648 THEN h - {_M} ELSE h END) % 128)::INTEGER AS key_group FROM f)
+   SELECT user_id, key_group, (key_group * 4 // 128)::INTEGER AS subtask FROM g"""
+
+
+@query("keygroup_assign", _KEY_GROUPS)
 def keygroup_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by the subtask that their key group falls to: 128 groups over 4 subtasks."""
     groups = events(spark, sf_dir).select("user_id").distinct().select("user_id", F.pandas_udf(_key_groups, "int")("user_id").alias("key_group"))

@@ -12,6 +12,7 @@ from ..sources import faker, fieldgen, files
 from ..tables import events, load
 from .registry import query
 
+# Names of options and expressions are the connector's interface.
 FIELDS = {
     "fields.id.expression": "#{number.numberBetween '1','1000'}",
     "fields.name.expression": "#{superhero.name}",
@@ -27,6 +28,37 @@ def faker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faker.scan(spark, "id int, name string, mail string, code string", FIELDS | {"number-of-rows": "500"})
 
 
+@query("faker_checked", "SELECT 500 AS n, true AS ids, true AS mails, true AS codes, true AS same")
+def faker_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any seed: numbers in their range, forms of texts, about a quarter of nulls, and equal rows again."""
+    rows = faker_scan(spark, sf_dir)
+    again = faker_scan(spark, sf_dir).select(F.xxhash64("id", "name", "mail", "code").alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+    got = rows.agg(
+        F.count("*").alias("n"), F.bool_and(F.col("id").between(1, 999)).alias("ids"), ((F.count("mail") > 325) & (F.count("mail") < 425) & F.bool_and(F.col("mail").rlike("^[a-z]{8}[0-9]{1,2}@example[.]com$"))).alias("mails"),
+        F.bool_and(F.col("code").rlike("^[A-C]{2}-[0-9]{3}$")).alias("codes"), F.sum(F.xxhash64("id", "name", "mail", "code").cast("decimal(38,0)")).alias("h"),
+    )
+    return got.join(again, "h").select(F.col("n").cast("int").alias("n"), "ids", "mails", "codes", F.lit(True).alias("same"))
+
+
+@query("faker_types", "SELECT 1.50::DECIMAL(10,2) AS d, DATE '2024-02-29' AS day, 7::TINYINT AS small, 3::BIGINT AS n_rows, 'x' AS word, 4::INTEGER AS number, 2::BIGINT AS n_numbers FROM range(100)")
+def faker_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = {f"fields.{k}.expression": f"#{{options.option '{v}'}}" for k, v in {"d": "1.499999", "day": "2024-02-29", "small": "7", "rows.w": "x", "rows.n": "4", "numbers": "5"}.items()}
+    options |= {"fields.rows.length": "3", "fields.numbers.length": "2", "number-of-rows": "100"}
+    got = faker.scan(spark, "d decimal(10,2), day date, small tinyint, rows array<struct<w: string, n: int>>, numbers array<bigint>", options)
+    row = F.element_at("rows", 2)
+    return got.select("d", "day", "small", F.size("rows").cast("long").alias("n_rows"), row["w"].alias("word"), row["n"].alias("number"), F.size("numbers").cast("long").alias("n_numbers"))
+
+
+@query("fieldgen_checked", "SELECT 1000 AS n, true AS numbers, true AS texts, true AS lists, true AS addresses")
+def fieldgen_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any seed of fieldgen_random."""
+    rows = fieldgen_random(spark, sf_dir)
+    return rows.agg(
+        F.count("*").cast("int").alias("n"), (F.bool_and(F.col("n").between(1, 5)) & (F.count("n") > 850) & (F.count("n") < 950)).alias("numbers"), F.bool_and(F.length("s") == 8).alias("texts"),
+        F.bool_and(F.size("l").between(1, 3) & F.forall("l", lambda x: x.isin("x", "y", "z"))).alias("lists"), F.bool_and(F.col("ip").rlike(r"^\d{1,3}(\.\d{1,3}){3}$")).alias("addresses"),
+    )
+
+
 @query("faker_lookup")
 def faker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faker.lookup(load(spark, sf_dir, "nation"), ["n_nationkey"], "n_nationkey int, name string", FIELDS)
@@ -55,13 +87,12 @@ def text_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("len_delimited", "SELECT event_type AS payload, count(*) AS n FROM events GROUP BY 1")
 def len_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with their lengths, written as bytes and read back. The line end that the text sink puts behind each file
-    is kept out by ending each file's only row with a record's last byte."""
+    """Records with their lengths, written as bytes and read back. The text sink puts a line end behind each file; here it
+    is the last byte of an empty record, which is left out again."""
     path = shared_dir(spark, "records")
     record = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 8, "0")), F.encode("event_type", "UTF-8"))
     rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 1000).alias("part"), F.hex(record).alias("h"))
     whole = rows.groupBy("part").agg(F.array_join(F.collect_list("h"), "").alias("h"))
-    # as text with the last byte as the line end: all records here end in a letter, one of few
     ends = whole.select(F.unhex(F.concat("h", F.lit("00000000"))).alias("b"))
     ends.select(F.substring("b", 1, F.octet_length("b") - 1).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
     read = files.length_delimited(spark, path).where(F.octet_length("payload") > 0)

@@ -1,7 +1,11 @@
 """Random rows from field expressions: a data source for batches and streams, and a lookup.
 
 Options: fields.<name>.expression, .null-rate (0 to 1) and .length; number-of-rows (unbounded streams without),
-rows-per-second, partitions, seed. Map columns take .key.expression and .value.expression. Equal seeds give equal rows.
+rows-per-second, partitions, seed. Map columns take .key.expression and .value.expression; arrays take an expression, or
+those of their elements' fields if these are rows. Equal seeds give equal rows.
+
+A stream with number-of-rows brings all of them; one without brings rows-per-second rows for each second of the clock, so
+that one that starts again goes on where it was. Rows are made in the tasks, whose number is partitions.
 """
 
 from __future__ import annotations
@@ -9,13 +13,15 @@ from __future__ import annotations
 import random
 import re
 import string
+import time
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
 # Words for generated names.
 HEROES = ("Amber Comet", "Captain Lattice", "Doctor Tundra", "Iron Sparrow", "Lady Meridian", "Night Ledger", "The Archivist")
@@ -83,9 +89,22 @@ def evaluate(expression: str, rng: random.Random, now: datetime) -> str:
     return _CALL.sub(one, expression)
 
 
+#: Whole numbers of 8, 16, 32 and 64 bits, and the types that an expression can be read as.
+WHOLE = (ByteType, ShortType, IntegerType, LongType)
+SIMPLE = (*WHOLE, BinaryType, BooleanType, DateType, DecimalType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType)
+
+
 def cast(text: str, kind: DataType) -> Any:
-    if isinstance(kind, (IntegerType, LongType, ShortType)):
-        return int(float(text))
+    if isinstance(kind, WHOLE):
+        whole = int(Decimal(text))
+        bits = 8 << WHOLE.index(type(kind))
+        if not -(1 << (bits - 1)) <= whole < 1 << (bits - 1):
+            raise ValueError(f"{text} is no {kind.simpleString()}")
+        return whole
+    if isinstance(kind, DecimalType):
+        return round(Decimal(text), kind.scale)
+    if isinstance(kind, DateType):
+        return date.fromisoformat(text.strip()[:10])
     if isinstance(kind, (DoubleType, FloatType)):
         return float(text)
     if isinstance(kind, BooleanType):
@@ -115,6 +134,10 @@ class Fields:
         elif isinstance(kind, MapType):
             self._check(f"{at}.key", kind.keyType)
             self._check(f"{at}.value", kind.valueType)
+        elif isinstance(kind, ArrayType):
+            self._check(at, kind.elementType)
+        elif not isinstance(kind, SIMPLE):
+            raise ValueError(f"{at}: no values of type {kind.simpleString()} can be made")
         elif f"{at}.expression" not in self.options:
             raise ValueError(f"{at}.expression is missing")
 
@@ -127,7 +150,13 @@ class Fields:
         if isinstance(kind, MapType):
             return {self._value(f"{at}.key", kind.keyType, rng, now): self._value(f"{at}.value", kind.valueType, rng, now) for _ in range(n)}
         if isinstance(kind, ArrayType):
-            return [cast(evaluate(self.options[f"{at}.expression"], rng, now), kind.elementType) for _ in range(n)]
+            return [self._element(at, kind.elementType, rng, now) for _ in range(n)]
+        return cast(evaluate(self.options[f"{at}.expression"], rng, now), kind)
+
+    def _element(self, at: str, kind: DataType, rng: random.Random, now: datetime) -> Any:
+        """An element of an array: its options are those of the array, but null-rate and length."""
+        if isinstance(kind, StructType):
+            return tuple(self._value(f"{at}.{f.name}".lower(), f.dataType, rng, now) for f in kind.fields)
         return cast(evaluate(self.options[f"{at}.expression"], rng, now), kind)
 
     def row(self, number: int) -> tuple:
@@ -155,23 +184,29 @@ class FakerReader(DataSourceReader):
         return (self.fields.row(i) for i in range(partition.start, partition.end))
 
 
-class FakerStream(SimpleDataSourceStreamReader):
-    """Each micro-batch brings rows-per-second rows, until number-of-rows if that is set."""
+class FakerStream(DataSourceStreamReader):
+    """Offsets are numbers of rows; without number-of-rows they follow the clock."""
 
     def __init__(self, fields: Fields):
         self.fields = fields
+        self.most = int(fields.options.get("number-of-rows", -1))
+        self.rate = int(fields.options.get("rows-per-second", 10_000))
+
+    def _due(self) -> int:
+        return int(time.time() * self.rate)
 
     def initialOffset(self) -> dict:
-        return {"row": 0}
+        return {"row": 0 if self.most >= 0 else self._due()}
+
+    def latestOffset(self) -> dict:
+        return {"row": self.most if self.most >= 0 else self._due()}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        most = int(self.fields.options.get("number-of-rows", -1))
-        end = start["row"] + int(self.fields.options.get("rows-per-second", 10_000))
-        end = end if most < 0 else min(end, most)
-        return iter([self.fields.row(i) for i in range(start["row"], end)]), {"row": end}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, n, parts = start["row"], end["row"] - start["row"], int(self.fields.options.get("partitions", 4))
+        return [Range(a + n * i // parts, a + n * (i + 1) // parts) for i in range(parts)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (self.fields.row(i) for i in range(start["row"], end["row"]))
+    def read(self, partition: Range) -> Iterator[tuple]:
+        return (self.fields.row(i) for i in range(partition.start, partition.end))
 
 
 class Faker(DataSource):
@@ -185,7 +220,7 @@ class Faker(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FakerReader(Fields(schema, dict(self.options)))
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return FakerStream(Fields(schema, dict(self.options)))
 
 
