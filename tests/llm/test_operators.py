@@ -128,6 +128,26 @@ def test_pii_learns_contexts(spark):
     got = {r.doc_id: r.s for r in pii.personal_data(frame(spark, docs)).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
     assert got[100] == "phone:13:26" and got[101] == "" and got[102] == "" and got[3].startswith("phone:17:")
     assert pii.personal_data(frame(spark, [])).count() == 0
+    more = docs + [(200, "they tel: (555) 123-4567, so"), (201, "please call tel: 0176 1234567"), (202, "an 0176 1234567 alone")]
+    got = {r.doc_id: r.s for r in pii.personal_data(frame(spark, more)).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
+    assert got[200] == "phone:10:24" and got[201] == "phone:17:29" and got[202] == ""
+    starts = [(i, f"+1 (269) 555-{1000 + i} is mine") for i in range(20)] + [(30, "0171-555-1234 is yours"), (31, "not 0171-555-1234 at all")]
+    got = {r.doc_id: r.s for r in pii.personal_data(frame(spark, starts)).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
+    assert got[30] == "phone:0:13" and got[31] == "" and got[4] == "phone:0:17"
+    odd = [(300 + i, t) for i, t in enumerate([" 12 a", "1", "\n\n77 x", "a 1 2 3", "x@", "ab 5", "5 ab 6 cd"])]
+    assert pii.personal_data(frame(spark, docs + odd)).count() == len(docs + odd)
+
+
+@pytest.mark.parametrize("text", ["1 a 22 b", " 12 a", "1", "\n\n77 x 8", "a 1 2 3", "x@ y 5", "ab 5", "5 ab 6 cd (7) 8", "é1 ü 2 \U0001f600 3 4", "a1 b2 c3", "+1 (2) 3-4 5x 6"])
+def test_pii_candidates_are_where_they_say(spark, text):
+    docs = frame(spark, [(1, text)]).select(F.col("doc_id").alias("row_id"), "text", F.lit(0).cast("long").alias("row_hash"))
+    got = sorted((r.start, r.word) for r in pii.found_items(docs).where("not base").collect())
+    assert got and all(text[a : a + len(w)] == w for a, w in got)
+    number, want = r"[+(]*[0-9][0-9().+-]*", []
+    for m in __import__("re").finditer(rf"(?<!\S)(?:{number}(?: {number})*(?!\S)|[^\s0-9@]*[0-9@]\S*)", text):
+        bare = __import__("re").sub(r"^[(\[{<\"']+(?![0-9]+\))", "", m[0])
+        want.append((m.end() - len(bare), bare.rstrip(".,;:!?)]}>\"'")))
+    assert set(want) <= set(got)
 
 
 def test_pii_query(spark):

@@ -1,17 +1,21 @@
 """Personal data by patterns, and by contexts learnt from what the patterns find (operator 3).
 
-Base entities are found by regular expressions. Then words that hold a digit or an @ are candidates, each with the word
-to its left as its lexical pattern. Patterns and candidate words form a graph whose edges are counts over the whole
-corpus. Words that base entities start in are the seeds; in each round a pattern's confidence in a kind is the share of
-its occurrences whose words are held to be of that kind, and a word that is no seed takes the confidence of its patterns,
-weighed by occurrences. Patterns that end with high confidence and enough different seeds mark the other candidates that
-stand behind them, if these look like identifiers and do not overlap a base entity.
+Base entities are found by regular expressions. Then candidates are taken: words that hold a digit or an @, and groups of
+digits and the signs of numbers that are joined by single spaces, as one candidate. Each has three lexical patterns: the
+word to its left, the two words to its left, and the words to its left and right; where there is no word the edge of the
+text stands for it. Patterns and candidate words form a graph whose edges are counts over the whole corpus. Words that base
+entities start in are the seeds; in each round a pattern's confidence in a kind is the share of its occurrences whose words
+are held to be of that kind, and a word that is no seed takes the confidence of its patterns, weighed by occurrences; one
+that reaches the confidence asked for is a seed from the next round on. Patterns that end with high confidence and enough
+different seeds mark the other candidates that stand in them, if these look like identifiers and do not overlap a base entity.
 
 Everything is DataFrame functions: positions are sums of the lengths of what regular expressions split off. Patterns are
 written so that they neither recurse nor look at a run of characters again from each of its places.
 
 Defined results: a null text is empty; rows without entities have counts of 0, empty spans and the digest of nothing.
-Rows equal in id and text have equal results; rows with one id and different texts are looked at each for itself.
+Rows equal in id and text have equal results; rows with one id and different texts are looked at each for itself. Of kinds
+of equal confidence the one that is listed first is taken. A text of any length is taken whole; its pieces are rows after
+the first step. Columns besides id and text play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +39,11 @@ PATTERNS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word and the space behind it, before a word with a digit or an @.
-CONTEXT = rf"(?<![^{SPACE}])([^{SPACE}]++)[{SPACE}]++(?=([^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+))"
+_NUMBER = r"[+(]*+[0-9][0-9().+-]*+"
+#: A word and the space behind it (or the text's start, for which a space is put there), before a group of numbers or a word with a digit or an @, and the
+#: word behind that.
+CONTEXT = rf"(?:\A\x20[{SPACE}]*+|(?<![^{SPACE}])([^{SPACE}]++)[{SPACE}]++)(?=((?:{_NUMBER}(?:\x20{_NUMBER}(?=[{SPACE},;:!?\]}}>\"']|\z))*+[,;:!?\]}}>\"']*+(?![^{SPACE}])|[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+))[{SPACE}]*+([^{SPACE}]*+))"
+EDGE = "^"
 
 
 @dataclass(frozen=True)
@@ -50,17 +57,21 @@ class Learning:
     digits: int = 4
 
 
-def _pieces(text: Column, kind: int, pattern: str, group: int = 0, left: int | None = None) -> Column:
-    """An array of (kind, number, characters before, characters of the match, group, left group) for each match."""
-    parts = [F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")]
-    if group:
-        parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("word"), F.regexp_extract_all(text, F.lit(pattern), F.lit(left)).alias("left")]
+def _pieces(text: Column, kind: int, pattern: str, context: bool = False) -> Column:
+    """An array of (kind, number, characters before, characters of the match, word, lexical patterns) for each match. A
+    match of a context is the word to the left; its word is looked ahead for."""
+    groups = {"match": 0} | ({"left": 1, "word": 2, "right": 3} if context else {})
+    parts = [F.split(text, pattern, -1).alias("before"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items())]
 
     def piece(x: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), i.alias("number"), F.length(x["before"]).alias("before"), F.length(x["match"]).alias("size"),
-            (x["word"] if group else x["match"]).alias("word"), (x["left"] if group else F.lit(None).cast("string")).alias("left"),
-        )
+        patterns = F.lit(None).cast("array<string>")
+        if context:
+            left, right = (F.lower(F.when(x[c] == "", EDGE).otherwise(x[c])) for c in ("left", "right"))
+            # the word before the left one: the end of what lies before, of which a bounded part is looked at
+            further = F.lower(F.regexp_extract(F.right(F.rtrim(x["before"]), F.lit(40)), rf"([^{SPACE}]+)[{SPACE}]*$", 1))
+            patterns = F.array(left, F.concat_ws(" ", F.when(further == "", EDGE).otherwise(further), left), F.concat(left, F.lit(" _ "), right))
+        word = x["word"] if context else x["match"]
+        return F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.length(x["before"]).alias("before"), F.length(x["match"]).alias("size"), word.alias("word"), patterns.alias("patterns"))
 
     return F.transform(F.filter(F.arrays_zip(*parts), lambda x: x["match"].isNotNull()), piece)
 
@@ -90,20 +101,21 @@ def found_items(docs: DataFrame) -> DataFrame:
     """Base entities (base is true) and candidates of the texts (row_id, row_hash, text), with their places."""
     text = F.col("text")
     has_digit = F.col("has_digit")
-    none = F.array().cast("array<struct<kind:int,number:int,before:int,size:int,word:string,left:string>>")
+    none = F.array().cast("array<struct<kind:int,number:int,before:int,size:int,word:string,patterns:array<string>>>")
     hint = {"email": F.contains(text, F.lit("@")), "ip": has_digit, "card": has_digit, "phone": F.contains(text, F.lit("+")) & has_digit}
     kinds = [F.when(hint[k], _pieces(text, i, PATTERNS[k])).otherwise(none) for i, k in enumerate(KINDS)]
-    kinds.append(F.when(has_digit | hint["email"], _pieces(text, CANDIDATE, CONTEXT, 2, 1)).otherwise(none))
+    kinds.append(F.when(has_digit | hint["email"], _pieces(F.concat(F.lit(" "), text), CANDIDATE, CONTEXT, True)).otherwise(none))
     raw = docs.withColumn("has_digit", text.rlike("[0-9]")).select("row_id", "row_hash", F.explode(F.concat(*kinds)).alias("x")).select("row_id", "row_hash", "x.*").distinct()
     run = F.sum(F.col("before") + F.col("size")).over(Window.partitionBy("row_id", "row_hash", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
     placed = raw.withColumn("run", run.cast("long"))
     base = F.col("kind") < CANDIDATE
     # a candidate is a word behind the match; signs around it do not belong to it
-    lead = F.length("word") - F.length(F.regexp_replace("word", r"^[(\[{<\"']+", ""))
-    core = F.regexp_replace(F.regexp_replace("word", r"^[(\[{<\"']+", ""), r"[.,;:!?)\]}>\"']+$", "")
-    start = F.when(base, F.col("run") - F.col("size")).otherwise(F.col("run") + lead)
+    bare = F.regexp_replace("word", r"^[(\[{<\"']+(?![0-9]+\))", "")  # brackets around a number's first digits belong to it
+    lead = F.length("word") - F.length(bare)
+    core = F.regexp_replace(bare, r"[.,;:!?)\]}>\"']+$", "")
+    start = F.when(base, F.col("run") - F.col("size")).otherwise(F.col("run") + lead - 1)
     word = F.when(base, F.col("word")).otherwise(core)
-    return placed.where(_valid()).select("row_id", "row_hash", "kind", base.alias("base"), F.lower("left").alias("pattern"), word.alias("word"), start.alias("start"), (start + F.length(word)).alias("end"))
+    return placed.where(_valid()).select("row_id", "row_hash", "kind", base.alias("base"), "patterns", word.alias("word"), start.alias("start"), (start + F.length(word)).alias("end"))
 
 
 def candidates(items: DataFrame) -> DataFrame:
@@ -117,12 +129,12 @@ def candidates(items: DataFrame) -> DataFrame:
     seed = F.when(at_start, F.col("same.kind")).when(inside, F.col("following.kind"))
     whole = F.when(at_start, F.col("same.word")).when(inside, F.col("following.word")).otherwise(F.col("word"))
     overlaps = F.coalesce(F.col("ends") > F.col("start"), F.lit(False)) & ~F.coalesce(at_start, F.lit(False))
-    return seen.where(~overlaps).select("row_id", "row_hash", "pattern", whole.alias("word"), "start", "end", seed.alias("seed"))
+    return seen.where(~overlaps).select("row_id", "row_hash", "patterns", whole.alias("word"), "start", "end", seed.alias("seed"))
 
 
 def confident_patterns(found: DataFrame, learning: Learning) -> DataFrame:
-    """pattern, kind of the patterns that the scoring leaves with confidence."""
-    edges = found.groupBy("pattern", "word").agg(F.count("*").alias("n"), *[F.max((F.col("seed") == k).cast("double")).alias(f"seed{k}") for k in range(len(KINDS))])
+    """pattern, kind, sure of the patterns that the scoring leaves with confidence."""
+    edges = found.withColumn("pattern", F.explode("patterns")).groupBy("pattern", "word").agg(F.count("*").alias("n"), *[F.max((F.col("seed") == k).cast("double")).alias(f"seed{k}") for k in range(len(KINDS))])
     edges = edges.select("pattern", "word", "n", *[F.coalesce(f"seed{k}", F.lit(0.0)).alias(f"s{k}") for k in range(len(KINDS))])
     scores = [f"s{k}" for k in range(len(KINDS))]
     seeds = edges.groupBy("word").agg(*[F.max(s).alias(s) for s in scores])
@@ -136,14 +148,15 @@ def confident_patterns(found: DataFrame, learning: Learning) -> DataFrame:
     for _ in range(learning.rounds - 1):
         patterns = rated(now, [f"v{k}" for k in range(len(KINDS))])
         words = graph.join(patterns, "pattern").groupBy("word").agg(*[(F.sum(F.col("n") * F.col(f"c{k}")) / F.sum("n")).alias(f"w{k}") for k in range(len(KINDS))])
-        now = graph.join(words, "word").select(*graph.columns, *[F.when(known, F.col(s)).otherwise(F.col(f"w{k}")).alias(f"v{k}") for k, s in enumerate(scores)])
+        grown = lambda k: F.when(F.col(f"w{k}") >= learning.confidence, 1.0).otherwise(F.col(f"w{k}"))
+        now = graph.join(words, "word").select(*graph.columns, *[F.when(known, F.col(s)).otherwise(grown(k)).alias(f"v{k}") for k, s in enumerate(scores)])
     final = now.groupBy("pattern").agg(
         *[(F.sum(F.col("n") * F.col(f"v{k}")) / F.sum("n")).alias(f"c{k}") for k in range(len(KINDS))],
         *[F.sum((F.col(s) > 0).cast("long")).alias(f"n{k}") for k, s in enumerate(scores)],
     )
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"c{k}").alias("c"), F.col(f"n{k}").alias("n")) for k in range(len(KINDS))])).alias("x")
     sure = final.select("pattern", each).where((F.col("x.c") >= learning.confidence) & (F.col("x.n") >= learning.seeds))
-    return sure.groupBy("pattern").agg(F.max_by("x.kind", F.struct("x.c", -F.col("x.kind"))).alias("kind"))
+    return sure.groupBy("pattern").agg(F.max_by("x.kind", F.struct("x.c", -F.col("x.kind"))).alias("kind"), F.max("x.c").alias("sure"))
 
 
 def personal_data(df: DataFrame, learning: Learning = Learning(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +170,12 @@ def personal_data(df: DataFrame, learning: Learning = Learning(), key: str = "do
     found = candidates(items)
     patterns = confident_patterns(found, learning)
     enough = (F.length(_digits(F.col("word"))) >= learning.digits) | F.contains("word", F.lit("@"))
-    new = found.where(F.col("seed").isNull() & enough).join(patterns, "pattern").select("row_id", "row_hash", "kind", "start", "end", F.lit(False).alias("base"))
+    open_ = found.where(F.col("seed").isNull() & enough).withColumn("pattern", F.explode("patterns")).join(patterns, "pattern")
+    place = ["row_id", "row_hash", "start", "end"]
+    sure = open_.groupBy(*place).agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"))
+    # of those that overlap the first one is taken
+    before = F.max("end").over(Window.partitionBy("row_id", "row_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    new = sure.withColumn("before", before).where("before IS NULL OR before <= start").select("row_id", "row_hash", "kind", "start", "end", F.lit(False).alias("base"))
     spans = items.where("base").select("row_id", "row_hash", "kind", "start", "end", "base").unionByName(new)
     rows = spans.groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "base"))).alias("spans"))
     joined = docs.select("row_id", "row_hash").alias("d").join(rows.alias("r"), F.col("d.row_id").eqNullSafe(F.col("r.row_id")) & (F.col("d.row_hash") == F.col("r.row_hash")), "left")
