@@ -2,15 +2,18 @@
 
 A text's features are the byte n-grams that it has, hashed to a fixed number of places, and word n-grams of one word
 over and over, of two to five times, without regard to the word; how often it has them does not count. Each feature is scaled by the log of the ratio of its smoothed counts in the two classes, rows are scaled to unit
-length, and a linear hinge-loss model is fitted by dual coordinate descent; its weights are drawn towards their mean
+length, and a linear model of squared hinge loss is fitted by dual coordinate descent; its weights are drawn towards their mean
 size. A logistic curve over margins of rows left out of the fit turns margins into scores.
 
-The fit takes max_train labelled rows at most, those first by a hash of their id; features of these rows, as integers,
-come to the driver (at most max_train * min(2**bits, bytes of a text)). Scoring covers every row and reads the text only.
+The fit takes max_train labelled rows at most, those first by a hash of their id, and of these the first that have
+max_features features together; features of these rows, as integers of four bytes, come to the driver. Scoring covers every
+row and reads the text only. Settings are chosen by cross_validated over rows that may be learnt from.
 
 Defined results: a null or empty text has no features and gets the score of margin 0 shifted by the bias. Labelled rows
 whose label is null are not learnt from. With no row of one class left the score is 0.5 for all, or the class's 1.0 or
-0.0. Repeated rows are scored each for itself; rows repeated in labels count as often in the fit.
+0.0. Repeated rows are scored each for itself; rows repeated in labels count as often in the fit. Rows of one id with
+different texts are all learnt from. Ties in the order of labelled rows go by id, then label. A text of any length is taken
+whole. Columns besides id, text and label play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .io import give_back, small_batches
+from .io import give_back, shared_dir, small_batches
 from .words import U64, column_bytes, slices, words_of
 
 #: Text of so many bytes is turned into features at once.
@@ -40,6 +44,7 @@ class Settings:
     rounds: int = 20
     blend: float = 0.8
     max_train: int = 10_000
+    max_features: int = 1 << 26
     calibration_share: float = 0.2
     threshold: float = 0.3
 
@@ -154,6 +159,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model
     return Model(settings, weights, bias, slope, shift)
 
 
+def cross_validated(rows: list[np.ndarray], labels: np.ndarray, settings: Settings, folds: int = 5) -> tuple[float, float]:
+    """Mean log loss, and share of right decisions, over rows that were left out of the fit in turn."""
+    loss, right = [], []
+    for k in range(folds):
+        out = np.arange(len(rows)) % folds == k
+        model = fit([rows[i] for i in np.flatnonzero(~out)], labels[~out], settings)
+        got = np.clip(model.score(np.array([margin_of(rows[i], model) for i in np.flatnonzero(out)])), 1e-9, 1 - 1e-9)
+        loss.append(-np.log(np.where(labels[out] > 0, got, 1 - got)).mean())
+        right.append(((got >= settings.threshold) == (labels[out] > 0)).mean())
+    return float(np.mean(loss)), float(np.mean(right))
+
+
 def margin_of(row: np.ndarray, model: Model) -> float:
     scale, weight = model.weights
     return (weight[row].sum() / np.sqrt(max(scale[row].sum(), 1e-12)) if len(row) else 0.0) + model.bias
@@ -189,7 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.int64()), batch.column("_label"), lists], names=["_key", "_label", "_features"])
 
-    got = joined.mapInArrow(run, "_key long, _label int, _features array<int>").toArrow()
+    path = shared_dir(docs.sparkSession, "classifier")
+    joined.mapInArrow(run, "_key long, _label int, _features array<int>").write.parquet(path)
+    learnt = docs.sparkSession.read.schema("_key long, _label int, _features array<int>").parquet(path)
+    # at most max_train rows, or as many as labelled ids are repeated in docs, are counted here
+    order = Window.orderBy(F.xxhash64("_key"), "_key", "_label", F.xxhash64("_features"))
+    upto = F.sum(F.size("_features").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    got = learnt.withColumn("_upto", upto).where(F.col("_upto") <= settings.max_features).drop("_upto").toArrow()
     order = np.lexsort((got.column("_label").to_numpy(), got.column("_key").to_numpy()))
     lists = got.column("_features").combine_chunks()
     flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
