@@ -38,9 +38,9 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    large = load(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    large = load(spark, sf_dir, "orders").where("o_totalprice > 400000")
     return load(spark, sf_dir, "customer").select("c_custkey").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
@@ -88,9 +88,9 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_custkey"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey"))
 
 
 @query("distinct_union", "SELECT event_type AS k FROM events UNION SELECT o_orderstatus FROM orders")
