@@ -113,11 +113,13 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(map((text or "").count, "#*$%&|<>")), again, len(covered), failed
 
 
-def line_keys(line, leading=3, fields=3, open_words=8, min_words=2):
+def line_keys(line, leading=3, fields=3, open_words=8):
     """Templates of a line, as tuples."""
-    w = ["0" if re.search("[0-9]", x) else x for x in words(lower(line))]
+    w = words(lower(line))
     n = len(w)
-    if n < max(1, min_words):
+    if n > 1:
+        w = ["0" if re.search("[0-9]", x) else x for x in w]
+    if not n:
         return []
     lead = min(leading, n)
     cuts = [lead + (n - lead) * k // fields for k in range(fields + 1)]
@@ -128,7 +130,7 @@ def line_keys(line, leading=3, fields=3, open_words=8, min_words=2):
     return keys
 
 
-def drop_lines(docs, min_docs=10):
+def drop_lines(docs, min_docs=10, long_words=20, long_docs=3):
     """(doc_id, text) with the lines of recurring templates dropped, but for the first of each."""
     places = collections.defaultdict(set)
     for d, t in docs:
@@ -136,8 +138,8 @@ def drop_lines(docs, min_docs=10):
             for key in line_keys(line):
                 places[key].add((NO_ID if d is None else d, i))
     gone = set()
-    for found in places.values():
-        if len({d for d, _ in found}) >= min_docs:
+    for (n, _, parts), found in places.items():
+        if len({d for d, _ in found}) >= (min(long_docs, min_docs) if n >= long_words and None not in parts else min_docs):
             gone |= set(sorted(found)[1:])
     return [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (NO_ID if d is None else d, i) not in gone)) for d, t in docs]
 

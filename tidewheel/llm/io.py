@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..session import shared_dir
 
-__all__ = ["give_back", "shared_dir", "small_batches"]
+__all__ = ["fresh_names", "give_back", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -30,3 +30,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # not glibc
+
+
+def fresh_names(taken: list[str], *wished: str) -> list[str]:
+    """Names for helper columns that meet none of a table's columns, whatever their case, and not each other."""
+    had, out = {c.lower() for c in taken}, []
+    for name in wished:
+        name = f"_{name}"
+        while name.lower() in had:
+            name += "_"
+        had.add(name.lower())
+        out.append(name)
+    return out

@@ -13,23 +13,29 @@ no key; only a set with g empty segments or more writes keys for these too. Of t
 larger of the two sets' credits, g less the empty ones; so each set leaves out its most frequent keys, one fewer than its
 credit: the rarest key that the two share is still there for both.
 
-What meets in a key of `common` sets or fewer is compared pair by pair. In a more common key all sets are compared to one pivot first, and then
-components decide: sets of one component need no further look. Where a key still holds several, more pivots follow, in
-rounds that make them sixteen times as many, until there is one component or all have been pivots. So a group of near copies of any
-size costs about a comparison for each member, and no link between different components is lost.
+All sets of a key are compared to one of them first, its pivot, and then components decide: sets of one component need
+no further look. Where a key still holds several components, more pivots follow, in rounds that make them 64 times as
+many, until there is one component or all have been pivots. So a group of near copies of any size costs about a comparison
+for each member, and no link between different components is lost.
 
-Equal sets are one node from the start: a node is the 64-bit sum of its set's hashes (a chance match among n different
-sets has the probability n * n / 2**65). Candidates are verified on the 64-bit hashes of their shingles. Fixed-size bit
-tables, sent to all tasks, let most texts that no candidate needs stay where they are.
+Keys travel with 40 bits and their bucket. Where two keys of one set fall together, its credit is less by one: of the
+keys that a pair shares there are still as many as each set's credit says.
+
+Equal sets are one node from the start: a node is a 64-bit hash of its set. A second hash tells whether different sets
+have one node; the few that do (n * n / 2**65 are expected of n) take the second hash as their node, and their numbers are
+known to all tasks. So different sets are told apart by 128 bits. Candidates are verified on the 64-bit hashes of their
+shingles. Fixed-size bit tables, sent to all tasks, let most texts that no candidate needs stay where they are.
 
 Defined results: a null or empty text has no shingles, links to nothing, and is its own component. Rows with one id are
 nodes of their own; with a null id they are no one's component id while another id is there. Repeated rows fall in
-one component. An empty table gives an empty result.
+one component, and so do texts that differ in case or space alone. A text of any length is taken whole. Of the rows that
+could stay in drop_near_duplicates ties go by id, then by the set's number. Columns besides id and text play no part,
+whatever their names; names for helper columns are chosen so that they meet none. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -41,13 +47,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import packed
-from .io import give_back, shared_dir, small_batches
+from .io import fresh_names, give_back, shared_dir, small_batches
 from .words import U64, Words, mix, slices, windows, words_of
 
 SLICE = 2 << 20
 #: Pairs of sets that go to Python at once; a set takes eight bytes for each shingle.
 VERIFY_ROWS = 100
-#: Sets of a common key that are compared with as many at once, and such rows that go to Python at once.
+#: Sets of a key that are compared with as many at once, and such rows that go to Python at once.
 BLOCK_SETS, BLOCK_ROWS = 256, 10
 
 SIZE = 5
@@ -57,12 +63,21 @@ MASK = (1 << NODE_BITS) - 1
 TABLE_BITS = 1 << 25
 
 
+#: A key takes a copy of its pivot for each so many of its sets, and at most so many copies; sets are dealt among them.
+SALT_SETS, SALTS = 256, 64
+#: Sets of keys with so many or fewer meet as pairs in rows, those of others in blocks.
+PAIR_SETS = 16
+
+
 @dataclass(frozen=True)
 class Plan:
+    """ratio: of a band's sizes. spare: segments beyond those that differences can spoil, as a share of these. thin_cost:
+    what a key that chance may find costs, in keys. node_bits: fewer than 64 only in tests."""
+
     ratio: float = 1.4
     spare: float = 0.25
     thin_cost: float = 4.0
-    common: int = 16
+    node_bits: int = 64
 
 
 @dataclass(frozen=True)
@@ -125,13 +140,15 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(rows_, np.arange(len(n) + 1))
 
 
-def set_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values ^ U64(0x6A09E667F3BCC909)), dtype=U64)])
+def set_sums(values: np.ndarray, bounds: np.ndarray, salt: int = 0x6A09E667F3BCC909) -> np.ndarray:
+    """A hash of each set; those of two salts are independent."""
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values ^ U64(salt)), dtype=U64)])
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U64))
 
 
-def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, rows of the sets they are of, and notes: four times the set's credit, and which of its bands the key is of."""
+def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan, short: Callable[[np.ndarray], np.ndarray] = lambda keys: keys) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, rows of the sets they are of, and notes: four times the set's credit, and which of its bands the key is of.
+    short: what is left of the keys when they are compared."""
     n = np.diff(bounds)
     if not len(n) or not n.max():
         return
@@ -169,42 +186,84 @@ def keys_of(values: np.ndarray, bounds: np.ndarray, plan: Plan) -> Iterator[tupl
         credit = np.where(share > 0, -(-share // np.where(deleting[np.maximum(band, 0)] > 0, 2, 1)), 0)
         note = credit * 4 + below
         emit = (count > 0) | (weak >= spares)[owner]
-        yield mix(sums[emit] + salt[emit]), owner[emit], note[owner[emit]]
+        keys, rows = [mix(sums[emit] + salt[emit])], [owner[emit]]
         less = open_[place] & ((count[place] > 1) | (weak >= spares)[r])
         if less.any():
-            yield mix(sums[place[less]] - t[less] + salt[place[less]]), r[less], note[r[less]]
+            keys.append(mix(sums[place[less]] - t[less] + salt[place[less]]))
+            rows.append(r[less])
+        key, of = np.concatenate(keys), np.concatenate(rows)
+        yield key, of, note[of] - 4 * np.minimum(fallen_together(short(key), of, len(n)), credit)[of]
+
+
+def fallen_together(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Of each row, how many of its keys are equal to another one of it."""
+    hashed = np.sort(mix(keys ^ mix(rows.astype(U64))))
+    if not (hashed[1:] == hashed[:-1]).any():
+        return np.zeros(n, np.int64)
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    return np.bincount(rows[1:][(keys[1:] == keys[:-1]) & (rows[1:] == rows[:-1])], minlength=n)
+
+
+@dataclass(frozen=True)
+class Names:
+    """How sets are numbered: by bits of their hash, those with a number in shared by their second hash."""
+
+    bits: int = 64
+    shared: tuple[int, ...] = ()
 
+    def __call__(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        node = set_sums(values, bounds) >> U64(64 - self.bits)
+        again = np.isin(node.view(np.int64), np.array(self.shared, np.int64)) if self.shared else np.zeros(len(node), bool)
+        return np.where(again, self.second(values, bounds), node.view(np.int64))
 
-def _nodes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values, bounds = shingle_sets(words_of(column, lower=True))
-    return values, bounds, set_sums(values, bounds).view(np.int64)
+    def second(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return set_sums(values, bounds, 0xBB67AE8584CAA73B).view(np.int64)
 
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of the texts, their bounds, and the texts' nodes."""
+        values, bounds = shingle_sets(words_of(column, lower=True))
+        return values, bounds, self(values, bounds)
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+
+def _sets(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for part in slices(batches, "_text", SLICE):
-        yield part, *_nodes(part.column("_text"))
+        yield part, *names.of(part.column("_text"))
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Of each set, whether an even or an odd number of its hashes fall on each of a power of two of bits, no fewer than
-    twice its hashes and 256. Two sets differ in no fewer hashes than their sketches in bits, also when the longer one is folded."""
+    its hashes and 256. Two sets differ in no fewer hashes than their sketches in bits, also when the longer one is folded."""
     n = np.diff(bounds)
-    bits = np.maximum(256, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     offset = np.concatenate([[0], np.cumsum(bits)])
     at = np.repeat(offset[:-1], n) + (mix(values ^ U64(0x3C6EF372)).astype(np.int64) & (np.repeat(bits, n) - 1))
     packed_ = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(bool)).tobytes()
     return [packed_[a // 8 : b // 8] for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
 
 
-def profiles(texts: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles, sketch of each row."""
+def profiles(texts: DataFrame, names: Names) -> DataFrame:
+    """doc_id, node, second, n_shingles, sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, values, bounds, node in _sets(batches):
-            columns = [part.column("_key"), pa.array(node), pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "sketch"])
+        for part, values, bounds, node in _sets(batches, names):
+            columns = [part.column("_key"), pa.array(node), pa.array(names.second(values, bounds)), pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "second", "n_shingles", "sketch"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, second long, n_shingles long, sketch binary")
 
-    return texts.mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
+
+def numbered(texts: DataFrame, work: Workspace, bits: int) -> tuple[DataFrame, DataFrame, Names]:
+    """Rows (doc_id, node, n_shingles), nodes (node, n_shingles, sketch), and the numbering that tells all sets apart."""
+    names = Names(bits)
+    while True:
+        rows = work.keep(profiles(texts, names))
+        first = F.first(F.struct("n_shingles", "sketch")).alias("x")
+        nodes = work.keep(rows.where("n_shingles > 0").groupBy("node").agg(first, F.min("second").alias("low"), F.max("second").alias("high")).select("node", "x.*", (F.col("low") != F.col("high")).alias("shared")))
+        shared = [r.node for r in nodes.where("shared").select("node").toLocalIterator()]
+        if not shared:
+            return rows.drop("second", "sketch"), nodes.drop("shared"), names
+        names = Names(bits, tuple(sorted({*names.shared, *shared})))
 
 
 def folded(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -255,7 +314,7 @@ def across(now: DataFrame, level: int, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_))], names=["a", "b"])
 
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_left") / BLOCK_SETS)).alias("block")
-    rows = now.join(nodes, "node").select("key", block, "level", F.struct("node", "n_shingles", "label", "sketch").alias("x"))
+    rows = now.select("key", "node", "level", "label", "n_left").join(nodes, "node").select("key", block, "level", F.struct("node", "n_shingles", "label", "sketch").alias("x"))
     members = rows.groupBy("key", "block").agg(F.collect_list("x").alias("members")).drop("block")
     pivots = rows.where(F.col("level") == level).groupBy("key", "block").agg(F.collect_list("x").alias("pivots")).drop("block")
     return members.join(pivots, "key").select("members", "pivots").mapInArrow(run, "a long, b long").distinct()
@@ -268,13 +327,14 @@ def _block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return node, n, label, [np.frombuffer(s.as_buffer(), np.uint8) for s in values.field(3)]
 
 
-def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """key, short (a node's low bits), note: of the keys that two nodes or more have, in rows of a key, node and note."""
-    wish = packed.Wish(2, by_doc=True)
+def shared_keys(texts: DataFrame, plan: Plan, buckets: packed.Buckets, names: Names) -> DataFrame:
+    """key, short (a node's low bits), note, n_sets: of the keys that two nodes or more have, in rows of a key and node."""
+    wish = packed.Wish(2, by_doc=True, hot=4)
+    size = NODE_BITS // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = packed.Dealer(buckets, wish, key_bytes=NODE_BITS // 8), set()
-        for _, values, bounds, node in _sets(batches):
+        dealer, seen = packed.Dealer(buckets, wish, key_bytes=size), set()
+        for _, values, bounds, node in _sets(batches, names):
             # of equal sets that a task meets, one is enough
             new = np.zeros(len(node), bool)
             for i, x in enumerate(node.tolist()):
@@ -283,15 +343,15 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
                     new[i] = True
             if len(seen) > 1 << 20:
                 seen.clear()
-            for keys, row, note in keys_of(values, bounds, plan):
+            for keys, row, note in keys_of(values, bounds, plan, lambda keys: packed.short_keys(keys, buckets.keys, size)):
                 take = new[row]
                 yield from dealer.add(keys[take], node[row[take]] & MASK, note[take])
         yield from dealer.flush()
         give_back()
 
     dealt = texts.mapInArrow(run, packed.DEALT)
-    places = packed.wanted(dealt, buckets, wish, each=True, key_bytes=NODE_BITS // 8)
-    return places.select("key", F.col("doc").alias("short"), F.col("spot").cast("int").alias("note"))
+    places = packed.wanted(dealt, buckets, wish, each=True, key_bytes=size)
+    return places.select("key", F.col("doc").alias("short"), F.col("spot").cast("int").alias("note"), F.col("n").alias("n_sets"))
 
 
 def bit_table(values: DataFrame, column: str) -> np.ndarray:
@@ -313,13 +373,13 @@ def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, nodes: DataFrame, names: Names) -> DataFrame:
     """node, shingles (packed hashes) of the nodes."""
-    bits = texts.sparkSession.sparkContext.broadcast(bit_table(nodes.where("node <> 0"), "node"))
+    bits = texts.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, values, bounds, node in _sets(batches):
+        for _, values, bounds, node in _sets(batches, names):
             rows = []
             for i in np.flatnonzero(in_table(bits.value, node)).tolist():
                 if int(node[i]) not in seen:
@@ -393,89 +453,171 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, node, label of each row; node stands for its set of shingles, label for its component."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    work = Workspace(spark, "ngram-join")
-    n = 2 * packed.bucket_count(docs).keys
-    texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = work.keep(profiles(texts))
-    nodes = work.keep(rows.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"]))
-    named = nodes.select("node", "n_shingles", F.col("node").bitwiseAND(F.lit(MASK)).alias("short"))
-    found = shared_keys(texts, plan, packed.Buckets(n, 1)).join(named, "short")
-    keyed = work.keep(found.select("key", "node", F.col("n_shingles").alias("n"), F.shiftright("note", 2).alias("credit"), F.col("note").bitwiseAND(F.lit(3)).alias("below")).distinct())
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
-    # of the keys of a set in one band, the most frequent may go, as many as its credit less one
-    frequent = F.row_number().over(Window.partitionBy("node", "below").orderBy(F.desc("n_sets"), "key"))
-    left = keyed.join(sizes, "key").withColumn("rank", frequent).where(F.col("rank") >= F.col("credit")).select("key", "node", "n", "n_sets")
-    left = work.keep(left)
-    rare = left.where(F.col("n_sets") <= plan.common)
-    common = left.where(F.col("n_sets") > plan.common)
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("key", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
-
-    pairs = side(rare, "a").join(side(rare, "b"), "key").where("a < b")
-    pivots = common.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("p"))
-    stars = common.join(pivots, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
-    pairs = work.keep(plausible(pairs.select("a", "na", "b", "nb").unionByName(stars), nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(common.select("node")).distinct()
-    sets = work.keep(sets_of(texts, wanted))
-    edges = work.keep(verified(pairs, sets), VERIFY_ROWS)
-    labels = components(edges, work)
+def key_members(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n, copies of what shared_keys found: of a set's keys in one band the most frequent are left out, as many
+    as its credit less one. One exchange, by short, does for the join, the repetitions and the ranks."""
+    named = nodes.select(F.col("node").bitwiseAND(F.lit(MASK)).alias("short"), "node", F.col("n_shingles").alias("n"))
+    below, credit = F.col("note").bitwiseAND(F.lit(3)).alias("below"), F.shiftright("note", 2).alias("credit")
+    keyed = found.repartition("short").join(named, "short").select("short", "node", "key", "n", below, credit, "n_sets").distinct()
+    frequent = F.row_number().over(Window.partitionBy("short", "node", "below").orderBy(F.desc("n_sets"), "key"))
+    copies = F.least(F.lit(SALTS), F.ceil(F.col("n_sets") / SALT_SETS)).cast("int").alias("copies")
+    return keyed.withColumn("rank", frequent).where(F.col("rank") >= F.col("credit")).select("key", "node", "n", copies)
+
+
+def salt() -> Column:
+    """Which copy of what belongs to its key a member meets."""
+    return F.pmod(F.xxhash64("node"), F.col("copies")).alias("salt")
 
-    # a member's level: 0 for few, each next one for sixteen times as many, up to the depth of its key for the last
-    members = common.join(common.groupBy("key").agg(F.count("*").alias("n_left")), "key")
-    depth = F.ceil(F.log2(F.col("n_left").cast("double")) / 4).cast("int")
+
+def salted(by_key: DataFrame) -> DataFrame:
+    """A row for each copy of a key."""
+    return by_key.select(*[c for c in by_key.columns if c != "copies"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("salt"))
+
+
+def levelled(members: DataFrame) -> DataFrame:
+    """Members of keys of three sets or more, with the number of sets (n_left), the depth of the key and the member's level:
+    0 for few, each next one for 64 times as many, up to the depth for the last."""
+    sizes = members.groupBy("key", "copies").agg(F.count("*").alias("n_left")).where("n_left > 2")
     draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    level_of = F.greatest(F.lit(0), F.col("depth") + F.ceil(F.log2(draw + F.lit(2.0**-31)) / 4).cast("int"))
-    members = members.withColumn("depth", depth).withColumn("level", level_of)
-    level = 0
+    depth = F.ceil(F.log2(F.col("n_left").cast("double")) / 6).cast("int")
+    level = F.greatest(F.lit(0), F.col("depth") + F.ceil(F.log2(draw + F.lit(2.0**-31)) / 6).cast("int"))
+    return members.withColumn("salt", salt()).join(salted(sizes), ["key", "salt"]).select("key", "node", "n", "copies", "n_left", depth.alias("depth")).withColumn("level", level)
+
+
+def labelled(members: DataFrame, labels: DataFrame, name: str = "label") -> DataFrame:
+    """Members with the label of their node; without one a node is its own."""
+    named = labels.select("node", F.col("label").alias("_label"))
+    return members.drop(name).join(named, "node", "left").withColumn(name, F.coalesce("_label", "node")).drop("_label")
+
+
+def unsettled(members: DataFrame, *within: str) -> DataFrame:
+    """Labelled members of the keys (and what else is in within) that hold different labels."""
+    by = ["key", *within]
+    keys = members.groupBy(*by, "copies").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*by, "copies")
+    left, right = members.withColumn("salt", salt()).alias("l"), salted(keys).alias("r")
+    return left.join(right, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "salt")], "left_semi").drop("salt")
+
+
+def pairs_within(members: DataFrame, *within: str) -> DataFrame:
+    """Pairs (a, na, b, nb) of members of a key that have different labels; only for keys of few sets."""
+    side = lambda x: members.select("key", *within, *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "label")))
+    same = [F.col("x.key") == F.col("y.key"), *(F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in within)]
+    both = side("1").alias("x").join(side("2").alias("y"), same).where("node1 < node2 AND label1 <> label2")
+    return both.select(F.col("node1").alias("a"), F.col("n1").alias("na"), F.col("node2").alias("b"), F.col("n2").alias("nb"))
+
+
+class Verifier:
+    """Verifies candidate pairs, and holds the sets that it has fetched for that."""
+
+    def __init__(self, texts: DataFrame, names: Names, work: Workspace):
+        self.texts, self.names, self.work, self.sets = texts, names, work, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The edges among pairs, which is a kept table."""
+        if pairs.isEmpty():
+            return pairs
+        nodes = self.work.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        if self.sets is None:
+            mine = self.sets = self.work.keep(sets_of(self.texts, nodes, self.names))
+        else:
+            missing = self.work.keep(nodes.join(self.sets.select("node"), "node", "left_anti"))
+            if not missing.isEmpty():
+                self.sets = self.sets.unionByName(self.work.keep(sets_of(self.texts, missing, self.names)))
+            mine = self.sets.join(nodes, "node", "left_semi")
+        return self.work.keep(verified(pairs, mine), VERIFY_ROWS)
+
+
+def linked(texts: DataFrame, plan: Plan, key_buckets: int, work: Workspace) -> tuple[DataFrame, DataFrame, Names]:
+    """Rows (doc_id, node, n_shingles), labels of the nodes that have links (node, label), and the nodes' numbering."""
+    rows, nodes, names = numbered(texts, work, plan.node_bits)
+    members = work.keep(key_members(shared_keys(texts, plan, packed.Buckets(key_buckets, 1), names), nodes))
+    pivots = members.groupBy("key", "copies").agg(F.min(F.struct("node", "n")).alias("p"))
+    stars = members.withColumn("salt", salt()).join(salted(pivots), ["key", "salt"])
+    stars = stars.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
+    stars = work.keep(plausible(stars, nodes))
+
+    # sets with one pivot before all others are likely to be in one component; of small keys, the pairs of the other sets
+    # are looked at now, so that all can be verified at once
+    both = stars.select(F.col("a").alias("node"), F.col("b").alias("to")).union(stars.select("b", "a"))
+    likely = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
+    members = work.keep(labelled(levelled(members), likely, "part"))
+    small = F.col("n_left") <= PAIR_SETS
+    apart = unsettled(members.where(small).withColumn("label", F.col("part")))
+    verify = Verifier(texts, names, work)
+    edges = verify(work.keep(stars.unionByName(plausible(pairs_within(work.keep(apart)), nodes)).distinct()))
+    labels = components(edges, work)
+    # sets of a part, that were only likely to be in one component, have not met; a larger key is one part
+    members, level = members.withColumn("part", F.when(small, F.col("part"))), 0
     while True:
-        now = members.where(F.col("depth") >= level).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        unsettled = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        now = work.keep(now.join(unsettled, "key", "left_semi"))
-        if now.isEmpty():
-            break
-        members = now.drop("label")
-        new = work.keep(verified(work.keep(across(now, level, nodes), BLOCK_ROWS), sets), VERIFY_ROWS)
+        members = work.keep(unsettled(labelled(members.where(F.col("depth") >= level), labels), "part"))
+        if members.isEmpty():
+            return rows, labels, names
+        found = across(members.where(~small), level, nodes)
+        if level == 0:
+            found = found.unionByName(plausible(pairs_within(members.where(small), "part"), nodes))
+            members = members.where(~small)
+        more = verify(work.keep(found, BLOCK_ROWS))
+        if not more.isEmpty():
+            labels = joined_labels(labels, more, work)
         level += 1
-        if not new.isEmpty():
-            edges = work.keep(edges.unionByName(new))
-            labels = components(edges, work)
 
+
+def joined_labels(labels: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:
+    """The labels after more edges: components of the labels that these join, which are few, are put in their place."""
+    named = labels.select("node", "label")
+    ends = edges.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = work.keep(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    tops = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"), work)
+    every = named.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    top = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return work.keep(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, node, label of each row; node stands for its set of shingles, label for its component."""
+    return _near_duplicates(docs, plan, key, text)[0]
+
+
+def _near_duplicates(docs: DataFrame, plan: Plan, key: str, text: str) -> tuple[DataFrame, Names]:
+    small_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "ngram-join")
+    texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows, labels, names = linked(texts, plan, 2 * packed.bucket_count(docs).keys, work)
     label = F.when(F.col("n_shingles") > 0, F.coalesce("label", "node"))
     grouped = work.keep(rows.join(labels, "node", "left").select("doc_id", "n_shingles", "node", label.alias("label")))
     least = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "label")
+    return grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "label"), names
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: the one of the smallest id (then of the least shingle set, then any of rows
     that are equal in both). Rows without shingles all stay. Texts that no other links to are not shuffled."""
     work = Workspace(docs.sparkSession, "near-copies")
-    rows = near_duplicates(docs, plan, key, text).where("n_shingles > 0")
+    rows, names = _near_duplicates(docs, plan, key, text)
+    rows = rows.where("n_shingles > 0")
     # equal sets are put together first; of each component one set and one id of it stay
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     sets = work.keep(rows.groupBy("label", "node").agg(least.alias("first"), F.count("*").alias("n")))
     kept = sets.groupBy("label").agg(F.min(F.struct("first", "node")).alias("x"), F.sum("n").alias("total")).where("total > 1")
-    grouped = work.keep(sets.join(kept, "label").select(F.col("node").alias("__of"), F.when(F.col("node") == F.col("x.node"), F.struct(F.lit(True).alias("stays"), F.col("first.doc_id").alias("id"))).alias("__kept")))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(grouped, "__of"))
-    names = docs.columns
+    node, of, stays = fresh_names(docs.columns, "node", "of", "stays")
+    chosen = F.when(F.col("node") == F.col("x.node"), F.struct(F.lit(True).alias("stays"), F.col("first.doc_id").alias("id")))
+    grouped = work.keep(sets.join(kept, "label").select(F.col("node").alias(of), chosen.alias(stays)))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(grouped, of))
+    columns = docs.columns
 
     def tagged(some: bool) -> DataFrame:
         """Rows whose node may be in a group (or is in none), with the node."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text, SLICE):
-                _, bounds, node = _nodes(part.column(text))
-                take = pa.array((in_table(bits.value, node) & (np.diff(bounds) > 0)) == some)
-                yield pa.RecordBatch.from_arrays([*part.columns, *([pa.array(node)] if some else [])], names=[*names, *["__node"] * some]).filter(take)
+                _, bounds, nodes = names.of(part.column(text))
+                take = pa.array((in_table(bits.value, nodes) & (np.diff(bounds) > 0)) == some)
+                yield pa.RecordBatch.from_arrays([*part.columns, *([pa.array(nodes)] if some else [])], names=[*columns, *[node] * some]).filter(take)
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, *([StructField("__node", LongType())] if some else [])]))
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, *([StructField(node, LongType())] if some else [])]))
 
-    maybe = tagged(True).join(grouped, F.col("__node") == F.col("__of"), "left")
-    alone = maybe.where(F.col("__of").isNull())
-    first = maybe.where(F.col("__kept.stays") & F.col(key).cast("long").eqNullSafe(F.col("__kept.id"))).dropDuplicates(["__node"])
-    return tagged(False).unionByName(alone.select(names)).unionByName(first.select(names))
+    own = [F.col(f"`{c}`") for c in columns]
+    maybe = tagged(True).join(grouped, F.col(node) == F.col(of), "left")
+    alone = maybe.where(F.col(of).isNull())
+    first = maybe.where(F.col(f"{stays}.stays") & F.col(key).cast("long").eqNullSafe(F.col(f"{stays}.id"))).dropDuplicates([node])
+    return tagged(False).unionByName(alone.select(own)).unionByName(first.select(own))

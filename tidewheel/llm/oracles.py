@@ -40,12 +40,12 @@ ORACLES: dict[str, str] = {
         FROM t JOIN r ON r.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id""",
     "op7_line_templates": f"""
         WITH l AS MATERIALIZED (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
-          w AS (SELECT doc_id, i, list_transform(regexp_extract_all({LOWER.format('line')}, '{WORD}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '0' ELSE x END) AS w FROM l),
-          c AS (SELECT doc_id, i, w, len(w) AS n, least(3, len(w)) AS a FROM w WHERE len(w) >= 2),
+          w AS (SELECT doc_id, i, list_transform(regexp_extract_all({LOWER.format('line')}, '{WORD}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '0' ELSE x END) AS w, regexp_extract_all({LOWER.format('line')}, '{WORD}') AS plain FROM l),
+          c AS (SELECT doc_id, i, CASE WHEN len(w) = 1 THEN plain ELSE w END AS w, len(w) AS n, least(3, len(w)) AS a FROM w WHERE len(w) >= 1),
           f AS (SELECT doc_id, i, n, n || ' ' || array_to_string(w[1:a], ' ') AS path, array_to_string(w[a + 1:a + (n - a) // 3], ' ') AS x,
                   array_to_string(w[a + (n - a) // 3 + 1:a + (n - a) * 2 // 3], ' ') AS y, array_to_string(w[a + (n - a) * 2 // 3 + 1:n], ' ') AS z FROM c),
-          k AS MATERIALIZED (SELECT doc_id, i, unnest(CASE WHEN n >= 8 THEN [[path, x, y, z, ''], [path, y, z, '0'], [path, x, z, '1'], [path, x, y, '2']] ELSE [[path, x, y, z, '']] END) AS k FROM f),
-          first AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS first FROM k GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+          k AS MATERIALIZED (SELECT doc_id, i, n, unnest(CASE WHEN n >= 8 THEN [[path, x, y, z, ''], [path, y, z, '0'], [path, x, z, '1'], [path, x, y, '2']] ELSE [[path, x, y, z, '']] END) AS k FROM f),
+          first AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS first FROM k GROUP BY k HAVING count(DISTINCT doc_id) >= CASE WHEN bool_and(len(k.k) = 5) AND bool_and(n >= 20) THEN 3 ELSE 10 END),
           gone AS (SELECT DISTINCT k.doc_id, k.i FROM k JOIN first USING (k) WHERE struct_pack(d := k.doc_id, i := k.i) <> first)
         SELECT l.doc_id, count(*) FILTER (WHERE regexp_matches(line, '{WORD}')) AS n_lines, count(gone.i) AS n_dropped,
           sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256

@@ -3,8 +3,11 @@
 A key is a 64-bit hash, a place a pair of numbers (doc, spot). Rows of one array for each bucket and flush take a
 fraction of the room and time of a row for each key. Of a key that a flush has more than once, one place goes to the
 key's bucket, marked, and the others pass by any bucket: so a key that a large part of the corpus has brings its bucket
-no more than a place for each flush. Keys are told apart by 64 bits: among n different keys a chance match has the
-probability n * n / 2**65.
+no more than a place for each flush. Where a chance match would do harm, keys come with a second hash of 64 bits (checks)
+and are told apart by both; without it a chance match among n different keys has the probability n * n / 2**65.
+
+Marks, the wanted places, meet their texts in a stream: both are dealt by document and sorted, a bucket's marks before its
+texts, so that a task holds the marks of one bucket and a slice of its texts.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .words import U64
 
 #: Places that a task gathers before it deals them out.
 FLUSH = 1 << 18
-DEALT = "bucket int, kind int, keys binary, docs binary, spots binary"
-DEALT_NAMES = ["bucket", "kind", "keys", "docs", "spots"]
+DEALT = "bucket int, kind int, keys binary, docs binary, spots binary, checks binary"
+DEALT_NAMES = ["bucket", "kind", "keys", "docs", "spots", "checks"]
 MARKS = "docbucket int, docs binary, spots binary"
 
 #: Kinds of rows: places to be compared, and places that are known to be wanted.
@@ -83,9 +86,10 @@ def split_by(groups: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, li
         yield int(sorted_[a]), [c[a:b] for c in columns]
 
 
-def _rows(kind: int, groups: np.ndarray, keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, key_bytes: int) -> Iterator[tuple]:
-    for bucket, (k, d, s) in split_by(groups, keys, docs, spots):
-        yield bucket, kind, pack(k, key_bytes), pack(d), pack(s)
+def _rows(kind: int, groups: np.ndarray, places: Places, key_bytes: int) -> Iterator[tuple]:
+    checks = places.keys[:0] if places.checks is None else places.checks
+    for bucket, (at,) in split_by(groups, np.arange(len(groups))):
+        yield bucket, kind, pack(places.keys[at], key_bytes), pack(places.docs[at]), pack(places.spots[at]), pack(checks[at] if len(checks) else checks)
 
 
 def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -94,35 +98,68 @@ def batch_of(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
 
 
 def dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return batch_of(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], DEALT_NAMES)
+    return batch_of(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 4], DEALT_NAMES)
+
+
+def _changes(*columns: np.ndarray | None) -> np.ndarray:
+    """Of rows, whether one of the columns differs from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        if c is not None:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+@dataclass
+class Places:
+    """Keys, their documents and spots, and second hashes of the keys or None."""
+
+    keys: np.ndarray
+    docs: np.ndarray
+    spots: np.ndarray
+    checks: np.ndarray | None = None
 
+    def take(self, at: np.ndarray) -> Places:
+        return Places(self.keys[at], self.docs[at], self.spots[at], None if self.checks is None else self.checks[at])
 
-def _sorted(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
-    """By key; ordered: and by doc and spot."""
-    order = np.lexsort((spots, docs, keys)) if ordered else np.argsort(keys, kind="stable")
-    return keys[order], docs[order], spots[order]
+    def order(self, ordered: bool) -> np.ndarray:
+        """By key; ordered: and by doc and spot."""
+        columns = [*([self.spots, self.docs] if ordered else []), *([] if self.checks is None else [self.checks]), self.keys]
+        return np.lexsort(columns) if len(columns) > 1 else np.argsort(self.keys, kind="stable")
+
+    @staticmethod
+    def joined(parts: list[Places]) -> Places:
+        one = [np.concatenate([getattr(p, x) for p in parts]) for x in ("keys", "docs", "spots")]
+        return Places(*one, None if parts[0].checks is None else np.concatenate([p.checks for p in parts]))
 
 
 @dataclass(frozen=True)
 class Wish:
     """Which places of equal keys are wanted: those of keys with at least least places (by_doc: documents); earliest: all
-    of them but the first by doc and spot."""
+    of them but the first by doc and spot. hot: a flush with so many places of a key (least at least) sends one of them to
+    the key's bucket."""
 
     least: int = 2
     by_doc: bool = False
     earliest: bool = False
-
-    def measure(self, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted places: the group of each, and each group's number of places or documents."""
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    hot: int = 0
+    #: A key whose spots have the bit flag is wanted from flagged places or documents on.
+    flag: int = 0
+    flagged: int = 0
+
+    def measure(self, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted places: the group of each, and each group's number of places or documents, and how many it takes."""
+        first = _changes(places.keys, places.checks)
         group = np.cumsum(first) - 1
-        counted = first | np.concatenate([[True], docs[1:] != docs[:-1]]) if self.by_doc else np.ones(len(keys), bool)
-        return group, np.bincount(group, counted).astype(np.int64)
+        counted = first | _changes(places.docs) if self.by_doc else np.ones(len(group), bool)
+        least = np.where(places.spots[first] & self.flag, self.flagged, self.least) if self.flag else np.full(int(first.sum()), self.least)
+        return group, np.bincount(group, counted).astype(np.int64), least
 
-    def at_first(self, group: np.ndarray, docs: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    def at_first(self, group: np.ndarray, places: Places) -> np.ndarray:
         """Of sorted places, whether each is the first of its group, or the same place again."""
-        lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[group]
-        return (docs == docs[lead]) & (spots == spots[lead]) if self.earliest else np.arange(len(group)) == lead
+        lead = np.flatnonzero(_changes(group))[group]
+        return (places.docs == places.docs[lead]) & (places.spots == places.spots[lead]) if self.earliest else np.arange(len(group)) == lead
 
     @property
     def ordered(self) -> bool:
@@ -142,12 +179,12 @@ class Dealer:
 
     def __init__(self, buckets: Buckets, wish: Wish, key_bytes: int = 8):
         self.buckets, self.wish, self.key_bytes = buckets, wish, key_bytes
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held: list[Places] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if len(keys):
-            self.held.append((keys, docs.astype(np.int64), spots.astype(np.int64)))
+            self.held.append(Places(keys, docs.astype(np.int64), spots.astype(np.int64), checks))
             self.size += len(keys)
         if self.size >= FLUSH:
             yield from self.flush()
@@ -155,34 +192,37 @@ class Dealer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, docs, spots = _sorted(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.wish.ordered)
+        places = Places.joined(self.held)
+        places = places.take(places.order(self.wish.ordered))
         self.held, self.size = [], 0
-        group, n = self.wish.measure(keys, docs)
-        enough = (n >= self.wish.least)[group]
-        first = np.concatenate([[True], group[1:] != group[:-1]])
-        same = self.wish.at_first(group, docs, spots)
+        group, n, least = self.wish.measure(places)
+        enough = (n >= np.maximum(least, self.wish.hot))[group]
+        first = _changes(group)
+        same = self.wish.at_first(group, places)
         if (same & ~first).any():
             once = first | ~same
-            keys, docs, spots, enough, first = keys[once], docs[once], spots[once], enough[once], first[once]
+            places, enough, first = places.take(once), enough[once], first[once]
         known = enough & ~first
-        spots = np.where(enough & first, ~spots, spots)
+        places.spots = np.where(enough & first, ~places.spots, places.spots)
         n = self.buckets.keys
-        rows = list(_rows(COMPARE, key_bucket(keys[~known], n), keys[~known], docs[~known], spots[~known], self.key_bytes))
+        met, apart = places.take(~known), places.take(known)
+        rows = list(_rows(COMPARE, key_bucket(met.keys, n), met, self.key_bytes))
         if self.key_bytes < 8:
-            keys = short_keys(keys, n, self.key_bytes)
-        rows += _rows(KNOWN, doc_bucket(docs[known], n), keys[known], docs[known], spots[known], 8)
+            apart.keys = short_keys(apart.keys, n, self.key_bytes)
+        apart.checks = None
+        rows += _rows(KNOWN, doc_bucket(apart.docs, n), apart, 8)
         for at in range(0, len(rows), 512):
             yield dealt_batch(rows[at : at + 512])
 
 
-def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: Buckets, wish: Wish) -> DataFrame:
-    """Rows of DEALT for the keys, docs and spots that places finds in df's batches."""
+def deal(df: DataFrame, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], buckets: Buckets, wish: Wish) -> DataFrame:
+    """Rows of DEALT for the keys, docs, spots and perhaps checks that places finds in df's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(buckets, wish)
         for batch in batches:
-            for keys, docs, spots in places(batch):
-                yield from dealer.add(keys, docs, spots)
+            for found in places(batch):
+                yield from dealer.add(*found)
         yield from dealer.flush()
 
     return df.mapInArrow(run, DEALT)
@@ -202,39 +242,49 @@ def by_bucket(batches: Iterator[pa.RecordBatch], name: str = "bucket") -> Iterat
         yield now, rows
 
 
-def arrays(rows: list[dict], key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [(unpack(r["keys"], key_bytes), unpack(r["docs"]).view(np.int64), unpack(r["spots"]).view(np.int64)) for r in rows]
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def arrays(rows: list[dict], key_bytes: int = 8) -> Places:
+    if not rows:
+        return Places(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    wide = any(r["checks"] for r in rows)
+    parts = [(unpack(r["keys"], key_bytes), unpack(r["docs"]).view(np.int64), unpack(r["spots"]).view(np.int64), unpack(r["checks"]) if wide else None) for r in rows]
+    return Places.joined([Places(*p) for p in parts])
 
 
-PLACES = "key long, doc long, spot long"
+PLACES = "key long, doc long, spot long, n long"
+#: The number of documents of a key that some flush had too often for its places to meet in one bucket.
+MANY = 1 << 31
 
 
 def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, each: bool = False, key_bytes: int = 8) -> DataFrame:
-    """Rows of MARKS: the wanted places, dealt by doc. each: rows of PLACES instead, one for each place."""
+    """Rows of MARKS: the wanted places, dealt by doc. each: rows of PLACES instead, one for each place, with the number of
+    places or documents of its key, or MANY; it is the same for all places of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
             compare = [r for r in rows if r["kind"] == COMPARE]
-            found = [arrays([r for r in rows if r["kind"] == KNOWN])]
+            known = arrays([r for r in rows if r["kind"] == KNOWN])
+            found, many = [(known.keys, known.docs, known.spots)], [np.full(len(known.keys), MANY)]
             if compare:
-                keys, docs, spots = arrays(compare, key_bytes)
+                places = arrays(compare, key_bytes)
                 if key_bytes < 8:
-                    keys = short_keys(keys, buckets.keys, key_bytes, bucket)
-                marked = spots < 0
-                keys, docs, spots, marked = _with(keys, docs, np.where(marked, ~spots, spots), marked, wish.ordered)
-                group, n = wish.measure(keys, docs)
-                take = ((n >= wish.least) | (np.bincount(group, marked) > 0))[group]
+                    places.keys = short_keys(places.keys, buckets.keys, key_bytes, bucket)
+                marked = places.spots < 0
+                places.spots = np.where(marked, ~places.spots, places.spots)
+                order = places.order(wish.ordered)
+                places, marked = places.take(order), marked[order]
+                group, n, least = wish.measure(places)
+                n = np.where(np.bincount(group, marked) > 0, MANY, n)
+                take = (n >= least)[group]
                 if wish.earliest:
-                    take &= ~wish.at_first(group, docs, spots)
-                found.append((keys[take], docs[take], spots[take]))
+                    take &= ~wish.at_first(group, places)
+                many.append(n[group][take])
+                found.append((places.keys[take], places.docs[take], places.spots[take]))
             keys, docs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
             if each:
+                n = np.concatenate(many)
                 for at in range(0, len(keys), 100_000):
                     part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(docs[part]), pa.array(spots[part])], names=["key", "doc", "spot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (keys.view(np.int64), docs, spots, n)], names=["key", "doc", "spot", "n"])
                 continue
             out = [(b, pack(d), pack(s)) for b, (d, s) in split_by(doc_bucket(docs, buckets.docs), docs, spots)]
             yield batch_of(out, [pa.int32(), pa.binary(), pa.binary()], ["docbucket", "docs", "spots"])
@@ -243,15 +293,38 @@ def wanted(dealt: DataFrame, buckets: Buckets, wish: Wish, each: bool = False, k
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES if each else MARKS)
 
 
-def _with(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, more: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((spots, docs, keys)) if ordered else np.argsort(keys, kind="stable")
-    return keys[order], docs[order], spots[order], more[order]
+def beside(texts: DataFrame, marks: DataFrame, bucket: Column, key: str, text: str, helpers: list[str]) -> DataFrame:
+    """texts, each bucket's after its marks, in order of id and text; helpers: names for the bucket, whether a row is of
+    texts, and the docs and spots of marks. One exchange, and what a task holds does not grow with its bucket's texts."""
+    b, is_text, docs, spots = helpers
+    rows = texts.withColumn(b, bucket).withColumn(is_text, F.lit(True))
+    of_marks = marks.select(F.col("docbucket").alias(b), F.lit(False).alias(is_text), F.col("docs").alias(docs), F.col("spots").alias(spots))
+    both = rows.unionByName(of_marks, allowMissingColumns=True)
+    return both.repartition(F.col(b)).sortWithinPartitions(b, is_text, F.col(f"`{key}`"), F.col(f"`{text}`"))
+
+
+def marked_texts(batches: Iterator[pa.RecordBatch], helpers: list[str]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], pa.RecordBatch]]:
+    """Bucket, docs and spots of its marks sorted by doc, and texts, from batches of beside."""
+    b, is_text, docs, spots = helpers
+    now, held, marks = None, [], None
+    for batch in batches:
+        bucket, kind = batch.column(b).to_numpy(), batch.column(is_text).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(_changes(bucket, kind)).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if bucket[at] != now:
+                now, held, marks = bucket[at], [], None
+            part = batch.slice(at, end - at)
+            if not kind[at]:
+                held += zip(part.column(docs).to_pylist(), part.column(spots).to_pylist(), strict=True)
+                continue
+            if marks is None:
+                marks, held = mark_arrays(held), []
+            yield int(now), marks, part
 
 
-def mark_arrays(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def mark_arrays(marks: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Docs and spots of marks, sorted by doc."""
-    parts = [[unpack(x).view(np.int64) for x in marks.column(c).to_pylist()] for c in ("docs", "spots")]
-    docs, spots = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+    docs, spots = (np.concatenate([unpack(m[k]).view(np.int64) for m in marks]) if marks else np.zeros(0, np.int64) for k in (0, 1))
     order = np.argsort(docs, kind="stable")
     return docs[order], spots[order]
 

@@ -7,12 +7,14 @@ candidates for the next level, where the names of twice the length are made from
 the surviving candidates themselves are compared, by hash, and every occurrence but the first is marked; words under
 marked windows go. A level without candidates deals nothing, so the levels above it have nothing to do.
 
-Texts are dealt by document once, with each level's marks (one exchange that all levels share); windows travel as packed
-hashes, never as text. Hashes have 64 bits: a chance match of two among n candidate windows has the probability
-n * n / 2**65.
+On each level the texts are dealt by document with the marks of the level before, sorted, and streamed: a task holds the
+marks of a bucket of documents and a slice of its texts. Windows travel as packed hashes, never as text. On level W they
+have 128 bits, two independent hashes; on lower levels, where a chance match costs a needless candidate only, 64.
 
 Defined results: a null or empty text has no words and the digest of no bytes; a null id comes before all others; rows
-with the same id count as documents one after the other, in order of their texts; a text shorter than W loses nothing.
+with the same id count as documents one after the other, in order of their texts (of equal rows the first one keeps its
+words); a text shorter than W loses nothing; a text of any length is taken whole. Columns besides id and text play no
+part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .io import small_batches
-from .words import SLICE_BYTES, U64, Words, doubled, slices, windows, words_of
+from .io import give_back, small_batches
+from .words import U64, Words, doubled, slices, windows, words_of
 
 NULL_DOC = -(1 << 63)
 #: What is asked of the levels: on the last, all occurrences but the first.
@@ -46,9 +48,9 @@ def sliding(values: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def names_of(words: Words, size: int, base: int) -> np.ndarray:
-    """Names of the windows of size words: base doubled as often as it takes."""
-    names, k = windows(words.hashes(), base), base
+def names_of(words: Words, size: int, base: int, second: bool = False) -> np.ndarray:
+    """Names of the windows of size words: base doubled as often as it takes. second: made from second hashes."""
+    names, k = windows(words.hashes(second), base), base
     while k < size:
         names, k = doubled(names, k), 2 * k
     return names
@@ -102,16 +104,21 @@ def _docs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def placed_slices(table: pa.Table, window: int) -> Iterator[tuple[pa.RecordBatch, Placed]]:
-    """A bucket's texts, in order of id and text, slice by slice."""
-    table = table.sort_by([("_key", "ascending"), ("_text", "ascending")])
-    docs = np.concatenate([_docs(c) for c in table.column("_key").chunks]) if table.num_rows else np.zeros(0, np.int64)
-    first = np.concatenate([[True], docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, bool)
-    copies = np.arange(len(docs)) - np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0)) if len(docs) else docs
-    at = 0
-    for part in slices(iter(table.to_batches()), "_text", SLICE_BYTES):
-        yield part, Placed(docs[at : at + part.num_rows], copies[at : at + part.num_rows], part.column("_text"), window)
-        at += part.num_rows
+HELPERS = ["docbucket", "is_text", "docs", "spots"]
+
+
+def placed_slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], pa.RecordBatch, Placed]]:
+    """A bucket's marks, and its texts in order of id and text, slice by slice; rows of one id are numbered."""
+    last, copy = None, 0
+    for _, marks, batch in packed.marked_texts(batches, HELPERS):
+        for part in slices(iter([batch]), "_text"):
+            docs = _docs(part.column("_key"))
+            lead = np.maximum.accumulate(np.where(np.concatenate([[True], docs[1:] != docs[:-1]]), np.arange(len(docs)), 0))
+            copies = np.arange(len(docs)) - lead
+            if docs[0] == last:  # no id is in two buckets
+                copies[lead == 0] += copy + 1
+            last, copy = docs[-1], int(copies[-1])
+            yield marks, part, Placed(docs, copies, part.column("_text"), window)
 
 
 def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -122,7 +129,9 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
     small_batches(df.sparkSession)
     buckets = packed.bucket_count(df)
     texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    tag = packed.doc_bucket_column(F.col("_key"), buckets.docs)
+
+    def with_marks(marks: DataFrame) -> DataFrame:
+        return packed.beside(texts, marks, packed.doc_bucket_column(F.col("_key"), buckets.docs), "_key", "_text", HELPERS)
 
     def first_level(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in slices(iter([batch]), "_text"):
@@ -132,16 +141,18 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
             at = np.flatnonzero(placed.start[: len(names)]) if levels[0] == window else stand_ins(names, levels[0], window, placed.start)[1]
             yield names[at], *placed.places(at)
 
-    dealt_texts = texts.withColumn("docbucket", tag)
     # on the only level left spots must tell rows of one id apart, so it starts from the dealt texts as the others do
     marks = packed.wanted(packed.deal(texts, first_level, buckets, ANY), buckets, ANY) if len(levels) > 1 else None
 
-    def next_level(before: int, size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            dealer, out = packed.Dealer(buckets, LATER if size == window else ANY), []
-            docs, spots = packed.mark_arrays(right)
-            for _, placed in placed_slices(left, window):
-                at = placed.where(*packed.own(docs, spots, placed.docs), exact=False)
+    def named(placed: Placed, at: np.ndarray, names: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Keys, places and, on the last level, second hashes of the windows at these places."""
+        return names[at], *placed.places(at), *([names_of(placed.words, size, base, True)[at]] if size == window and len(at) else [])
+
+    def next_level(before: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dealer = packed.Dealer(buckets, LATER if size == window else ANY)
+            for marked, _, placed in placed_slices(batches, window):
+                at = placed.where(*packed.own(*marked, placed.docs), exact=False)
                 names = names_of(placed.words, before, base)
                 repeated = np.unique(names[at[at < len(names)]])
                 if not len(repeated):
@@ -153,37 +164,34 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
                 start[: len(least)] &= repeated[near] == least
                 names = doubled(names, before)
                 at = np.flatnonzero(start[: len(names)]) if size == window else stand_ins(names, size, window, start)[1]
-                out += dealer.add(names[at], *placed.places(at))
-            out += dealer.flush()
-            return pa.Table.from_batches(out, packed.dealt_batch([]).schema)
+                yield from dealer.add(*named(placed, at, names, size))
+            yield from dealer.flush()
 
         return compare
 
     for before, size in zip(levels, levels[1:], strict=False):
-        dealt = dealt_texts.groupBy("docbucket").cogroup(marks.groupBy("docbucket")).applyInArrow(next_level(before, size), packed.DEALT)
+        dealt = with_marks(marks).mapInArrow(next_level(before, size), packed.DEALT)
         marks = packed.wanted(dealt, buckets, LATER if size == window else ANY)
 
     if marks is None:
 
-        def only_level(left: pa.Table) -> pa.Table:
-            dealer, out = packed.Dealer(buckets, LATER), []
-            for _, placed in placed_slices(left, window):
+        def only_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dealer = packed.Dealer(buckets, LATER)
+            for _, _, placed in placed_slices(batches, window):
                 names = names_of(placed.words, window, base)
-                at = np.flatnonzero(placed.start[: len(names)])
-                out += dealer.add(names[at], *placed.places(at))
-            return pa.Table.from_batches([*out, *dealer.flush()], packed.dealt_batch([]).schema)
+                yield from dealer.add(*named(placed, np.flatnonzero(placed.start[: len(names)]), names, window))
+            yield from dealer.flush()
 
-        marks = packed.wanted(dealt_texts.groupBy("docbucket").applyInArrow(only_level, packed.DEALT), buckets, LATER)
+        none = df.sparkSession.createDataFrame([], packed.MARKS)
+        marks = packed.wanted(with_marks(none).mapInArrow(only_level, packed.DEALT), buckets, LATER)
 
     fields = f"{key} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in fields.split(", ")])
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs, spots = packed.mark_arrays(right)
-        out = []
-        for part, placed in placed_slices(left, window):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for marked, _, placed in placed_slices(batches, window):
             w = placed.words
-            at = placed.where(*packed.own(docs, spots, placed.docs), exact=True)
+            at = placed.where(*packed.own(*marked, placed.docs), exact=True)
             step = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
@@ -198,8 +206,7 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
                     kept.append(joined.decode())
             sums = np.concatenate([[0], np.cumsum(gone)])
             columns = [pa.array(placed.docs, mask=placed.docs == NULL_DOC), pa.array(w.counts), pa.array(sums[w.bounds[1:]] - sums[w.bounds[:-1]]), pa.array(hashed, pa.string())]
-            out.append(pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], schema=schema))
-        return pa.Table.from_batches(out, schema)
-
-    return dealt_texts.groupBy("docbucket").cogroup(marks.groupBy("docbucket")).applyInArrow(cut, fields)
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], schema=schema)
+        give_back()
 
+    return with_marks(marks).mapInArrow(cut, fields)

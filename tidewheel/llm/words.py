@@ -34,6 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_BYTE2 = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+_BASE2 = 0x2545F4914F6CDD1D
+_UNBASE2 = pow(_BASE2, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -72,19 +75,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             at = end
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; the spans are in order and do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; the spans are in order and do not overlap. second: another one, of other
+    values for the bytes and another base."""
+    byte, base, unbase = (_BYTE2, _BASE2, _UNBASE2) if second else (_BYTE, _BASE, _UNBASE)
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        part = _BYTE[data[low : int(ends[j - 1])]]
-        part *= _powers(_BASE, len(part))
+        part = byte[data[low : int(ends[j - 1])]]
+        part *= _powers(base, len(part))
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum(part, out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * _powers(_UNBASE, len(part) + 1)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
+        out[i:j] = (sums[e] - sums[s]) * _powers(unbase, len(part) + 1)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
         i = j
     return mix(out)
 
@@ -112,8 +117,8 @@ class Words:
         """Of each word, how many words its text has from there on."""
         return np.repeat(self.bounds[1:], self.counts) - np.arange(len(self.start))
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        return span_hashes(self.data, self.start, self.end, second)
 
 
 def words_of(column: pa.Array, lower: bool = False) -> Words:
