@@ -27,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates, lines of one word too; the first line of each stays, and so do all documents."""
-    return line_templates.drop_recurring_lines(docs, line_templates.Tree(short_lines=True))
+    """Drops the lines of recurring templates; the first line of each stays, and so do all documents. Long lines recur from
+    as many documents on as others do: what stands in a few near copies is left for the next stage, which drops copies whole."""
+    return line_templates.drop_recurring_lines(docs, line_templates.Tree(long_docs=10))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
