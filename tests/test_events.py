@@ -301,12 +301,105 @@ def test_batched_writes():
 
         return write
 
-    assert batched.write_partition(rows, open_writer, batched.Batching(rows=4)) == {"in": 7, "out": 7, "dropped": 0, "errors": 2}
+    assert batched.write_partition(rows, open_writer, batched.Batching(rows=4)) == {"in": 7, "out": 7, "dropped": 0, "errors": 2, "flushes": 2}
     fails = batched.write_partition(rows, lambda: lambda b: 1 / 0, batched.Batching(rows=4, drop_failed=True))
-    assert fails == {"in": 7, "out": 0, "dropped": 7, "errors": 6}
+    assert fails == {"in": 7, "out": 0, "dropped": 7, "errors": 6, "flushes": 0}
     assert batched.upsert_sql("t", ["id", "x"], ["x"], ["id"]) == "INSERT INTO t(id, x) VALUES(?, ?) ON DUPLICATE KEY UPDATE x=IFNULL(x,VALUES(x))"
 
 
+def test_flushes_by_size_time_and_pause():
+    rows = [{"k": i % 2, "v": "x" * 10} for i in range(10)]
+    by_size = batched.Batching(size=25, size_of=lambda r: len(r["v"]))
+    assert [len(b) for b in batched.flushes(rows, by_size)] == [3, 3, 3, 1]
+    keyed = batched.Batching(size=15, size_of=lambda r: len(r["v"]), key=lambda r: r["k"])
+    assert [len(b) for b in batched.flushes(rows, keyed)] == [2] * 5
+    now, slept = [0.0], []
+
+    def tick():
+        now[0] += 0.25
+        return now[0]
+
+    def sleep(n):
+        slept.append(n)
+        now[0] += n
+
+    timed = batched.Batching(interval_seconds=1.0, pause_seconds=3.0, clock=tick, sleep=sleep)
+    sizes = [len(b) for b in batched.flushes(rows, timed)]
+    assert sum(sizes) == 10 and len(sizes) > 2 and len(slept) == len(sizes) - 1
+
+
+def test_hosts_deletes_and_counts(spark, tmp_path):
+    from tidewheel.sinks import connectors
+
+    done = []
+    write = batched.saves_then_deletes(lambda b: done.append(("save", len(b))), lambda b: done.append(("delete", len(b))), lambda r: r["gone"])
+    batched.write_partition([{"id": i, "gone": i == 2} for i in range(5)], lambda: write, batched.Batching(rows=3))
+    assert done == [("save", 2), ("delete", 1), ("save", 2)]
+    period, ran = connectors.Period(lambda now: ["s"], 10, execute=lambda x: ran.append(x)), []
+    batched.write_partition([{"id": i} for i in range(4)], lambda: lambda b: None, batched.Batching(rows=1), period)
+    assert ran == ["s"]
+    opened = batched.over_hosts(["a", "b", "c"], lambda host: host)
+    assert sorted([opened(), opened(), opened()]) == ["a", "b", "c"]
+    folder = str(tmp_path)
+
+    def connect(host):
+        def put(batch):
+            if host == "bad":
+                raise OSError(host)
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(str(r["id"]) for r in batch))
+
+        return put
+
+    sink = connectors.ClickHouse("t", ["bad", "good"], batch_rows=30)
+    seen = sink.write(spark.range(100).repartition(2), connect)
+    assert seen["in"] == seen["out"] == 100 and seen["dropped"] == 0 and seen["errors"] <= seen["flushes"]
+    assert sorted(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == list(range(100))
+    with pytest.raises(Exception):
+        connectors.ClickHouse("t", ["bad"]).write(spark.range(3), connect)
+    assert connectors.ClickHouse("t", ["bad"]).write(spark.range(3), connect, drop_failed=True)["dropped"] == 3
+
+
+def test_times(spark):
+    from tidewheel.functions import times
+
+    texts = ["2024-02-29T12:00:00.500Z", "2024-02-29T12:00:00+08:00", "2024-02-29T12:00:00", "2024-02-29", "1709208000500", "-1", "soon", None]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(times.instant(F.col("s")).alias("t")).collect()]
+    noon = datetime(2024, 2, 29, 12)
+    assert got == [noon + timedelta(milliseconds=500), noon - timedelta(hours=8), noon, datetime(2024, 2, 29), noon + timedelta(milliseconds=500), T0 - timedelta(milliseconds=1), None, None]
+    assert (times.zone_of("Asia/Shanghai"), times.zone_of("+08:00"), times.zone_of("Nowhere/Land")) == ("Asia/Shanghai", "+08:00", "UTC")
+    with pytest.raises(ValueError):
+        times.zone_of("Nowhere/Land", fallback=False)
+    cases = [("2024-01-31", "2024-02-29", 1), ("2024-01-31 10:00:00", "2024-02-29 09:00:00", 0), ("2024-03-15", "2024-01-15", -2), ("2024-03-15", "2024-01-16", -1), ("2024-01-01", "2024-01-01", 0), ("2024-02-29", "2025-02-28", 12)]
+    df = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    assert [r.m for r in df.select(times.months_apart(F.col("a"), F.col("b")).alias("m")).collect()] == [c[2] for c in cases]
+
+
+def test_json_checked(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": null}',), ('{"a": 1}',), ('{"a": "x", "b": 1}',), ("[1]",), (None,)], "t string")
+    got = [r[0] for r in df.select(coercion.json_checked(F.col("t"), "a int, b int", ignore_errors=True)).collect()]
+    assert [None if x is None else tuple(x) for x in got] == [(1, None), (1, None), None, None, None]
+    got = [r[0] for r in df.select(coercion.json_checked(F.col("t"), "a int, b int", True, True)).collect()]
+    assert [x is not None for x in got] == [True, False, False, False, False]
+    assert df.limit(2).select(coercion.json_checked(F.col("t"), "a int, b int")).count() == 2
+    for rows, strict in ((df.limit(2), True), (df.where("t LIKE '[%'"), False)):
+        with pytest.raises(Exception):
+            rows.select(coercion.json_checked(F.col("t"), "a int, b int", strict)).collect()
+
+
+def test_hours_and_days_of_the_same_users(spark):
+    """Three users in each hour, four in each day: states of hours, merged, count as the rows do."""
+    rows = [(datetime(2024, 1, day, hour), user) for day in (25, 26) for hour, users in ((13, (1, 2, 3)), (14, (2, 3, 4))) for user in (*users, *users)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, user long")
+    states = sketches.hll_states(df, [F.date_trunc("hour", "ts").alias("hour")], "user")
+    assert [r.approx_distinct for r in sketches.hll_merge(states, [F.col("hour")]).collect()] == [3, 3, 3, 3]
+    assert [r.approx_distinct for r in sketches.hll_merge(states, [F.date_trunc("day", "hour").alias("day")]).collect()] == [4, 4]
+    regs = sketches.registers(df.withColumn("hour", F.date_trunc("hour", "ts")), ["hour"], "user")
+    assert [round(r.estimate) for r in sketches.register_estimate(regs, ["hour"]).collect()] == [3, 3, 3, 3]
+
+
 def test_reloading_table():
     clock, reads = [0.0], []
     held = files.Reloading(lambda: reads.append(1) or len(reads), interval=10, clock=lambda: clock[0])
@@ -319,7 +412,8 @@ def test_connector_options():
     from tidewheel.sinks import connectors
 
     c = connectors.ClickHouse.of({"table": "t", "host": "a, b", "batch.byte.size": "10kb", "batch.interval": "5s", "connection.user": "u"})
-    assert (c.hosts, c.batch_bytes, c.interval_seconds, c.connection, c.batching().drop_failed) == (["a", "b"], 10 << 10, 5, {"user": "u"}, True)
+    assert (c.hosts, c.batch_bytes, c.interval_seconds, c.connection, c.batching().drop_failed) == (["a", "b"], 10 << 10, 5, {"user": "u"}, False)
+    assert (c.batching().size, c.batching().interval_seconds) == (10 << 10, 5)
     for bad in ({"table": "t"}, {"table": "t", "host": "a", "x": "1"}, {"table": "t", "host": "a", "batch.byte.size": "1000mb"}, {"table": "t", "host": "a", "batch.interval": "soon"}):
         with pytest.raises(ValueError):
             connectors.ClickHouse.of(bad)

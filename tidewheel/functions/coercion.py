@@ -70,3 +70,21 @@ def json_row(text: Column, schema: str | StructType) -> Column:
 
     # as an element of an array the parsed row has a name, and is not parsed again for each field
     return F.get(F.transform(F.array(parsed), typed), 0)
+
+
+def json_checked(text: Column, schema: str | StructType, fail_on_missing: bool = False, ignore_errors: bool = False) -> Column:
+    """json_row that tells good rows from bad ones. A text that is no object, a value that does not fit its field, and with
+    fail_on_missing a field that is not there, stop the query; with ignore_errors the struct is null instead."""
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    row, keys = json_row(text, kinds), F.json_object_keys(text)
+    bad = keys.isNull()
+    for f in kinds.fields:
+        there = F.array_contains(keys, F.lit(f.name))
+        if fail_on_missing:
+            bad = bad | ~there
+        bad = bad | (there & F.get_json_object(text, f"$.{f.name}").isNotNull() & row[f.name].isNull())
+    bad = F.coalesce(bad, F.lit(True))
+    if ignore_errors:
+        return F.when(~bad, row)
+    said = F.concat(F.lit("no row of the schema: "), F.coalesce(F.left(text, F.lit(200)), F.lit("null")))
+    return F.when(bad, F.raise_error(said).cast(kinds)).otherwise(row)

@@ -92,14 +92,14 @@ class Granularity:
         return from_micros(us - F.pmod(us - base, F.lit(self.us).cast("long")))
 
     @property
-    def _mean(self) -> int:
+    def mean_us(self) -> int:
         return self.months * 2_629_746 * US + self.us
 
     def _of_months(self, ts: Column, base: Column) -> Column:
         """For periods of months, and of months and shorter units: the number of periods since the origin is estimated from
         their mean length, and the last start at or before ts is taken of those near it. Months differ from their mean by
         less than four days in all, so the estimate is off by less than the periods looked at."""
-        about = F.floor((micros(ts) - base) / self._mean)
+        about = F.floor((micros(ts) - base) / self.mean_us)
         near = [from_micros(micros(from_micros(base) + F.make_ym_interval(F.lit(0), ((about + i) * self.months).cast("int"))) + (about + i) * self.us) for i in range(-2, 3)]
         return F.greatest(*[F.when(start <= ts, start) for start in near])
 
@@ -107,7 +107,7 @@ class Granularity:
         """The end of a bucket. For a compound period, or months from an origin, it is the start of the bucket that a time
         just behind it falls in."""
         if self.months and (self.us or self.origin is not None):
-            near = [self.floor(from_micros(micros(start) + (self._mean + day * 86_400 * US))) for day in (-4, 0, 4)]
+            near = [self.floor(from_micros(micros(start) + (self.mean_us + day * 86_400 * US))) for day in (-4, 0, 4)]
             return F.least(*[F.when(x > start, x) for x in near])
         if self.kind in ("all", "none"):
             return F.lit("9999-12-31 00:00:00").cast("timestamp_ntz") if self.kind == "all" else start + F.expr("INTERVAL '0.001' SECOND")

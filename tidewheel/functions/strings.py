@@ -28,6 +28,11 @@ def url_encoded(s: Column) -> Column:
     return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))
 
 
+def url_decoded(s: Column) -> Column:
+    """What url_encoded made, or any form encoding, as text; null for a broken one."""
+    return F.try_url_decode(s)
+
+
 def trim_slashes(s: Column) -> Column:
     return F.btrim(s, F.lit("/"))
 

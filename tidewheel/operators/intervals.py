@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.granularity import Granularity, from_micros, micros
+
 
 def split(df: DataFrame, start: Column, end: Column, unit: str, name: str = "bucket") -> DataFrame:
     """A row for each bucket of a calendar unit that [start, end) touches; the first may begin before start. An empty
@@ -16,6 +18,24 @@ def split(df: DataFrame, start: Column, end: Column, unit: str, name: str = "buc
     return df.where(start < end).withColumn(name, F.explode(F.sequence(first, last, step)))
 
 
+def split_by(df: DataFrame, start: Column, end: Column, granularity: Granularity, name: str = "bucket") -> DataFrame:
+    """A row for each bucket of a granularity that [start, end) touches; the first may begin before start."""
+    first, last = granularity.floor(start), granularity.floor(end - F.expr("INTERVAL '0.000001' SECOND"))
+    rows = df.where(start < end)
+    if granularity.kind == "all":
+        return rows.withColumn(name, first)
+    if granularity.kind == "none":
+        raise ValueError("intervals are not split to the millisecond")
+    if not granularity.months:
+        starts = F.sequence(micros(first), micros(last), F.lit(granularity.us).cast("long"))
+        return rows.withColumn(name, F.explode(F.transform(starts, from_micros)))
+    # as many steps of the mean length as lie between, and two more; each one's bucket, once
+    steps = F.ceil((micros(last) - micros(first)) / granularity.mean_us) + 2
+    near = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda i: granularity.floor(from_micros(micros(first) + (i * granularity.mean_us).cast("long"))))
+    near = F.filter(F.array_distinct(F.concat(near, F.array(last))), lambda x: (x >= first) & (x <= last))
+    return rows.withColumn(name, F.explode(near))
+
+
 def condense(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Overlapping and abutting intervals of each key as one: keys, start, end."""
     by = Window.partitionBy(*keys).orderBy(start, end)

@@ -14,6 +14,11 @@ def time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[s
     return got.select(F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *[c for c in got.columns if c != "w"])
 
 
+def processing_time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[str] | None = None, slide: str | None = None) -> DataFrame:
+    """time_window over the time at which rows are worked on: all rows of a batch, or of a micro-batch, have one."""
+    return time_window(df.withColumn("__now", F.current_timestamp()), size, aggregates, keys, slide, "__now")
+
+
 def top_n(df: DataFrame, n: int, within: list[str], order: list[Column], rank: str = "rnk") -> DataFrame:
     """The first n rows of each group; Spark keeps n rows of each group per task before it shuffles."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col(rank) <= n)

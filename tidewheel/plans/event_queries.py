@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.granularity import Granularity
 from ..operators import intervals, joins, late, sketches, throttle, upsert, windows
 from ..tables import events, load
 from .registry import query
@@ -40,6 +41,21 @@ def tumble_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.time_window(events(spark, sf_dir), "1 hour", [F.count("*").alias("cnt"), total()], ["event_type"]).drop("win_end")
 
 
+@query("tumble_sql", f"SELECT date_trunc('hour', ts)::TIMESTAMP AS win_start, count(*) AS cnt, {EXACT} AS total FROM events GROUP BY 1")
+def tumble_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window as SQL text over a table that is handed in."""
+    text = "SELECT CAST(window.start AS TIMESTAMP_NTZ) AS win_start, count(*) AS cnt, CAST(sum(CAST(value AS DECIMAL(12, 2))) AS DOUBLE) AS total FROM {events} GROUP BY window(ts, '1 hour')"
+    return spark.sql(text, events=events(spark, sf_dir))
+
+
+@query("window_proctime", f"SELECT event_type, count(*) AS cnt, {EXACT} AS total, true AS now FROM events GROUP BY 1")
+def window_proctime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of processing time: a batch falls into one, which holds the present."""
+    got = windows.processing_time_window(events(spark, sf_dir), "1 day", [F.count("*").alias("cnt"), total()], ["event_type"])
+    present = F.current_timestamp()
+    return got.select("event_type", "cnt", "total", ((F.col("win_start") <= present) & (present < F.col("win_end"))).alias("now"))
+
+
 @query(
     "slide_reduce",
     f"""SELECT (date_trunc('hour', ts) - to_hours(h))::TIMESTAMP AS win_start, event_type, count(*) AS cnt, {EXACT} AS total
@@ -227,6 +243,17 @@ def hll_day_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.hll_merge(states, [F.date_trunc("day", "hour").cast("timestamp_ntz").alias("win_start")])
 
 
+@query("hll_bounds", "SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS win_start, true AS near, true AS merged FROM events")
+def hll_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimates of days, from states of hours, are within 8 in 100 of the exact counts, and what one state
+    for the day gives."""
+    rows = events(spark, sf_dir).withColumn("win_start", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    exact = rows.groupBy("win_start").agg(F.count_distinct("user_id").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("whole"))
+    got = exact.join(hll_day_merge(spark, sf_dir), "win_start")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * 0.08)
+    return got.select("win_start", near("approx_distinct", "exact").alias("near"), near("approx_distinct", "whole").alias("merged"))
+
+
 @query("hll_registers")
 def hll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.register_estimate(sketches.registers(events(spark, sf_dir), ["event_type"], "user_id"), ["event_type"])
@@ -311,6 +338,13 @@ def interval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("l_orderkey", F.col("bucket").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query("interval_split_origin", f"WITH {_SPANS}, u AS (SELECT l_orderkey, start FROM s JOIN (SELECT TIMESTAMP '2024-01-15 10:00:00' + to_months(n::INTEGER) AS start, TIMESTAMP '2024-01-15 10:00:00' + to_months(n::INTEGER + 1) AS next FROM range(-1000, 400) r(n)) g ON a < next AND start < b) SELECT l_orderkey, start::TIMESTAMP AS bucket, count(*) AS n FROM u GROUP BY 1, 2")
+def interval_split_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months that begin on the fifteenth at ten."""
+    got = intervals.split_by(spans(spark, sf_dir), F.col("a"), F.col("b"), Granularity.of("P1M", 1_705_312_800_000_000))
+    return got.groupBy("l_orderkey", "bucket").agg(F.count("*").alias("n"))
+
+
 _ISLANDS = f"""WITH {_SPANS}, m AS (SELECT *, max(b) OVER (PARTITION BY grp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
   i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)"""
 

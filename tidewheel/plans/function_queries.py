@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, coercion, protobuf, strings
+from ..functions import codecs, coercion, protobuf, strings, times
 from ..functions.granularity import Granularity, epoch_day, interval_floor, path_of, time_of_path
 from ..tables import events, load
 from .registry import query
@@ -150,6 +150,29 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", row).select("event_id", "row.*")
 
 
+@query(
+    "json_checked",
+    """SELECT event_id, event_id % 10 <> 3 AS is_row, event_id % 10 NOT IN (3, 4) AS has_all, CASE WHEN event_id % 10 <> 3 THEN json_extract_string(props, '$.k')::INTEGER END AS k FROM events""",
+)
+def json_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rows and rows without a field told from good ones."""
+    more = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "more": 1}'))
+    text = F.when(F.col("event_id") % 10 == 3, F.lit("{broken")).when(F.col("event_id") % 10 == 4, F.col("props")).otherwise(more)
+    loose, strict = coercion.json_checked(text, "k int", ignore_errors=True), coercion.json_checked(text, "k int, more int", fail_on_missing=True, ignore_errors=True)
+    return events(spark, sf_dir).select("event_id", loose.isNotNull().alias("is_row"), strict.isNotNull().alias("has_all"), loose["k"].alias("k"))
+
+
+@query("months_apart", "SELECT o_orderkey, (sign(date_diff('day', DATE '1995-05-31', o_orderdate)) * datesub('month', least(DATE '1995-05-31', o_orderdate), greatest(DATE '1995-05-31', o_orderdate)))::INTEGER AS months FROM orders WHERE day(o_orderdate) < 28")
+def months_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("1995-05-31 00:00:00").cast("timestamp_ntz")
+    return load(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") < 28).select("o_orderkey", times.months_apart(start, F.col("o_orderdate").cast("timestamp_ntz")).alias("months"))
+
+
+@query("url_decode", "SELECT c_custkey, c_name || ' &' AS name FROM customer")
+def url_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select("c_custkey", strings.url_decoded(strings.url_encoded(F.concat("c_name", F.lit(" &")))).alias("name"))
+
+
 _RECORD: protobuf.Schema = [("event_id", 1, "int64", "singular"), ("event_type", 2, "string", "singular"), ("value", 3, "double", "optional"), ("marks", 4, "int32", "repeated")]
 
 

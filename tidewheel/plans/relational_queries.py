@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import partition
 from ..tables import events, load
 from .registry import query
 
@@ -121,6 +122,18 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
+@query("dealt_rows", "SELECT 'rebalance' AS how, count(*) AS cnt, true AS even, 8 AS tasks FROM events UNION ALL SELECT 'shuffle', count(*), true, 8 FROM events")
+def dealt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt in turn and at random: all are there, over as many tasks as asked for, none with over twice its share."""
+
+    def counted(df: DataFrame, how: str) -> DataFrame:
+        parts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+        return parts.agg(F.lit(how).alias("how"), F.sum("n").alias("cnt"), (F.max("n") <= F.sum("n") / 4).alias("even"), F.count("*").cast("int").alias("tasks"))
+
+    rows = events(spark, sf_dir).select("event_id")
+    return counted(partition.rebalance(rows, 8), "rebalance").unionByName(counted(partition.shuffle(rows, 8, 5), "shuffle"))
+
+
 @query("salted_keys", "SELECT event_type, count(*) AS cnt, sum(value::DECIMAL(12,2))::DOUBLE AS total FROM events GROUP BY 1")
 def salted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few hot keys in two steps: by key and salt, then by key."""

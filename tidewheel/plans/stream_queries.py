@@ -57,6 +57,23 @@ def stream_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(got).withColumnRenamed("k", "user_id")
 
 
+@query("stream_count_window_slide", ORACLES["count_window_slide"])
+def stream_count_window_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events_stream(spark, sf_dir).select("user_id", "event_id", "value")
+    state.use_rocksdb(rows)
+    got = rows.groupBy("user_id").transformWithStateInPandas(state.SlidingCountWindow(5, 2, "event_id", "value"), "k long, rn long, total double, n long", "Append", "None")
+    return drain(got).withColumnRenamed("k", "user_id")
+
+
+@query("stream_reminders", "SELECT user_id, epoch_us(ts) // 1000 + 3600000 AS due_ms, value AS v FROM events WHERE epoch_us(ts) // 1000 + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)")
+def stream_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event again an hour later, by a timer of its own; those due after the last watermark stay open."""
+    rows = events_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select("user_id", "ts", F.unix_millis("ts").alias("ms"), "value")
+    state.use_rocksdb(rows)
+    got = rows.groupBy("user_id").transformWithStateInPandas(state.Reminders(3_600_000, "ms", "value"), "k long, due_ms long, v double", "Append", "EventTime")
+    return drain(got).withColumnRenamed("k", "user_id")
+
+
 @query("stream_union_join", ORACLES["union_latest_join"])
 def stream_union_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_stream(spark, sf_dir).where("event_type IN ('view', 'purchase')").select("user_id", "event_id", "value", (F.col("event_type") == "view").alias("is_left"))

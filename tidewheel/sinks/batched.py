@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
+import random
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -33,32 +36,79 @@ def log_batch(mode: str = "LOG_INFO") -> Callable[[DataFrame, int], None]:
 
 @dataclass
 class Batching:
-    """rows: of a flush at most. key: one row is kept for each key, in order of arrival, by replace(new, old). retries:
-    further tries of a flush that fails. drop_failed: a flush that fails for good is counted and left out, else raised."""
+    """rows, size (bytes of the rows, by size_of), interval_seconds: what of these a flush reaches first ends it; the time is
+    looked at when a row comes. pause_seconds: between two flushes at least. key: one row is kept for each key, in order of
+    arrival, by replace(new, old). retries: further tries of a flush that fails. drop_failed: a flush that fails for good is
+    counted and left out, else raised."""
 
     rows: int = 5000
+    size: int | None = None
+    interval_seconds: float | None = None
+    pause_seconds: float = 0.0
     key: Callable[[dict], Any] | None = None
     replace: Callable[[dict, dict], dict] = field(default=lambda new, old: new)
     retries: int = 2
     drop_failed: bool = False
+    size_of: Callable[[dict], int] = field(default=lambda row: len(repr(row)))
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
 
 
 def flushes(rows: Iterable[dict], batching: Batching) -> Iterator[list[dict]]:
     """The batches that rows are written in."""
     held: dict[Any, dict] = {}
+    size, since, last = 0, batching.clock(), None
+
+    def batch() -> list[dict]:
+        nonlocal held, size, since, last
+        if last is not None and (wait := last + batching.pause_seconds - batching.clock()) > 0:
+            batching.sleep(wait)
+        out, held, size = list(held.values()), {}, 0
+        since = last = batching.clock()
+        return out
+
     for n, row in enumerate(rows):
         key = batching.key(row) if batching.key else n
-        held[key] = batching.replace(row, held[key]) if key in held else row
-        if len(held) >= batching.rows:
-            yield list(held.values())
-            held = {}
+        new = batching.replace(row, held[key]) if key in held else row
+        if batching.size is not None:
+            size += batching.size_of(new) - (batching.size_of(held[key]) if key in held else 0)
+        held[key] = new
+        due = batching.interval_seconds is not None and batching.clock() - since >= batching.interval_seconds
+        if len(held) >= batching.rows or (batching.size is not None and size >= batching.size) or due:
+            yield batch()
     if held:
-        yield list(held.values())
+        yield batch()
+
+
+Writer = Callable[[list[dict]], None]
+
+
+def over_hosts(hosts: list[str], connect: Callable[[str], Writer]) -> Callable[[], Writer]:
+    """Opens a writer on the next host each time, beginning anywhere."""
+    order = itertools.cycle(random.sample(hosts, len(hosts)))
+    return lambda: connect(next(order))
+
+
+def saves_then_deletes(save: Writer, delete: Writer, is_deleted: Callable[[dict], bool]) -> Writer:
+    """A writer that saves a batch's rows and then deletes those marked; by keyed batching no key is in both."""
 
+    def write(batch: list[dict]) -> None:
+        gone = [r for r in batch if is_deleted(r)]
+        kept = [r for r in batch if not is_deleted(r)]
+        for rows, put in ((kept, save), (gone, delete)):
+            if rows:
+                put(rows)
 
-def write_partition(rows: Iterable[dict], open_writer: Callable[[], Callable[[list[dict]], None]], batching: Batching) -> dict[str, int]:
-    """Writes rows; a failed try opens a new writer. Returns counts of rows in, out and dropped, and of failed tries."""
-    seen = {"in": 0, "out": 0, "dropped": 0, "errors": 0}
+    return write
+
+
+COUNTS = ("in", "out", "dropped", "errors", "flushes")
+
+
+def write_partition(rows: Iterable[dict], open_writer: Callable[[], Writer], batching: Batching, beside: Callable[[float], None] | None = None) -> dict[str, int]:
+    """Writes rows; a failed try opens a new writer. beside is called with the time before each flush, for statements that
+    run now and then. Returns counts of rows in, out and dropped, of failed tries, and of flushes."""
+    seen = dict.fromkeys(COUNTS, 0)
     write = open_writer()
 
     def counted() -> Iterator[dict]:
@@ -67,10 +117,13 @@ def write_partition(rows: Iterable[dict], open_writer: Callable[[], Callable[[li
             yield r
 
     for batch in flushes(counted(), batching):
+        if beside:
+            beside(batching.clock())
         for n in range(batching.retries + 1):
             try:
                 write(batch)
                 seen["out"] += len(batch)
+                seen["flushes"] += 1
                 break
             except Exception:
                 seen["errors"] += 1
@@ -83,9 +136,19 @@ def write_partition(rows: Iterable[dict], open_writer: Callable[[], Callable[[li
     return seen
 
 
-def write_batches(df: DataFrame, open_writer: Callable[[], Callable[[list[dict]], None]], batching: Batching = Batching()) -> None:
-    """Each task writes its rows through a writer of its own; for foreachBatch or a batch."""
-    df.foreachPartition(lambda rows: write_partition((r.asDict(True) for r in rows), open_writer, batching) and None)
+def write_batches(df: DataFrame, open_writer: Callable[[], Writer], batching: Batching = Batching()) -> dict[str, int]:
+    """Each task writes its rows through a writer of its own; for foreachBatch or a batch. Returns the counts over all tasks;
+    tasks that Spark runs again count again."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        rows = (r for b in batches for r in b.to_pylist())
+        seen = write_partition(rows, open_writer, batching)
+        yield pa.RecordBatch.from_arrays([pa.array([seen[c]], pa.int64()) for c in COUNTS], names=list(COUNTS))
+
+    got = df.mapInArrow(run, ", ".join(f"`{c}` long" for c in COUNTS)).agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in COUNTS]).first()
+    return got.asDict()
 
 
 def upsert_sql(table: str, columns: list[str], keep_old: list[str] | None = None, keys: list[str] | None = None) -> str:

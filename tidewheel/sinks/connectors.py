@@ -4,9 +4,12 @@ options of Spark's writers. What they send goes through sinks.batched with a wri
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from .batched import Batching
+from pyspark.sql import DataFrame
+
+from .batched import Batching, Writer, over_hosts, write_batches
 
 _SIZES = {"": 1, "b": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30}
 _SPANS = {"ms": 0.001, "s": 1, "min": 60, "h": 3600}
@@ -30,7 +33,7 @@ def seconds_of(text: str) -> float:
 @dataclass
 class ClickHouse:
     """table and hosts are required; connection options pass through. A batch is tried three times, each time on the next
-    host, then dropped and counted."""
+    host; if all fail, the write fails, or with drop_failed the batch is left out and counted."""
 
     table: str
     hosts: list[str]
@@ -56,8 +59,26 @@ class ClickHouse:
             raise ValueError("batch sizes must be positive, and less than 1000mb")
         return out
 
-    def batching(self) -> Batching:
-        return Batching(rows=self.batch_rows, retries=2, drop_failed=True)
+    def batching(self, drop_failed: bool = False) -> Batching:
+        return Batching(rows=self.batch_rows, size=self.batch_bytes, interval_seconds=self.interval_seconds, retries=2, drop_failed=drop_failed)
+
+    def write(self, df: DataFrame, connect: Callable[[str], Writer], drop_failed: bool = False) -> dict[str, int]:
+        """Writes rows in batches; connect opens a writer on a host. Returns the counts of write_batches."""
+        return write_batches(df, _Rotation(self.hosts, connect), self.batching(drop_failed))
+
+
+class _Rotation:
+    """over_hosts, made anew in each task."""
+
+    def __init__(self, hosts: list[str], connect: Callable[[str], Writer]):
+        self.hosts, self.connect, self.open = hosts, connect, None
+
+    def __getstate__(self) -> dict:
+        return {"hosts": self.hosts, "connect": self.connect, "open": None}
+
+    def __call__(self) -> Writer:
+        self.open = self.open or over_hosts(self.hosts, self.connect)
+        return self.open()
 
 
 @dataclass
@@ -81,11 +102,17 @@ class StreamLoad:
 
 @dataclass
 class Period:
-    """Runs statements beside the flushes: those that make gives for a time, at most each interval."""
+    """Statements beside the flushes: those that make gives for a time, at most each interval; as write_partition's beside
+    it hands them to execute."""
 
     make: object
     interval_seconds: float
     last: float | None = None
+    execute: Callable[[str], None] | None = None
+
+    def __call__(self, now: float) -> None:
+        for statement in self.due(now):
+            self.execute(statement)
 
     def due(self, now: float) -> list[str]:
         if self.last is not None and now - self.last < self.interval_seconds:

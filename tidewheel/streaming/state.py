@@ -48,6 +48,65 @@ class CountWindow(StatefulProcessor):
         pass
 
 
+class SlidingCountWindow(StatefulProcessor):
+    """On every slide-th row of a key, the number and sum of its last size rows at most."""
+
+    def __init__(self, size: int, slide: int, order: str, value: str):
+        self.size, self.slide, self.order, self.value = size, slide, order, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+        self.last = handle.getListState("last", "v double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        held = [v[0] for v in self.last.get()] if self.last.exists() else []
+        values = held + _ordered(rows, self.order)[self.value].astype(float).tolist()
+        n = before + len(values) - len(held)
+        sums = [0.0, *pd.Series(values, dtype=float).cumsum().tolist()]
+        out = []
+        for at in range(before + self.slide - before % self.slide, n + 1, self.slide):
+            end = at - before + len(held)
+            start = max(0, end - self.size)
+            out.append((key[0], at, round(sums[end] - sums[start], 2), end - start))
+        self.seen.update((n,))
+        self.last.put([(v,) for v in values[-(self.size - 1) :]] if self.size > 1 else [])
+        yield pd.DataFrame(out, columns=["k", "rn", "total", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+class Reminders(StatefulProcessor):
+    """Each row again, delay_ms after its event time, by timers of which a key may have many; rows due at one time share one."""
+
+    def __init__(self, delay_ms: int, time_ms: str, value: str):
+        self.delay_ms, self.time_ms, self.value = delay_ms, time_ms, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "due long", "vs array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        part = _ordered(rows, self.time_ms)
+        for due, values in part.groupby(part[self.time_ms] + self.delay_ms)[self.value]:
+            at = (int(due),)
+            had = list(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+            if not had:
+                self.handle.registerTimer(int(due))
+            self.waiting.updateValue(at, (had + values.astype(float).tolist(),))
+        yield pd.DataFrame({"k": [], "due_ms": [], "v": []}).astype({"k": "int64", "due_ms": "int64", "v": "float64"})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        due = int(expiredTimerInfo.getExpiryTimeInMs())
+        values = list(self.waiting.getValue((due,))[0])
+        self.waiting.removeKey((due,))
+        yield pd.DataFrame({"k": [key[0]] * len(values), "due_ms": [due] * len(values), "v": values})
+
+    def close(self) -> None:
+        pass
+
+
 class LatestJoin(StatefulProcessor):
     """At each row whose key has both sides by then, the newest value of each. A side's value expires after ttl_ms."""
 
