@@ -262,6 +262,13 @@ def test_bands_keep_the_pigeonhole():
         for b in ngram_join.bands(plan, 5000):
             assert b.differ == max((s + s * 5 // 4) // 9 for s in range(b.low, b.high))
             assert b.segments + b.deleting == b.differ + b.spare and b.spare >= 1 and b.deleting <= b.segments
+    for plan, some in ((ngram_join.Plan(), 1), (ngram_join.Plan(thin_cost=200), 5)):  # neighbourhoods where they cost less
+        table = ngram_join.bands(plan, 5000)
+        assert sum(b.deleting > 0 for b in table) >= some
+        for b in table:
+            plain = 3 + int(plan.spare * b.differ)
+            costs = [ngram_join.expected_cost((b.low + b.high - 1) / 2, *x, plan.thin_cost) for x in ((b.segments, b.deleting, b.spare), (b.differ + plain, 0, plain))]
+            assert costs[0] <= costs[1] and (b.deleting == 0 or costs[0] < costs[1])
 
 
 # 7

@@ -15,8 +15,9 @@ credit: the rarest key that the two share is still there for both.
 
 All sets of a key are compared to one of them first, its pivot, and then components decide: sets of one component need
 no further look. Where a key still holds several components, more pivots follow, in rounds that make them 64 times as
-many, until there is one component or all have been pivots. So a group of near copies of any size costs about a comparison
-for each member, and no link between different components is lost.
+many and link each member to the likeliest pivot of each other component; of these keys one in FEW takes part. In a last
+round all sets of what is still not settled are compared to all that are in other components. So a group of near copies of
+any size costs about a comparison for each member, and no link between different components is lost.
 
 Keys travel with 40 bits and their bucket. Where two keys of one set fall together, its credit is less by one: of the
 keys that a pair shares there are still as many as each set's credit says.
@@ -67,6 +68,8 @@ TABLE_BITS = 1 << 25
 SALT_SETS, SALTS = 256, 64
 #: Sets of keys with so many or fewer meet as pairs in rows, those of others in blocks.
 PAIR_SETS = 16
+#: Of larger keys, one in so many is looked at before the last round.
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,7 @@ class Plan:
 
     ratio: float = 1.4
     spare: float = 0.25
-    thin_cost: float = 4.0
+    thin_cost: float = 6.0
     node_bits: int = 64
 
 
@@ -90,6 +93,19 @@ class Band:
     spare: int
 
 
+def expected_cost(size: float, segments: int, deleting: int, spare: int, thin_cost: float) -> float:
+    """Keys that a set of a size is expected to write, and thin_cost for each that has one shingle only and that the set's
+    credit does not let it leave out."""
+    p = 1 / segments
+    none, one = (1 - p) ** size, size * p * (1 - p) ** (size - 1) if segments > 1 else float(size == 1)
+    two = size * (size - 1) / 2 * p**2 * (1 - p) ** (size - 2) if segments > 1 else float(size == 2)
+    plain = segments - deleting
+    keys = segments * (1 - none) + deleting * size * p
+    thin = plain * one + deleting * (one + 2 * two)
+    credit = (spare - plain * none - 2 * deleting * (none + one)) / (2 if deleting else 1)
+    return keys + thin_cost * max(thin - max(credit - 1, 0), 0)
+
+
 @cache
 def bands(plan: Plan, most: int) -> list[Band]:
     """Bands of sizes up to most; high is exclusive. deleting: so many segments, the first ones, have neighbourhoods."""
@@ -98,19 +114,17 @@ def bands(plan: Plan, most: int) -> list[Band]:
         high = max(low + 1, int(low * plan.ratio))
         top = high - 1
         differ = (top + top * 5 // 4) // 9
-        best = None
-        for deleting in range(differ + 1):
-            spare = 3 + int(plan.spare * differ) + (deleting > 0)
-            segments = differ + spare - deleting
-            if segments < max(1, deleting):
-                break
-            t = (low + high) / 2 / segments
-            thin = (segments - deleting) * t * np.exp(-t) + deleting * (t + t * t) * np.exp(-t)
-            cost = segments - deleting + deleting * (t + 1) + plan.thin_cost * thin
-            if best is None or cost < best[0]:
-                best = (cost, Band(low, high, differ, segments, deleting, spare))
-            if deleting > 64:
-                break
+        spares = 3 + int(plan.spare * differ)
+        size, best = (low + top) / 2, None
+        for deleting in range(min(differ, 64) + 1):
+            # plain segments take all the spare ones, since a set leaves frequent keys out; a few are tried with neighbourhoods
+            for spare in range(1, min(spares, 8) + 1) if deleting else (spares,):
+                segments = differ + spare - deleting
+                if segments < max(1, deleting):
+                    continue
+                cost = expected_cost(size, segments, deleting, spare, plan.thin_cost)
+                if best is None or cost < best[0]:
+                    best = (cost, Band(low, high, differ, segments, deleting, spare))
         out.append(best[1])
         low = high
     return out
@@ -295,8 +309,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def across(now: DataFrame, level: int, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a member of a key and one of the key's pivots of a level that have different labels and are not
-    ruled out. Members and pivots meet as packed blocks of about BLOCK_SETS sets, so a row is a pair of blocks; only what
-    is left of the pairs becomes rows."""
+    ruled out: up to a key's depth, of each member and label of pivots the pair that sketches tell least apart, and beyond
+    it, where all members are pivots, every pair. Members and pivots meet as packed blocks of about BLOCK_SETS sets, so a
+    row is a pair of blocks; only what is left of the pairs becomes rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,20 +319,29 @@ def across(now: DataFrame, level: int, nodes: DataFrame) -> DataFrame:
                 x, y = (_block(batch.column(c), i) for c in ("members", "pivots"))
                 size = min(min(map(len, x[3])), min(map(len, y[3])))
                 left = np.stack([folded(s, size) for s in x[3]]).view(U64)
-                a, b = [], []
-                for node, n, label, sketch in zip(*y, strict=True):
+                at, which, far = [], [], []
+                for k, (n, label, sketch) in enumerate(zip(*y[1:], strict=True)):
                     apart = np.bitwise_count(left ^ folded(sketch, size).view(U64)).sum(1, dtype=np.int64)
-                    ok = (apart <= (x[1] + n) // 9) & (x[2] != label) & (100 * np.minimum(x[1], n) >= 80 * np.maximum(x[1], n))
-                    a.append(x[0][ok])
-                    b.append(np.full(len(a[-1]), node))
-                a_, b_ = np.concatenate(a), np.concatenate(b)
+                    ok = np.flatnonzero((apart <= (x[1] + n) // 9) & (x[2] != label) & (100 * np.minimum(x[1], n) >= 80 * np.maximum(x[1], n)))
+                    at.append(ok)
+                    which.append(np.full(len(ok), k))
+                    far.append(apart[ok])
+                at_, which_, far_ = (np.concatenate(c) for c in (at, which, far))
+                if not batch.column("every")[i].as_py():
+                    order = np.lexsort((which_, far_, y[2][which_], at_))
+                    at_, which_ = at_[order], which_[order]
+                    first = np.ones(len(at_), bool)
+                    first[1:] = (at_[1:] != at_[:-1]) | (y[2][which_[1:]] != y[2][which_[:-1]])
+                    at_, which_ = at_[first], which_[first]
+                a_, b_ = x[0][at_], y[0][which_]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_))], names=["a", "b"])
 
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_left") / BLOCK_SETS)).alias("block")
-    rows = now.select("key", "node", "level", "label", "n_left").join(nodes, "node").select("key", block, "level", F.struct("node", "n_shingles", "label", "sketch").alias("x"))
-    members = rows.groupBy("key", "block").agg(F.collect_list("x").alias("members")).drop("block")
-    pivots = rows.where(F.col("level") == level).groupBy("key", "block").agg(F.collect_list("x").alias("pivots")).drop("block")
-    return members.join(pivots, "key").select("members", "pivots").mapInArrow(run, "a long, b long").distinct()
+    every = (F.col("depth") < level).alias("every")
+    rows = now.select("key", "node", "level", "label", "n_left", "depth").join(nodes, "node").select("key", block, every, "level", F.struct("node", "n_shingles", "label", "sketch").alias("x"))
+    members = rows.groupBy("key", "block", "every").agg(F.collect_list("x").alias("members")).drop("block")
+    pivots = rows.where(F.col("every") | (F.col("level") == level)).groupBy("key", "block").agg(F.collect_list("x").alias("pivots")).drop("block")
+    return members.join(pivots, "key").select("members", "pivots", "every").mapInArrow(run, "a long, b long").distinct()
 
 
 def _block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -549,10 +573,12 @@ def linked(texts: DataFrame, plan: Plan, key_buckets: int, work: Workspace) -> t
     # sets of a part, that were only likely to be in one component, have not met; a larger key is one part
     members, level = members.withColumn("part", F.when(small, F.col("part"))), 0
     while True:
-        members = work.keep(unsettled(labelled(members.where(F.col("depth") >= level), labels), "part"))
+        members = work.keep(unsettled(labelled(members.where(F.col("depth") >= level - 1), labels), "part"))
         if members.isEmpty():
             return rows, labels, names
-        found = across(members.where(~small), level, nodes)
+        # a pair of near copies shares many keys, so few of these bring most of a group together; in the end all are looked at
+        few = (F.col("depth") < level) | (F.pmod(F.xxhash64("key"), F.lit(FEW)) == 0)
+        found = across(members.where(~small & few), level, nodes)
         if level == 0:
             found = found.unionByName(plausible(pairs_within(members.where(small), "part"), nodes))
             members = members.where(~small)
