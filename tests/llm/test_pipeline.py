@@ -57,12 +57,13 @@ def test_odd_tables(spark, rows):
         assert out.count() <= len(rows)
 
 
-def test_entry_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_entry_works_without_the_subpackage(tmp_path, gone):
     import shutil
     import subprocess
 
     root = Path(__file__).resolve().parents[2]
     copy = tmp_path / "repo"
-    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'window_all_topn' in q and 'pipeline' not in q and not any(n.startswith('op') and '_' in n and n[2].isdigit() for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PYTHONPATH": str(copy), "PATH": "/usr/bin:/bin"})

@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewheel.llm import decontaminate, line_templates, ngram_join, queries
+from tidewheel.llm import classifier, decontaminate, line_templates, ngram_join, packed, pii, quality_rules, queries, substrings
 
 # 5
 
@@ -45,12 +46,12 @@ def test_items_with_one_changed_word_are_found(spark, tmp_path):
 
 
 def test_bit_table_takes_multiples_of_its_size(spark):
-    size = ngram_join.TABLE_BITS
+    size = packed.TABLE_BITS
     values = [size, -size, 3 * size + 1, size - 1, 5 * size + 32768, 32767]
-    bits = ngram_join.bit_table(spark.createDataFrame([(v,) for v in values], "node long"), "node")
+    bits = packed.bit_table(spark.createDataFrame([(v,) for v in values], "node long"), "node")
     places = sorted({v % size for v in values})
     assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
-    assert ngram_join.in_table(bits, np.array([0, 1, 2, size - 1, size - 2, 32767, 32768, 32769])).tolist() == [True, True, False, True, False, True, True, False]
+    assert packed.in_table(bits, np.array([0, 1, 2, size - 1, size - 2, 32767, 32768, 32769])).tolist() == [True, True, False, True, False, True, True, False]
 
 
 # 7
@@ -126,3 +127,51 @@ def plain_best(same):
             if score > best:
                 best, out = score, sum(same[i:j])
     return out
+
+
+# all of documents
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts of 5 MB: words in a cycle of 100,003, twice as copies and once again."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(700_000)]
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "a short text"), (4, long)], "doc_id long, text string").repartition(2)
+    rows = lambda df, *names: sorted(tuple(r[n] for n in names) for r in df.collect())
+    assert rows(substrings.repeated_passages(docs), "doc_id", "n_words", "n_removed") == [(1, 700_000, 599_997), (2, 700_000, 700_000), (3, 3, 0), (4, 700_000, 700_000)]
+    assert rows(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == [(1, 100_003, 1), (2, 100_003, 1), (3, 1, 3), (4, 100_003, 1)]
+    assert rows(line_templates.drop_recurring_lines(docs, counts=True), "doc_id", "n_dropped") == [(1, 0), (2, 1), (3, 0), (4, 1)]
+    items = spark.createDataFrame([(9, " ".join(words[500_000:500_030]))], "item_id long, text string")
+    assert rows(decontaminate.contaminated(docs, items), "doc_id", "item_id", "n_matched") == [(1, 9, 30), (2, 9, 30), (4, 9, 30)]
+    assert rows(quality_rules.quality_rules(docs), "doc_id", "n_words") == [(1, 700_000), (2, 700_000), (3, 3), (4, 700_000)]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in classifier.score(docs, classifier.train(docs, labels)).collect()}
+    assert scores[1] == scores[2] == scores[4] > scores[3]
+    texts = spark.createDataFrame([(1, "x " * 2_500_000 + "a@b.cc end")], "doc_id long, text string")
+    found = pii.personal_data(texts).select(pii.span_text(F.col("spans")).alias("s")).first().s
+    assert found == "email:5000000:5000006"
+
+
+def test_blocks_of_a_large_benchmark_come_one_at_a_time(spark):
+    """Twelve items in blocks of one or two: the same pairs, and never two blocks at once in the driver."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items] + [(100, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seeds = decontaminate.Seeds(block_words=60)
+    held = [len(block.ids) for block, _ in decontaminate.blocks(bench, seeds)]
+    assert sum(held) == 12 and len(held) >= 4
+    found = decontaminate.contaminated(docs, bench, seeds)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(12)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, seeds).collect()] == [100]
+
+
+def test_clashing_names(spark):
+    """Columns with the names of helper columns pass through."""
+    helpers = ["node", "_node", "_of", "_stays", "__node", "label", "_bucket", "_is_text", "_docs", "_spots", "docbucket", "_upto"]
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "other words of its own here")], "doc_id long, text string")
+    for n, name in enumerate(helpers):
+        docs = docs.withColumn(name, F.lit(n))
+    bench = spark.createDataFrame([(1, "no such item in any of these texts here")], "item_id long, text string")
+    for kept, n in ((ngram_join.drop_near_duplicates(docs), 2), (line_templates.drop_recurring_lines(docs), 3), (decontaminate.drop_contaminated(docs, bench), 3)):
+        got = kept.collect()
+        assert kept.columns == docs.columns and len(got) == n and all([r[c] for c in helpers] == list(range(len(helpers))) for r in got)

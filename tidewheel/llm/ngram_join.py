@@ -49,6 +49,7 @@ from pyspark.sql.window import Window
 
 from . import packed
 from .io import fresh_names, give_back, shared_dir, small_batches
+from .packed import bit_table, in_table
 from .words import U64, Words, mix, slices, windows, words_of
 
 SLICE = 2 << 20
@@ -60,8 +61,6 @@ BLOCK_SETS, BLOCK_ROWS = 256, 10
 SIZE = 5
 NODE_BITS = 40
 MASK = (1 << NODE_BITS) - 1
-#: Bits of the tables that tell which texts may be needed: 2**25 of them, 4 MB.
-TABLE_BITS = 1 << 25
 
 
 #: A key takes a copy of its pivot for each so many of its sets, and at most so many copies; sets are dealt among them.
@@ -378,25 +377,6 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: packed.Buckets, names: Na
     return places.select("key", F.col("doc").alias("short"), F.col("spot").cast("int").alias("note"), F.col("n").alias("n_sets"))
 
 
-def bit_table(values: DataFrame, column: str) -> np.ndarray:
-    """A table of TABLE_BITS bits in which those of the column's values are set. Its size does not depend on the data.
-    Bucket 1 of Spark's bitmaps starts at the value 1, so places go in one higher."""
-    at = F.pmod(F.col(column), F.lit(TABLE_BITS).cast("long")) + 1
-    rows = values.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(TABLE_BITS // 8, np.uint8)
-    for r in rows:
-        raw = np.frombuffer(r["bits"], np.uint8)
-        at_ = (r["b"] - 1) * 4096
-        out[at_ : at_ + len(raw)] |= raw[: len(out) - at_]
-    return out
-
-
-def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether the values' bits are set."""
-    at = np.mod(values, TABLE_BITS)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def sets_of(texts: DataFrame, nodes: DataFrame, names: Names) -> DataFrame:
     """node, shingles (packed hashes) of the nodes."""
     bits = texts.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))

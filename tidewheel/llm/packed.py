@@ -29,6 +29,8 @@ DEALT = "bucket int, kind int, keys binary, docs binary, spots binary, checks bi
 DEALT_NAMES = ["bucket", "kind", "keys", "docs", "spots", "checks"]
 MARKS = "docbucket int, docs binary, spots binary"
 
+#: Bits of the tables that tell which texts may be needed: 2**25 of them, 4 MB.
+TABLE_BITS = 1 << 25
 #: Kinds of rows: places to be compared, and places that are known to be wanted.
 COMPARE, KNOWN = 0, 1
 
@@ -335,3 +337,33 @@ def own(docs: np.ndarray, spots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
         return docs[:0], spots[:0]
     a, b = np.searchsorted(docs, rows[0], "left"), np.searchsorted(docs, rows[-1], "right")
     return docs[a:b], spots[a:b]
+
+
+def bit_table(values: DataFrame, column: str) -> np.ndarray:
+    """A table of TABLE_BITS bits in which those of the column's values are set. Its size does not depend on the data.
+    Bucket 1 of Spark's bitmaps starts at the value 1, so places go in one higher."""
+    at = F.pmod(F.col(column), F.lit(TABLE_BITS).cast("long")) + 1
+    rows = values.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(TABLE_BITS // 8, np.uint8)
+    for r in rows:
+        raw = np.frombuffer(r["bits"], np.uint8)
+        at_ = (r["b"] - 1) * 4096
+        out[at_ : at_ + len(raw)] |= raw[: len(out) - at_]
+    return out
+
+
+def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the values' bits are set."""
+    at = np.mod(values, TABLE_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def marked_docs(marks: DataFrame) -> np.ndarray:
+    """A bit table of the documents of marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("docs").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(raw).view(np.int64)))], names=["doc"])
+
+    return bit_table(marks.select("docs").mapInArrow(run, "doc long"), "doc")

@@ -7,8 +7,9 @@ candidates for the next level, where the names of twice the length are made from
 the surviving candidates themselves are compared, by hash, and every occurrence but the first is marked; words under
 marked windows go. A level without candidates deals nothing, so the levels above it have nothing to do.
 
-On each level the texts are dealt by document with the marks of the level before, sorted, and streamed: a task holds the
-marks of a bucket of documents and a slice of its texts. Windows travel as packed hashes, never as text. On level W they
+On each level the texts of documents with marks are dealt by document with the marks of the level before, sorted, and
+streamed: a task holds the marks of a bucket of documents and a slice of its texts. Which documents have marks a bit table
+of fixed size tells all tasks; the others' texts stay where they are. Windows travel as packed hashes, never as text. On level W they
 have 128 bits, two independent hashes; on lower levels, where a chance match costs a needless candidate only, 64.
 
 Defined results: a null or empty text has no words and the digest of no bytes; a null id comes before all others; rows
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .io import give_back, small_batches
+from .io import give_back, shared_dir, small_batches
 from .words import U64, Words, doubled, slices, windows, words_of
 
 NULL_DOC = -(1 << 63)
@@ -130,8 +132,26 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
     buckets = packed.bucket_count(df)
     texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
-    def with_marks(marks: DataFrame) -> DataFrame:
-        return packed.beside(texts, marks, packed.doc_bucket_column(F.col("_key"), buckets.docs), "_key", "_text", HELPERS)
+    def with_marks(marks: DataFrame, bits: Any) -> DataFrame:
+        """Texts of documents that may have marks, beside these."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(packed.in_table(bits.value, _docs(batch.column("_key")))))
+
+        return beside(texts.mapInArrow(run, texts.schema), marks)
+
+    def beside(some: DataFrame, marks: DataFrame) -> DataFrame:
+        return packed.beside(some, marks, packed.doc_bucket_column(F.col("_key"), buckets.docs), "_key", "_text", HELPERS)
+
+    def marked(marks: DataFrame) -> Any:
+        return df.sparkSession.sparkContext.broadcast(packed.marked_docs(marks))
+
+    def found(dealt: DataFrame, wish: packed.Wish) -> DataFrame:
+        """The marks, kept: they are read for the bit table and again beside the texts."""
+        path = shared_dir(df.sparkSession, "passages")
+        packed.wanted(dealt, buckets, wish).write.parquet(path)
+        return df.sparkSession.read.schema(packed.MARKS).parquet(path)
 
     def first_level(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in slices(iter([batch]), "_text"):
@@ -142,7 +162,7 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
             yield names[at], *placed.places(at)
 
     # on the only level left spots must tell rows of one id apart, so it starts from the dealt texts as the others do
-    marks = packed.wanted(packed.deal(texts, first_level, buckets, ANY), buckets, ANY) if len(levels) > 1 else None
+    marks = found(packed.deal(texts, first_level, buckets, ANY), ANY) if len(levels) > 1 else None
 
     def named(placed: Placed, at: np.ndarray, names: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
         """Keys, places and, on the last level, second hashes of the windows at these places."""
@@ -151,8 +171,8 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
     def next_level(before: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dealer = packed.Dealer(buckets, LATER if size == window else ANY)
-            for marked, _, placed in placed_slices(batches, window):
-                at = placed.where(*packed.own(*marked, placed.docs), exact=False)
+            for of_bucket, _, placed in placed_slices(batches, window):
+                at = placed.where(*packed.own(*of_bucket, placed.docs), exact=False)
                 names = names_of(placed.words, before, base)
                 repeated = np.unique(names[at[at < len(names)]])
                 if not len(repeated):
@@ -170,8 +190,8 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
         return compare
 
     for before, size in zip(levels, levels[1:], strict=False):
-        dealt = with_marks(marks).mapInArrow(next_level(before, size), packed.DEALT)
-        marks = packed.wanted(dealt, buckets, LATER if size == window else ANY)
+        dealt = with_marks(marks, marked(marks)).mapInArrow(next_level(before, size), packed.DEALT)
+        marks = found(dealt, LATER if size == window else ANY)
 
     if marks is None:
 
@@ -183,30 +203,43 @@ def repeated_passages(df: DataFrame, window: int = 20, base: int = 10, key: str
             yield from dealer.flush()
 
         none = df.sparkSession.createDataFrame([], packed.MARKS)
-        marks = packed.wanted(with_marks(none).mapInArrow(only_level, packed.DEALT), buckets, LATER)
+        marks = found(beside(texts, none).mapInArrow(only_level, packed.DEALT), LATER)
 
     fields = f"{key} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in fields.split(", ")])
 
+    def rows(placed: Placed, gone: np.ndarray) -> pa.RecordBatch:
+        w = placed.words
+        raw = w.data.tobytes()
+        hashed, kept = [], []
+        starts, ends, go = w.start.tolist(), w.end.tolist(), gone.tolist()
+        for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+            joined = b" ".join([raw[starts[i] : ends[i]] for i in range(a, b) if not go[i]])
+            hashed.append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                kept.append(joined.decode())
+        sums = np.concatenate([[0], np.cumsum(gone)])
+        columns = [pa.array(placed.docs, mask=placed.docs == NULL_DOC), pa.array(w.counts), pa.array(sums[w.bounds[1:]] - sums[w.bounds[:-1]]), pa.array(hashed, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], schema=schema)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marked, _, placed in placed_slices(batches, window):
-            w = placed.words
-            at = placed.where(*packed.own(*marked, placed.docs), exact=True)
-            step = np.zeros(len(w.start) + 1, np.int64)
+        for of_bucket, _, placed in placed_slices(batches, window):
+            at = placed.where(*packed.own(*of_bucket, placed.docs), exact=True)
+            step = np.zeros(len(placed.words.start) + 1, np.int64)
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            raw = w.data.tobytes()
-            hashed, kept = [], []
-            starts, ends, go = w.start.tolist(), w.end.tolist(), gone.tolist()
-            for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-                joined = b" ".join([raw[starts[i] : ends[i]] for i in range(a, b) if not go[i]])
-                hashed.append(hashlib.sha256(joined).hexdigest())
-                if with_text:
-                    kept.append(joined.decode())
-            sums = np.concatenate([[0], np.cumsum(gone)])
-            columns = [pa.array(placed.docs, mask=placed.docs == NULL_DOC), pa.array(w.counts), pa.array(sums[w.bounds[1:]] - sums[w.bounds[:-1]]), pa.array(hashed, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], schema=schema)
+            yield rows(placed, np.cumsum(step[:-1]) > 0)
+        give_back()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            part = part.filter(pa.array(~packed.in_table(bits.value, _docs(part.column("_key")))))
+            docs = _docs(part.column("_key"))
+            if not len(docs):
+                continue
+            placed = Placed(docs, np.zeros(len(docs), np.int64), part.column("_text"), window)
+            yield rows(placed, np.zeros(len(placed.words.start), bool))
         give_back()
 
-    return with_marks(marks).mapInArrow(cut, fields)
+    bits = marked(marks)
+    return with_marks(marks, bits).mapInArrow(cut, fields).unionByName(texts.mapInArrow(whole, fields))
