@@ -39,18 +39,19 @@ def sliding_count_window(df: DataFrame, key: str, order: list[str], size: int, s
     return rows.where(F.col("rn") % slide == 0)
 
 
-def running(df: DataFrame, order: str, value: Column, name: str, pick: str = "max", block: int = 1 << 16) -> DataFrame:
-    """pick ('max' or 'sum') of value over all rows before each one in the order of a whole-number column.
+def running(df: DataFrame, order: str, value: Column, name: str, pick: str = "max", block: int = 1 << 16, keys: list[str] | None = None) -> DataFrame:
+    """pick ('max' or 'sum') of value over all rows before each one in the order of a whole-number column; keys: over those
+    of equal keys, which are not null.
 
-    A frame over the whole table would bring it to one task. Here rows of a block of the order are one group, and only
-    one value for each block goes through the frame that spans blocks."""
-    agg = F.max if pick == "max" else F.sum
+    A frame over the whole table, or over a hot key, would bring it to one task. Here rows of a block of the order are one
+    group, and only one value for each block goes through the frame that spans blocks."""
+    agg, keys = F.max if pick == "max" else F.sum, keys or []
     rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / block))
-    blocks = rows.groupBy("__b").agg(agg("__v").alias("__t"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("__b", agg("__t").over(before).alias("__before"))
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "__b").agg(agg("__v").alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "__b", agg("__t").over(before).alias("__before"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = agg("__v").over(inside)
-    joined = rows.withColumn("__own", own).join(blocks, "__b")
+    joined = rows.withColumn("__own", own).join(blocks, [*keys, "__b"])
     both = F.greatest("__before", "__own") if pick == "max" else F.coalesce(F.col("__before") + F.col("__own"), "__before", "__own")
     return joined.withColumn(name, both).drop("__v", "__b", "__t", "__own", "__before")

@@ -105,8 +105,8 @@ def count_window_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("running_sum", "SELECT event_id, event_type, (sum(value::DECIMAL(12,2)) OVER (PARTITION BY event_type ORDER BY event_id))::DOUBLE AS running FROM events")
 def running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of a type's values up to each event: what a keyed rolling sum puts out."""
-    by = windows.Window.partitionBy("event_type").orderBy("event_id")
-    return events(spark, sf_dir).select("event_id", "event_type", F.sum(money()).over(by).cast("double").alias("running"))
+    rows = windows.running(events(spark, sf_dir).select("event_id", "event_type", money().alias("v")), "event_id", F.col("v"), "before", "sum", keys=["event_type"])
+    return rows.select("event_id", "event_type", (F.coalesce("before", F.lit(0)) + F.col("v")).cast("double").alias("running"))
 
 
 def disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
