@@ -175,3 +175,31 @@ def test_clashing_names(spark):
     for kept, n in ((ngram_join.drop_near_duplicates(docs), 2), (line_templates.drop_recurring_lines(docs), 3), (decontaminate.drop_contaminated(docs, bench), 3)):
         got = kept.collect()
         assert kept.columns == docs.columns and len(got) == n and all([r[c] for c in helpers] == list(range(len(helpers))) for r in got)
+
+
+def test_keys_that_fall_together_lower_the_credit():
+    """However few bits are left of the keys, a pair of similar sets shares as many as the larger of its credits."""
+    u = np.uint64
+    assert ngram_join.fallen_together(np.array([5, 5, 7, 5], u), np.array([0, 0, 0, 1]), 2).tolist() == [1, 0]
+    rng = np.random.default_rng(3)
+    for plan in (ngram_join.Plan(), ngram_join.Plan(thin_cost=200)):
+        for n in (4, 5, 8, 12, 40, 100):
+            a = np.unique(rng.integers(0, 1 << 62, n)).astype(u)
+            b = np.unique(np.concatenate([a[: n - n // 9], rng.integers(0, 1 << 62, n // 9).astype(u)]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 80 * (len(a) + len(b) - both)
+            for short in (lambda k: k, lambda k: k & u(63), lambda k: k & u(7)):
+                seen = [{}, {}]
+                for which, x in enumerate((a, b)):
+                    for keys, _, note in ngram_join.keys_of(x, np.array([0, len(x)]), plan, short):
+                        for key, m in zip(short(keys).tolist(), note.tolist(), strict=True):
+                            band = len(x), m & 3
+                            seen[which].setdefault(key, (m >> 2, band))
+                if all(seen):
+                    shared = seen[0].keys() & seen[1].keys()
+                    assert shared
+                    if len(a) == len(b):  # then all keys are of the same bands
+                        for below in {band[1] for _, band in seen[0].values()}:
+                            mine = [{k: c for k, (c, band) in s.items() if band[1] == below} for s in seen]
+                            credit = max(c for m in mine for c in m.values())
+                            assert len(mine[0].keys() & mine[1].keys()) >= credit or short(u(255)) != u(255)
