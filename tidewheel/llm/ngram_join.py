@@ -246,9 +246,9 @@ def _sets(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[tuple[pa.
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Of each set, whether an even or an odd number of its hashes fall on each of a power of two of bits, no fewer than
-    its hashes and 256. Two sets differ in no fewer hashes than their sketches in bits, also when the longer one is folded."""
+    twice its hashes and 256; with fewer, sets a little too different would pass in numbers. Two sets differ in no fewer hashes than their sketches in bits, also when the longer one is folded."""
     n = np.diff(bounds)
-    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = np.maximum(256, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     offset = np.concatenate([[0], np.cumsum(bits)])
     at = np.repeat(offset[:-1], n) + (mix(values ^ U64(0x3C6EF372)).astype(np.int64) & (np.repeat(bits, n) - 1))
     packed_ = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(bool)).tobytes()

@@ -359,11 +359,18 @@ def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def marked_docs(marks: DataFrame) -> np.ndarray:
-    """A bit table of the documents of marks."""
+    """A bit table of the documents of marks; dealt by bucket, each of them makes one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.int64)], 0
         for batch in batches:
             for raw in batch.column("docs").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(raw).view(np.int64)))], names=["doc"])
-
-    return bit_table(marks.select("docs").mapInArrow(run, "doc long"), "doc")
+                held.append(unpack(raw).view(np.int64))
+                size += len(held[-1])
+            if size > 1 << 20:
+                held, size = [np.unique(np.concatenate(held))], 0
+        docs = np.unique(np.concatenate(held))
+        for at in range(0, len(docs), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + (1 << 17)])], names=["doc"])
+
+    return bit_table(marks.select("docbucket", "docs").repartition("docbucket").mapInArrow(run, "doc long"), "doc")
