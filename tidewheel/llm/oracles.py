@@ -99,4 +99,18 @@ ORACLES: dict[str, str] = {
           p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rid ORDER BY n_matched DESC, shift) AS r FROM o WHERE n_matched >= least(13, ceil(0.8 * n)))
         SELECT doc_id, item_id, doc_word, item_word, n_words, n_matched FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, doc_word, item_word, n_words DESC) AS q FROM p WHERE r = 1) WHERE q = 1""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+          t AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+          k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+          g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+          v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k ON k.lang = g.lang GROUP BY 1),
+          n AS (SELECT g.lang, g.source, k.term, count(t.term) AS c FROM g JOIN k ON k.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY 1, 2, 3),
+          p AS MATERIALIZED (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+              1 + (1000000000::HUGEINT * (sum(c) OVER (PARTITION BY lang, term) + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q FROM n JOIN v USING (lang)),
+          pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3),
+          terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+          r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+        SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }

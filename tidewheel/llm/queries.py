@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, decontaminate, line_templates, ngram_join, pii, quality_rules, substrings, warc
+from . import bpe, chat, classifier, decontaminate, divergence, line_templates, ngram_join, pii, quality_rules, substrings, warc
 from .io import shared_dir
 from .oracles import ORACLES
 
@@ -132,6 +132,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.mapInArrow(run, fields)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
@@ -143,4 +147,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
 }
