@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, decontaminate, divergence, line_templates, ngram_join, pii, quality_rules, substrings, warc, whitening
+from . import bpe, chat, classifier, decontaminate, divergence, line_templates, ngram_join, pii, quality_rules, substrings, toxicity, warc, whitening
 from .io import shared_dir
 from .oracles import ORACLES
 
@@ -140,6 +140,16 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return got.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
@@ -153,4 +163,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_source_divergence": op11_source_divergence,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_toxicity": op13_toxicity,
 }
