@@ -50,7 +50,7 @@ class Settings:
     max_features: int = 1 << 24
     rounds: int = 100
     rate: float = 1.0
-    lasso: float = 1.0
+    lasso: float = 0.5
     start: float = -12.0
     threshold: float = 0.5
 
