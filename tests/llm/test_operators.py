@@ -147,7 +147,23 @@ def test_pii_candidates_are_where_they_say(spark, text):
     for m in __import__("re").finditer(rf"(?<!\S)(?:{number}(?: {number})*(?!\S)|[^\s0-9@]*[0-9@]\S*)", text):
         bare = __import__("re").sub(r"^[(\[{<\"']+(?![0-9]+\))", "", m[0])
         want.append((m.end() - len(bare), bare.rstrip(".,;:!?)]}>\"'")))
-    assert set(want) <= set(got)
+    assert sorted(set(want)) == got
+
+
+def test_pii_runs_of_numbers_and_long_words(spark):
+    """A run of numbers is one candidate whatever its length; words of a context are compared whole."""
+    docs = [(1, "1 " * 1_000_000), (2, "7\n" * 200_000)]
+    got = {(r.row_id, r.n) for r in pii.found_items(frame(spark, docs).select(F.col("doc_id").alias("row_id"), "text", F.lit(0).cast("long").alias("row_hash"))).where("not base").groupBy("row_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 1), (2, 200_000)}
+    known = [(i, "q" * 60 + f" id a{i}@b.cc") for i in range(20)]
+    others = [(30, "z" * 20 + "q" * 40 + " id ab12345"), (31, "q" * 60 + " id ab12345"), (32, "\t" * 60 + "id ab12345"), (33, "id x1 id ab12345")]
+    mixed = [(50 + i, f"other{i} id w{i}") for i in range(40)]
+    found = pii.candidates(pii.found_items(frame(spark, known + others + mixed).select(F.col("doc_id").alias("row_id"), "text", F.lit(0).cast("long").alias("row_hash"))))
+    second = {(r.row_id, r.word): r.patterns[1] for r in found.collect()}
+    assert second[30, "ab12345"] == "z" * 20 + "q" * 40 + " id" and second[31, "ab12345"] == "q" * 60 + " id"
+    assert second[32, "ab12345"] == "^ id" and second[33, "ab12345"] == "x1 id" and second[33, "x1"] == "^ id"
+    got = {r.doc_id: r.s for r in pii.personal_data(frame(spark, known + others + mixed)).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
+    assert got[31] == "email:64:71" and got[30] == got[32] == got[33] == ""
 
 
 def test_pii_query(spark):

@@ -10,7 +10,7 @@ that reaches the confidence asked for is a seed from the next round on. Patterns
 different seeds mark the other candidates that stand in them, if these look like identifiers and do not overlap a base entity.
 
 Everything is DataFrame functions: positions are sums of the lengths of what regular expressions split off. Patterns are
-written so that they neither recurse nor look at a run of characters again from each of its places.
+written so that they neither recurse nor look at a run of characters, or of numbers, again from each of its places.
 
 Defined results: a null text is empty; rows without entities have counts of 0, empty spans and the digest of nothing.
 Rows equal in id and text have equal results; rows with one id and different texts are looked at each for itself. Of kinds
@@ -40,10 +40,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NUMBER = r"[+(]*+[0-9][0-9().+-]*+"
-#: A word and the space behind it (or the text's start, for which a space is put there), before a group of numbers or a word with a digit or an @, and the
-#: word behind that.
-CONTEXT = rf"(?:\A\x20[{SPACE}]*+|(?<![^{SPACE}])([^{SPACE}]++)[{SPACE}]++)(?=((?:{_NUMBER}(?:\x20{_NUMBER}(?=[{SPACE},;:!?\]}}>\"']|\z))*+[,;:!?\]}}>\"']*+(?![^{SPACE}])|[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+))[{SPACE}]*+([^{SPACE}]*+))"
+_CLOSING = ",;:!?\\]}>\"'"
+#: A further group of a run of numbers: signs may close it, then comes a space or the end.
+_MORE = rf"\x20{_NUMBER}(?=[{_CLOSING}]*+(?![^{SPACE}]))"
+#: A word and the space behind it (or the text's start, for which a space is put there), before a run of numbers or a word with
+#: a digit or an @, and the word behind that. A number that another group follows is no left word, so that a run is one match.
+CONTEXT = (
+    rf"(?:\A\x20[{SPACE}]*+|(?<![^{SPACE}])(?!{_NUMBER}{_MORE})([^{SPACE}]++)[{SPACE}]++)"
+    rf"(?=({_NUMBER}(?:{_MORE})*+[{_CLOSING}]*+(?![^{SPACE}])|[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+)[{SPACE}]*+([^{SPACE}]*+))"
+)
 EDGE = "^"
+PIECE = "struct<kind:int,number:int,before:int,size:int,word:string,further:string,left:string,right:string>"
 
 
 @dataclass(frozen=True)
@@ -58,20 +65,16 @@ class Learning:
 
 
 def _pieces(text: Column, kind: int, pattern: str, context: bool = False) -> Column:
-    """An array of (kind, number, characters before, characters of the match, word, lexical patterns) for each match. A
-    match of a context is the word to the left; its word is looked ahead for."""
+    """An array of PIECE for each match: characters before and of it, and its word. A match of a context is the word to the
+    left; its word and the one to the right are looked ahead for, further is the last word before the match, if any."""
     groups = {"match": 0} | ({"left": 1, "word": 2, "right": 3} if context else {})
     parts = [F.split(text, pattern, -1).alias("before"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items())]
 
     def piece(x: Column, i: Column) -> Column:
-        patterns = F.lit(None).cast("array<string>")
-        if context:
-            left, right = (F.lower(F.when(x[c] == "", EDGE).otherwise(x[c])) for c in ("left", "right"))
-            # the word before the left one: the end of what lies before, of which a bounded part is looked at
-            further = F.lower(F.regexp_extract(F.right(F.rtrim(x["before"]), F.lit(40)), rf"([^{SPACE}]+)[{SPACE}]*$", 1))
-            patterns = F.array(left, F.concat_ws(" ", F.when(further == "", EDGE).otherwise(further), left), F.concat(left, F.lit(" _ "), right))
-        word = x["word"] if context else x["match"]
-        return F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.length(x["before"]).alias("before"), F.length(x["match"]).alias("size"), word.alias("word"), patterns.alias("patterns"))
+        further = F.reverse(F.regexp_extract(F.reverse(x["before"]), rf"\A[{SPACE}]*+([^{SPACE}]*+)", 1)) if context else F.lit(None)
+        fields = {"kind": F.lit(kind), "number": i, "before": F.length(x["before"]), "size": F.length(x["match"]), "word": x["word"] if context else x["match"], "further": further}
+        fields |= {side: x[side] if context else F.lit(None) for side in ("left", "right")}
+        return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(PIECE)
 
     return F.transform(F.filter(F.arrays_zip(*parts), lambda x: x["match"].isNotNull()), piece)
 
@@ -101,14 +104,19 @@ def found_items(docs: DataFrame) -> DataFrame:
     """Base entities (base is true) and candidates of the texts (row_id, row_hash, text), with their places."""
     text = F.col("text")
     has_digit = F.col("has_digit")
-    none = F.array().cast("array<struct<kind:int,number:int,before:int,size:int,word:string,patterns:array<string>>>")
+    none = F.array().cast(f"array<{PIECE}>")
     hint = {"email": F.contains(text, F.lit("@")), "ip": has_digit, "card": has_digit, "phone": F.contains(text, F.lit("+")) & has_digit}
     kinds = [F.when(hint[k], _pieces(text, i, PATTERNS[k])).otherwise(none) for i, k in enumerate(KINDS)]
     kinds.append(F.when(has_digit | hint["email"], _pieces(F.concat(F.lit(" "), text), CANDIDATE, CONTEXT, True)).otherwise(none))
     raw = docs.withColumn("has_digit", text.rlike("[0-9]")).select("row_id", "row_hash", F.explode(F.concat(*kinds)).alias("x")).select("row_id", "row_hash", "x.*").distinct()
-    run = F.sum(F.col("before") + F.col("size")).over(Window.partitionBy("row_id", "row_hash", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
-    placed = raw.withColumn("run", run.cast("long"))
+    order = Window.partitionBy("row_id", "row_hash", "kind").orderBy("number")
+    run = F.sum((F.col("before") + F.col("size")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     base = F.col("kind") < CANDIDATE
+    # with nothing but the match before in front of it, a left word has that match's left word before it
+    further = F.when(F.col("further") == "", F.lag("left").over(order)).otherwise(F.col("further"))
+    further, left, right = (F.lower(F.when(F.coalesce(c, F.lit("")) == "", EDGE).otherwise(c)) for c in (further, F.col("left"), F.col("right")))
+    patterns = F.when(~base, F.array(left, F.concat_ws(" ", further, left), F.concat(left, F.lit(" _ "), right)))
+    placed = raw.withColumns({"run": run, "patterns": patterns})
     # a candidate is a word behind the match; signs around it do not belong to it
     bare = F.regexp_replace("word", r"^[(\[{<\"']+(?![0-9]+\))", "")  # brackets around a number's first digits belong to it
     lead = F.length("word") - F.length(bare)
