@@ -5,7 +5,7 @@ p = sigmoid(w . x + b) from the terms that it has; the document gets 1 - product
 offending sentence is enough and the model learns which one it was. w and b follow the gradient of the documents' log loss,
 from a small probability for every sentence; a lasso leaves out what few documents speak for.
 
-A sentence ends after . ! ? or at a newline. Its features are its terms (see terms.py) and their first three to seven bytes,
+A sentence ends after . ! ? or at a newline. Its features are its terms (see terms.py) and their first three to five bytes,
 hashed to a fixed number of places, each once; prefixes find forms that no labelled document has. Features of fewer than
 min_docs learnt documents are left out.
 
@@ -35,8 +35,8 @@ from .io import shared_dir, small_batches
 from .terms import Terms, terms_of
 from .words import U64, slices, span_hashes
 
-#: Text of so many bytes is turned into features at once.
-SLICE = 1 << 19
+#: Text of so many bytes is turned into features at once, and the fit looks at so many features at once.
+SLICE, STEP = 1 << 19, 1 << 19
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -44,10 +44,10 @@ _ENDS[[ord(c) for c in ".!?\n"]] = True
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
+    prefixes: tuple[int, ...] = (3, 4, 5)
     min_docs: int = 3
     max_train: int = 6_000
-    max_features: int = 1 << 24
+    max_features: int = 1 << 23
     rounds: int = 100
     rate: float = 1.0
     lasso: float = 0.5
@@ -125,27 +125,47 @@ def _prefix_hashes(terms: Terms, which: np.ndarray, size: int) -> np.ndarray:
     return value * U64(0xD6E8FEB86659FD93)
 
 
+def _documents_with(bags: Bags, dims: int) -> np.ndarray:
+    """Of each feature the number of documents that have it."""
+    out = np.zeros(dims, np.int64)
+    ends = bags.features[bags.sentences]
+    at = 0
+    while at < len(ends) - 1:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, "right")) - 1)
+        place = bags.place[ends[at] : ends[end]].astype(np.int64)
+        doc = np.repeat(np.arange(end - at), np.diff(ends[at : end + 1]))
+        out += np.bincount(np.unique(doc * dims + place) % dims, minlength=dims)
+        at = end
+    return out
+
+
 def fit(bags: Bags, labels: np.ndarray, settings: Settings) -> Model:
     """Adaptive gradient steps over all documents at a time, each feature with a rate of its own."""
     dims = 1 << settings.bits
     if len(set(labels.tolist())) < 2:
         return Model(settings, np.zeros(dims), 30.0 if len(labels) and labels[0] else -np.inf)
     doc_of = np.repeat(np.arange(len(labels)), np.diff(bags.sentences))
-    row = np.repeat(np.arange(len(bags.features) - 1), np.diff(bags.features))
-    pairs = np.unique(bags.place * len(labels) + doc_of[row])
-    common = np.bincount(pairs // len(labels), minlength=dims) >= settings.min_docs
-    used = np.cumsum(common) - 1
+    row = np.repeat(np.arange(len(bags.features) - 1, dtype=np.int32), np.diff(bags.features))
+    common = _documents_with(bags, dims) >= settings.min_docs
+    used = (np.cumsum(common) - 1).astype(np.int32)
     keep = common[bags.place]
     place, row = used[bags.place[keep]], row[keep]
     n, m = int(common.sum()), len(bags.features) - 1
+
+    def sums(by: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for at in range(0, len(by), STEP):
+            out += np.bincount(by[at : at + STEP], values[of[at : at + STEP]], size)
+        return out
+
     weights, bias, seen, seen_bias = np.zeros(n), settings.start, np.full(n, 1e-8), 1e-8
     positive = labels[doc_of] > 0
     for _ in range(settings.rounds):
-        p = _sigmoid(np.bincount(row, weights[place], m) + bias)
+        p = _sigmoid(sums(row, place, weights, m) + bias)
         whole = noisy_or(p, bags.sentences)[doc_of]
         # log loss by z: p * (1 - P) / P drawn up for toxic documents, p drawn down for others
         g = np.where(positive, -p * (1 - whole) / np.maximum(whole, 1e-9), p) / len(labels)
-        slope = np.bincount(place, g[row], n)
+        slope = sums(place, row, g, n)
         seen += slope**2
         step = settings.rate / np.sqrt(seen)
         weights -= step * slope
@@ -190,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     sentences = np.concatenate([[0], np.cumsum(np.asarray(parts["_sentences"].value_lengths()).astype(np.int64))])
     sizes = parts["_sentences"].flatten().to_numpy().astype(np.int64)
     none = np.zeros(0, np.int64)
-    bags = Bags(parts["_features"].flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), sentences, none, none)
+    bags = Bags(parts["_features"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), sentences, none, none)
     return fit(bags, got.column("_label").to_numpy(), settings)
 
 
