@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import top_n
+from ..session import shared_dir
 from ..streaming import state
-from ..streaming.drain import drain
+from ..streaming.drain import arriving, drain, run_batches
+from ..streaming.lateness import LateWindows
 from ..tables import events_stream
 from . import event_queries as batch
 from .registry import ORACLES, query
@@ -83,17 +85,27 @@ def stream_union_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(got).select(F.col("k").alias("user_id"), F.col("o").alias("event_id"), "left_value", "right_value")
 
 
+def _disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = batch.disordered(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "ts", "arrival")
+    return arriving(rows, "arrival")
+
+
 @query("stream_late", "SELECT event_id, ts FROM (" + ORACLES["late_side_output"] + ")")
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The watermark that follows each row is one for the whole stream, so its processor has one key."""
-    arrival = F.floor(F.col("event_id") / 20) * 20 + (F.col("event_id") * 7) % 20
-    rows = events_stream(spark, sf_dir).select(F.lit(0).alias("k"), arrival.alias("arrival"), F.unix_micros("ts").alias("us"), "event_id")
-    state.use_rocksdb(rows)
-    got = rows.groupBy("k").transformWithStateInPandas(state.LateRows("arrival", "us", 3_600_000_000), "o long, us long", "Append", "None")
-    late = drain(got)
-    # the order of arrival back to the id: of each twenty, the seventh multiples
-    block = F.floor(F.col("o") / 20) * 20
-    return late.select((block + ((F.col("o") % 20) * 3) % 20).alias("event_id"), F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
+    """Rows that come after their window has ended, over several micro-batches."""
+    top = shared_dir(spark, "late")
+    windows = LateWindows(top, "1 hour", "0 seconds", ["event_type"], "arrival")
+    run_batches(_disordered(spark, sf_dir), windows, f"{top}/checkpoint")
+    return windows.late(spark).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_allowed_lateness", ORACLES["allowed_lateness_refire"])
+def stream_allowed_lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main results and refires, over several micro-batches; the stream's end ends the windows that are open."""
+    top = shared_dir(spark, "lateness")
+    windows = LateWindows(top, "1 hour", "30 minutes", ["event_type"], "arrival")
+    run_batches(_disordered(spark, sf_dir), windows, f"{top}/checkpoint")
+    return windows.results(spark, ended=True).withColumn("win_start", F.col("win_start").cast("timestamp_ntz"))
 
 
 _SENDS = ORACLES["interval_send_eager"].replace("epoch_us(ts)", "epoch_us(ts) // 1000").replace("86400000000", "86400000")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_dir
 
@@ -22,3 +26,23 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.read.schema(stream.schema).parquet(f"{top}/out/last")
     out = spark.read.parquet(f"{top}/out")
     return out if mode == "update" else out.drop("batch")
+
+
+def arriving(df: DataFrame, order: str, parts: int = 6, most: int = 2_000_000) -> DataFrame:
+    """A stream of df's rows in micro-batches that follow a whole-number column: parts of them, or more, so that about most
+    rows come at once. The rows are written to the shared folder, a file for each micro-batch, one after the other."""
+    spark = df.sparkSession
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    parts, path = max(parts, -(-n // most)), shared_dir(spark, "arriving")
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        start = (low or 0) + k * step
+        df.where((F.col(order) >= start) & (F.col(order) < start + step)).repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Calls put with each micro-batch of what is there, and its number; a stopped run goes on from the checkpoint."""
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

@@ -12,9 +12,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-_FIRST = -(1 << 62)
-
-
 def use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
@@ -175,28 +172,3 @@ class IntervalSend(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class LateRows(StatefulProcessor):
-    """Rows of one order that come after their window has ended: the watermark follows each row. The state is the largest
-    event time so far; all rows have one key, as the watermark is the same for all."""
-
-    def __init__(self, order: str, time_us: str, size_us: int):
-        self.order, self.time_us, self.size_us = order, time_us, size_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watermark", "us long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark = self.state.get()[0] if self.state.exists() else None
-        part = _ordered(rows, self.order)
-        us = part[self.time_us].astype("int64")
-        before = us.cummax().shift(fill_value=_FIRST if mark is None else mark).clip(lower=_FIRST if mark is None else mark)
-        end = (us // self.size_us + 1) * self.size_us
-        late = part[(before >= end).to_numpy()]
-        top = int(us.max())
-        self.state.update((top if mark is None else max(mark, top),))
-        yield pd.DataFrame({"o": late[self.order].astype("int64"), "us": late[self.time_us].astype("int64")})
-
-    def close(self) -> None:
-        pass
