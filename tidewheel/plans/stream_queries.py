@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import top_n
 from ..session import shared_dir
+from ..sinks import committed
+from ..sinks.trial import Stopping
 from ..streaming import state
-from ..streaming.drain import arriving, drain, run_batches
+from ..streaming.drain import END, arriving, drain, run_batches, run_into
 from ..streaming.lateness import LateWindows
 from ..tables import events_stream
 from . import event_queries as batch
@@ -76,13 +79,27 @@ def stream_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(got).withColumnRenamed("k", "user_id")
 
 
+def _union_join(spark: SparkSession, sf_dir: str, delay_us: int | None) -> DataFrame:
+    rows = batch.sides(spark, sf_dir).select("user_id", "event_id", "value", "is_left", F.col("ts").cast("timestamp").alias("ts"))
+    rows = arriving(rows, "event_id", end="ts").withWatermark("ts", "1 second").where(f"ts < '{END}'").withColumn("us", F.unix_micros("ts"))
+    state.use_rocksdb(rows)
+    join = state.UnionJoin("event_id", "is_left", "value", "us", delay_us)
+    return drain(rows.groupBy("user_id").transformWithStateInPandas(join, join.FIELDS, "Append", "EventTime"))
+
+
 @query("stream_union_join", ORACLES["union_latest_join"])
 def stream_union_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events_stream(spark, sf_dir).where("event_type IN ('view', 'purchase')").select("user_id", "event_id", "value", (F.col("event_type") == "view").alias("is_left"))
-    state.use_rocksdb(rows)
-    join = state.LatestJoin("event_id", "is_left", "value")
-    got = rows.groupBy("user_id").transformWithStateInPandas(join, "k long, o long, left_value double, right_value double", "Append", "None")
-    return drain(got).select(F.col("k").alias("user_id"), F.col("o").alias("event_id"), "left_value", "right_value")
+    pairs = _union_join(spark, sf_dir, None)
+    return pairs.select(F.col("k").alias("user_id"), F.col("o").alias("event_id"), "left_value", "right_value")
+
+
+@query("stream_union_join_timeout", ORACLES["union_latest_join_timeout"])
+def stream_union_join_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of keys without a pair within twelve hours of their first row the first timeout."""
+    got = _union_join(spark, sf_dir, 12 * 3_600_000_000).groupBy("k").agg(F.min_by(F.struct("*"), F.struct("at_us", "kind")).alias("x")).where("x.kind = 'timeout'")
+    at = lambda c: F.timestamp_micros(F.col(f"x.{c}")).cast("timestamp_ntz")
+    value = F.coalesce("x.left_value", "x.right_value")
+    return got.select(F.col("k").alias("user_id"), F.col("x.left_value").isNotNull().alias("is_left"), at("opened_us").alias("first_ts"), at("at_us").alias("timeout_ts"), value.alias("last_value"))
 
 
 def _disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +125,22 @@ def stream_allowed_lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.results(spark, ended=True).withColumn("win_start", F.col("win_start").cast("timestamp_ntz"))
 
 
+@query("stream_restarted", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into the committing sink, which is stopped once before a batch is committed and once after, before the
+    checkpoint knows, and begun again each time: each row is there once."""
+    stream = arriving(batch.events(spark, sf_dir).select("event_id", "user_id", "event_type", "value"), "event_id")
+    top = shared_dir(spark, "restarted")
+    for stop in ({"before": "1"}, {"after": "3"}):
+        try:
+            run_into(stream, f"{top}/table", f"{top}/checkpoint", Stopping, **stop)
+        except StreamingQueryException:
+            continue
+        raise RuntimeError(f"the stream was to stop: {stop}")
+    run_into(stream, f"{top}/table", f"{top}/checkpoint")
+    return committed.read(spark, f"{top}/table", stream.schema)
+
+
 _SENDS = ORACLES["interval_send_eager"].replace("epoch_us(ts)", "epoch_us(ts) // 1000").replace("86400000000", "86400000")
 
 

@@ -97,9 +97,11 @@ class Table:
             out.write(json.dumps(entry).encode())
         store.move(draft, _entry(top, number))
 
-    def drop(self, messages: list[Written | None]) -> None:
+    def drop(self, messages: list[Written | None], number: int | None = None) -> None:
+        """Deletes what was written, but for what the batch's entry names: a commit may fail after its rename."""
         store, top = _store(self.path)
-        for f in (f for m in messages if m is not None for f in m.files):
+        named = {f for e in ([] if number is None else entries(self.path, number, number)) for f in e["files"]}
+        for f in (f for m in messages if m is not None for f in m.files if f not in named):
             try:
                 store.delete_file(f"{top}/{f}")
             except FileNotFoundError:
@@ -122,7 +124,9 @@ class BatchWriter(DataSourceArrowWriter):
         self.table.enter(messages, number)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self.table.drop(messages)
+        named = {f for e in entries(self.table.path) for f in e["files"]} if self.table.batch is None else set()
+        left = [Written([f for f in m.files if f not in named]) for m in messages if m is not None]
+        self.table.drop(left, None if self.table.batch is None else int(self.table.batch))
 
 
 class StreamWriter(DataSourceStreamArrowWriter):
@@ -136,7 +140,7 @@ class StreamWriter(DataSourceStreamArrowWriter):
         self.table.enter(messages, batchId)
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
-        self.table.drop(messages)
+        self.table.drop(messages, batchId)
 
 
 class Committed(DataSource):

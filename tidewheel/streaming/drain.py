@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_dir
+from ..sinks.committed import Committed
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -28,9 +29,15 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return out if mode == "update" else out.drop("batch")
 
 
-def arriving(df: DataFrame, order: str, parts: int = 6, most: int = 2_000_000) -> DataFrame:
+#: Beyond all event times: the watermark after the last row of a stream that has ended.
+END = "2999-12-31 00:00:00"
+
+
+def arriving(df: DataFrame, order: str, parts: int = 6, most: int = 2_000_000, end: str | None = None) -> DataFrame:
     """A stream of df's rows in micro-batches that follow a whole-number column: parts of them, or more, so that about most
-    rows come at once. The rows are written to the shared folder, a file for each micro-batch, one after the other."""
+    rows come at once. The rows are written to the shared folder, a file for each micro-batch, one after the other.
+    end: an instant's column; a last row follows that has END there and nulls else, which moves the watermark past all timers.
+    Leave it out by a condition on that column, since others are moved in front of the watermark."""
     spark = df.sparkSession
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
     parts, path = max(parts, -(-n // most)), shared_dir(spark, "arriving")
@@ -38,6 +45,9 @@ def arriving(df: DataFrame, order: str, parts: int = 6, most: int = 2_000_000) -
     for k in range(parts):
         start = (low or 0) + k * step
         df.where((F.col(order) >= start) & (F.col(order) < start + step)).repartition(1).write.mode("append").parquet(path)
+    if end:
+        last = [F.lit(END if c == end else None).cast(t).alias(c) for c, t in df.dtypes]
+        spark.range(1).select(*last).repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -46,3 +56,10 @@ def run_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], checkp
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_into(stream: DataFrame, path: str, checkpoint: str, sink: type[Committed] = Committed, **options: str) -> None:
+    """Puts what is there into a committed table (sinks/committed.py); a stopped run goes on from the checkpoint."""
+    stream.sparkSession.dataSource.register(sink)
+    out = stream.writeStream.format(sink.name()).option("path", path).options(**options)
+    out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -104,27 +104,112 @@ class Reminders(StatefulProcessor):
         pass
 
 
-class LatestJoin(StatefulProcessor):
-    """At each row whose key has both sides by then, the newest value of each. A side's value expires after ttl_ms."""
+Hook = Callable[[float, float], tuple[bool, bool]]
 
-    def __init__(self, order: str, side: str, value: str, ttl_ms: int | None = None):
-        self.order, self.side, self.value, self.ttl_ms = order, side, value, ttl_ms
+
+class UnionJoin(StatefulProcessor):
+    """The join of two streams in one: the newest value of each side of a key, and one timer.
+
+    A row whose key has the other side gives the pair and ends the timer. One that finds the other side missing starts the
+    timer, if none runs; when it is due, find_left and find_right are asked for the side that is still missing, what they find
+    is kept, and the key's values go out as they are. replace_left and replace_right, given a side's new and old value, say
+    whether the new one is kept and whether it is worked on further. Values older than ttl_us are as if they were not there.
+
+    The clock is the rows' time_us, in the order of a whole-number column; a timer is due before the first row of its key that
+    is later, or when the watermark is. Without delay_us there are no timers. Columns: k, kind (pair or timeout), o (the order
+    of a pair's row), at_us, opened_us (when a timeout's timer began), left_value, right_value."""
+
+    FIELDS = "k long, kind string, o long, at_us long, opened_us long, left_value double, right_value double"
+
+    def __init__(
+        self,
+        order: str,
+        side: str,
+        value: str,
+        time_us: str,
+        delay_us: int | None = None,
+        ttl_us: int | None = None,
+        replace_left: Hook | None = None,
+        replace_right: Hook | None = None,
+        find_left: Callable[[Any], float | None] | None = None,
+        find_right: Callable[[Any], float | None] | None = None,
+    ):
+        self.order, self.side, self.value, self.time_us, self.delay_us, self.ttl_us = order, side, value, time_us, delay_us, ttl_us
+        self.replace, self.find = {True: replace_left, False: replace_right}, {True: find_left, False: find_right}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {left: handle.getValueState(name, "v double", self.ttl_ms) for left, name in ((True, "left"), (False, "right"))}
+        self.handle = handle
+        self.sides = {left: handle.getValueState(name, "v double, at long") for left, name in ((True, "left"), (False, "right"))}
+        self.timer = handle.getValueState("timer", "opened long, due long")
+
+    def _live(self, held: tuple[float, int] | None, now: int) -> float | None:
+        return None if held is None or (self.ttl_us is not None and now - held[1] >= self.ttl_us) else held[0]
+
+    def _fire(self, key: Any, held: dict[bool, tuple[float, int] | None], timer: tuple[int, int]) -> list[tuple]:
+        opened, due = timer
+        found = {left: self._live(held[left], due) for left in held}
+        if found[True] is not None and found[False] is not None:
+            return []
+        for left, v in found.items():
+            if v is None and self.find[left] is not None and (v := self.find[left](key[0])) is not None:
+                held[left], found[left] = (v, due), v
+        return [(key[0], "timeout", None, due, opened, found[True], found[False])]
+
+    def _read(self) -> dict[bool, tuple[float, int] | None]:
+        return {left: tuple(s.get()) if s.exists() else None for left, s in self.sides.items()}
+
+    def _keep(self, held: dict[bool, tuple[float, int] | None], before: tuple[int, int] | None, timer: tuple[int, int] | None) -> None:
+        for left, v in held.items():
+            if v is not None:
+                self.sides[left].update(v)
+        if timer == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[1] // 1000 + 1)
+        if timer is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(timer[1] // 1000 + 1)
+            self.timer.update(timer)
+
+    def _table(self, rows: list[tuple]) -> pd.DataFrame:
+        table = pd.DataFrame(rows, columns=[f.split()[0] for f in self.FIELDS.split(", ")])
+        whole = {c: "Int64" for c in ("k", "o", "at_us", "opened_us")}
+        return table.astype({**whole, "left_value": "float64", "right_value": "float64"})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = {left: s.get()[0] if s.exists() else None for left, s in self.sides.items()}
-        out = []
+        held, out = self._read(), []
+        before = timer = tuple(self.timer.get()) if self.timer.exists() else None
         part = _ordered(rows, self.order)
-        for o, left, v in zip(part[self.order], part[self.side], part[self.value], strict=True):
-            held[bool(left)] = float(v)
-            if held[True] is not None and held[False] is not None:
-                out.append((key[0], int(o), held[True], held[False]))
-        for left, v in held.items():
-            if v is not None:
-                self.sides[left].update((v,))
-        yield pd.DataFrame(out, columns=["k", "o", "left_value", "right_value"])
+        for o, left, v, now in zip(part[self.order], part[self.side].astype(bool), part[self.value].astype(float), part[self.time_us].astype(int), strict=True):
+            if timer is not None and timer[1] < now:
+                out += self._fire(key, held, timer)
+                timer = None
+            old = self._live(held[left], now)
+            replace, handle = self.replace[left](v, old) if old is not None and self.replace[left] else (True, True)
+            if replace:
+                held[left] = (v, now)
+            if not (replace and handle):
+                continue
+            other = self._live(held[not left], now)
+            if other is not None:
+                pair = (v, other) if left else (other, v)
+                out.append((key[0], "pair", o, now, None, *pair))
+                timer = None
+            elif timer is None and self.delay_us is not None:
+                timer = (now, now + self.delay_us)
+        self._keep(held, before, timer)
+        yield self._table(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        timer = tuple(self.timer.get()) if self.timer.exists() else None
+        if timer is not None and timer[1] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            held = self._read()
+            out = self._fire(key, held, timer)
+            self.timer.clear()
+            self._keep(held, None, None)
+        yield self._table(out)
 
     def close(self) -> None:
         pass
