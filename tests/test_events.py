@@ -148,14 +148,8 @@ def test_granularity_rules():
 
 def test_sketches(spark):
     df = spark.range(50_000).select((F.col("id") % 20_000).alias("v"), F.lit("k").alias("k"))
-    estimate = sketches.register_estimate(sketches.registers(df, ["k"], "v"), ["k"]).first().estimate
-    assert abs(estimate - 20_000) < 600
     states = sketches.hll_states(df, [F.col("k"), (F.col("v") % 7).alias("part")], "v")
     assert abs(sketches.hll_merge(states, [F.col("k")]).first().approx_distinct - 20_000) < 800
-    bins = sketches.quantile_bins(spark.range(1, 10_001).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v")), ["k"], "v")
-    for r in sketches.bin_quantiles(bins, ["k"], [0.1, 0.5, 0.99]).collect():
-        true = 1 + int(r.q * 9_999)
-        assert abs(r.estimate - true) <= 0.0101 * true
 
 
 def test_merge_policies(spark):
@@ -396,8 +390,6 @@ def test_hours_and_days_of_the_same_users(spark):
     states = sketches.hll_states(df, [F.date_trunc("hour", "ts").alias("hour")], "user")
     assert [r.approx_distinct for r in sketches.hll_merge(states, [F.col("hour")]).collect()] == [3, 3, 3, 3]
     assert [r.approx_distinct for r in sketches.hll_merge(states, [F.date_trunc("day", "hour").alias("day")]).collect()] == [4, 4]
-    regs = sketches.registers(df.withColumn("hour", F.date_trunc("hour", "ts")), ["hour"], "user")
-    assert [round(r.estimate) for r in sketches.register_estimate(regs, ["hour"]).collect()] == [3, 3, 3, 3]
 
 
 def test_reloading_table():

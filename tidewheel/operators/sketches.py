@@ -1,12 +1,10 @@
-"""Mergeable sketches: distinct counts, quantiles of bounded relative error, bitmaps."""
+"""Spark's own sketches: distinct counts whose states merge, and bitmaps of fixed size. See distinct.py, quantiles.py and
+bitmaps.py for states of stated form."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def hll_states(df: DataFrame, keys: list[Column], value: str, lg_k: int = 12) -> DataFrame:
@@ -18,45 +16,6 @@ def hll_merge(states: DataFrame, keys: list[Column]) -> DataFrame:
     return states.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("state")).alias("approx_distinct"))
 
 
-def registers(df: DataFrame, keys: list[str], value: str, p: int = 14) -> DataFrame:
-    """Registers of a distinct count: the low p bits of a hash number the register, whose value is the largest rank, one
-    more than the zeros at the low end of the other bits. Empty strings are not counted. Merging takes maxima."""
-    h = F.xxhash64(value)
-    rest = F.shiftrightunsigned(h, p)
-    rank = F.least(F.bit_count(F.bitwise_not(rest).bitwiseAND(rest - 1)) + 1, F.lit(65 - p)).cast("int")
-    rows = df.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "")).select(*keys, h.bitwiseAND(F.lit((1 << p) - 1)).alias("register"), rank.alias("rank"))
-    return rows.groupBy(*keys, "register").agg(F.max("rank").alias("rank"))
-
-
-def register_estimate(regs: DataFrame, keys: list[str], p: int = 14) -> DataFrame:
-    """Estimates from registers: harmonic mean, and linear counting where many registers are empty."""
-    m = 1 << p
-    alpha = 0.7213 / (1 + 1.079 / m)
-    sums = regs.groupBy(*keys).agg(F.count("*").alias("full"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"))
-    raw = F.lit(alpha * m * m) / (F.col("s") + (m - F.col("full")))
-    linear = F.lit(float(m)) * F.log(F.lit(float(m)) / (m - F.col("full")))
-    return sums.select(*keys, F.when((raw <= 2.5 * m) & (F.col("full") < m), linear).otherwise(raw).alias("estimate"))
-
-
-def quantile_bins(df: DataFrame, keys: list[str], value: str, accuracy: float = 0.01) -> DataFrame:
-    """Bins of a sketch with bounded relative error: bin i counts values from gamma**(i-1) to gamma**i. Merging adds counts."""
-    gamma = (1 + accuracy) / (1 - accuracy)
-    i = F.ceil(F.log(F.col(value)) / F.lit(math.log(gamma))).cast("int")
-    return df.where(F.col(value) > 0).groupBy(*keys, i.alias("bin")).agg(F.count("*").alias("n"))
-
-
-def bin_quantiles(bins: DataFrame, keys: list[str], quantiles: list[float], accuracy: float = 0.01) -> DataFrame:
-    """The value of the bin that holds the element of rank floor(q * (n - 1))."""
-    gamma = (1 + accuracy) / (1 - accuracy)
-    by = Window.partitionBy(*keys)
-    run = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    rows = bins.withColumns({"upto": run, "total": F.sum("n").over(by)})
-    q = F.explode(F.array(*[F.lit(x) for x in quantiles])).alias("q")
-    rows = rows.select("*", q).where(F.col("upto") > F.floor(F.col("q") * (F.col("total") - 1)))
-    value = F.lit(2.0) * F.pow(F.lit(gamma), F.col("bin")) / F.lit(gamma + 1)
-    return rows.groupBy(*keys, "q").agg(F.min("bin").alias("bin")).select(*keys, "q", value.alias("estimate"))
-
-
 def bitmaps(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Bitmaps of whole numbers: one of fixed size for each group and range of values."""
     return df.groupBy(*keys, F.bitmap_bucket_number(value).alias("bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))

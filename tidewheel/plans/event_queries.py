@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.granularity import Granularity
-from ..operators import intervals, joins, late, sketches, throttle, upsert, windows
+from ..operators import bitmaps, distinct, intervals, joins, late, quantiles, sketches, states, throttle, upsert, windows
 from ..tables import events, load
 from .registry import query
 
@@ -254,21 +254,73 @@ def hll_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("win_start", near("approx_distinct", "exact").alias("near"), near("approx_distinct", "whole").alias("merged"))
 
 
-@query("hll_registers")
+#: Three times the standard error of 2**p registers.
+_NEAR = 3 * 1.04 / 2**7
+
+
+@query("hll_registers", "SELECT event_type, hour(ts)::INTEGER AS hour, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY 1, 2")
 def hll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.register_estimate(sketches.registers(events(spark, sf_dir), ["event_type"], "user_id"), ["event_type"])
+    """Counts from 2**14 packed registers alone, with no exact form, beside the exact ones: whether they are near."""
+    rows = events(spark, sf_dir).select("event_type", F.hour("ts").alias("hour"), "user_id")
+    sketch = distinct.Distinct(14, exact=0)
+    got = distinct.counted(distinct.distinct_states(rows, ["event_type", "hour"], "user_id", sketch), sketch).drop("state")
+    exact = rows.groupBy("event_type", "hour").agg(F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("approx_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * _NEAR)
+    return exact.join(got, ["event_type", "hour"]).select("event_type", "hour", "exact", near.alias("near"))
+
+
+@query("distinct_state_merge", "SELECT date_trunc('day', ts)::TIMESTAMP AS win_start, count(DISTINCT user_id) AS exact, true AS near, true AS same FROM events GROUP BY 1")
+def distinct_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of hours merged to days: whether their counts are near the exact ones, and the states byte for byte those of
+    the days' rows."""
+    rows = events(spark, sf_dir).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("win_start"), "user_id")
+    sketch = distinct.Distinct(14)
+    hours = distinct.distinct_states(rows, ["win_start", "hour"], "user_id", sketch)
+    days = distinct.counted(states.merged(hours, ["win_start"], sketch), sketch)
+    whole = distinct.distinct_states(rows, ["win_start"], "user_id", sketch).withColumnRenamed("state", "whole")
+    exact = rows.groupBy("win_start").agg(F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("approx_distinct") - F.col("exact")) <= F.col("exact") * _NEAR
+    return exact.join(days, "win_start").join(whole, "win_start").select("win_start", "exact", near.alias("near"), (F.col("state") == F.col("whole")).alias("same"))
+
+
+_QUANTILES = """WITH v AS (SELECT event_type, {value} AS v FROM events),
+         b AS (SELECT event_type, sign(v)::INTEGER AS s, CASE WHEN v = 0 THEN 0 ELSE ceil(ln(abs(v)) / ln(1.01 / 0.99))::INTEGER END AS bin, count(*) AS n, min(v) AS low, max(v) AS high FROM v GROUP BY 1, 2, 3),
+         c AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER t AS total, min(low) OVER t AS lowest, max(high) OVER t AS highest FROM b
+               WINDOW w AS (PARTITION BY event_type ORDER BY s, s * bin), t AS (PARTITION BY event_type))
+       SELECT event_type, q, round(least(greatest(arg_min(s * (2 * pow(1.01::DOUBLE / 0.99, bin) / (1.01::DOUBLE / 0.99 + 1)), upto), any_value(lowest)), any_value(highest)), 6) AS estimate
+       FROM c, (SELECT unnest([0.0::DOUBLE, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]) AS q) WHERE upto > floor(q * (total - 1)) GROUP BY 1, 2"""
+_QS = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+
+
+@query("ddsketch_quantiles", _QUANTILES.format(value="value"))
+def ddsketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quantiles.quantile_states(events(spark, sf_dir), ["event_type"], "value")
+    return quantiles.quantiles(got, ["event_type"], _QS).withColumn("estimate", F.round("estimate", 6))
+
+
+@query("quantile_state_merge", _QUANTILES.format(value="value * (event_id % 3 - 1)"))
+def quantile_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers below, at and above 0: states of hours merged to one of each event type."""
+    rows = events(spark, sf_dir).select("event_type", F.date_trunc("hour", "ts").alias("hour"), (F.col("value") * (F.col("event_id") % 3 - 1)).alias("v"))
+    hours = quantiles.quantile_states(rows, ["event_type", "hour"], "v")
+    return quantiles.quantiles(quantiles.merge_quantiles(hours, ["event_type"]), ["event_type"], _QS).withColumn("estimate", F.round("estimate", 6))
 
 
 @query(
-    "ddsketch_quantiles",
-    """WITH b AS (SELECT event_type, ceil(ln(value) / ln(1.01 / 0.99))::INTEGER AS bin, count(*) AS n FROM events WHERE value > 0 GROUP BY 1, 2),
-         c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b)
-       SELECT event_type, q, round(2 * pow(1.01::DOUBLE / 0.99, min(bin)) / (1.01::DOUBLE / 0.99 + 1), 6) AS estimate
-       FROM c, (SELECT unnest([0.0::DOUBLE, 0.5, 0.9, 0.99, 1.0]) AS q) WHERE upto > floor(q * (total - 1)) GROUP BY 1, 2""",
+    "bitmap_states",
+    """WITH d AS (SELECT DISTINCT event_type, ts::DATE AS day, user_id FROM events),
+         a AS (SELECT event_type, user_id, count(DISTINCT day) AS n FROM d GROUP BY 1, 2)
+       SELECT event_type, count(*) AS any_day, count(*) FILTER (WHERE n = (SELECT count(DISTINCT day) FROM d x WHERE x.event_type = a.event_type)) AS each_day, true AS same FROM a GROUP BY 1""",
 )
-def ddsketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = sketches.quantile_bins(events(spark, sf_dir), ["event_type"], "value")
-    return sketches.bin_quantiles(bins, ["event_type"], [0.0, 0.5, 0.9, 0.99, 1.0]).withColumn("estimate", F.round("estimate", 6))
+def bitmap_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed bitmaps of days: users of any and of each day by event type, and whether the unions are byte for byte the
+    bitmaps of all rows."""
+    rows = events(spark, sf_dir).select("event_type", F.to_date("ts").alias("day"), "user_id")
+    days = bitmaps.bitmaps(rows, ["event_type", "day"], "user_id")
+    union = bitmaps.counted(states.merged(days, ["event_type"], bitmaps.Bitmap(), "bitmap"), name="any_day")
+    common = bitmaps.counted(states.merged(days, ["event_type"], bitmaps.Bitmap(intersect=True), "bitmap"), name="each_day").drop("bitmap")
+    whole = bitmaps.bitmaps(rows, ["event_type"], "user_id", "whole")
+    return union.join(common, "event_type").join(whole, "event_type").select("event_type", "any_day", "each_day", (F.col("bitmap") == F.col("whole")).alias("same"))
 
 
 @query("bitmap_distinct", "SELECT event_type, count(DISTINCT user_id) AS distinct_values FROM events GROUP BY 1")
