@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,9 +206,10 @@ def test_protobuf_descriptor_sets(spark):
     assert [(f, n, label) for f, n, _, label in told] == [(f, n, label) for f, n, _, label in schema] and told[2][2] == schema[2][2] and set(told[1][2].values()) == {0, 3}
     row = {"id": 4_000_000_000, "kind": "SOME", "inner": [{"s": "a", "n": [-5, 7]}, {}], "big": -1, "gone": None}
     raw = protobuf.write(cls, schema, row)
-    assert protobuf.read(cls, schema, raw, True, False) == {"id": 4_000_000_000 - (1 << 32), "kind": "SOME", "inner": [{"s": "a", "n": [-5, 7]}, {"n": None}], "big": -1}
-    assert protobuf.read(cls, schema, raw, True, True)["inner"][1] == {"n": []}
-    assert protobuf.read(cls, schema, protobuf.write(cls, schema, {"id": "12", "kind": 3, "big": "9"}), True, False) == {"id": 12, "kind": "SOME", "inner": None, "big": 9}
+    read = lambda raw, defaults=False: protobuf.read_column(pa.array([raw]), schema, True, defaults).to_pylist()[0]
+    assert read(raw) == {"id": 4_000_000_000 - (1 << 32), "kind": "SOME", "inner": [{"s": "a", "n": [-5, 7]}, {"s": None, "n": None}], "big": -1, "gone": None}
+    assert read(raw, True)["inner"][1] == {"s": None, "n": []}
+    assert read(protobuf.write(cls, schema, {"id": "12", "kind": 3, "big": "9"})) == {"id": 12, "kind": "SOME", "inner": None, "big": 9, "gone": None}
     assert protobuf.write(cls, schema, None) is None
 
 

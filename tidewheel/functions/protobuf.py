@@ -1,4 +1,5 @@
 """Protobuf records by a schema given in code or by a descriptor set; decoding and encoding of binary columns in Arrow batches.
+Decoding works on whole batches (wire.py), encoding record by record.
 
 A schema is a list of fields (name, number, type, label). A type is a name in TYPES, a schema for a message, or a dict of
 names and numbers for an enumeration, which is read as its names. Labels are singular, optional and repeated. schema_of
@@ -14,11 +15,15 @@ from __future__ import annotations
 from itertools import count
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import wire
+
 # Field types of the wire format by the names used in schemas, and the Spark types they are read as.
 TYPES = {
     "double": (1, "double"),
@@ -92,56 +97,152 @@ def schema_of(descriptor_set: bytes, message: str) -> Schema:
     return fields(pool.FindMessageTypeByName(message), ())
 
 
-def _ddl(kind: Kind) -> str:
+def _ddl(kind: Kind, read_as: dict[str, str] | None = None, path: str = "") -> str:
     if isinstance(kind, list):
-        return "struct<" + ", ".join(f"`{f}`: {_labelled(k, label)}" for f, _, k, label in kind) + ">"
-    return TYPES[kind][1] if isinstance(kind, str) else "string"
+        return "struct<" + ", ".join(f"`{f}`: {_labelled(k, label, read_as, f'{path}{f}')}" for f, _, k, label in kind) + ">"
+    return _read_as(kind, (read_as or {}).get(path.rstrip("."))) if isinstance(kind, str) else "string"
 
 
-def _labelled(kind: Kind, label: str) -> str:
-    return f"array<{_ddl(kind)}>" if label == "repeated" else _ddl(kind)
+def _labelled(kind: Kind, label: str, read_as: dict[str, str] | None = None, path: str = "") -> str:
+    inner = _ddl(kind, read_as, f"{path}.")
+    return f"array<{inner}>" if label == "repeated" else inner
 
 
 def ddl(schema: Schema) -> str:
     return ", ".join(f"`{f}` {_labelled(k, label)}" for f, _, k, label in schema)
 
 
-def _arrow(kind: Kind) -> pa.DataType:
-    if isinstance(kind, list):
-        return pa.struct([(f, pa.list_(_arrow(k)) if label == "repeated" else _arrow(k)) for f, _, k, label in kind])
-    return _ARROW[_ddl(kind)]
-
-
-def _read_value(value: Any, kind: Kind, defaults: bool) -> Any:
-    if isinstance(kind, list):
-        return _fields(value, kind, defaults)
-    if isinstance(kind, dict):
-        return next((n for n, at in kind.items() if at == value), str(value))
-    bits = _UNSIGNED.get(kind, 0)
-    return value - (1 << bits) if bits and value >= 1 << (bits - 1) else value
-
-
-def _fields(m: Any, schema: Schema, defaults: bool) -> dict[str, Any]:
-    held, out = {f.name for f, _ in m.ListFields()}, {}
-    for field, _, kind, label in schema:
+def _read_as(kind: str, wanted: str | None) -> str:
+    """The Spark type that a kind is read as. Numbers are read as any other type of numbers, booleans as int too."""
+    own = TYPES[kind][1]
+    if wanted is None or wanted == own:
+        return own
+    known = {"bigint", "int", "double", "float"}
+    if (own in known and wanted in known) or (own == "boolean" and wanted == "int"):
+        return wanted
+    raise ValueError(f"{kind} is not read as {wanted}")
+
+
+def _cast(values: np.ndarray, to: str) -> np.ndarray:
+    """As numbers of a language with casts: whole numbers lose their high bits, fractions are cut off and stay in range."""
+    kind = {"bigint": np.int64, "int": np.int32, "double": np.float64, "float": np.float32, "boolean": np.bool_}[to]
+    if values.dtype.kind == "f" and to in ("bigint", "int"):
+        low, high = np.iinfo(kind).min, np.iinfo(kind).max
+        whole = np.nan_to_num(np.trunc(values.astype(np.float64)), nan=0.0)
+        inside = (whole >= float(low)) & (whole < float(high))
+        return np.where(inside, np.where(inside, whole, 0).astype(kind), np.where(whole < 0, low, high)).astype(kind)
+    with np.errstate(over="ignore"):
+        return values.astype(kind)
+
+
+class _Decoder:
+    """Reads a batch of records as a struct array; read_as holds other types of numbers by dotted names."""
+
+    def __init__(self, schema: Schema, defaults: bool, read_as: dict[str, str]):
+        self.schema, self.defaults, self.read_as = schema, defaults, read_as
+
+    def struct(self, r: wire.Records, schema: Schema, path: str = "", above: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+        """The struct array and which records are broken. above: records that are broken or missing elsewhere."""
+        f = wire.walk(r)
+        broken, children = f.broken.copy(), []
+        for name, number, kind, label in schema:
+            mine = np.flatnonzero((f.number == number) & ~broken[f.record])
+            child, odd = self._field(r, f, mine, kind, label, f"{path}{name}")
+            broken[odd] = True
+            children.append(child)
+        hidden = pa.array(broken if above is None else broken | above)
+        if hidden.true_count:
+            children = [pc.if_else(hidden, pa.scalar(None, c.type), c) for c in children]
+        kinds = [pa.field(s[0], c.type) for s, c in zip(schema, children, strict=True)]
+        return pa.StructArray.from_arrays(children, fields=kinds), np.flatnonzero(broken)
+
+    def _field(self, r: wire.Records, f: wire.Fields, mine: np.ndarray, kind: Kind, label: str, path: str) -> tuple[pa.Array, np.ndarray]:
+        n, none = len(r.start), np.zeros(0, np.int64)
+        if isinstance(kind, list):
+            mine = mine[f.wire[mine] == wire.BYTES]
+            if label == "repeated":
+                inner, odd = self.struct(wire.Records(r.data, f.start[mine], f.end[mine]), kind, f"{path}.")
+                return self._lists(f.record[mine], inner, n), f.record[mine][odd]
+            data, offsets = wire.gather(r.data, f.start[mine], f.end[mine])  # a field's messages in one record, joined
+            ends = offsets[np.searchsorted(f.record[mine], np.arange(n + 1))]
+            there = np.isin(np.arange(n), f.record[mine])
+            inner, odd = self.struct(wire.Records(data, ends[:-1], ends[1:]), kind, f"{path}.")
+            return pc.if_else(pa.array(there), inner, pa.scalar(None, inner.type)), odd
+        base = "enum" if isinstance(kind, dict) else kind
+        own = wire.WIRE[base]
         if label == "repeated":
-            out[field] = [_read_value(v, kind, defaults) for v in getattr(m, field)] if field in held or defaults else None
-        elif field in held or (defaults and label != "optional" and not isinstance(kind, list)):
-            out[field] = _read_value(getattr(m, field), kind, defaults)
-    return out
+            if own == wire.BYTES:
+                mine = mine[f.wire[mine] == own]
+                record, start, end, odd = f.record[mine], f.start[mine], f.end[mine], none
+            else:
+                mine = mine[(f.wire[mine] == own) | (f.wire[mine] == wire.BYTES)]
+                record, start, end, odd = wire.elements(base, r.data, f, mine)
+            values, bad = self._values(r.data, start, end, kind, path)
+            return self._lists(record, values, n), np.concatenate([odd, record[bad]])
+        mine = mine[f.wire[mine] == own]
+        last = mine[np.flatnonzero(np.diff(f.record[mine], append=-1))] if len(mine) else mine
+        values, bad = self._values(r.data, f.start[last], f.end[last], kind, path)
+        place = np.full(n, -1, np.int64)
+        place[f.record[last]] = np.arange(len(last))
+        plain = self._default(kind, values.type)
+        held = place >= 0
+        if label != "optional" and not self.defaults:
+            zero = f.end[last] == f.start[last] if own == wire.BYTES else wire.zeros(base, r.data, f.start[last], f.end[last])
+            held[f.record[last[zero]]] = False
+        out = values.take(pa.array(np.where(held, place, 0), mask=~held)) if len(values) else pa.nulls(n, values.type)
+        if self.defaults and label != "optional":
+            out = out.fill_null(plain)
+        return out, f.record[last][bad]
+
+    def _default(self, kind: Kind, to: pa.DataType) -> pa.Scalar:
+        if isinstance(kind, dict):
+            return pa.scalar(next((n for n, at in kind.items() if at == 0), "0"))
+        return pa.scalar({"string": "", "bytes": b""}.get(kind, False if pa.types.is_boolean(to) else 0), to)
+
+    def _values(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: Kind, path: str) -> tuple[pa.Array, np.ndarray]:
+        """The values at places, and the numbers of those that are no text though they should be."""
+        none = np.zeros(0, np.int64)
+        if isinstance(kind, dict):
+            codes, which = np.unique(wire.numbers("enum", data, start, end), return_inverse=True)
+            names = {at: name for name, at in reversed(kind.items())}
+            return pa.array([names.get(c, str(c)) for c in codes.tolist()], pa.string()).take(pa.array(which.astype(np.int64))), none
+        if wire.WIRE[kind] != wire.BYTES:
+            values = wire.numbers(kind, data, start, end)
+            to = _read_as(kind, self.read_as.get(path))
+            return pa.array(_cast(values, to), _ARROW[to]), none
+        raw, offsets = wire.gather(data, start, end)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+        if kind == "bytes":
+            return column, none
+        try:
+            return column.cast(pa.string()), none
+        except pa.ArrowInvalid:
+            bad = np.array([i for i, x in enumerate(column.to_pylist()) if not _is_text(x)])
+            keep = np.ones(len(column), bool)
+            keep[bad] = False
+            return pc.if_else(pa.array(keep), column, pa.scalar(b"", pa.binary())).cast(pa.string()), bad
+
+    def _lists(self, record: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+        """values by record; a record without any has a null, or an empty list by default."""
+        ends = np.searchsorted(record, np.arange(n + 1)).astype(np.int32)
+        mask = None if self.defaults else pa.array(np.diff(ends) == 0)
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=mask)
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
-def read(cls: Any, schema: Schema, raw: bytes | None, fail: bool, defaults: bool) -> dict[str, Any]:
-    """Fields of a record; a broken record has none, unless fail is set."""
-    if raw is None:
-        return {}
-    try:
-        m = cls.FromString(raw)
-    except Exception:
-        if fail:
-            raise
-        return {}
-    return _fields(m, schema, defaults)
+def read_column(column: pa.Array, schema: Schema, fail: bool = False, defaults: bool = False, read_as: dict[str, str] | None = None) -> pa.Array:
+    """A struct for each record of a binary column; a null one, and a broken one unless fail is set, has nulls alone."""
+    out, broken = _Decoder(schema, defaults, read_as or {}).struct(wire.records_of(column), schema, above=np.asarray(column.is_null()))
+    if fail and len(broken):
+        raise ValueError(f"no whole record: {column[int(broken[0])].as_py()!r:.80}")
+    return out
 
 
 def _written(value: Any, kind: Kind) -> Any:
@@ -187,13 +288,13 @@ def write(cls: Any, schema: Schema, row: dict[str, Any] | None) -> bytes | None:
     return m.SerializeToString(deterministic=True)
 
 
-def decode(raw: Column, schema: Schema, fail: bool = False, defaults: bool = False) -> Column:
-    """A struct of the schema's fields. Only these are decoded; unknown fields are skipped."""
+def decode(raw: Column, schema: Schema, fail: bool = False, defaults: bool = False, read_as: dict[str, str] | None = None) -> Column:
+    """A struct of the schema's fields. Only these are decoded; unknown fields are skipped. read_as: Spark types by field (by
+    dotted names within messages) that numbers are read as, where they are not those of TYPES."""
 
-    @F.arrow_udf(_ddl(schema))
+    @F.arrow_udf(_ddl(schema, read_as))
     def run(column: pa.Array) -> pa.Array:
-        cls = message_class(schema)
-        return pa.array([read(cls, schema, x, fail, defaults) for x in column.to_pylist()], _arrow(schema))
+        return read_column(column, schema, fail, defaults, read_as)
 
     return run(raw)
 
