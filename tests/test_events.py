@@ -279,8 +279,6 @@ def test_text_and_records(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes(b"  one \n\nabcd\nlast")
     assert [r.value for r in files.text_lines(spark, str(tmp_path / "t.txt")).collect()] == ["one", "abcd", "last"]
     assert [r.value for r in files.text_lines(spark, str(tmp_path / "t.txt"), trim=False, least_bytes=5).collect()] == ["  one "]
-    (tmp_path / "r.bin").write_bytes(b"\0\0\0\x02hi\0\0\0\0\0\0\0\x09cut")
-    assert [bytes(r.payload) for r in files.length_delimited(spark, str(tmp_path / "r.bin")).orderBy("number").collect()] == [b"hi", b""]
 
 
 def test_batched_writes():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.upsert import latest_by_key
 from ..session import shared_dir
 from ..sinks.batched import log_lines
-from ..sources import faker, fieldgen, files
+from ..sources import faker, fieldgen, files, lengths
 from ..tables import events, load
 from .registry import query
 
@@ -87,15 +87,15 @@ def text_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("len_delimited", "SELECT event_type AS payload, count(*) AS n FROM events GROUP BY 1")
 def len_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with their lengths, written as bytes and read back. The text sink puts a line end behind each file; here it
+    """Records with their lengths, written as bytes and read back by ranges of 16 KB. The text sink puts a line end behind each file; here it
     is the last byte of an empty record, which is left out again."""
     path = shared_dir(spark, "records")
     record = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 8, "0")), F.encode("event_type", "UTF-8"))
-    rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 1000).alias("part"), F.hex(record).alias("h"))
+    rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 20_000).alias("part"), F.hex(record).alias("h"))
     whole = rows.groupBy("part").agg(F.array_join(F.collect_list("h"), "").alias("h"))
     ends = whole.select(F.unhex(F.concat("h", F.lit("00000000"))).alias("b"))
     ends.select(F.substring("b", 1, F.octet_length("b") - 1).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
-    read = files.length_delimited(spark, path).where(F.octet_length("payload") > 0)
+    read = lengths.length_delimited(spark, path, 1 << 14).where(F.octet_length("payload") > 0)
     return read.groupBy(F.decode("payload", "UTF-8").alias("payload")).agg(F.count("*").alias("n"))
 
 

@@ -1,10 +1,7 @@
-"""Files as rows: repeated text, trimmed text, and length-delimited binary records."""
+"""Files as rows: repeated text and trimmed text; see lengths.py for length-delimited records."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +20,6 @@ def repeated_text(spark: SparkSession, path: str, cycles: int, rows: int | None
     return out if rows is None else out.limit(rows)
 
 
-def length_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """file, number, payload of the records of binary files: four bytes of length, the high one first, and the payload. A
-    record that breaks off ends its file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                at, rows = 0, []
-                while at + 4 <= len(raw):
-                    end = at + 4 + int.from_bytes(raw[at : at + 4], "big")
-                    if end > len(raw):
-                        break
-                    rows.append((name, len(rows), raw[at + 4 : end]))
-                    at = end
-                for i in range(0, len(rows), 10_000):
-                    part = list(zip(*rows[i : i + 10_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary())], names=["file", "number", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, number long, payload binary")
-
-
 def directory_stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the files of a directory and those below it, each file once, as they come."""
     return spark.readStream.option("recursiveFileLookup", "true").text(path)
