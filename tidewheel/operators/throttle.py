@@ -3,23 +3,215 @@
 Eager: a key's first row is sent at once and opens an interval; later rows replace a buffer; at the interval's end the
 buffer, if any, is sent. The next row after that is sent at once again (strict: only if interval passed since the last
 send). Lazy: the first row is held, and at the interval's end the newest row is sent.
+
+From each row the row that would open the next interval is known: the first one as late as the interval's end. So the rows that
+open intervals are those on the path of these jumps from a key's first row, and doubling the jumps marks the path, for all keys
+of a batch at once. A key of many rows is cut into blocks. What a block does to an interval that is open when it begins is a
+short table, from the interval's end to that of the last one that the block leaves open; with the tables of a key's blocks
+in order, each block is told how it begins, and the blocks send their rows apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
+#: Before all times: no interval is open.
+NONE = -(1 << 62)
+
+
+class Jumps:
+    """Rows of segments one after the other, in order; clock: their times, interval and unit of the ends of intervals."""
+
+    def __init__(self, segment: np.ndarray, us: np.ndarray, interval_us: int, round_us: int):
+        n = len(us)
+        self.segment, self.n = segment, n
+        self.starts = np.flatnonzero(np.diff(segment, prepend=-1))
+        self.stops = np.append(self.starts[1:], n)
+        # a row that is earlier than one before it opens nothing: times that do not fall tell the same
+        rank = np.argsort(np.argsort(us, kind="stable"), kind="stable")
+        self.clock = us[np.argsort(rank, kind="stable")][np.maximum.accumulate(rank + segment * n) - segment * n] if n else us
+        self.due = (us + interval_us) // round_us * round_us
+        self.next = self.first_at(segment, self.due)
+
+    def first_at(self, segment: np.ndarray, time: np.ndarray) -> np.ndarray:
+        """The first row of a segment that is as late as a time, or where the segment stops."""
+        which = np.concatenate([segment, self.segment])
+        order = np.lexsort((np.concatenate([np.zeros(len(segment)), np.ones(self.n)]), np.concatenate([time, self.clock]), which))
+        rows = order >= len(segment)
+        out = np.empty(len(segment), np.int64)
+        out[order[~rows]] = np.cumsum(rows)[~rows]
+        return out
+
+    def openers(self, begun: np.ndarray) -> np.ndarray:
+        """The rows that open intervals, where begun is the end of the interval that is open as each segment begins."""
+        first = self.first_at(self.segment[self.starts], begun)
+        on_path = np.zeros(self.n + 1, bool)
+        on_path[first[first < self.stops]] = True
+        jump = np.append(np.where(self.next < self.stops[np.searchsorted(self.stops, np.arange(self.n), "right")], self.next, self.n), self.n)
+        while True:
+            reached = jump[on_path]
+            if on_path[reached].all():
+                break
+            on_path[reached] = True
+            jump = jump[jump]
+        return np.flatnonzero(on_path[:-1])
+
+    def ends(self) -> np.ndarray:
+        """From each row that opens an interval, the end of the last one of its segment."""
+        last = self.stops[np.searchsorted(self.stops, np.arange(self.n), "right")]
+        jump = np.where(self.next < last, self.next, np.arange(self.n))
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        return self.due[jump]
+
+
+def sends(version: np.ndarray, jumps: Jumps, begun: np.ndarray, eager: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows to send, when, and whether at an interval's end: of each interval the newest of its rows that are here. Then the
+    ends of the intervals that the segments leave open (NONE for none)."""
+    opened = jumps.openers(begun)
+    edge = np.unique(np.concatenate([jumps.starts, opened]))  # an interval's rows go from its opener, or the segment's start
+    is_opener = np.isin(edge, opened)
+    segment = np.searchsorted(jumps.starts, edge, "right") - 1
+    due = np.where(is_opener, jumps.due[edge], begun[segment])
+    stop = np.append(edge[1:], jumps.n)
+    lead = edge + (is_opener & eager)
+    some = (stop > lead) & (due > NONE)
+    newest = np.lexsort((np.arange(jumps.n), version, np.repeat(np.arange(len(edge)), stop - edge)))
+    held = newest[stop - 1]  # an opener that is sent at once is no candidate
+    if eager:
+        held = np.where(is_opener & (held == edge) & (stop - edge > 1), newest[np.maximum(stop - 2, 0)], held)
+    out = [held[some], due[some], np.ones(int(some.sum()), bool)]
+    if eager:
+        out = [np.concatenate(x) for x in zip(out, [opened, jumps.clock[opened], np.zeros(len(opened), bool)], strict=True)]
+    last = np.flatnonzero(np.append(segment[1:] != segment[:-1], True))
+    return out, due[last]
+
+
+def _segments(batch: pa.RecordBatch) -> np.ndarray:
+    codes = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("k", "block")]
+    return np.cumsum(np.any([np.diff(c, prepend=c[:1]) != 0 for c in codes], axis=0))
+
+
+def _sender(interval_us: int, round_us: int, eager: bool):  # noqa: ANN202
+    """Goes through rows in order of key, block and order; parts of a segment that come in further batches go on with what the
+    one before has left. An interval whose rows lie in several parts has a row of each (timed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, end = None, NONE
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            segment = _segments(batch)
+            jumps = Jumps(segment, batch.column("us").to_numpy(), interval_us, round_us)
+            begun = batch.column("begun").to_numpy()[jumps.starts].copy()
+            mine = lambda i, b=batch: (b.column("k")[i].as_py(), b.column("block")[i].as_py())
+            if key is not None and mine(0) == key[0]:
+                begun[0] = end
+            (row, due, timed), ends = sends(batch.column("ver").to_numpy(), jumps, begun, eager)
+            key, end = (mine(batch.num_rows - 1),), int(ends[-1])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(take), pa.array(due), *[batch.column(c).take(take) for c in ("o", "ver", "v")], pa.array(timed)], names=["k", "sent_us", "o", "ver", "v", "timed"])
 
-def interval_send(df: DataFrame, key: str, order: str, value: str, interval_us: int, eager: bool = True, strict: bool = False, ts: str = "ts") -> DataFrame:
-    """key, sent_us (epoch microseconds of the send) and value of each row that is sent. Rows of a key are folded in
-    order; a task streams over its keys, so no key has to fit in memory."""
-    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(value).alias("v"))
-    dealt = rows.repartition("k").sortWithinPartitions("k", "o")
+    return run
 
+
+def _tables(interval_us: int, round_us: int):  # noqa: ANN202
+    """Of each block, times up to which an interval may end that is open as the block begins, and the ends of the last ones
+    that it leaves open then; later ones go on."""
+
+    def table(k: object, block: int, us: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        jumps = Jumps(np.zeros(len(us), np.int64), us, interval_us, round_us)
+        ends = jumps.ends()
+        last = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (jumps.clock[last], ends[last])]
+        return pa.RecordBatch.from_arrays([pa.array([k], kind), pa.array([block], pa.int64()), *lists], names=["k", "block", "upto", "ends"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, kind = None, [], None
+        for batch in batches:
+            segment, kind = _segments(batch), batch.schema.field("k").type
+            us = batch.column("us").to_numpy()
+            cuts = [*np.flatnonzero(np.diff(segment, prepend=-1)).tolist(), len(segment)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = (batch.column("k")[a].as_py(), batch.column("block")[a].as_py())
+                if key is not None and now != key:
+                    yield table(*key, np.concatenate(parts), kind)
+                    parts = []
+                key = now
+                parts.append(us[a:b])
+        if parts:
+            yield table(*key, np.concatenate(parts), kind)
+
+    return run
+
+
+def _begun(rows: pd.DataFrame) -> pd.DataFrame:
+    """The end of the interval that is open as each block of a key begins, from block to block."""
+    rows, end, out = rows.sort_values("block"), NONE, []
+    for upto, ends in zip(rows["upto"], rows["ends"], strict=True):
+        out.append(end)
+        at = int(np.searchsorted(upto, end))
+        end = int(ends[at]) if at < len(ends) else end
+    return pd.DataFrame({"k": rows["k"], "block": rows["block"], "begun": out})
+
+
+def interval_send(
+    df: DataFrame,
+    key: str,
+    order: str,
+    value: str,
+    interval_us: int,
+    eager: bool = True,
+    strict: bool = False,
+    ts: str = "ts",
+    newer: Column | None = None,
+    round_us: int = 1,
+    hot: int = 1 << 20,
+) -> DataFrame:
+    """key, sent_us (epoch microseconds of the send) and value of each row that is sent. newer: a whole number; a row whose is
+    smaller than that of the row held does not replace it. round_us: ends of intervals fall on multiples of it, so that those
+    of many keys fall together. hot: keys of more rows are cut into blocks of about as many; order is a whole number.
+    strict folds row by row and takes no newer, rounding or blocks."""
+    if round_us > interval_us:
+        raise ValueError("round_us is longer than the interval")
+    version = F.lit(0) if newer is None else newer
+    rows = df.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(value).alias("v"), version.cast("long").alias("ver"))
+    kinds = dict(rows.dtypes)
+    if strict:
+        if newer is not None or round_us != 1:
+            raise ValueError("strict takes no newer and no rounding")
+        got = rows.repartition("k").sortWithinPartitions("k", "o").mapInPandas(_folded(interval_us, eager), f"k {kinds['k']}, sent_us long, v {kinds['v']}")
+        return got.select(F.col("k").alias(key), "sent_us", F.col("v").alias(value))
+    fields = f"k {kinds['k']}, sent_us long, o long, ver long, v {kinds['v']}, timed boolean"
+    top = shared_dir(df.sparkSession, "interval")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high"))
+    counts.where((F.col("n") > hot) & F.col("k").isNotNull()).write.parquet(f"{top}/hot")
+    large = df.sparkSession.read.schema(f"k {kinds['k']}, n long, low long, high long").parquet(f"{top}/hot")
+    blocks = F.ceil(F.col("n") / hot)
+    whole = rows.join(large.select("k"), "k", "left_anti").withColumns({"block": F.lit(0).cast("long"), "begun": F.lit(NONE)})
+    sender = _sender(interval_us, round_us, eager)
+    sent = whole.repartition("k").sortWithinPartitions("k", "o").mapInArrow(sender, fields)
+    cut = rows.join(large, "k").withColumn("block", F.floor((F.col("o") - F.col("low")) * blocks / (F.col("high") - F.col("low") + 1)).cast("long")).select("k", "block", "o", "us", "v", "ver")
+    tables = cut.select("k", "block", "o", "us").repartition("k", "block").sortWithinPartitions("k", "block", "o")
+    tables = tables.mapInArrow(_tables(interval_us, round_us), f"k {kinds['k']}, block long, upto array<long>, ends array<long>")
+    begun = tables.groupBy("k").applyInPandas(_begun, f"k {kinds['k']}, block long, begun long")
+    cut = cut.join(begun, ["k", "block"]).repartition("k", "block").sortWithinPartitions("k", "block", "o")
+    sent = sent.unionByName(cut.mapInArrow(sender, fields))
+    # of an interval whose rows lie in several parts the newest
+    timed = sent.where("timed").groupBy("k", "sent_us").agg(F.max_by(F.struct("v"), F.struct("ver", "o"))["v"].alias("v"))
+    got = sent.where("NOT timed").select("k", "sent_us", "v").unionByName(timed)
+    return got.select(F.col("k").alias(key), "sent_us", F.col("v").alias(value))
+
+
+def _folded(interval_us: int, eager: bool):  # noqa: ANN202
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key_now, started, timer, held, last = None, False, None, None, None
         for batch in batches:
@@ -36,7 +228,7 @@ def interval_send(df: DataFrame, key: str, order: str, value: str, interval_us:
                     timer, held = None, None
                 if timer is not None:
                     held = (v,)
-                elif eager and not (strict and last is not None and us < last + interval_us):
+                elif eager and not (last is not None and us < last + interval_us):
                     out.append((k, us, v))
                     timer, last = us + interval_us, us
                 elif eager:
@@ -47,6 +239,4 @@ def interval_send(df: DataFrame, key: str, order: str, value: str, interval_us:
         if started and timer is not None and held is not None:
             yield pd.DataFrame([(key_now, timer, held[0])], columns=["k", "sent_us", "v"])
 
-    kinds = dict(rows.dtypes)
-    got = dealt.mapInPandas(fold, f"k {kinds['k']}, sent_us long, v {kinds['v']}")
-    return got.select(F.col("k").alias(key), "sent_us", F.col("v").alias(value))
+    return fold

@@ -152,3 +152,17 @@ def stream_interval_send(spark: SparkSession, sf_dir: str) -> DataFrame:
     send = state.IntervalSend(86_400_000, "ms", "value")
     got = rows.groupBy("user_id").transformWithStateInPandas(send, "k long, sent_ms long, v double", "Append", "EventTime")
     return drain(got).withColumnRenamed("k", "user_id")
+
+
+_LAZY = ORACLES["interval_send_lazy"].replace("epoch_us(ts)", "epoch_us(ts) // 1000").replace("86400000000", "86400000")
+
+
+@query("stream_interval_send_lazy", f"SELECT user_id, sent_us AS sent_ms, value AS v FROM ({_LAZY})")
+def stream_interval_send_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each interval's newest row at its end, over several micro-batches."""
+    rows = batch.events(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows = arriving(rows, "event_id", end="ts").withWatermark("ts", "1 second").where(f"ts < '{END}'").withColumn("ms", F.unix_millis("ts"))
+    state.use_rocksdb(rows)
+    send = state.IntervalSend(86_400_000, "ms", "value", eager=False)
+    got = rows.groupBy("user_id").transformWithStateInPandas(send, "k long, sent_ms long, v double", "Append", "EventTime")
+    return drain(got).withColumnRenamed("k", "user_id")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import throttle
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -216,38 +219,41 @@ class UnionJoin(StatefulProcessor):
 
 
 class IntervalSend(StatefulProcessor):
-    """At most the newest row of a key for each interval. Rows open a timer; when it is due the buffer is sent. Eager: the
-    first row is sent at once. Timers at the same rounded time fall together (round_ms)."""
+    """At most the newest row of a key for each interval. A row that finds no interval open opens one; at its end the buffer is
+    sent. Eager: the row that opens it is sent at once. Ends fall on multiples of round_ms, so that timers of many keys fall
+    together. newer: a column of whole numbers; a row whose is smaller than the buffer's does not replace it. The rows of a
+    micro-batch are looked at together (operators/throttle.py)."""
 
-    def __init__(self, interval_ms: int, time_ms: str, value: str, eager: bool = True, round_ms: int = 1):
-        self.interval_ms, self.time_ms, self.value, self.eager, self.round_ms = interval_ms, time_ms, value, eager, round_ms
+    def __init__(self, interval_ms: int, time_ms: str, value: str, eager: bool = True, round_ms: int = 1, newer: str | None = None):
+        self.interval_ms, self.time_ms, self.value, self.eager, self.round_ms, self.newer = interval_ms, time_ms, value, eager, round_ms, newer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getValueState("buffer", "v double")
+        self.buffer = handle.getValueState("buffer", "v double, ver long")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
         part = _ordered(rows, self.time_ms)
-        for at, v in zip(part[self.time_ms], part[self.value], strict=True):
-            if self.timer.exists() and int(at) >= (due := self.timer.get()[0]):  # due before the watermark gets there
-                if self.buffer.exists():
-                    out.append((key[0], due, self.buffer.get()[0]))
-                self.buffer.clear()
-                self.timer.clear()
-                self.handle.deleteTimer(due)
-            if self.timer.exists():
-                self.buffer.update((float(v),))
-                continue
-            due = (int(at) + self.interval_ms) // self.round_ms * self.round_ms
-            self.handle.registerTimer(due)
-            self.timer.update((due,))
-            if self.eager:
-                out.append((key[0], int(at), float(v)))
-            else:
-                self.buffer.update((float(v),))
-        yield pd.DataFrame(out, columns=["k", "sent_ms", "v"])
+        at, values = part[self.time_ms].to_numpy(np.int64), part[self.value].to_numpy(float)
+        version = part[self.newer].to_numpy(np.int64) if self.newer else np.zeros(len(at), np.int64)
+        before = self.timer.get()[0] if self.timer.exists() else throttle.NONE
+        held = tuple(self.buffer.get()) if self.buffer.exists() else None
+        jumps = throttle.Jumps(np.zeros(len(at), np.int64), at, self.interval_ms, self.round_ms)
+        (row, due, timed), ends = throttle.sends(version, jumps, np.array([before]), self.eager)
+        out = [(key[0], int(t), float(values[r])) for r, t in zip(row[~timed], due[~timed], strict=True)]
+        newest = {int(t): (float(values[r]), int(version[r])) for r, t in zip(row[timed], due[timed], strict=True)}
+        if held is not None and (before not in newest or newest[before][1] < held[1]):
+            newest[before] = held
+        end = int(ends[-1])
+        kept = newest.pop(end, None)
+        out += [(key[0], t, v) for t, (v, _) in newest.items()]
+        self.buffer.update(kept) if kept is not None else self.buffer.clear()
+        if end != before:
+            if before != throttle.NONE:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(end)
+            self.timer.update((end,))
+        yield pd.DataFrame(sorted(out), columns=["k", "sent_ms", "v"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         out = [(key[0], int(expiredTimerInfo.getExpiryTimeInMs()), self.buffer.get()[0])] if self.buffer.exists() else []
