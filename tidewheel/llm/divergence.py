@@ -21,7 +21,7 @@ their names. An empty table gives no rows. Arithmetic is exact while a source ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +94,14 @@ def shares(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
 class _Run:
     """A run of vectors of one language and the sums of one block of its sources."""
 
-    def __init__(self, key: tuple[str, int, int], kept: int):
-        self.key, self.kept = key, kept
+    def __init__(self, key: tuple[str, int, int], kept: int, block: int):
+        self.key, self.kept, self.block = key, kept, block
         self.names: list[str] = []
         self.totals: list[int] = []
         self.sums: np.ndarray | None = None
 
     def sources(self) -> range:
-        return range(self.key[1] * BLOCK, min(len(self.names), (self.key[1] + 1) * BLOCK))
+        return range(self.key[1] * self.block, min(len(self.names), (self.key[1] + 1) * self.block))
 
     def add(self, ends: np.ndarray, names: pa.Array, counts: np.ndarray, times: np.ndarray) -> None:
         size = len(self.names)
@@ -131,35 +131,39 @@ class _Run:
         return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "value"])
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(block_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sums by pair of each run; a run's parameters (kind 0) come before its vectors."""
-    run: _Run | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lang = batch.column("lang").to_pylist()
-        block, salt, kind, times = (batch.column(c).to_numpy() for c in ("block", "salt", "kind", "times"))
-        lists = {c: batch.column(c) for c in ("names", "counts")}
-        ends = np.asarray(lists["names"].offsets).astype(np.int64)
-        names, counts = lists["names"].flatten(), lists["counts"].flatten().to_numpy()
-        ends = ends - ends[0]
-        codes = batch.column("lang").dictionary_encode().indices.to_numpy()
-        change = np.any([np.diff(x) != 0 for x in (codes, block, salt, kind)], axis=0)
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = (lang[a], int(block[a]), int(salt[a]))
-            if run is None or run.key != key:
-                if run is not None and (out := run.rows()) is not None:
-                    yield out
-                run = _Run(key, int(times[a]))
-            if kind[a] == 0:
-                run.names += names.slice(ends[a], ends[b] - ends[a]).to_pylist()
-                run.totals += counts[ends[a] : ends[b]].tolist()
-            else:
-                part = slice(ends[a], ends[b])
-                run.add(ends[a : b + 1] - ends[a], names.slice(ends[a], ends[b] - ends[a]), counts[part], times[a:b])
-    if run is not None and (out := run.rows()) is not None:
-        yield out
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: _Run | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lang = batch.column("lang").to_pylist()
+            block, salt, kind, times = (batch.column(c).to_numpy() for c in ("block", "salt", "kind", "times"))
+            lists = {c: batch.column(c) for c in ("names", "counts")}
+            ends = np.asarray(lists["names"].offsets).astype(np.int64)
+            names, counts = lists["names"].flatten(), lists["counts"].flatten().to_numpy()
+            ends = ends - ends[0]
+            codes = batch.column("lang").dictionary_encode().indices.to_numpy()
+            change = np.any([np.diff(x) != 0 for x in (codes, block, salt, kind)], axis=0)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = (lang[a], int(block[a]), int(salt[a]))
+                if run is None or run.key != key:
+                    if run is not None and (out := run.rows()) is not None:
+                        yield out
+                    run = _Run(key, int(times[a]), block_size)
+                if kind[a] == 0:
+                    run.names += names.slice(ends[a], ends[b] - ends[a]).to_pylist()
+                    run.totals += counts[ends[a] : ends[b]].tolist()
+                else:
+                    part = slice(ends[a], ends[b])
+                    run.add(ends[a : b + 1] - ends[a], names.slice(ends[a], ends[b] - ends[a]), counts[part], times[a:b])
+        if run is not None and (out := run.rows()) is not None:
+            yield out
+
+    return go
 
 
 def kept_terms(docs: DataFrame, min_docs: int = 30) -> DataFrame:
@@ -189,10 +193,10 @@ def parameters(kept: DataFrame, vectors: DataFrame) -> DataFrame:
     return spark.read.schema("lang string, source string, n long, sources long, lang_n long, kept long, vectors long").parquet(path)
 
 
-def pair_sums(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_sums(vectors: DataFrame, groups: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """lang, source, item, value of all ordered pairs of sources of a language."""
-    runs = F.greatest(F.lit(1), F.ceil(F.col("vectors") / F.greatest(F.lit(RUN), 16 * F.col("sources"))).cast("int"))
-    groups = groups.withColumns({"runs": runs, "blocks": F.ceil(F.col("sources") / BLOCK).cast("int")})
+    runs = F.greatest(F.lit(1), F.ceil(F.col("vectors") / F.greatest(F.lit(run), F.col("sources"))).cast("int"))
+    groups = groups.withColumns({"runs": runs, "blocks": F.ceil(F.col("sources") / block).cast("int")})
     langs = groups.groupBy("lang").agg(F.first("runs").alias("runs"), F.first("blocks").alias("blocks"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     lead = groups.select("lang", F.explode(upto("blocks")).alias("block"), "runs", "source", "n", "kept")
@@ -200,7 +204,7 @@ def pair_sums(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     rows = vectors.join(langs, "lang").withColumn("salt", F.pmod(F.xxhash64("vector"), F.col("runs")).cast("int"))
     rows = rows.select("lang", F.explode(upto("blocks")).alias("block"), "salt", F.lit(1).alias("kind"), "times", F.col("vector.source").alias("names"), F.col("vector.n").alias("counts"))
     dealt = lead.unionByName(rows).repartition("lang", "block", "salt").sortWithinPartitions("lang", "block", "salt", "kind", "names")
-    sums = dealt.mapInArrow(compared, "lang string, source string, item string, value long")
+    sums = dealt.mapInArrow(compared(block), "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
