@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import partition
+from ..operators import balance, partition
 from ..tables import events, load
 from .registry import query
 
@@ -136,10 +136,23 @@ def dealt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("salted_keys", "SELECT event_type, count(*) AS cnt, sum(value::DECIMAL(12,2))::DOUBLE AS total FROM events GROUP BY 1")
 def salted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few hot keys in two steps: by key and salt, then by key."""
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(32))
-    part = events(spark, sf_dir).groupBy("event_type", salt.alias("salt")).agg(F.count("*").alias("cnt"), F.sum(F.col("value").cast("decimal(12,2)")).alias("total"))
-    return part.groupBy("event_type").agg(F.sum("cnt").alias("cnt"), F.sum("total").cast("double").alias("total"))
+    """Few hot keys in two steps: by key and a salt that is measured, then by key."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", F.col("value").cast("decimal(12,2)").alias("value"))
+    plan = balance.measure(rows, ["event_type"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = [F.count("*").alias("cnt"), F.sum("value").alias("total")]
+    return balance.aggregate(rows, plan, ["event_id"], first, [F.sum("cnt").alias("cnt"), F.sum("total").cast("double").alias("total")])
+
+
+@query(
+    "balanced_join",
+    "SELECT e.event_id, e.event_type, u.users FROM events e JOIN (SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1) u USING (event_type) WHERE e.value > 90",
+)
+def balanced_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join on a few hot keys, whose rows are dealt over the tasks by measured salts."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", "value")
+    users = events(spark, sf_dir).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    plan = balance.measure(rows, ["event_type"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return balance.join(rows.where("value > 90").drop("value"), users, plan, ["event_id"])
 
 
 def _key_groups(values: pd.Series) -> pd.Series:
