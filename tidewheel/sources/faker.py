@@ -1,11 +1,11 @@
 """Random rows from field expressions: a data source for batches and streams, and a lookup.
 
 Options: fields.<name>.expression, .null-rate (0 to 1) and .length; number-of-rows (unbounded streams without),
-rows-per-second, partitions, seed. Map columns take .key.expression and .value.expression; arrays take an expression, or
+rows-per-second, most-rows, partitions, seed. Map columns take .key.expression and .value.expression; arrays take an expression, or
 those of their elements' fields if these are rows. Equal seeds give equal rows.
 
-A stream with number-of-rows brings all of them; one without brings rows-per-second rows for each second of the clock, so
-that one that starts again goes on where it was. Rows are made in the tasks, whose number is partitions.
+A stream with number-of-rows brings all of them; one without brings rows-per-second rows for each second, no more than most-rows
+at once; one that starts again goes on where it was. Rows are made in the tasks, whose number is partitions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import random
 import re
 import string
-import time
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
+from .custom import Paced
+
 # Words for generated names.
 HEROES = ("Amber Comet", "Captain Lattice", "Doctor Tundra", "Iron Sparrow", "Lady Meridian", "Night Ledger", "The Archivist")
 POWERS = ("flight", "foresight", "frost", "invisibility", "magnetism", "speed", "telepathy")
@@ -185,23 +186,21 @@ class FakerReader(DataSourceReader):
 
 
 class FakerStream(DataSourceStreamReader):
-    """Offsets are numbers of rows; without number-of-rows they follow the clock."""
+    """Offsets are numbers of rows; without number-of-rows they follow the clock, most-rows at once at most."""
 
     def __init__(self, fields: Fields):
         self.fields = fields
         self.most = int(fields.options.get("number-of-rows", -1))
-        self.rate = int(fields.options.get("rows-per-second", 10_000))
-
-    def _due(self) -> int:
-        return int(time.time() * self.rate)
+        self.pace = Paced(fields.options)
 
     def initialOffset(self) -> dict:
-        return {"row": 0 if self.most >= 0 else self._due()}
+        return {"row": 0}
 
     def latestOffset(self) -> dict:
-        return {"row": self.most if self.most >= 0 else self._due()}
+        return {"row": self.most if self.most >= 0 else self.pace.latest()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.pace.reached(end["row"])
         a, n, parts = start["row"], end["row"] - start["row"], int(self.fields.options.get("partitions", 4))
         return [Range(a + n * i // parts, a + n * (i + 1) // parts) for i in range(parts)]
 
