@@ -10,7 +10,7 @@ kinds, and nulls, change nothing. A delta, edit or regeneration without a start
 Defined results: a null text or role is empty; null conversations form one conversation; null message numbers come
 first; events that are equal in conversation, message and sequence go by kind (start first), role and text, and repeated
 events count as often as they stand there. An empty table gives no rows. A conversation whose messages are all deleted
-gives no rows. Columns besides those named play no part. Of finished messages with one number the first is that of the
+gives no rows. A text of any length is taken whole, in one task. Columns besides those named play no part. Of finished messages with one number the first is that of the
 least role, then text; equal ones are all kept.
 
 A formatted turn is TURN, the role, a newline, the text, END and a newline. Inside roles and texts each "<", any number

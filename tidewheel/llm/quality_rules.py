@@ -6,7 +6,9 @@ fail on the whole of it (too few words, too many repeated five-word windows), or
 its words.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Lines without a word are
-neither counted nor removed. Each row is judged by itself, so repeated ids give repeated rows.
+neither counted nor removed. Each row is judged by itself, so repeated ids and rows give repeated rows; of equal lines of a
+text the first one is no repetition. A text of any length is taken whole. Columns besides id and text play no part, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
