@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import fresh
+
 
 def time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[str] | None = None, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Aggregates by window [win_start, win_end) and keys. Sums and counts are combined before the shuffle."""
@@ -16,7 +18,8 @@ def time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[s
 
 def processing_time_window(df: DataFrame, size: str, aggregates: list[Column], keys: list[str] | None = None, slide: str | None = None) -> DataFrame:
     """time_window over the time at which rows are worked on: all rows of a batch, or of a micro-batch, have one."""
-    return time_window(df.withColumn("__now", F.current_timestamp()), size, aggregates, keys, slide, "__now")
+    (now,) = fresh(df.columns, "now")
+    return time_window(df.withColumn(now, F.current_timestamp()), size, aggregates, keys, slide, now)
 
 
 def top_n(df: DataFrame, n: int, within: list[str], order: list[Column], rank: str = "rnk") -> DataFrame:
@@ -46,12 +49,12 @@ def running(df: DataFrame, order: str, value: Column, name: str, pick: str = "ma
     A frame over the whole table, or over a hot key, would bring it to one task. Here rows of a block of the order are one
     group, and only one value for each block goes through the frame that spans blocks."""
     agg, keys = F.max if pick == "max" else F.sum, keys or []
-    rows = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / block))
-    blocks = rows.groupBy(*keys, "__b").agg(agg("__v").alias("__t"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "__b", agg("__t").over(before).alias("__before"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = agg("__v").over(inside)
-    joined = rows.withColumn("__own", own).join(blocks, [*keys, "__b"])
-    both = F.greatest("__before", "__own") if pick == "max" else F.coalesce(F.col("__before") + F.col("__own"), "__before", "__own")
-    return joined.withColumn(name, both).drop("__v", "__b", "__t", "__own", "__before")
+    v, b, t, mine, earlier = fresh(df.columns, "v", "b", "t", "own", "before")
+    rows = df.withColumn(v, value).withColumn(b, F.floor(F.col(order) / block))
+    blocks = rows.groupBy(*keys, b).agg(agg(v).alias(t))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, b, agg(t).over(before).alias(earlier))
+    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn(mine, agg(v).over(inside)).join(blocks, [*keys, b])
+    both = F.greatest(earlier, mine) if pick == "max" else F.coalesce(F.col(earlier) + F.col(mine), earlier, mine)
+    return joined.withColumn(name, both).drop(v, b, mine, earlier)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import balance, partition
+from ..operators import balance, partition, ranks
 from ..tables import events, load
 from .registry import query
 
@@ -101,9 +101,10 @@ def distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rank_frames", "SELECT event_id, rank() OVER w AS rnk, dense_rank() OVER w AS dense, lag(event_id) OVER w AS before, ntile(4) OVER w AS quarter FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)")
 def rank_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("event_type").orderBy("value", "event_id")
-    ranks = {"rnk": F.rank(), "dense": F.dense_rank(), "quarter": F.ntile(4)}
-    return events(spark, sf_dir).select("event_id", *[f.over(by).cast("bigint").alias(n) for n, f in ranks.items()], F.lag("event_id").over(by).alias("before"))
+    """Ranks of five large groups, each in ranges over several tasks."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", "value")
+    got = ranks.ranked(rows, ["event_type"], ["value", "event_id"], rank="rnk", dense="dense", ntile=("quarter", 4), before=("before", "event_id"))
+    return got.drop("event_type", "value")
 
 
 @query(
