@@ -50,6 +50,11 @@ def each_number(values: Column, kind: str) -> Column:
     return F.coalesce(F.transform(values, lambda v: number(v, kind)), F.array().cast(f"array<{kind}>"))
 
 
+def each_value(values: Column, kind: str) -> Column:
+    """The values of a map from strings as numbers; a map that is null is empty."""
+    return F.coalesce(F.transform_values(values, lambda _, v: number(v, kind)), F.create_map().cast(f"map<string, {kind}>"))
+
+
 def json_row(text: Column, schema: str | StructType) -> Column:
     """A struct from JSON text. Missing fields and JSON nulls are null, numbers in quotes count as numbers, and objects,
     arrays and numbers in string fields keep their JSON text. If the text is no object or a value does not fit, all
