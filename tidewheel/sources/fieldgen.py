@@ -13,6 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the alphabet of str_fix.
 LETTERS = string.digits + string.ascii_uppercase + string.ascii_lowercase + "-_#*"
 
 
