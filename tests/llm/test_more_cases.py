@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, classifier, pii, quality_rules, substrings, warc
+from tidewheel.llm import chat, classifier, decontaminate, oracles, pii, quality_rules, queries, substrings, warc
 from tidewheel.llm.io import shared_dir
 
 HELPERS = "_key _text _label _features _upto _docs _spots _bucket docbucket is_text payload payload_digest original refers_to n kind number before size word left right row_id row_hash run patterns base start end seq message part formatted score predicted kept bucket keys places n_words has_digit url2".split()
@@ -99,3 +100,27 @@ def test_calibration_has_no_slope_left():
     target = np.where(positive, (p + 1) / (p + 2), 1 / (n + 2))
     got = 1 / (1 + np.exp(-(slope * margin + shift)))
     assert abs(((got - target) * margin).sum() + 1e-3 * slope) < 1e-3 and abs((got - target).sum()) < 1e-3 and 1.2 < slope < 2.2
+
+
+# 5
+
+
+def test_sql_and_query_agree_on_wide_stretches(spark, tmp_path):
+    """Items with changed words, where the best-scoring part is too short and a wider stretch is not."""
+    rng = np.random.default_rng(7)
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in range(12, 22)]
+    docs = []
+    for n, w in items:
+        for at in range(40):
+            changed = set(rng.choice(n, rng.integers(1, 5), replace=False).tolist())
+            docs.append((100 * n + at, " ".join(["before", *["other" if k in changed else x for k, x in enumerate(w)], "after"])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_matched"]
+    got = sorted(tuple(r[c] for c in columns) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({oracles.ORACLES['op5_decontaminate']})").fetchall())
+    narrow = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string"), decontaminate.Seeds())
+    assert len(got) > narrow.count() > 0

@@ -96,7 +96,16 @@ ORACLES: dict[str, str] = {
                 FROM g JOIN e USING (doc_id, rid, shift) GROUP BY ALL),
           o AS (SELECT f.doc_id, f.item_id, f.rid, f.shift, f.n, first + f.shift AS doc_word, first AS item_word, last - first AS n_words, count(*) FILTER (WHERE same) AS n_matched
                 FROM f JOIN v ON v.doc_id = f.doc_id AND v.rid = f.rid AND v.shift = f.shift AND v.k >= first AND v.k < last GROUP BY ALL),
-          p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rid ORDER BY n_matched DESC, shift) AS r FROM o WHERE n_matched >= least(13, ceil(0.8 * n)))
+          less AS MATERIALIZED (SELECT * FROM o WHERE n_matched < least(13, ceil(0.8 * n))),
+          u AS MATERIALIZED (SELECT doc_id, rid, shift, k + 1 AS at, t, sum(same::INTEGER) OVER (PARTITION BY doc_id, rid, shift ORDER BY k) AS a FROM c JOIN less USING (doc_id, rid, shift)
+                UNION ALL SELECT doc_id, rid, shift, greatest(0, -shift), 0, 0 FROM less),
+          i AS (SELECT y.doc_id, y.rid, y.shift, y.at AS stop, min(x.at) AS start, any_value(y.a) - arg_min(x.a, x.at) AS agree
+                FROM u y JOIN u x ON x.doc_id = y.doc_id AND x.rid = y.rid AND x.shift = y.shift AND x.at < y.at AND x.t <= y.t GROUP BY 1, 2, 3, 4),
+          j AS (SELECT doc_id, rid, shift, arg_min(struct_pack(a := start, b := stop), struct_pack(x := -agree, y := stop)) AS widest FROM i GROUP BY ALL),
+          s AS (SELECT less.doc_id, item_id, less.rid, less.shift, less.n, min(k) FILTER (WHERE same) + less.shift AS doc_word, min(k) FILTER (WHERE same) AS item_word,
+                  max(k) FILTER (WHERE same) + 1 - min(k) FILTER (WHERE same) AS n_words, count(*) FILTER (WHERE same) AS n_matched
+                FROM less JOIN j USING (doc_id, rid, shift) JOIN (SELECT doc_id, rid, shift, k, same FROM v) v ON v.doc_id = less.doc_id AND v.rid = less.rid AND v.shift = less.shift AND k >= widest.a AND k < widest.b GROUP BY 1, 2, 3, 4, 5),
+          p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rid ORDER BY n_matched DESC, shift) AS r FROM (SELECT * FROM o UNION ALL SELECT * FROM s) WHERE n_matched >= least(13, ceil(0.8 * n)))
         SELECT doc_id, item_id, doc_word, item_word, n_words, n_matched FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, doc_word, item_word, n_words DESC) AS q FROM p WHERE r = 1) WHERE q = 1""",
     "op11_source_divergence": r"""
