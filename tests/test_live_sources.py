@@ -8,8 +8,10 @@ import time
 
 import pytest
 
+from tidewheel.operators import partition
 from tidewheel.session import shared_dir
-from tidewheel.sources import custom, sockets
+from tidewheel.sinks import batched
+from tidewheel.sources import custom, faker, fieldgen, sockets
 
 
 class Server(threading.Thread):
@@ -147,3 +149,37 @@ def test_a_pause_is_not_made_up_for_at_once():
     assert pace.latest() == 65
     pace.reached(65)
     assert pace.latest() == 90
+
+
+def test_generated_fields_at_a_speed(spark):
+    spec = '[{"type": "long_inc", "fields": {"name": "i", "start": 3, "step": 2}}, {"type": "str_fix", "fields": {"name": "s", "len": 4}}]'
+    query = fieldgen.generate_stream(spark, spec, 5, 10).writeStream.format("memory").queryName("generated").option("checkpointLocation", shared_dir(spark, "generated")).start()
+    try:
+        until(lambda: spark.table("generated").count() >= 500)
+    finally:
+        query.stop()
+    rows = spark.table("generated").collect()
+    assert sorted(r.i for r in rows) == [3 + 2 * n for n in range(len(rows))] and all(len(r.s) == 4 for r in rows)
+
+
+def test_a_lookup_in_a_lateral_join(spark):
+    options = {"fields.age.expression": "#{number.numberBetween '20','60'}", "seed": "3"}
+    faker.register_lookup(spark, "person_of", ["id"], "id bigint, age int", options)
+    got = spark.sql("SELECT o.id, p.age FROM (SELECT id % 7 AS id FROM range(50)) o, LATERAL person_of(o.id) p").collect()
+    ages = {r.id: r.age for r in got}
+    assert len(got) == 50 and len({(r.id, r.age) for r in got}) == 7 and all(20 <= a < 60 for a in ages.values())
+    plain = {r.id: r.age for r in faker.lookup(spark.range(7), ["id"], "id bigint, age int", options).collect()}
+    assert plain == ages
+
+
+def test_some_rows_are_logged(spark, tmp_path):
+    path = str(tmp_path / "lines")
+
+    def put(line):
+        with open(path, "a") as f:
+            f.write(line + "\n")
+
+    df = spark.range(100).coalesce(1)
+    assert batched.log_some(df, 1000, put=put).count() == 100
+    assert open(path).read() == '+I: {"id": 0}\n'
+    assert partition.task_ids(spark.range(10).repartition(3), start=100).select("id").distinct().count() == 10

@@ -135,6 +135,14 @@ def dealt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(partition.rebalance(rows, 8), "rebalance").unionByName(counted(partition.shuffle(rows, 8, 5), "shuffle"))
 
 
+@query("task_ids", "SELECT event_type, count(*) AS cnt, count(*) AS ids, true AS own FROM events GROUP BY 1")
+def task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with ids that tasks give on their own: all differ, and the remainder by the number of tasks is the task's."""
+    rows = partition.task_ids(partition.rebalance(events(spark, sf_dir).select("event_type"), 8), start=5).withColumn("task", F.spark_partition_id())
+    own = F.bool_and(F.pmod(F.col("id") - 5, F.lit(8)) == F.col("task"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("cnt"), F.count_distinct("id").alias("ids"), own.alias("own"))
+
+
 @query("salted_keys", "SELECT event_type, count(*) AS cnt, sum(value::DECIMAL(12,2))::DOUBLE AS total FROM events GROUP BY 1")
 def salted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few hot keys in two steps: by key and a salt that is measured, then by key."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import logging
 import random
 import time
@@ -34,6 +35,24 @@ def log_batch(mode: str = "LOG_INFO") -> Callable[[DataFrame, int], None]:
     return lambda df, _: log_lines(df).foreachPartition(put)
 
 
+def log_some(df: DataFrame, interval_seconds: float, kind: str = "+I", put: Callable[[str], None] | None = None) -> DataFrame:
+    """df as it is; where its tasks run each puts out a row's line at most every interval_seconds, the first one at once. Rows
+    between are looked at a batch at a time."""
+    names = df.columns
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        last = None
+        say = put or (lambda line: LOG.info("%s", line))
+        for batch in batches:
+            now = time.monotonic()
+            if batch.num_rows and (last is None or now - last >= interval_seconds):
+                say(f"{kind}: {json.dumps({c: batch.column(c)[0].as_py() for c in names}, default=str)}")
+                last = now
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 @dataclass
 class Batching:
     """rows, size (bytes of the rows, by size_of), interval_seconds: what of these a flush reaches first ends it; the time is

@@ -19,6 +19,7 @@ from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
@@ -236,11 +237,12 @@ def lookup(df: DataFrame, keys: list[str], schema: str, options: dict[str, str])
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
             rows = batch.to_pylist()
             made = [fields.row(hash_of([r[k] for k in keys])) for r in rows]
-            columns = [pa.array([r[f.name] for r in rows]).cast(batch.schema.field(f.name).type) if f.name in keys else pa.array([m[rest.fieldNames().index(f.name)] for m in made]) for f in kinds.fields]
+            columns = [pa.array([r[f.name] for r in rows]).cast(batch.schema.field(f.name).type) if f.name in keys else pa.array([m[rest.fieldNames().index(f.name)] for m in made], to_arrow_type(f.dataType)) for f in kinds.fields]
             yield pa.RecordBatch.from_arrays(columns, names=kinds.fieldNames())
 
     return df.select(*keys).mapInArrow(run, kinds)
@@ -250,3 +252,17 @@ def hash_of(values: list) -> int:
     import zlib
 
     return zlib.crc32(repr(values).encode())
+
+
+def register_lookup(spark: SparkSession, name: str, keys: list[str], schema: str, options: dict[str, str]) -> None:
+    """Makes a table function known to SQL for lateral joins: of the keys' values the row that lookup gives."""
+    kinds = StructType.fromDDL(schema)
+    rest = [f.name for f in kinds.fields if f.name not in keys]
+    fields = Fields(StructType([kinds[c] for c in rest]), options)
+
+    class Lookup:
+        def eval(self, *values: Any) -> Iterator[tuple]:
+            made = dict(zip([*keys, *rest], [*values, *fields.row(hash_of(list(values)))], strict=True))
+            yield tuple(made[f.name] for f in kinds.fields)
+
+    spark.udtf.register(name, F.udtf(Lookup, returnType=kinds))

@@ -58,3 +58,12 @@ def generate(spark: SparkSession, spec: str, rows: int, seed: int = 0, as_json:
     columns = [_column(f["type"], f["fields"], seed + i).alias(f["fields"]["name"]) for i, f in enumerate(fields)]
     out = spark.range(rows).select(*columns)
     return out.select(F.to_json(F.struct("*")).alias("value")) if as_json else out
+
+
+def generate_stream(spark: SparkSession, spec: str, speed: int, speed_unit_ms: int = 1000, seed: int = 0, as_json: bool = False) -> DataFrame:
+    """The described columns as a stream of speed rows in each speed_unit_ms."""
+    fields = json.loads(spec)
+    columns = [_column(f["type"], f["fields"], seed + i).alias(f["fields"]["name"]) for i, f in enumerate(fields)]
+    per_second = max(1, round(speed * 1000 / speed_unit_ms))
+    out = spark.readStream.format("rate").option("rowsPerSecond", per_second).load().withColumnRenamed("value", "id").select(*columns)
+    return out.select(F.to_json(F.struct("*")).alias("value")) if as_json else out
