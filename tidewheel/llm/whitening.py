@@ -86,7 +86,7 @@ def covariance(columns: DataFrame, n: int) -> np.ndarray:
     out = np.zeros((len(names), len(names)))
     for at in range(0, len(pairs), PAIRS):
         part = pairs[at : at + PAIRS]
-        sums = columns.agg(*[F.expr(f"sum({names[i]} * {names[j]})").alias(f"p{i}_{j}") for i, j in part]).first()
+        sums = columns.selectExpr("array(" + ", ".join(f"sum({names[i]} * {names[j]})" for i, j in part) + ") AS sums").first().sums
         for (i, j), v in zip(part, sums, strict=True):
             out[i, j] = out[j, i] = v / n
     return out
