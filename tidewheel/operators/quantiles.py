@@ -1,9 +1,9 @@
 """Quantiles of bounded relative error, of numbers of any sign, from states that merge.
 
 Bin i of a sign counts the numbers whose size is from gamma**(i - 1) to gamma**i; zeros are counted apart. A state is an array
-of (sign, place, n) in the order of values, with the smallest and the largest number. Where a sign has more than most bins,
-its lowest (the sizes next to 0) fall together in the lowest one that is kept, whatever the order of merges: quantiles that
-end in that bin lose their bound. Nulls and what is no number are not counted; infinite numbers count as the largest ones."""
+of (sign, place, n) in the order of values, with the smallest and the largest number. Of a sign the most bins from its highest
+down are kept; the lower ones (the sizes next to 0) fall together in the lowest of these, whatever the order of merges:
+quantiles that end in that bin lose their bound. Nulls and what is no number are not counted; infinite numbers count as the largest ones."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def _gamma(accuracy: float) -> float:
@@ -20,13 +19,20 @@ def _gamma(accuracy: float) -> float:
 
 
 def _packed(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """States from rows of keys, sign, bin, n, low, high; several rows may have one bin."""
-    bins = counts.groupBy(*keys, "sign", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    top = F.max("bin").over(Window.partitionBy(*keys, "sign"))
-    bins = bins.withColumn("bin", F.greatest(F.col("bin"), top - (most - 1))).groupBy(*keys, "sign", "bin")
-    bins = bins.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """States from rows of keys, sign, bin, n, low, high, one for each bin."""
     each = F.struct("sign", (F.col("sign") * F.col("bin")).alias("place"), "n")
-    return bins.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("bins"), F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = counts.groupBy(*keys).agg(F.collect_list(each).alias("bins"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bins = F.sort_array(F.concat(*[_bounded(sign, most) for sign in (-1, 0, 1)]))
+    return whole.select(*keys, bins.alias("bins"), "low", "high")
+
+
+def _bounded(sign: int, most: int) -> Column:
+    """The bins of one sign, of which those below the most highest fall together in the lowest of these."""
+    bins = F.filter("bins", lambda b: b["sign"] == sign)
+    lowest = F.array_max(F.transform(bins, lambda b: b["place"] * sign)) - (most - 1)
+    total = F.aggregate(F.filter(bins, lambda b: b["place"] * sign <= lowest), F.lit(0).cast("long"), lambda upto, b: upto + b["n"])
+    rest = F.struct(F.lit(sign).alias("sign"), (lowest * sign).alias("place"), total.alias("n"))
+    return F.when(F.exists(bins, lambda b: b["place"] * sign < lowest), F.concat(F.filter(bins, lambda b: b["place"] * sign > lowest), F.array(rest))).otherwise(bins)
 
 
 def quantile_states(df: DataFrame, keys: list[str], value: str, accuracy: float = 0.01, most: int = 2048) -> DataFrame:
@@ -42,7 +48,7 @@ def quantile_states(df: DataFrame, keys: list[str], value: str, accuracy: float
 def merge_quantiles(states: DataFrame, keys: list[str], most: int = 2048) -> DataFrame:
     """States of larger groups; without keys one of all."""
     rows = states.select(*keys, "low", "high", F.inline("bins")).withColumn("bin", F.col("sign") * F.col("place"))
-    return _packed(rows, keys, most)
+    return _packed(rows.groupBy(*keys, "sign", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), keys, most)
 
 
 def quantile(q: float, accuracy: float = 0.01) -> Column:
