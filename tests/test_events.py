@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import codecs, coercion, protobuf, strings
 from tidewheel.functions.granularity import PERIODS, Granularity, finer_or_equal, merged
 from tidewheel.operators import intervals, late, sketches, throttle, upsert, windows
+from tidewheel.plans.catalog import ORACLES
 from tidewheel.sinks import batched
 from tidewheel.sources import faker, fieldgen, files
 
@@ -85,6 +86,14 @@ def test_condense_covers_the_same_points(spans):
     assert {p for a, n in spans for p in range(a, a + n)} == {p for a, b in got for p in range(a, b)}
 
 
+def test_condense_with_equal_intervals_does_not_depend_on_their_order(spark):
+    """Of equal intervals one opens the island; islands counted row by row in another order cut it in two."""
+    rows = spark.createDataFrame([("k", a, a + 1) for a in range(0, 3000, 3) for _ in range(7)], "k string, a int, b int")
+    assert sorted((r.a, r.b) for r in intervals.condense(rows, ["k"], "a", "b").collect()) == [(a, a + 1) for a in range(0, 3000, 3)]
+    sql = ORACLES["interval_condense"]
+    assert "RANGE UNBOUNDED PRECEDING" in sql and "ORDER BY a, b ROWS UNBOUNDED" not in sql
+
+
 @pytest.mark.parametrize("name", sorted(PERIODS))
 def test_bucket_holds_its_time(spark, name):
     g = Granularity.of(name)

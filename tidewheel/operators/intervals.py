@@ -41,7 +41,8 @@ def condense(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    numbered = marked.withColumn("__island", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # equal intervals count together, so it does not matter which of them came first
+    numbered = marked.withColumn("__island", F.sum("__new").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
