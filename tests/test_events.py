@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -94,6 +95,23 @@ def test_condense_with_equal_intervals_does_not_depend_on_their_order(spark):
     assert "RANGE UNBOUNDED PRECEDING" in sql and "ORDER BY a, b ROWS UNBOUNDED" not in sql
 
 
+@pytest.mark.parametrize("period, origin, zone", [("P1M", 1_705_312_800_000_000, "UTC"), ("P1M", 1_706_695_200_000_000, "UTC"), ("P2M", None, "UTC"), ("P1M", None, "Asia/Tokyo"), ("P1M1W", None, "UTC"), ("P1Y", -86_400_000_000, "UTC")])
+def test_numbers_of_months_agree_with_their_floors(spark, period, origin, zone):
+    g, rng = Granularity.of(period, origin, zone), random.Random(5)
+    times = [datetime(1969, 1, 1) + timedelta(seconds=rng.randrange(60 * 365 * 86_400)) for _ in range(300)] + [datetime(2024, 2, 29, 10), datetime(2024, 1, 31, 10), datetime(2023, 2, 28, 10)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    assert df.where(g.start_of(g.number(F.col("ts"))) != g.floor(F.col("ts"))).count() == 0
+
+
+def test_months_from_an_origin_are_split_in_few_steps(spark):
+    """A bucket is worked out once for each row that it gives, not once for each that might be one."""
+    df = spark.range(200_000).select((F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 999).cast("int"))).alias("a"))
+    began = time.monotonic()
+    got = intervals.split_by(df, F.col("a"), F.col("a") + F.expr("INTERVAL '21' DAY"), Granularity.of("P1M", 1_705_312_800_000_000))
+    assert got.count() > 300_000 and got.agg(F.count_distinct("bucket").alias("n")).first().n > 30
+    assert time.monotonic() - began < 40
+
+
 @pytest.mark.parametrize("name", sorted(PERIODS))
 def test_bucket_holds_its_time(spark, name):
     g = Granularity.of(name)

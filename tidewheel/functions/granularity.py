@@ -85,23 +85,49 @@ class Granularity:
         units = {"P1Y": "year", "P3M": "quarter", "P1M": "month", "P1W": "week", "P1D": "day", "PT1H": "hour", "PT1M": "minute", "PT1S": "second"}
         if self.origin is None and self.period in units:
             return F.date_trunc(units[self.period], ts).cast("timestamp_ntz")
-        base = micros(F.lit("1970-01-05 00:00:00").cast("timestamp_ntz")) if self.origin is None and self.period.endswith("W") else F.lit(self.origin or 0).cast("long")
         if self.months:
-            return self._of_months(ts, base)
+            return self._of_months(ts)
         us = micros(ts)
-        return from_micros(us - F.pmod(us - base, F.lit(self.us).cast("long")))
+        return from_micros(us - F.pmod(us - self._base, F.lit(self.us).cast("long")))
+
+    @property
+    def _base(self) -> Column:
+        """Where the periods are counted from, in epoch microseconds."""
+        if self.origin is None and self.period.endswith("W"):
+            return micros(F.lit("1970-01-05 00:00:00").cast("timestamp_ntz"))
+        return F.lit(self.origin or 0).cast("long")
 
     @property
     def mean_us(self) -> int:
         return self.months * 2_629_746 * US + self.us
 
-    def _of_months(self, ts: Column, base: Column) -> Column:
+    def _of_months(self, ts: Column) -> Column:
         """For periods of months, and of months and shorter units: the number of periods since the origin is estimated from
         their mean length, and the last start at or before ts is taken of those near it. Months differ from their mean by
         less than four days in all, so the estimate is off by less than the periods looked at."""
-        about = F.floor((micros(ts) - base) / self.mean_us)
-        near = [from_micros(micros(from_micros(base) + F.make_ym_interval(F.lit(0), ((about + i) * self.months).cast("int"))) + (about + i) * self.us) for i in range(-2, 3)]
-        return F.greatest(*[F.when(start <= ts, start) for start in near])
+        return F.greatest(*[F.when(start <= ts, start) for start in map(self._start, self._near(ts))])
+
+    def _near(self, ts: Column) -> list[Column]:
+        about = F.floor((micros(ts) - self._base) / self.mean_us)
+        return [about + i for i in range(-2, 3)]
+
+    def _start(self, n: Column) -> Column:
+        return from_micros(micros(from_micros(self._base) + F.make_ym_interval(F.lit(0), (n * self.months).cast("int"))) + n * self.us)
+
+    def number(self, ts: Column) -> Column:
+        """For periods of months: the number of the bucket that holds ts, which grows by one from bucket to bucket."""
+        local = ts if self.zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(self.zone), ts)
+        if self.us:
+            return F.greatest(*[F.when(self._start(n) <= local, n) for n in self._near(local)])
+        # the start of that number is in the calendar month of the time, or before it
+        month = lambda t: F.year(t) * 12 + F.month(t)
+        n = F.floor((month(local) - month(from_micros(self._base))) / self.months)
+        return F.when(self._start(n) > local, n - 1).otherwise(n)
+
+    def start_of(self, number: Column) -> Column:
+        """For periods of months: the start of the bucket of that number; start_of(number(ts)) is floor(ts)."""
+        start = self._start(number)
+        return start if self.zone == "UTC" else F.convert_timezone(F.lit(self.zone), F.lit("UTC"), start)
 
     def next(self, start: Column) -> Column:
         """The end of a bucket. For a compound period, or months from an origin, it is the start of the bucket that a time

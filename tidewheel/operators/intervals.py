@@ -20,20 +20,18 @@ def split(df: DataFrame, start: Column, end: Column, unit: str, name: str = "buc
 
 def split_by(df: DataFrame, start: Column, end: Column, granularity: Granularity, name: str = "bucket") -> DataFrame:
     """A row for each bucket of a granularity that [start, end) touches; the first may begin before start."""
-    first, last = granularity.floor(start), granularity.floor(end - F.expr("INTERVAL '0.000001' SECOND"))
     rows = df.where(start < end)
+    end = end - F.expr("INTERVAL '0.000001' SECOND")
     if granularity.kind == "all":
-        return rows.withColumn(name, first)
+        return rows.withColumn(name, granularity.floor(start))
     if granularity.kind == "none":
         raise ValueError("intervals are not split to the millisecond")
-    if not granularity.months:
-        starts = F.sequence(micros(first), micros(last), F.lit(granularity.us).cast("long"))
-        return rows.withColumn(name, F.explode(F.transform(starts, from_micros)))
-    # as many steps of the mean length as lie between, and two more; each one's bucket, once
-    steps = F.ceil((micros(last) - micros(first)) / granularity.mean_us) + 2
-    near = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda i: granularity.floor(from_micros(micros(first) + (i * granularity.mean_us).cast("long"))))
-    near = F.filter(F.array_distinct(F.concat(near, F.array(last))), lambda x: (x >= first) & (x <= last))
-    return rows.withColumn(name, F.explode(near))
+    if granularity.months:
+        # numbers of buckets: a bucket's start is worked out once, where it is put out
+        numbers = F.sequence(granularity.number(start), granularity.number(end))
+        return rows.withColumn(name, F.explode(numbers)).withColumn(name, granularity.start_of(F.col(name)))
+    starts = F.sequence(micros(granularity.floor(start)), micros(granularity.floor(end)), F.lit(granularity.us).cast("long"))
+    return rows.withColumn(name, F.explode(F.transform(starts, from_micros)))
 
 
 def condense(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
