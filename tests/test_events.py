@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import codecs, coercion, protobuf, strings
 from tidewheel.functions.granularity import PERIODS, Granularity, finer_or_equal, merged
 from tidewheel.operators import intervals, late, sketches, throttle, upsert, windows
-from tidewheel.plans.catalog import ORACLES
+from tidewheel.plans.catalog import ORACLES, QUERIES
 from tidewheel.sinks import batched
 from tidewheel.sources import faker, fieldgen, files
 
@@ -95,6 +95,16 @@ def test_condense_with_equal_intervals_does_not_depend_on_their_order(spark):
     assert "RANGE UNBOUNDED PRECEDING" in sql and "ORDER BY a, b ROWS UNBOUNDED" not in sql
 
 
+def test_varints_of_products_that_wrap_round(spark, tmp_path):
+    ids = [0, 1, 2, 3_000_000, 3_037_000, 5_999_998, 5_999_999, (1 << 63) - 1, (1 << 63) - 2, (1 << 62) + 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    want = {i: signed(i * i * 1000003 if i % 2 == 0 else -i * 977) for i in ids}
+    got = {r.event_id: r for r in QUERIES["varint_roundtrip"](spark, str(tmp_path)).collect()}
+    assert {i: r.n for i, r in got.items()} == {i: r.fixed_back for i, r in got.items()} == want
+    assert all(r.bytes == max(1, -(-(2 * r.n if r.n >= 0 else -2 * r.n - 1).bit_length() // 7)) for r in got.values())
+
+
 @pytest.mark.parametrize("period, origin, zone", [("P1M", 1_705_312_800_000_000, "UTC"), ("P1M", 1_706_695_200_000_000, "UTC"), ("P2M", None, "UTC"), ("P1M", None, "Asia/Tokyo"), ("P1M1W", None, "UTC"), ("P1Y", -86_400_000_000, "UTC")])
 def test_numbers_of_months_agree_with_their_floors(spark, period, origin, zone):
     g, rng = Granularity.of(period, origin, zone), random.Random(5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -20,6 +21,13 @@ def unzigzag(n: Column) -> Column:
     return F.shiftrightunsigned(n, 1).bitwiseXOR(-(n.bitwiseAND(F.lit(1).cast("long"))))
 
 
+def product(a: str | Column, b: str | Column) -> Column:
+    """The low 64 bits of the product of two whole numbers, signed: what does not fit wraps round, as in 64-bit arithmetic."""
+    wide = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long").cast("decimal(19,0)")
+    low = F.pmod(wide(a) * wide(b), F.lit(Decimal(1 << 64)))
+    return F.when(low >= F.lit(Decimal(1 << 63)), low - F.lit(Decimal(1 << 64))).otherwise(low).cast("long")
+
+
 def varint(n: Column) -> Column:
     """Seven bits to a byte, the low ones first; all bytes but the last have the high bit set. 64 bits, unsigned."""
     n = n.cast("long")
