@@ -14,7 +14,7 @@ from tidewheel.session import shared_dir
 from tidewheel.sinks import committed, trial
 from tidewheel.streaming import drain
 from tidewheel.streaming.lateness import LateWindows
-from tidewheel.streaming.state import UnionJoin
+from tidewheel.streaming.state import Reminders, UnionJoin
 
 # late windows
 
@@ -187,6 +187,68 @@ def test_union_join_forgets_after_its_ttl():
     assert joined(rows, [1, 2]) == [("pair", 1, 1_000_000, 1.0, 2.0), ("pair", 2, 10_000_000, 3.0, 2.0)]
 
 
+# reminders
+
+
+class Chunks(States):
+    """With a map state; calls: how often it was asked or told something."""
+
+    def __init__(self):
+        super().__init__()
+        self.chunks, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.chunks[k] = v
+        self.calls += 1
+
+    def getValue(self, k):  # noqa: N802
+        self.calls += 1
+        return self.chunks[k]
+
+    def removeKey(self, k):  # noqa: N802
+        del self.chunks[k]
+        self.calls += 1
+
+    def registerTimer(self, at):  # noqa: N802
+        super().registerTimer(at)
+        self.calls += 1
+
+
+class Mark(Due):
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_reminders_come_once_when_they_are_due(most):
+    for seed in range(40):
+        rng = random.Random(seed)
+        rows = [(rng.randrange(n, n + 40), float(n)) for n in range(80)]
+        cuts, mark, got = sorted(rng.sample(range(1, 80), 6)), -1, []
+        each, handle = Reminders(25, "ms", "v", most), Chunks()
+        each.init(handle)
+        for a, b in zip([0, *cuts], [*cuts, 80], strict=True):
+            got += list(each.handleInputRows((1,), iter([pd.DataFrame(rows[a:b], columns=["ms", "v"])]), None))
+            mark = max(mark, *(ms for ms, _ in rows[a:b]))
+            while due := [t for t in handle.timers if t <= mark]:
+                got += list(each.handleExpiredTimer((1,), Mark(mark), Due(min(due))))
+                handle.timers.discard(min(due))
+            put = sorted(r for part in got for r in part[["due_ms", "v"]].itertuples(index=False, name=None))
+            assert put == sorted((ms + 25, v) for ms, v in rows[:b] if ms + 25 <= mark)
+
+
+def test_reminders_ask_the_state_by_key_and_not_by_row():
+    each, handle = Reminders(10, "ms", "v"), Chunks()
+    each.init(handle)
+    list(each.handleInputRows((1,), iter([pd.DataFrame({"ms": range(1000), "v": 1.0})]), None))
+    assert len(handle.timers) == 1
+    assert len(pd.concat(each.handleExpiredTimer((1,), Mark(5000), Due(10)))) == 1000
+    assert handle.calls <= 4 and not handle.chunks
+
+
 # the committing sink
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,7 +22,10 @@ def use_rocksdb(df: DataFrame) -> None:
 
 def _ordered(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     parts = list(rows)
-    return pd.concat(parts).sort_values(order) if parts else pd.DataFrame()
+    if not parts:
+        return pd.DataFrame()
+    part = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return part if part[order].is_monotonic_increasing else part.sort_values(order)
 
 
 class CountWindow(StatefulProcessor):
@@ -78,30 +82,62 @@ class SlidingCountWindow(StatefulProcessor):
 
 
 class Reminders(StatefulProcessor):
-    """Each row again, delay_ms after its event time, by timers of which a key may have many; rows due at one time share one."""
+    """Each row again, delay_ms after its event time. A key's rows wait in chunks of at most most rows, in the order in which
+    they are due, and the key has one timer, at the earliest of them. When it is due, the chunks with rows that are due by
+    the watermark are read, and no others; how far a chunk has been put out is kept beside. So calls to the state follow keys and
+    chunks of a micro-batch, not rows."""
 
-    def __init__(self, delay_ms: int, time_ms: str, value: str):
-        self.delay_ms, self.time_ms, self.value = delay_ms, time_ms, value
+    def __init__(self, delay_ms: int, time_ms: str, value: str, most: int = 1024):
+        self.delay_ms, self.time_ms, self.value, self.most = delay_ms, time_ms, value, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due long", "vs array<double>")
+        self.waiting = handle.getMapState("waiting", "chunk long", "dues array<long>, vs array<double>")
+        self.heads = handle.getValueState("heads", "chunk array<long>, due array<long>, at array<long>")
+
+    def _keep(self, heads: list[tuple[int, int, int]], before: int | None) -> None:
+        """heads: of each chunk its number, when its next row is due, and that row's place."""
+        due = min((d for _, d, _ in heads), default=None)
+        if due != before and before is not None:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.heads.clear()
+            return
+        if due != before:
+            self.handle.registerTimer(due)
+        self.heads.update(tuple(list(x) for x in zip(*heads, strict=True)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         part = _ordered(rows, self.time_ms)
-        for due, values in part.groupby(part[self.time_ms] + self.delay_ms)[self.value]:
-            at = (int(due),)
-            had = list(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
-            if not had:
-                self.handle.registerTimer(int(due))
-            self.waiting.updateValue(at, (had + values.astype(float).tolist(),))
-        yield pd.DataFrame({"k": [], "due_ms": [], "v": []}).astype({"k": "int64", "due_ms": "int64", "v": "float64"})
+        dues = (part[self.time_ms].to_numpy(np.int64) + self.delay_ms).tolist()
+        values = part[self.value].to_numpy(float).tolist()
+        heads = list(zip(*self.heads.get(), strict=True)) if self.heads.exists() else []
+        before = min((d for _, d, _ in heads), default=None)
+        chunk = max((c for c, _, _ in heads), default=-1) + 1
+        for a in range(0, len(dues), self.most):
+            self.waiting.updateValue((chunk,), (dues[a : a + self.most], values[a : a + self.most]))
+            heads.append((chunk, dues[a], 0))
+            chunk += 1
+        self._keep(heads, before)
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = int(expiredTimerInfo.getExpiryTimeInMs())
-        values = list(self.waiting.getValue((due,))[0])
-        self.waiting.removeKey((due,))
-        yield pd.DataFrame({"k": [key[0]] * len(values), "due_ms": [due] * len(values), "v": values})
+        mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        heads, out_due, out_v = [], [], []
+        for chunk, due, at in zip(*self.heads.get(), strict=True):
+            if due > mark:
+                heads.append((chunk, due, at))
+                continue
+            dues, vs = self.waiting.getValue((chunk,))
+            end = bisect.bisect_right(dues, mark)
+            out_due += dues[at:end]
+            out_v += vs[at:end]
+            if end < len(dues):
+                heads.append((chunk, dues[end], end))
+            else:
+                self.waiting.removeKey((chunk,))
+        self._keep(heads, None)
+        yield pd.DataFrame({"k": [key[0]] * len(out_due), "due_ms": out_due, "v": out_v})
 
     def close(self) -> None:
         pass
