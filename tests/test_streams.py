@@ -181,6 +181,31 @@ def test_union_join_against_a_replay(options):
         assert joined(rows, cuts, **options, **hooks) == join_replay(rows, **options, replace=larger, find=lambda: 99.0)
 
 
+def test_union_join_reads_and_writes_a_key_once_for_a_batch():
+    join, handle = UnionJoin("o", "left", "v", "us", delay_us=5), States()
+    join.init(handle)
+    rows = pd.DataFrame([(0, True, 1.0, 0), (1, False, 2.0, 3), (2, False, 3.0, 9)], columns=["o", "left", "v", "us"])
+    assert len(next(iter(join.handleInputRows((1,), iter([rows]), None)))) == 2
+    assert len(handle.values) == 1
+
+
+def test_arriving_deals_the_rows_in_one_pass(spark):
+    """df is looked through for its bounds and once more, however many micro-batches there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(5, 905).mapInArrow(look, "id long")
+    stream = drain.arriving(df, "id", parts=9)
+    assert seen.value <= 2 * 900
+    order = []
+    drain.run_batches(stream, lambda b, n: order.append((n, b.agg(F.min("id"), F.max("id"), F.count("*")).first()[:])), f"{shared_dir(spark, 'one-pass')}/c")
+    assert order == [(n, (5 + 100 * n, 104 + 100 * n, 100)) for n in range(9)]
+
+
 def test_union_join_forgets_after_its_ttl():
     rows = [(0, True, 1.0, 0), (1, False, 2.0, 1_000_000), (2, True, 3.0, 10_000_000)]
     assert joined(rows, [], ttl_us=5_000_000) == [("pair", 1, 1_000_000, 1.0, 2.0)]

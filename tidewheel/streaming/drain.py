@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.names import fresh
 from ..session import shared_dir
 from ..sinks.committed import Committed
 
@@ -40,11 +41,14 @@ def arriving(df: DataFrame, order: str, parts: int = 6, most: int = 2_000_000, e
     Leave it out by a condition on that column, since others are moved in front of the watermark."""
     spark = df.sparkSession
     low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    parts, path = max(parts, -(-n // most)), shared_dir(spark, "arriving")
+    parts, path, dealt = max(parts, -(-n // most)), shared_dir(spark, "arriving"), shared_dir(spark, "dealt")
     step = ((high or 0) - (low or 0)) // parts + 1
+    # one pass deals the rows to their micro-batches, whatever their number; each is then read by itself
+    (part,) = fresh(df.columns, "part")
+    df.withColumn(part, F.floor((F.col(order) - (low or 0)) / step).cast("int")).write.partitionBy(part).parquet(dealt)
+    kept = spark.read.schema(df.withColumn(part, F.lit(0)).schema).parquet(dealt)
     for k in range(parts):
-        start = (low or 0) + k * step
-        df.where((F.col(order) >= start) & (F.col(order) < start + step)).repartition(1).write.mode("append").parquet(path)
+        kept.where(F.col(part) == k).drop(part).repartition(1).write.mode("append").parquet(path)
     if end:
         last = [F.lit(END if c == end else None).cast(t).alias(c) for c, t in df.dtypes]
         spark.range(1).select(*last).repartition(1).write.mode("append").parquet(path)

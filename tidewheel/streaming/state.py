@@ -178,8 +178,8 @@ class UnionJoin(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sides = {left: handle.getValueState(name, "v double, at long") for left, name in ((True, "left"), (False, "right"))}
-        self.timer = handle.getValueState("timer", "opened long, due long")
+        # one value holds all of a key, as each call to the state has its price
+        self.all = handle.getValueState("all", "left double, left_at long, right double, right_at long, opened long, due long")
 
     def _live(self, held: tuple[float, int] | None, now: int) -> float | None:
         return None if held is None or (self.ttl_us is not None and now - held[1] >= self.ttl_us) else held[0]
@@ -194,33 +194,36 @@ class UnionJoin(StatefulProcessor):
                 held[left], found[left] = (v, due), v
         return [(key[0], "timeout", None, due, opened, found[True], found[False])]
 
-    def _read(self) -> dict[bool, tuple[float, int] | None]:
-        return {left: tuple(s.get()) if s.exists() else None for left, s in self.sides.items()}
+    def _read(self) -> tuple[dict[bool, tuple[float, int] | None], tuple[int, int] | None]:
+        """The newest value of each side with its time, and the timer."""
+        a, a_at, b, b_at, opened, due = self.all.get() if self.all.exists() else (None,) * 6
+        held = {True: None if a_at is None else (a, a_at), False: None if b_at is None else (b, b_at)}
+        return held, None if due is None else (opened, due)
 
     def _keep(self, held: dict[bool, tuple[float, int] | None], before: tuple[int, int] | None, timer: tuple[int, int] | None) -> None:
-        for left, v in held.items():
-            if v is not None:
-                self.sides[left].update(v)
+        self.all.update((*(held[True] or (None, None)), *(held[False] or (None, None)), *(timer or (None, None))))
         if timer == before:
             return
         if before is not None:
             self.handle.deleteTimer(before[1] // 1000 + 1)
-        if timer is None:
-            self.timer.clear()
-        else:
+        if timer is not None:
             self.handle.registerTimer(timer[1] // 1000 + 1)
-            self.timer.update(timer)
+
+    def _columns(self, part: pd.DataFrame) -> list[list]:
+        kinds = {self.order: None, self.side: bool, self.value: float, self.time_us: int}
+        return [part[c].to_numpy(kind).tolist() for c, kind in kinds.items()]
 
     def _table(self, rows: list[tuple]) -> pd.DataFrame:
-        table = pd.DataFrame(rows, columns=[f.split()[0] for f in self.FIELDS.split(", ")])
-        whole = {c: "Int64" for c in ("k", "o", "at_us", "opened_us")}
-        return table.astype({**whole, "left_value": "float64", "right_value": "float64"})
+        names = [f.split()[0] for f in self.FIELDS.split(", ")]
+        kinds = {c: "Int64" for c in ("k", "o", "at_us", "opened_us")} | {"kind": object, "left_value": "float64", "right_value": "float64"}
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pd.DataFrame({c: pd.Series(list(v), dtype=kinds[c]) for c, v in zip(names, columns, strict=True)})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held, out = self._read(), []
-        before = timer = tuple(self.timer.get()) if self.timer.exists() else None
+        (held, before), out = self._read(), []
+        timer = before
         part = _ordered(rows, self.order)
-        for o, left, v, now in zip(part[self.order], part[self.side].astype(bool), part[self.value].astype(float), part[self.time_us].astype(int), strict=True):
+        for o, left, v, now in zip(*self._columns(part), strict=True):
             if timer is not None and timer[1] < now:
                 out += self._fire(key, held, timer)
                 timer = None
@@ -242,11 +245,9 @@ class UnionJoin(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        timer = tuple(self.timer.get()) if self.timer.exists() else None
+        held, timer = self._read()
         if timer is not None and timer[1] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            held = self._read()
             out = self._fire(key, held, timer)
-            self.timer.clear()
             self._keep(held, None, None)
         yield self._table(out)
 
