@@ -103,3 +103,12 @@ def test_streams_send_what_batches_send(eager, round_ms):
                     out += list(send.handleExpiredTimer(("k",), None, Due(t)))
             got = sorted(((r.sent_ms, r.v) for part in out for r in part.itertuples()), key=str)
             assert got == replay([(us, ver if newer else 0, v) for us, ver, v in rows], 20, eager, round_ms)
+
+
+def test_a_stream_keeps_one_state_for_a_key():
+    send, handle = IntervalSend(20, "ms", "v", False), States()
+    send.init(handle)
+    list(send.handleInputRows(("k",), iter([pd.DataFrame([(1, 1.0), (2, 2.0)], columns=["ms", "v"])]), None))
+    assert len(handle.values) == 1 and handle.timers == {21}
+    assert next(iter(send.handleExpiredTimer(("k",), None, Due(21)))).values.tolist() == [["k", 21, 2.0]]
+    assert not handle.values

@@ -266,15 +266,15 @@ class IntervalSend(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getValueState("buffer", "v double, ver long")
-        self.timer = handle.getValueState("timer", "at long")
+        # the buffer, if ver is there, and when the timer is due
+        self.all = handle.getValueState("all", "v double, ver long, at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         part = _ordered(rows, self.time_ms)
         at, values = part[self.time_ms].to_numpy(np.int64), part[self.value].to_numpy(float)
         version = part[self.newer].to_numpy(np.int64) if self.newer else np.zeros(len(at), np.int64)
-        before = self.timer.get()[0] if self.timer.exists() else throttle.NONE
-        held = tuple(self.buffer.get()) if self.buffer.exists() else None
+        v, ver, before = self.all.get() if self.all.exists() else (None, None, throttle.NONE)
+        held = None if ver is None else (v, ver)
         jumps = throttle.Jumps(np.zeros(len(at), np.int64), at, self.interval_ms, self.round_ms)
         (row, due, timed), ends = throttle.sends(version, jumps, np.array([before]), self.eager)
         out = [(key[0], int(t), float(values[r])) for r, t in zip(row[~timed], due[~timed], strict=True)]
@@ -284,18 +284,17 @@ class IntervalSend(StatefulProcessor):
         end = int(ends[-1])
         kept = newest.pop(end, None)
         out += [(key[0], t, v) for t, (v, _) in newest.items()]
-        self.buffer.update(kept) if kept is not None else self.buffer.clear()
+        self.all.update((*(kept or (None, None)), end))
         if end != before:
             if before != throttle.NONE:
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(end)
-            self.timer.update((end,))
         yield pd.DataFrame(sorted(out), columns=["k", "sent_ms", "v"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        out = [(key[0], int(expiredTimerInfo.getExpiryTimeInMs()), self.buffer.get()[0])] if self.buffer.exists() else []
-        self.buffer.clear()
-        self.timer.clear()
+        v, ver, _ = self.all.get() if self.all.exists() else (None, None, None)
+        out = [] if ver is None else [(key[0], int(expiredTimerInfo.getExpiryTimeInMs()), v)]
+        self.all.clear()
         yield pd.DataFrame(out, columns=["k", "sent_ms", "v"])
 
     def close(self) -> None:
