@@ -387,6 +387,14 @@ def test_classifier(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.93 * len(held)
 
 
+def test_fit_gives_memory_back_in_the_driver(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(classifier, "give_back", lambda: given.append(1))
+    docs = [(i, f"some text {i}") for i in range(10)]
+    classifier.train(frame(spark, docs), spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int"))
+    assert given
+
+
 def test_classifier_odd_rows(spark):
     docs = [(i, "plain words in a row. " * 3) for i in range(30)] + [(100 + i, "LOUD!! LOUD!! ***") for i in range(30)]
     labels = frame(spark, [(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(30)] + [(3, None), (5, 1), (5, 1)], "doc_id long, quality int")

@@ -218,7 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
     rows = [flat[ends[i] : ends[i + 1]] for i in order]
     shuffle = np.random.default_rng(5).permutation(len(rows))
-    return fit([rows[i] for i in shuffle], got.column("_label").to_numpy()[order][shuffle], settings)
+    model = fit([rows[i] for i in shuffle], got.column("_label").to_numpy()[order][shuffle], settings)
+    # the features lie in the driver, whose memory the next stages need
+    del got, lists, flat, rows
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and the memory of Python workers."""
+"""The folder that driver and executors share, and the memory of Python processes."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 
 def give_back() -> None:
-    """Memory that a worker has freed goes back to the machine, as its worker process lives on."""
+    """Memory that has been freed goes back to the machine, as a worker's process lives on, and the driver's."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
