@@ -259,6 +259,19 @@ def test_jaccard_dense_group(spark):
     assert rows_of(ngram_join.near_duplicates(frame(spark, docs), ngram_join.Plan()), "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
 
 
+def test_jaccard_later_rounds_take_their_own_nodes(spark, monkeypatch):
+    rng = random.Random(10)
+    base = " ".join(f"{rng.choice('abcdef')}{i}" for i in range(100))
+    alone = [(i, " ".join(str(rng.random()) for _ in range(20))) for i in range(600)]
+    docs = alone + [(1000 + i, changed(rng, base, 0.03)) for i in range(150)]
+    given = []
+    for name in ("plausible", "across"):
+        f = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, f=f: (given.append(a[-1].count()), f(*a))[1])
+    assert rows_of(ngram_join.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
+    assert len(given) > 2 and given[0] >= 600 and max(given[1:]) <= 150  # the first join has the sketches of all
+
+
 def test_jaccard_query_and_filter(spark):
     assert rows_of(queries.op6_ngram_jaccard(spark, SMALL), "doc_id", "n_shingles", "component_id") == brute.jaccard(small_docs(spark))
     docs = made_docs(10, 120)

@@ -377,8 +377,22 @@ def shared_keys(texts: DataFrame, plan: Plan, buckets: packed.Buckets, names: Na
     return places.select("key", F.col("doc").alias("short"), F.col("spot").cast("int").alias("note"), F.col("n").alias("n_sets"))
 
 
-def sets_of(texts: DataFrame, nodes: DataFrame, names: Names) -> DataFrame:
-    """node, shingles (packed hashes) of the nodes."""
+def having(nodes: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+    """The rows of nodes that wanted may name, by a bit table, kept: what is joined with few nodes then shuffles these, where
+    it would shuffle the sketches of all."""
+    bits = nodes.sparkSession.sparkContext.broadcast(bit_table(wanted, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(bits.value, batch.column("node").to_numpy())))
+
+    kept = work.keep(nodes.mapInArrow(run, nodes.schema))
+    bits.destroy()
+    return kept
+
+
+def sets_of(texts: DataFrame, nodes: DataFrame, names: Names, work: Workspace) -> DataFrame:
+    """node, shingles (packed hashes) of the nodes, kept."""
     bits = texts.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +408,9 @@ def sets_of(texts: DataFrame, nodes: DataFrame, names: Names) -> DataFrame:
             if rows:
                 yield packed.batch_of(rows, [pa.int64(), pa.binary()], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    kept = work.keep(texts.mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    bits.destroy()
+    return kept
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -522,11 +538,11 @@ class Verifier:
             return pairs
         nodes = self.work.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         if self.sets is None:
-            mine = self.sets = self.work.keep(sets_of(self.texts, nodes, self.names))
+            mine = self.sets = sets_of(self.texts, nodes, self.names, self.work)
         else:
             missing = self.work.keep(nodes.join(self.sets.select("node"), "node", "left_anti"))
             if not missing.isEmpty():
-                self.sets = self.sets.unionByName(self.work.keep(sets_of(self.texts, missing, self.names)))
+                self.sets = self.sets.unionByName(sets_of(self.texts, missing, self.names, self.work))
             mine = self.sets.join(nodes, "node", "left_semi")
         return self.work.keep(verified(pairs, mine), VERIFY_ROWS)
 
@@ -546,9 +562,9 @@ def linked(texts: DataFrame, plan: Plan, key_buckets: int, work: Workspace) -> t
     likely = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
     members = work.keep(labelled(levelled(members), likely, "part"))
     small = F.col("n_left") <= PAIR_SETS
-    apart = unsettled(members.where(small).withColumn("label", F.col("part")))
+    apart = work.keep(unsettled(members.where(small).withColumn("label", F.col("part"))))
     verify = Verifier(texts, names, work)
-    edges = verify(work.keep(stars.unionByName(plausible(pairs_within(work.keep(apart)), nodes)).distinct()))
+    edges = verify(work.keep(stars.unionByName(plausible(pairs_within(apart), having(nodes, apart, work))).distinct()))
     labels = components(edges, work)
     # sets of a part, that were only likely to be in one component, have not met; a larger key is one part
     members, level = members.withColumn("part", F.when(small, F.col("part"))), 0
@@ -556,6 +572,7 @@ def linked(texts: DataFrame, plan: Plan, key_buckets: int, work: Workspace) -> t
         members = work.keep(unsettled(labelled(members.where(F.col("depth") >= level - 1), labels), "part"))
         if members.isEmpty():
             return rows, labels, names
+        nodes = having(nodes, members, work)
         # a pair of near copies shares many keys, so few of these bring most of a group together; in the end all are looked at
         few = (F.col("depth") < level) | (F.pmod(F.xxhash64("key"), F.lit(FEW)) == 0)
         found = across(members.where(~small & few), level, nodes)
