@@ -78,6 +78,23 @@ def test_late_windows_against_a_replay(spark, seed):
     assert stream_of(spark, rows, cuts, 10, 4, again={1, 3}) == tuple(replayed(rows, 10, 4))
 
 
+def test_late_windows_have_tasks_by_their_rows(spark):
+    """Not one for each of the session's shuffle partitions, for each shuffle and each table written."""
+    rows = spark.range(400).select(F.col("id").alias("arrival"), F.timestamp_seconds(F.col("id") * 7 % 200).alias("ts"), F.lit("a").alias("key"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 61)
+    try:
+        top = shared_dir(spark, "late-tasks")
+        windows = LateWindows(top, "10 seconds", "5 seconds", ["key"], "arrival")
+        run = drain.run_batches(drain.arriving(rows, "arrival", 2), windows, f"{top}/c")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(str(run.runId)) for s in tracker.getJobInfo(job).stageIds}
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert len(tasks) > 10 and max(tasks) <= 8
+
+
 # the union join
 
 
@@ -206,6 +223,25 @@ def test_arriving_deals_the_rows_in_one_pass(spark):
     assert order == [(n, (5 + 100 * n, 104 + 100 * n, 100)) for n in range(9)]
 
 
+def test_arriving_gives_each_micro_batch_several_files(spark):
+    """As many for each, also where few rows or none are; the last row of a stream that ends has its own."""
+    ids = [*range(200), *range(300, 303), *range(390, 600)]
+    df = spark.createDataFrame([(i, None) for i in ids], "id long, ts timestamp")
+    stream = drain.arriving(df, "id", parts=6, end="ts", each=20).withColumn("file", F.input_file_name())
+    got = {}
+
+    def put(batch, number):
+        rows = batch.collect()
+        got[number] = (sorted(r.id for r in rows if r.id is not None), len(rows), len({r.file for r in rows}))
+
+    drain.run_batches(stream, put, f"{shared_dir(spark, 'several-files')}/c")
+    for n in range(6):
+        mine = [i for i in ids if n * 100 <= i < n * 100 + 100]
+        assert got[n][:2] == (mine, len(mine))
+        assert len(mine) < 100 or got[n][2] == 4
+    assert got[6] == ([], 1, 1) and len(got) == 7
+
+
 def test_union_join_forgets_after_its_ttl():
     rows = [(0, True, 1.0, 0), (1, False, 2.0, 1_000_000), (2, True, 3.0, 10_000_000)]
     assert joined(rows, [], ttl_us=5_000_000) == [("pair", 1, 1_000_000, 1.0, 2.0)]

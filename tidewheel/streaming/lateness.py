@@ -41,7 +41,17 @@ class LateWindows:
     sums: dict[str, Column] = field(default_factory=dict)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        """For foreachBatch."""
+        """For foreachBatch. What is persisted keeps all of the session's shuffle partitions, if this setting does not let them
+        be put together by their size: then each table written below has as many tasks, however few the rows."""
+        conf, fit = batch.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+        before = conf.get(fit)
+        conf.set(fit, "true")
+        try:
+            self._batch(batch, number)
+        finally:
+            conf.set(fit, before)
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
         carried = committed.top_before(f"{self.top}/marks", "us", number)
         rows = running(batch, self.order, F.unix_micros(self.ts), WM).withColumn(WM, F.greatest(WM, F.lit(carried).cast("long")))
         window = F.window(self.ts, self.size)
@@ -81,7 +91,8 @@ class LateWindows:
         committed.append(main.unionByName(again), f"{self.top}/fired", number)
         left = windows.where(over > F.lit(mark).cast("long")).select(*mine, END, (F.col("fired") | passed).alias("fired"), *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in names])
         committed.append(left, f"{self.top}/state", number)
-        committed.append(spark.createDataFrame([(mark,)], "us long"), f"{self.top}/marks", number, ["us"])
+        one = spark.range(0, 1, 1, 1).select(F.lit(mark).cast("long").alias("us"))
+        committed.append(one, f"{self.top}/marks", number, ["us"])
         committed.forget(f"{self.top}/state", number - 1)
         windows.unpersist()
         refires.unpersist()
