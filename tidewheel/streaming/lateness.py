@@ -14,6 +14,8 @@ found before and its results are there once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,19 @@ from ..sinks import committed
 WM, START, END, N = "wm", "win_start", "win_end", "cnt"
 
 
+@contextmanager
+def partitions_by_size(spark: SparkSession) -> Iterator[None]:
+    """What is persisted keeps all of the session's shuffle partitions, if this setting does not let them be put together by
+    their size: then each table that is written from it has as many tasks, however few the rows."""
+    fit = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = spark.conf.get(fit)
+    spark.conf.set(fit, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(fit, before)
+
+
 @dataclass
 class LateWindows:
     """top: a folder of its own. size, lateness: intervals. keys: columns of the windows' key. order: a whole-number column
@@ -41,15 +56,9 @@ class LateWindows:
     sums: dict[str, Column] = field(default_factory=dict)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        """For foreachBatch. What is persisted keeps all of the session's shuffle partitions, if this setting does not let them
-        be put together by their size: then each table written below has as many tasks, however few the rows."""
-        conf, fit = batch.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-        before = conf.get(fit)
-        conf.set(fit, "true")
-        try:
+        """For foreachBatch."""
+        with partitions_by_size(batch.sparkSession):
             self._batch(batch, number)
-        finally:
-            conf.set(fit, before)
 
     def _batch(self, batch: DataFrame, number: int) -> None:
         carried = committed.top_before(f"{self.top}/marks", "us", number)
